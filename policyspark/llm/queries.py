@@ -26,7 +26,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(toxicity.learn(docs, table(spark, sf_dir, "labels"))))
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policyspark.llm.common import bounded_sample, fold
+from policyspark.llm.common import bounded_sample, checkpoint, fold
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 9)
@@ -99,29 +99,40 @@ def segments(hits: list[tuple[int, float]], cost: float) -> list[tuple[int, int,
     return [(int(a), int(b), w - v) for a, b, v, w, _ in found]
 
 
-def fit(rows: list[tuple[str, int]], prior: float = 500.0, z_min: float = 4.0, most: float = 6.0) -> Model:
-    """rows: (text, label). Without both labels the model marks nothing."""
-    seen, totals = defaultdict(lambda: ([set(), set()])), [0, 0]
-    for text, label in rows:
-        before = ""
-        for w in set(zip([""] + (words := WORDS.findall((text or "").lower())), words, strict=False)):
-            before, word = w
-            mark = hash(before + " " + word) if len(before) + len(word) else 0
-            for u in units(word):
-                seen[u][label].add(mark)
-    counts = {u: (len(b), len(a)) for u, (a, b) in seen.items()}
-    del seen
-    totals = [sum(c[1] for c in counts.values()), sum(c[0] for c in counts.values())]
-    if not totals[0] or not totals[1]:
+def unit_scores(sample: DataFrame, prior: float = 500.0, z_min: float = 4.0, most: float = 6.0) -> dict[str, float]:
+    """Scores of the significant units of sample (text, label); none unless both labels are there.
+
+    A unit counts once for each pair of a word that starts with it and the word before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = WORDS.findall(text.lower())
+                pairs = set(zip(["", *words], words, strict=False))
+                found = {(u, zlib.crc32(f"{before} {word}".encode())) for before, word in pairs for u in units(word)}
+                if found:
+                    names, marks = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([label] * len(found), pa.int32()), pa.array(marks, pa.int64())], ["unit", "label", "mark"])
+
+    seen = sample.mapInArrow(run, "unit string, label int, mark long").distinct()
+    counts = checkpoint(seen.groupBy("unit").agg(F.sum("label").cast("double").alias("toxic"), F.sum(1 - F.col("label")).cast("double").alias("other")))
+    toxic, other, kinds = counts.agg(F.sum("toxic"), F.sum("other"), F.count("*")).first()
+    if not toxic or not other:
+        return {}
+    # half a count besides the prior's share, else a unit of one label alone has no finite variance
+    a = 0.5 + prior * (F.col("toxic") + F.col("other")) / (toxic + other)
+    sides = [(F.col(c) + a, n + prior + kinds / 2 - F.col(c) - a) for c, n in (("toxic", toxic), ("other", other))]
+    odds = F.log(sides[0][0] / sides[0][1]) - F.log(sides[1][0] / sides[1][1])
+    spread = F.sqrt(1 / sides[0][0] + 1 / sides[1][0])
+    chosen = counts.where("toxic >= 3").select("unit", odds.alias("odds"), (odds / spread).alias("z")).where((F.col("z") >= z_min) & (F.col("odds") > 1))
+    return {unit: min(most, odds) for unit, odds, _ in chosen.collect()}
+
+
+def fit(rows: list[tuple[str, int]], scores: dict[str, float]) -> Model:
+    """Calibrated on rows (text, label). Without a scoring unit the model marks nothing."""
+    if not scores:
         return Model()
-    n, half, scores = sum(totals), len(counts) / 2, {}
-    for u, (toxic, other) in counts.items():
-        if toxic < 3:
-            continue
-        a = 0.5 + prior * (toxic + other) / n  # half a count besides, else a unit seen in one class alone has no finite variance
-        odds = math.log((toxic + a) / (totals[1] + prior + half - toxic - a)) - math.log((other + a) / (totals[0] + prior + half - other - a))
-        if odds / math.sqrt(1 / (toxic + a) + 1 / (other + a)) >= z_min and odds > 1:
-            scores[u] = min(most, odds)
     model = Model(scores)
     tried = [(label, *model.hits(text)) for text, label in rows]
     seen_scores = np.array([s for label, hits, _ in tried if not label for _, s in hits])
@@ -149,13 +160,19 @@ def fit(rows: list[tuple[str, int]], prior: float = 500.0, z_min: float = 4.0, m
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 2000, chars: int = 20_000) -> list[tuple[str, int]]:
+def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int, chars: int = 20_000) -> DataFrame:
     """Labelled texts of the folds learned from: per_class rows of each label at most, `chars` characters of each."""
     rows = labels.where((fold("doc_id", 5) != 0) & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     ids = bounded_sample(rows, "doc_id", ["label"], per_class)
     chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi")
-    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select(F.substring("text", 1, chars).alias("text"), "label").distinct()
-    return sorted((r[0], r[1]) for r in found.collect())
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    return checkpoint(found.select(F.substring("text", 1, chars).alias("text"), "label").distinct())
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model:
+    """Fitted on per_class rows of each label at most."""
+    sample = labelled(docs, labels, "toxic", per_class)
+    return fit(sorted((r[0], r[1]) for r in sample.collect()), unit_scores(sample))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
