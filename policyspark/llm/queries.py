@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from policyspark.llm import fingerprints, langid, licenses, quality, sentpiece, simhash, toxicity, warc
+from policyspark.llm import decontam, fingerprints, langid, licenses, quality, secret_scan, sentpiece, simhash, toxicity, warc
 from policyspark.llm.common import table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.learn(secret_scan.labelled_findings(spark)))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.learn(docs))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.learn(docs))
@@ -47,7 +55,9 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_license_scans": op4_license_scans,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
