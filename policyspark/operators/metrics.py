@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from policyspark.functions.grouped import map_groups
+
 LABELS = ("RELEVANT", "NOT_RELEVANT", "NEEDS_CONTEXT")
 LOW_SUPPORT = 30
 
@@ -126,9 +128,12 @@ def aligned(rows: DataFrame) -> DataFrame:
     import pandas as pd
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kind", "action", "asset", "conditions"])
-        e, f = (pdf[pdf.side == s][list(WEIGHTS)].to_dict("records") for s in ("expected", "found"))
-        out = [[pdf.contract_id.iloc[0], i, *(bool(j is not None and e[i][k] == f[j][k]) for k in WEIGHTS)] for i, j in align(e, f)]
+        sides = {"expected": [], "found": []}
+        for record in pdf[["side", *WEIGHTS]].to_dict("records"):
+            sides[record["side"]].append(record)
+        e, f = sides["expected"], sides["found"]
+        out = [[pdf["contract_id"].iloc[0], i, *(bool(j is not None and e[i][k] == f[j][k]) for k in WEIGHTS)] for i, j in align(e, f)]
         return pd.DataFrame(out, columns=["contract_id", "rule", *WEIGHTS])
 
-    return rows.groupBy("contract_id").applyInPandas(walk, "contract_id string, rule int, kind boolean, action boolean, actor boolean, asset boolean, conditions boolean")
+    schema = "contract_id string, rule int, " + ", ".join(f"{k} boolean" for k in WEIGHTS)
+    return map_groups(rows, "contract_id", ["side", *WEIGHTS], walk, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from policyspark.plans import structure
+from policyspark.plans import decisions, structure
 
-QUERIES = {**structure.Q}
-ORACLES = {**structure.S}
+QUERIES = {**structure.Q, **decisions.Q}
+ORACLES = {**structure.S, **decisions.S}
