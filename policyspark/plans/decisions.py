@@ -411,3 +411,52 @@ def usage_windows(spark, sf_dir):
 def usage_sessions(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("opened"), "n")
 
+
+
+# ---- sequential stages
+
+
+@query()
+def segment_full(spark, sf_dir):
+    """Printed agreements segmented again from their lines; the numbers found are those of the catalogue."""
+    from policyspark.operators.segment import segmented
+    from policyspark.plans.structure import numbered
+
+    blocks = numbered(spark, sf_dir).select("contract_id", "ord", F.concat(F.lit("b"), F.lpad(F.col("ord").cast("string"), 6, "0")).alias("block_id"), F.lit(1).alias("page"), F.when(F.col("heading").isNotNull(), "heading").otherwise("paragraph").alias("block_type"), F.col("line").alias("text"))
+    return segmented(blocks).groupBy("clause_id", "parent_clause_id").agg(F.count("*").alias("n"), F.min("text").alias("first_text"))
+
+
+@query()
+def classify_clauses(spark, sf_dir):
+    """Gates, packed requests and the rule model over all clauses."""
+    from policyspark.operators import model
+
+    return model.classify(clauses(spark, sf_dir)).groupBy("ord", "label", "gate", "pass").agg(F.count("*").alias("n"))
+
+
+@query()
+def compile_plan(spark, sf_dir):
+    from policyspark.operators import compiler
+
+    plans = compiler.gold_plans(rules(spark, sf_dir), conditions(spark, sf_dir))
+    return compiler.compiled(plans).groupBy("group_id", "refused", "stands").agg(F.count("*").alias("plans"), F.sum("made").alias("made"))
+
+
+@query()
+def greedy_packing(spark, sf_dir):
+    from policyspark.operators import model
+
+    rows = clauses(spark, sf_dir).withColumn("context", F.lit(None).cast("string"))
+    return model.packed(rows, model.Options()).groupBy("contract_id").agg(F.count("*").alias("requests"), F.sum(F.octet_length("value_json")).alias("bytes"))
+
+
+@query()
+def dnf_branches(spark, sf_dir):
+    """How many alternatives the complement of each rule's conditions has."""
+    n = conditions(spark, sf_dir).groupBy("contract_id", "clause_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("n", "field", "op")))).alias("c"))
+    return n.groupBy("c").agg(F.count("*").alias("rules")).withColumn("branches", _branches("c")).groupBy("branches").agg(F.sum("rules").alias("rules"))
+
+
+@F.pandas_udf("int")
+def _branches(column: pd.Series) -> pd.Series:
+    return column.map(lambda t: len(tr.branches(tr.reversed_conditions([{"field": x["field"], "op": x["op"], "value": 0} for x in json.loads(t)]))))
