@@ -89,6 +89,7 @@ class Parser:
             for state, row in enumerate(nexts):
                 for c, to in row.items():
                     steps[state, c] = (base + to * size) << 1
+            steps[0] |= 1  # whatever follows the root begins a phrase
             steps[:, self.pad] = base << 1
             tables.append(steps)
             self.roots.append(base)
@@ -109,7 +110,7 @@ class Parser:
         owner = np.repeat(np.arange(len(texts)), lanes)
         out = np.zeros((len(texts), len(self.names)))
         for k, root in enumerate(self.roots):
-            state, count = np.full(grid.shape[1], root, self.steps.dtype), np.ones(grid.shape[1], np.int32)
+            state, count = np.full(grid.shape[1], root, self.steps.dtype), np.zeros(grid.shape[1], np.int32)
             for symbols in grid:
                 moved = self.steps.take(state + symbols)
                 count += moved & 1
