@@ -4,6 +4,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from policyspark.functions import text as tx
@@ -301,7 +302,7 @@ def condition_canon(spark, sf_dir):
     return conds.groupBy("c").agg(F.count("*").alias("rules"), F.min("clause_id").alias("clause")).withColumn("canon", _canon("c")).groupBy("canon").agg(F.sum("rules").alias("rules"), F.min("clause").alias("clause"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canon(column: pd.Series) -> pd.Series:
     return column.map(lambda text: policy.digest(policy.condition_canon([{"field": x["field"], "op": x["op"], "value": json.loads(x["value"])} for x in json.loads(text)])))
 
@@ -457,6 +458,6 @@ def dnf_branches(spark, sf_dir):
     return n.groupBy("c").agg(F.count("*").alias("rules")).withColumn("branches", _branches("c")).groupBy("branches").agg(F.sum("rules").alias("rules"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _branches(column: pd.Series) -> pd.Series:
     return column.map(lambda t: len(tr.branches(tr.reversed_conditions([{"field": x["field"], "op": x["op"], "value": 0} for x in json.loads(t)]))))
