@@ -210,7 +210,7 @@ class Lattices:
         return counts, slots, steps, self.log_share(slots, steps)
 
 
-def bound(limit: float, log_mass: np.ndarray, u: np.ndarray) -> np.ndarray:
+def bound(limit: float | np.ndarray, log_mass: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Greatest perturbed value of sets with those log-probabilities, given that it is below limit."""
     with np.errstate(divide="ignore"):
         return -np.logaddexp(-limit, np.log(-np.log(u)) - log_mass)
@@ -252,37 +252,47 @@ def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int) -> list[lis
             starts.append(s)
             ends.append(e)
             place.append(np.arange(at, at + len(u)))
-            key.append(np.full(len(u), seeds[i]))
+            key.append(i)
             sizes.append(len(u))
         if not jobs:
             break
-        starts, ends, key, place = (np.concatenate(x) for x in (starts, ends, key, place))
+        starts, ends, place = (np.concatenate(x) for x in (starts, ends, place))
+        key = np.repeat(seeds[key], sizes)
         counts, slots, steps, logs = lat.walk(starts, ends, key, place, try_no)
         owner = np.repeat(place, counts)
         stops = np.concatenate(([0], np.cumsum(counts)))[np.cumsum(sizes)]
-        for (i, _, _, before, value), a, b in zip(jobs, np.concatenate(([0], stops[:-1])).tolist(), stops.tolist(), strict=True):
-            new = Path(owner[a:b], slots[a:b], steps[a:b], logs[a:b], value)
-            held = 0
+        firsts = np.concatenate(([0], stops[:-1]))
+        lengths = stops - firsts
+        # the sets left at each new piece: their masses and bounds, for all paths at once
+        kept, share, base = np.zeros(len(jobs), np.int64), np.zeros(len(jobs)), np.zeros(len(jobs))
+        for j, (_, _, _, before, _) in enumerate(jobs):
             if before is not None:
                 parent, cut, barred = before
-                took = barred[-1]
-                share = float(lat.log_share(parent.slots[cut : cut + 1], np.array([took]))[0])
-                new = Path(*(np.concatenate([x[:cut], y, z]) for x, y, z in ((parent.unit, parent.unit[cut : cut + 1], new.unit), (parent.slots, parent.slots[cut : cut + 1], new.slots), (parent.steps, [took], new.steps), (parent.logs, [share], new.logs))), value)
-                held = cut + 1
+                share[j] = lat.log_share(parent.slots[cut : cut + 1], np.array([barred[-1]]))[0]
+                kept[j], base[j] = cut + 1, parent.logs[:cut].sum() + share[j]
+        sums = np.cumsum(logs) - logs
+        offset = base - (sums[np.minimum(firsts, max(len(sums) - 1, 0))] if len(sums) else 0)
+        number = np.arange(len(logs)) - np.repeat(firsts - kept, lengths)
+        noise = uniform(np.repeat(seeds[[j[0] for j in jobs]], lengths), number, 2000 + try_no)
+        bounds = bound(np.repeat([j[4] for j in jobs], lengths), sums + np.repeat(offset, lengths) + rest(logs), noise)
+        for j, ((i, _, _, before, value), a, b) in enumerate(zip(jobs, firsts.tolist(), stops.tolist(), strict=True)):
+            new, held = Path(owner[a:b], slots[a:b], steps[a:b], logs[a:b], value), int(kept[j])
+            if before is not None:
+                parent, cut, barred = before
+                new = Path(*(np.concatenate([x[:cut], y, z]) for x, y, z in ((parent.unit, parent.unit[cut : cut + 1], new.unit), (parent.slots, parent.slots[cut : cut + 1], new.slots), (parent.steps, [barred[-1]], new.steps), (parent.logs, [share[j]], new.logs))), value)
                 left = 1 - sum(float(np.exp(lat.log_share(parent.slots[cut : cut + 1], np.array([n]))[0])) for n in barred)
                 if left > 1e-12 and np.isfinite(lat.logs[parent.slots[cut]]).sum() > len(barred):
                     mass = float(parent.logs[:cut].sum()) + np.log(left)
                     top = float(bound(value, np.array([mass]), uniform(seeds[i : i + 1], np.array([cut]), 1000 + try_no))[0])
                     heapq.heappush(heaps[i], (-top, len(done[i]), cut, barred, parent))
             done[i].append(new)
-            if len(new.logs) > held:
-                masses = np.cumsum(new.logs) - new.logs + rest(new.logs)
-                tops = bound(value, masses, uniform(np.full(len(masses), seeds[i]), np.arange(len(masses)), 2000 + try_no))
-                tops[:held] = -np.inf
+            if b > a:
+                tops = bounds[a:b]
                 want = min(len(tops), k - len(done[i]) + 1)
-                for j in np.argpartition(-tops, want - 1)[:want].tolist():
-                    if np.isfinite(tops[j]):
-                        heapq.heappush(heaps[i], (-float(tops[j]), len(done[i]), j, (int(new.steps[j]),), new))
+                best = [int(tops.argmax())] if want == 1 else np.argpartition(-tops, want - 1)[:want].tolist()
+                for at in best:
+                    if np.isfinite(tops[at]):
+                        heapq.heappush(heaps[i], (-float(tops[at]), len(done[i]), held + at, (int(new.steps[held + at]),), new))
         jobs = []
         if try_no < k:
             for i, heap in enumerate(heaps):
