@@ -227,17 +227,24 @@ def decided(spark, sf_dir):
     Says: recipient by event type, approval where value is over 100, elapsedTime from k, purpose for views, payAmount.
     """
     k, kind = F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
-    state = F.create_map(
-        F.lit("recipient"), F.when(kind == "error", '"third party"').when(kind == "click", '"Provider"').otherwise('"Recipient"'),
-        F.lit("approval"), F.when(F.col("value") > 100, '"written consent"'),
-        F.lit("elapsedTime"), F.concat(F.lit('"P'), k.cast("string"), F.lit('D"')),
-        F.lit("purpose"), F.when(kind == "view", '"rival goods"'),
-        F.lit("payAmount"), F.round("value", 0).cast("long").cast("string"),
-        F.lit("spatial"), F.when(kind == "signup", '"Norway"').when(kind == "purchase", '"France"'),
-    )
+    said = {
+        "recipient": F.when(kind == "error", '"third party"').when(kind == "click", '"Provider"').otherwise('"Recipient"'),
+        "approval": F.when(F.col("value") > 100, '"written consent"'),
+        "elapsedTime": F.concat(F.lit('"P'), k.cast("string"), F.lit('D"')),
+        "purpose": F.when(kind == "view", '"rival goods"'),
+        "payAmount": F.round("value", 0).cast("long").cast("string"),
+        "spatial": F.when(kind == "signup", '"Norway"').when(kind == "purchase", '"France"'),
+    }
+    # amounts are made once for each event and condition, so the join's many rows only compare
+    state = F.create_map(*[x for f, v in said.items() for x in (F.lit(f), F.struct(v.alias("v"), tr.amount(F.lit(f), v).alias("a")))])
     events = table(spark, sf_dir, "events").select("event_id", "user_id", state.alias("state"))
-    leaves = conditions(spark, sf_dir).join(events, F.col("o_custkey") == F.col("user_id"))
-    return leaves.withColumn("truth", tr.leaf(F.col("field"), F.col("op"), F.try_element_at("state", F.col("field")), F.col("value")))
+    rows = conditions(spark, sf_dir).withColumn("b", tr.amount(F.col("field"), F.col("value"))).withColumn("listing", F.when(F.col("op").isin("isAnyOf", "isNoneOf", "isAllOf"), tr.members(F.col("value"))))
+    leaves = rows.join(events, F.col("o_custkey") == F.col("user_id")).withColumn("left", F.try_element_at("state", F.col("field"))).drop("state")
+    return leaves.withColumn("truth", judged(F.col("op")))
+
+
+def judged(op):
+    return tr.leaf(F.col("field"), op, F.col("left.v"), F.col("value"), F.col("left.a"), F.col("b"), F.col("listing"))
 
 
 _STATE = """st AS (SELECT event_id, user_id, f.name AS field, f.v AS left FROM (SELECT event_id, user_id, unnest([{'name': 'recipient', 'v': CASE event_type WHEN 'error' THEN '"third party"' WHEN 'click' THEN '"Provider"' ELSE '"Recipient"' END},
@@ -288,7 +295,7 @@ def truth_xone(spark, sf_dir):
 def complement_equivalence(spark, sf_dir):
     """Complements of all rules: reversed comparisons joined by `or`, folded as a node table."""
     turned = F.element_at(F.create_map(*[F.lit(x) for kv in tr.REVERSED.items() for x in kv]), F.col("op"))
-    rows = decided(spark, sf_dir).withColumn("truth", tr.leaf(F.col("field"), turned, F.try_element_at("state", F.col("field")), F.col("value")))
+    rows = decided(spark, sf_dir).withColumn("truth", judged(turned))
     keys = ["contract_id", "clause_id", "event_id"]
     low = rows.select(*keys, (F.col("n") + 1).alias("node_id"), F.lit(0).alias("parent_node_id"), F.lit(1).alias("depth"), F.lit(None).cast("string").alias("group_op"), "truth")
     top = low.select(*keys).distinct().select(*keys, F.lit(0).alias("node_id"), F.lit(None).cast("int").alias("parent_node_id"), F.lit(0).alias("depth"), F.lit("or").alias("group_op"), F.lit(None).cast("boolean").alias("truth"))
