@@ -98,10 +98,14 @@ def reference_numbers(text: Column) -> Column:
 
 
 def duration_seconds(value: Column) -> Column:
-    """Seconds of an ISO duration without years and months, else null."""
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(value, DURATION, i), F.lit("")), F.lit("0")).cast("decimal(38,9)")
-    whole = value.rlike(DURATION) & (F.regexp_extract(value, DURATION, 1) == "") & (F.regexp_extract(value, DURATION, 2) == "")
-    return F.when(whole, part(3) * 86400 + part(4) * 3600 + part(5) * 60 + part(6))
+    """Seconds of an ISO duration without years and months, else null. The text is taken apart once."""
+
+    def summed(p: Column) -> Column:
+        part = lambda i: F.coalesce(F.nullif(p[i], F.lit("")), F.lit("0")).cast("decimal(38,9)")
+        return F.when((p[0] == "") & (p[1] == ""), part(2) * 86400 + part(3) * 3600 + part(4) * 60 + part(5))
+
+    parts = F.split(F.regexp_replace(value, DURATION, "$1|$2|$3|$4|$5|$6"), r"\|")
+    return F.when(value.rlike(DURATION), F.transform(F.array(parts), summed)[0])
 
 
 def date_ordinal(value: Column) -> Column:

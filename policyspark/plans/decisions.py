@@ -329,10 +329,11 @@ def template_rules(spark, sf_dir):
     SELECT clause_id, shift, count(*) AS probes, count(*) FILTER (CASE WHEN op = 'lteq' THEN shift <= 0 ELSE shift >= 0 END) AS passed FROM p GROUP BY ALL""")
 def behaviour_probes(spark, sf_dir):
     """Each deadline probed an hour before, at and an hour after its bound."""
-    rows = conditions(spark, sf_dir).where("field = 'elapsedTime'").withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    hours = (tx.duration_seconds(tr.bare(F.col("value"))) / 3600).cast("int") + F.col("shift")
-    rows = rows.withColumn("truth", tr.leaf(F.col("field"), F.col("op"), F.concat(F.lit('"PT'), hours.cast("string"), F.lit('H"')), F.col("value")))
-    return rows.groupBy("clause_id", "shift").agg(F.count("*").alias("probes"), F.sum(F.col("truth").cast("int")).alias("passed"))
+    same = conditions(spark, sf_dir).where("field = 'elapsedTime'").groupBy("clause_id", "field", "op", "value").agg(F.count("*").alias("many"))
+    rows = same.withColumn("hours", (tx.duration_seconds(tr.bare(F.col("value"))) / 3600).cast("int")).withColumn("bound", tr.amount(F.col("field"), F.col("value"))).withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    rows = rows.withColumn("probe", F.concat(F.lit('"PT'), (F.col("hours") + F.col("shift")).cast("string"), F.lit('H"')))
+    rows = rows.withColumn("truth", tr.leaf(F.col("field"), F.col("op"), F.col("probe"), F.col("value"), b=F.col("bound")))
+    return rows.groupBy("clause_id", "shift").agg(F.sum("many").alias("probes"), F.sum(F.col("truth").cast("int") * F.col("many")).alias("passed"))
 
 
 @query(f"""WITH {o.AGREEMENTS}, t AS (SELECT contract_id, CASE WHEN o_orderkey % 10 = 0 THEN P ELSE R END AS R, P, CASE WHEN o_orderkey % 8 = 1 THEN D || chr(10) || 'x' ELSE D END AS D, days::INTEGER * CASE WHEN o_orderkey % 9 = 2 THEN 100 ELSE 1 END AS days, start, CASE WHEN o_orderkey % 6 = 5 THEN '2001-1-1' ELSE stop END AS stop FROM agreements)
