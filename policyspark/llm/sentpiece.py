@@ -134,6 +134,14 @@ def uniform(key: np.ndarray, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+class Numbers(dict[str, int]):
+    """Numbers words in order of their first lookup."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Lattices:
     """The lattices of distinct units: a slot for each character and one for each unit's end."""
 
@@ -147,7 +155,7 @@ class Lattices:
         inside[self.ends] = False
         codes[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
         ahead = np.repeat(self.ends, lengths + 1) - np.arange(size)  # characters up to the unit's end
-        classes, wide = v.classes[codes], v.longest
+        classes, wide = v.classes[codes], -(-v.longest // 8) * 8
         self.ids = np.full((size, wide), -1, np.int32)
         logs = np.full((size, wide), -np.inf, np.float32)
         at, state = np.flatnonzero(inside), None
@@ -193,7 +201,10 @@ class Lattices:
         live, p, seen, step = np.flatnonzero(starts < ends), starts[starts < ends], [], 0
         while len(live):
             u = uniform(key[live], place[live] * 4096 + step, try_no)
-            n = (self.cdf[p] < u[:, None].astype(np.float32)).sum(axis=1)
+            below = np.bitwise_count((self.cdf[p] < u[:, None].astype(np.float32)).view(np.uint64))  # eight comparisons a word
+            n = below[:, 0].astype(np.int64)
+            for c in range(1, below.shape[1]):
+                n += below[:, c]
             n = np.minimum(n, self.cdf.shape[1] - 1)
             bad = ~np.isfinite(self.logs[p, n])
             if bad.any():  # a rounded share: the nearest piece that exists
@@ -232,8 +243,8 @@ class Path:
 
 def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int) -> list[list[tuple[list[int], float, float]]]:
     """For each text up to k distinct segmentations: (ids, log-probability, inclusion probability), best perturbed value first."""
-    index: dict[str, int] = {}
-    units = [np.array([index.setdefault(w, len(index)) for w in UNITS.findall(" " + t)], np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    index = Numbers()
+    units = [np.fromiter(map(index.__getitem__, UNITS.findall(" " + t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
     lat = Lattices(v, list(index))
     seeds = uniform(np.array([x & (2**64 - 1) for x in keys], np.uint64), np.arange(1), 99)
     seeds = (seeds * 2.0**53).astype(np.uint64) << np.uint64(10)
