@@ -155,21 +155,23 @@ class Lattices:
         inside[self.ends] = False
         codes[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
         ahead = np.repeat(self.ends, lengths + 1) - np.arange(size)  # characters up to the unit's end
-        classes, wide = v.classes[codes], -(-v.longest // 8) * 8
+        classes, wide = v.classes.take(codes), -(-v.longest // 8) * 8
         self.ids = np.full((size, wide), -1, np.int32)
         logs = np.full((size, wide), -np.inf, np.float32)
-        at, state = np.flatnonzero(inside), None
+        at = np.flatnonzero(inside)
         state = np.zeros(len(at), np.int64)
         for n in range(wide):
             live = ahead[at] > n
             at, state = at[live], state[live]
-            to = v.base[state] + classes[at + n]
-            live = (v.check[to] == state) & (classes[at + n] > 0)
+            letter = classes.take(at + n)
+            to = v.base.take(state) + letter
+            live = (v.check.take(to) == state) & (letter > 0)
             at, state = at[live], to[live]
-            found = v.piece[state]
+            found = v.piece.take(state)
             some = found >= 0
-            self.ids[at[some], n] = found[some]
-            logs[at[some], n] = v.weight[found[some]]
+            where, found = at[some] * wide + n, found[some]
+            self.ids.reshape(-1)[where] = found
+            logs.reshape(-1)[where] = v.weight.take(found)
             if not len(at):
                 break
         lost = np.flatnonzero(inside & (self.ids[:, 0] < 0))
@@ -184,16 +186,18 @@ class Lattices:
         for d in range(len(cuts) - 1):
             p = order[cuts[d] : cuts[d + 1]]
             w = min(d + 1, wide)
-            total = logs[p, :w] + self.beta[p[:, None] + np.arange(1, w + 1)]
-            top = total.max(axis=1)
-            mass = np.exp(total - top[:, None]).cumsum(axis=1)
-            self.beta[p] = top + np.log(mass[:, -1])
-            self.cdf[p, :w] = mass / mass[:, -1:]
+            total = logs.take(p, axis=0)[:, :w].T + self.beta.take(p + np.arange(1, w + 1)[:, None])
+            top = total.max(axis=0)
+            mass = np.exp((total - top).astype(np.float32))
+            for c in range(1, w):
+                mass[c] += mass[c - 1]
+            self.beta[p] = top + np.log(mass[-1])
+            self.cdf[p, :w] = (mass / mass[-1]).T
         self.logs = logs
 
     def log_share(self, p: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Log-probability of going on by n + 1 characters at slot p."""
-        return np.minimum(0.0, self.logs[p, n] + self.beta[p + n + 1] - self.beta[p])
+        return np.minimum(0.0, self.logs.reshape(-1).take(p * self.logs.shape[1] + n) + self.beta.take(p + n + 1) - self.beta.take(p))
 
     def walk(self, starts: np.ndarray, ends: np.ndarray, key: np.ndarray, place: np.ndarray, try_no: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sampled paths from each start to its end: pieces of each path, and slots, steps and logs of all pieces in order."""
@@ -201,12 +205,12 @@ class Lattices:
         live, p, seen, step = np.flatnonzero(starts < ends), starts[starts < ends], [], 0
         while len(live):
             u = uniform(key[live], place[live] * 4096 + step, try_no)
-            below = np.bitwise_count((self.cdf[p] < u[:, None].astype(np.float32)).view(np.uint64))  # eight comparisons a word
+            below = np.bitwise_count((self.cdf.take(p, axis=0) < u[:, None].astype(np.float32)).view(np.uint64))  # eight comparisons a word
             n = below[:, 0].astype(np.int64)
             for c in range(1, below.shape[1]):
                 n += below[:, c]
             n = np.minimum(n, self.cdf.shape[1] - 1)
-            bad = ~np.isfinite(self.logs[p, n])
+            bad = ~np.isfinite(self.logs.reshape(-1).take(p * self.logs.shape[1] + n))
             if bad.any():  # a rounded share: the nearest piece that exists
                 n[bad] = np.isfinite(self.logs[p[bad]]).argmax(axis=1)
             seen.append((live, p, n))
@@ -323,7 +327,7 @@ def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int) -> list[lis
         rows = []
         for path in paths:
             log = float(path.logs.sum())
-            rows.append((spelled(v, lat.ids[path.slots, path.steps]), log, 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(700.0, log - limit))))))
+            rows.append((spelled(v, lat.ids.reshape(-1).take(path.slots * lat.ids.shape[1] + path.steps)), log, 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(700.0, log - limit))))))
         out.append(rows)
     return out
 
