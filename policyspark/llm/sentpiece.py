@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNITS = re.compile(r"\n| *[^ \n]+| +")
-SPACE, BLOCK = "▁", 2_000_000
+SPACE, BLOCK = "▁", 60_000  # characters of a block of texts
 
 
 class Vocabulary:
