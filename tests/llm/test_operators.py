@@ -407,3 +407,12 @@ def test_query_columns(spark):
     made = queries.op10_document_fingerprints(spark, TINY).collect()
     assert len(made) == len({r.doc_id for r in made}) and all(r.near_queries >= 0 for r in made)
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in queries.op7_quality_classifier(spark, TINY).collect() if r.held_out)
+
+
+def test_samples_are_the_same_alone_and_in_company(pieces):
+    v, texts = sentpiece.vocabulary(pieces, 1.0), ["one common word", "", "zwölf 漢字 und mehr", "x" * 700, "one common word\n\n  two"]
+    together = sentpiece.sample(v, texts, list(range(5)), 2)
+    for i, t in enumerate(texts):
+        (alone,) = sentpiece.sample(v, [t], [i], 2)
+        assert [s[0].tolist() for s in alone] == [s[0].tolist() for s in together[i]]
+        assert all(v.decode(s[0].tolist()) == t for s in alone)
