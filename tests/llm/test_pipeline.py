@@ -1,5 +1,7 @@
 """The pipeline's stages, each on what the one before kept."""
 
+import random
+
 import corpus_pipeline
 from policyspark.llm import queries, simhash
 
@@ -35,3 +37,39 @@ def test_awkward_documents_pass(spark):
     assert {r.doc_id for r in kept.collect()} == {3}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), TINY).count() == 0
+
+
+def jaccard(a, b):
+    """Of five-word shingle sets, by definition."""
+    one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(one & two) / len(one | two)
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(7)
+    base = [" ".join(rng.choice("abcdefghijklmnopqrst") + rng.choice("uvwxyz") for _ in range(rng.choice((3, 30, 90)))) for _ in range(25)]
+    texts = list(base)
+    for t in base:
+        for _ in range(6):
+            w = t.split()
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(len(w))] = "new" + str(rng.randrange(3))
+            texts.append(" ".join(w))
+    texts += [" ".join(texts[0].split()[:2] + ["same words in a long and very common passage of many texts"] + [f"own{i}", f"word{i}"]) for i in range(30)]
+    texts = sorted(set(texts))
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                group = [group[j] if g == group[i] else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, TINY).collect()}
+    assert kept == {group.index(g) for g in set(group)} and 25 < len(kept) < len(texts) - 20
+
+
+def test_a_near_copy_of_many_bits_goes(spark):
+    words = [f"w{i}" for i in range(120)]
+    a, b = " ".join(words), " ".join("new" if i in (40, 80) else w for i, w in enumerate(words))
+    assert jaccard(a, b) >= 0.8 and (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 2
+    docs = spark.createDataFrame([(1, a), (2, b), (3, "another text of other words")], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, TINY).collect()} == {1, 3}
