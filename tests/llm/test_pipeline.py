@@ -73,3 +73,12 @@ def test_a_near_copy_of_many_bits_goes(spark):
     assert jaccard(a, b) >= 0.8 and (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 2
     docs = spark.createDataFrame([(1, a), (2, b), (3, "another text of other words")], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, TINY).collect()} == {1, 3}
+
+
+def test_rows_go_by_likeness_and_not_by_id(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, a), (7, b), (7, c), (None, d), (None, d), (None, d + " more"), (9, b), (5, c + " more"), (8, e), (None, e), (3, a + " x y"), (None, a)]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, TINY).collect()]
+    ids = {(i, t[0]) for i, t in got}
+    assert len(got) == 5 and ids == {(3, "a"), (7, "b"), (5, "c"), (None, "d"), (8, "e")}
