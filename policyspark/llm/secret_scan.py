@@ -119,17 +119,24 @@ def learn(findings: DataFrame, most: int = 20_000, **options: int) -> list:
 
 
 def scored(text: str, path: str, forest: list, least: float) -> Column:
-    """Array of the distinct candidates of a text column that the forest takes for secrets.
+    """Array of the distinct candidates of a text column that the forest takes for secrets at one of their places at least.
 
-    struct(candidate, start: code point of the first occurrence from 0, probability). Null text: null.
+    struct(candidate, start: code point from 0 of the first place with its best probability,
+    probability: the best of its places). Null text: null.
     """
-    found = f"array_distinct(regexp_extract_all({text}, r'{CANDIDATE}', 0))"
-    placed = f"transform({found}, c -> named_struct('candidate', c, 'at', locate(c, {text})))"
-    near = f"transform({placed}, x -> named_struct('candidate', x.candidate, 'at', x.at, 'before', lower(substring({text}, greatest(x.at - 48, 1), least(48, x.at - 1))), 'after', substring({text}, x.at + length(x.candidate), 8), 'path', {path}))"
-    made = f"transform({near}, x -> named_struct('candidate', x.candidate, 'at', x.at, 'f', {_features('x')}))"
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    # what stands between matches; three candidates of 16 characters fill the 48 before, one the 8 after
+    cut = f"named_struct('found', regexp_extract_all({text}, r'{CANDIDATE}', 0), 'between', split({text}, r'{CANDIDATE}'))"
+    part = lambda name, i: f"coalesce(get(s.{name}, {i}), '')"
+    before = ", ".join(["''", *(part(name, f"i - {back}") for back, name in ((3, "found"), (2, "between"), (2, "found"), (1, "between"), (1, "found"), (0, "between")))])
+    near = f"transform(s.found, (c, i) -> named_struct('candidate', c, 'i', i, 'before', lower(right(concat({before}), 48)), 'after', left(concat({part('between', 'i + 1')}, {part('found', 'i + 1')}), 8), 'path', {path}))"
+    made = f"transform({near}, x -> named_struct('candidate', x.candidate, 'i', x.i, 'f', {_features('x')}))"
     vote = " + ".join(_tree(t, "x.f") for t in forest)
-    rated = f"transform({made}, x -> named_struct('candidate', x.candidate, 'start', x.at - 1, 'probability', ({vote}) / {len(forest)}))"
-    return F.expr(f"filter({rated}, x -> x.probability >= {least})")
+    rated = f"transform({made}, x -> named_struct('candidate', x.candidate, 'less', -({vote}) / {len(forest)}, 'i', x.i))"
+    best = let(f"array_sort(filter({rated}, x -> -x.less >= {least}))", "r", "filter(r, (x, j) -> j = 0 or x.candidate <> get(r, j - 1).candidate)")
+    chars = lambda name, n: f"aggregate(slice(s.{name}, 1, {n}), 0, (n, t) -> n + length(t))"
+    placed = f"transform({best}, x -> named_struct('candidate', x.candidate, 'start', {chars('found', 'x.i')} + {chars('between', 'x.i + 1')}, 'probability', -x.less))"
+    return F.expr(let(cut, "s", placed))
 
 
 def scan(docs: DataFrame, forest: list, least: float = 0.5, path: str | None = None) -> DataFrame:

@@ -86,6 +86,31 @@ def test_forest_beats_chance_on_held_out_findings(spark):
     assert right / len(held) > 0.95
 
 
+def test_secrets_are_judged_at_each_place(spark):
+    forest = secret_scan.learn(secret_scan.labelled_findings(spark))
+    x, y = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "5f1d0c2b9a8e7d6c4b3a29180f7e6d5c4b3a2918"
+    texts = [f'see commit {x} of é \U0001f600 then token = "{x}" it is', f'see commit {x}{y} then\ntoken = "{y}"', f"see commit {x} and checksum {x}", f'token = "{x}" and commit {x}', " ".join([f"see commit {y}"] * 300) + f' token = "{y}"']
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.secret): r.start for r in secret_scan.scan(data, forest).collect()}
+    assert found == {(0, x): texts[0].index(f'"{x}') + 1, (1, y): texts[1].index(f'"{y}') + 1, (3, x): 9, (4, y): len(texts[4]) - 41}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(data, forest).collect()}
+    assert clean[2] == texts[2] and x not in clean[0] and x not in clean[3] and y not in clean[1] + clean[4]
+
+
+def test_places_against_a_plain_search(spark):
+    """With a forest that takes all, each candidate starts where a plain search first finds it."""
+    import re
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(("ab1" * 6, "Zz9/" * 5, " ", "=", "é", '"', "\n", "token", "x" * 60, " : ")) for _ in range(rng.randrange(1, 30))) for _ in range(200)]
+    got = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", secret_scan.scored("text", "''", [1.0], 0.5).alias("x")).collect()
+    for r in got:
+        expect = {}
+        for m in re.finditer(secret_scan.CANDIDATE, texts[r.doc_id]):
+            expect.setdefault(m[0], m.start())
+        assert {x.candidate: x.start for x in r.x} == expect
+
+
 def test_secrets_plan_is_native(spark, docs):
     plan = queries.QUERIES["op1_secret_scans"](spark, TINY)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
