@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+HOT, FEW, SALTS = 10_000, 1_000_000, 64  # shares that make a key hot; rows of ids a broadcast may have; parts of a hot key
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,14 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own if unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, which the context then writes checkpoints to as well.
+
+    Unset, one of our own is made where driver and executors are one process; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir()
-        if not found:
-            found = tempfile.mkdtemp(prefix="policyspark-")
-            context.setCheckpointDir(found)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="policyspark-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found
 
 
@@ -35,6 +42,54 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that scratch named."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, made longer until no column has it whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def typed(df: DataFrame, *columns: str, **more: T.DataType) -> T.StructType:
+    """The schema of some columns of df, as they are, with more columns after them."""
+    return T.StructType([df.schema[c] for c in columns] + [T.StructField(n, t) for n, t in more.items()])
+
+
+def known_few(ids: DataFrame) -> DataFrame:
+    """ids of one narrow column, to be broadcast where a count proves them to be few; else as they are, for a shuffle."""
+    ids = checkpoint(ids)
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
+def hot_keys(counts: DataFrame, total: int) -> DataFrame:
+    """The keys of counts(keys, n) that have more than a HOT-th of `total` rows each. They can only be HOT at most."""
+    return checkpoint(counts.where(F.col("n") * HOT > total).drop("n"))
+
+
+def lookup(rows: DataFrame, side: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has a row a key at most; keys of `hot` are joined where their rows are.
+
+    A HOT-th of the rows is the most that one key can then bring into a task. how: inner or left.
+    """
+    hot = F.broadcast(hot)
+    few = rows.join(hot, on, "left_semi").join(F.broadcast(side.join(hot, on, "left_semi")), on, how)
+    return rows.join(hot, on, "left_anti").join(side, on, how).unionByName(few)
+
+
+def meet(rows: DataFrame, side: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join of rows with the smaller side; rows of keys of `hot` are dealt into SALTS parts, the side's repeated for each."""
+    hot = F.broadcast(hot)
+    salted = rows.join(hot, on, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*(c for c in rows.columns)), F.lit(SALTS)))
+    each = side.join(hot, on, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    return rows.join(hot, on, "left_anti").join(side, on).unionByName(salted.join(each, [*on, "_salt"]).drop("_salt"))
+
+
 def fold(id_column: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column
@@ -57,25 +112,32 @@ def bounded_sample(df: DataFrame, key: str, groups: list[str], per_group: int) -
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(u, v): root is the least node of its component.
 
-    Alternating large-star and small-star rounds; each round is a partial aggregation and a
-    join on nodes and ends in a checkpoint, so nothing but two numbers a round reaches the
-    driver. A table without edges gives no rows.
+    Alternating large-star and small-star rounds over edges from the greater node to the lesser;
+    each round is two partial aggregations with their lookups and ends in a checkpoint, so nothing
+    but numbers reach the driver. Nodes of very many edges, as roots of large components are, are
+    looked up where their edges lie. A table without edges gives no rows.
     """
     now = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
+    mark, total = None, now.count()
+
+    def least(pairs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+        """The least lesser neighbour of each greater node, and the keys that lookups of pairs by `key` find hot."""
+        hot = hot_keys(pairs.groupBy(key).agg(F.count("*").alias("n")), total) if total > FEW else None
+        return pairs.groupBy(F.col("u").alias(key)).agg(F.min("v").alias("m")), hot
+
+    def look(pairs: DataFrame, key: str, how: str) -> DataFrame:
+        side, hot = least(pairs, key)
+        return pairs.join(side, key, how) if hot is None else lookup(pairs, side, [key], hot, how)
+
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small, "u")
+        large = checkpoint(look(now, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        joined = look(large, "u", "inner")
         star = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpoint(star.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        now = checkpoint(star.unionByName(joined.select("u", F.col("m").alias("v"))).distinct())
+        total, code = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (total, code) == mark:
             break
-        mark = tuple(seen)
+        mark = (total, code)
     else:
         raise RuntimeError(f"components: no end after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
