@@ -56,13 +56,18 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def quoted(column: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def typed(df: DataFrame, *columns: str, **more: T.DataType) -> T.StructType:
     """The schema of some columns of df, as they are, with more columns after them."""
     return T.StructType([df.schema[c] for c in columns] + [T.StructField(n, t) for n, t in more.items()])
 
 
 def known_few(ids: DataFrame) -> DataFrame:
-    """ids of one narrow column, to be broadcast where a count proves them to be few; else as they are, for a shuffle."""
+    """ids of one or two long columns, to be broadcast where a count proves them to be few; else as they are, for a shuffle."""
     ids = checkpoint(ids)
     return F.broadcast(ids) if ids.count() <= FEW else ids
 
