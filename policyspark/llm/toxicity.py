@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from policyspark.llm.common import bounded_sample, checkpoint, fold
+from policyspark.llm.common import bounded_sample, checkpoint, fold, typed
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 9)
@@ -66,8 +68,12 @@ class Model:
     def passages(self, text: str | None) -> list[tuple[int, int, float, float]]:
         """(first word, last word, score, expectation) of every significant passage."""
         hits, n = self.hits(text)
-        found = [(a, b, s, self.scale * max(n, 1) * math.exp(-self.decay * s)) for a, b, s in segments(hits, self.cost)]
-        return [x for x in found if x[3] <= self.level]
+        return self.significant(segments(hits, self.cost), n)
+
+    def significant(self, found: list[tuple[int, int, float]], n: int) -> list[tuple[int, int, float, float]]:
+        """Those of a text of n words whose expectation is small, with it."""
+        rated = [(a, b, s, self.scale * max(n, 1) * math.exp(-self.decay * s)) for a, b, s in found]
+        return [x for x in rated if x[3] <= self.level]
 
     def total(self, passages: list[tuple[int, int, float, float]]) -> float:
         return sum(math.log(self.level / max(e, 1e-300)) + 1 for *_, e in passages)
@@ -129,14 +135,17 @@ def unit_scores(sample: DataFrame, prior: float = 500.0, z_min: float = 4.0, mos
     return {unit: min(most, odds) for unit, odds, _ in chosen.collect()}
 
 
-def fit(rows: list[tuple[str, int]], scores: dict[str, float]) -> Model:
-    """Calibrated on rows (text, label). Without a scoring unit the model marks nothing."""
+def fit(rows: list[tuple[int, int, list[float], list[float]]], scores: dict[str, float], model: Model | None = None) -> Model:
+    """Calibrated on a row a text: label, words, the scores of its hits, the scores of its maximal segments.
+
+    Without a scoring unit the model marks nothing.
+    """
     if not scores:
         return Model()
-    model = Model(scores)
-    tried = [(label, *model.hits(text)) for text, label in rows]
-    seen_scores = np.array([s for label, hits, _ in tried if not label for _, s in hits])
-    words = max(1, sum(m for label, _, m in tried if not label))
+    model = model or Model(scores)
+    rows = sorted(rows)
+    seen_scores = np.array([s for label, _, hits, _ in rows if not label for s in hits])
+    words = max(1, sum(m for label, m, _, _ in rows if not label))
     rest = words - len(seen_scores)
     low, high = 1e-3, 5.0  # the decay: the positive root of E[exp(decay * score)] = 1
     for _ in range(60):
@@ -144,10 +153,10 @@ def fit(rows: list[tuple[str, int]], scores: dict[str, float]) -> Model:
         mean = (np.exp(mid * seen_scores).sum() + rest * math.exp(-mid * model.cost)) / words
         low, high = (mid, high) if mean < 1 else (low, mid)
     model.decay = low
-    tops = [(max((s for *_, s in segments(hits, model.cost)), default=0.0), m) for label, hits, m in tried if not label]
+    tops = [(max(found, default=0.0), m) for label, m, _, found in rows if not label]
     model.scale = max(1e-6, float(np.mean([math.exp(min(50.0, model.decay * s)) / max(m, 1) for s, m in tops if s > 0] or [1e-3])) * max(1, sum(s > 0 for s, _ in tops)) / max(1, len(tops)))
-    x = np.array([min(60.0, model.total(model.passages(text))) for text, _ in rows])
-    y = np.array([label for _, label in rows], float)
+    x = np.array([min(60.0, model.total(model.significant([(0, 0, s) for s in found], m))) for _, m, _, found in rows])
+    y = np.array([label for label, *_ in rows], float)
     beta = np.array([-2.0, 0.5])
     design = np.stack([np.ones_like(x), x], axis=1)
     for _ in range(30):  # Newton with a small ridge
@@ -156,29 +165,45 @@ def fit(rows: list[tuple[str, int]], scores: dict[str, float]) -> Model:
         hess = (design * (p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2)
         beta -= np.clip(np.linalg.solve(hess, grad), -2, 2)
     model.intercept, model.slope = float(beta[0]), max(1e-6, float(beta[1]))
-    model.known = {}
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int, chars: int = 20_000) -> DataFrame:
-    """Labelled texts of the folds learned from: per_class rows of each label at most, `chars` characters of each."""
+def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> DataFrame:
+    """(text, label) of the folds learned from: whole texts, those of per_class ids of each label at most, each once."""
     rows = labels.where((fold("doc_id", 5) != 0) & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     ids = bounded_sample(rows, "doc_id", ["label"], per_class)
     chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi")
     found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    return checkpoint(found.select(F.substring("text", 1, chars).alias("text"), "label").distinct())
+    return checkpoint(found.select("text", "label").distinct())
+
+
+def traced(sample: DataFrame, scores: dict[str, float]) -> DataFrame:
+    """What fit needs of each text of sample (text, label), made where the texts are."""
+    shared = sample.sparkSession.sparkContext.broadcast(Model(scores))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            made = [m.hits(x.as_py()) for x in batch.column(0)]
+            found = [[s for *_, s in segments(hits, m.cost)] for hits, _ in made]
+            columns = [batch.column(1), pa.array([n for _, n in made], pa.int32()), pa.array([[s for _, s in hits] for hits, _ in made], pa.list_(pa.float64())), pa.array(found, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "words", "hits", "segments"])
+
+    return sample.select("text", "label").mapInArrow(run, "label int, words int, hits array<double>, segments array<double>")
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Model:
-    """Fitted on per_class rows of each label at most."""
+    """Fitted on the whole texts of per_class rows of each label at most; only scores reach the driver."""
     sample = labelled(docs, labels, "toxic", per_class)
-    return fit(sorted((r[0], r[1]) for r in sample.collect()), unit_scores(sample))
+    scores = unit_scores(sample)
+    return fit([tuple(r) for r in traced(sample, scores).collect()] if scores else [], scores)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, passages for every row, from its whole text.
 
-    Null or empty texts have no passage and the score of none. A null id is not held out.
+    Null, empty and blank texts have no passage and the score of none. A null id is not held out.
+    Repeated rows repeat, an empty table gives no rows, other columns of docs are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -189,16 +214,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = [m.score(m.total(p)) for p in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([len(p) for p in found], pa.int32())], ["doc_id", "held_out", "score", "predicted", "passages"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text")
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, passages int")
+    return source.mapInArrow(run, typed(docs, "doc_id", held_out=T.BooleanType(), score=T.DoubleType(), predicted=T.IntegerType(), passages=T.IntegerType()))
 
 
 def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
-    """Every significant passage: doc_id, first_word, last_word, score, expectation, passage (its words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """Every significant passage: doc_id, first_word, last_word, score, expectation, passage (its words).
+
+    Texts without one give no row; repeated rows give theirs each.
+    """
+    shared, kind = docs.sparkSession.sparkContext.broadcast(model), to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [kind, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -206,6 +234,7 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
                     words = WORDS.findall(text.lower())
                     rows += [(i, a, b, s, e, " ".join(words[a : b + 1])) for a, b, s, e in found]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "first_word", "last_word", "score", "expectation", "passage"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "first_word", "last_word", "score", "expectation", "passage"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, first_word long, last_word long, score double, expectation double, passage string")
+    long, double = T.LongType(), T.DoubleType()
+    return docs.select("doc_id", "text").mapInArrow(run, typed(docs, "doc_id", first_word=long, last_word=long, score=double, expectation=double, passage=T.StringType()))
