@@ -136,21 +136,43 @@ def test_automaton_knows_every_substring_and_no_other():
     assert not any(walks(s) for s in {tuple(random.Random(i).randrange(3) for _ in range(9)) for i in range(300)} - known)
 
 
-def test_phrases_against_a_plain_parse():
-    samples = (("a", "the cat sat on the mat and the dog"), ("b", "der hund lag auf der matte und die katze"))
+def plain_phrases(text, known):
+    phrases, at = 0, 0
+    while at < len(text):
+        n = 0
+        while at + n < len(text) and text[at : at + n + 1] in known:
+            n += 1
+        at, phrases = at + max(n, 1), phrases + 1
+    return phrases
+
+
+@pytest.mark.parametrize("table", [langid.TABLE, 0])
+def test_phrases_against_a_plain_parse(monkeypatch, table):
+    monkeypatch.setattr(langid, "TABLE", table)
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("abcdeghilmnoprst") for _ in range(rng.randrange(1, 9))) for _ in range(400))
+    samples = (("a", "the cat sat on the mat and the dog"), ("b", "der hund lag auf der matte und die katze"), ("c", long))
     parser = langid.Parser(samples)
-    text = "the dog sat and the cat lay on a mat qq"
-    rates, some = parser.rates([text, "", "1 2"])
-    assert some.tolist() == [True, False, False]
-    for k, (_, known) in enumerate(samples):
-        phrases, at = 0, 0
-        while at < len(text):
-            n = 0
-            while at + n < len(text) and text[at : at + n + 1] in known:
-                n += 1
-            at, phrases = at + max(n, 1), phrases + 1
-        assert round(rates[0, k] * len(text)) == phrases
-    assert rates[0, 0] < rates[0, 1]
+    words = long.split()
+    mixed = " ".join(rng.choice(words) if rng.random() < 0.7 else rng.choice(("cat", "hund", "qq", "é")) for _ in range(900))
+    texts = ["the dog sat and the cat lay on a mat qq", "", "1 2", long, long + " " + long, mixed, "a" * 1500, long[7:1200] + long]
+    got = parser.phrases([langid._folded(t) for t in texts])
+    for i, t in enumerate(texts):
+        for k, (_, known) in enumerate(samples):
+            assert got[i, k] == plain_phrases("".join(map(chr, langid._folded(t))), "".join(map(chr, langid._folded(known)))), (i, k)
+    assert got[3, 2] == 1 and got[4, 2] == 3
+    rates, some = parser.rates(texts)
+    assert some.tolist() == [True, False, False, *[True] * 5] and rates[0, 0] < rates[0, 1]
+
+
+def test_every_language_is_learned(spark):
+    words = [["".join(chr(0x4E00 + 40 * k + (7 * w + j * j) % 40) for j in range(4)) for w in range(5)] for k in range(70)]
+    rows = [(f"id{i}", " ".join(random.Random(i).choices(words[i % 70], k=20)), f"l{i % 70:02d}") for i in range(420)]
+    docs = spark.createDataFrame(rows + [("x", "long " * 40_000, "l00"), ("y", None, "l01"), (None, "abc", "l02"), ("z", "1 2 3", "none")], "doc_id string, text string, lang string")
+    samples = langid.learn(docs)
+    assert len(samples) == 70 and max(len(t) for _, t in samples) < 30_000
+    got = langid.identify(docs, samples).collect()
+    assert len(got) == 424 and all(r.lang_pred == f"l{int(r.doc_id[2:]) % 70:02d}" for r in got if r.doc_id and r.doc_id.startswith("id"))
 
 
 def test_languages_held_out(spark):
