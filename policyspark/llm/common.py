@@ -91,7 +91,7 @@ def meet(rows: DataFrame, side: DataFrame, on: list[str], hot: DataFrame) -> Dat
     """Inner join of rows with the smaller side; rows of keys of `hot` are dealt into SALTS parts, the side's repeated for each."""
     hot = F.broadcast(hot)
     salted = rows.join(hot, on, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*(c for c in rows.columns)), F.lit(SALTS)))
-    each = side.join(hot, on, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    each = side.join(hot, on, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return rows.join(hot, on, "left_anti").join(side, on).unionByName(salted.join(each, [*on, "_salt"]).drop("_salt"))
 
 

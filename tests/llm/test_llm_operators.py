@@ -450,6 +450,25 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in set(base) for b in set(near) if (a ^ b).bit_count() <= 3}
 
 
+def test_searches_of_awkward_rows(spark, empty):
+    rows = [("100", "a b c"), ("100", "a b c"), ("200", "a b c"), (None, "a b c"), ("x", "a b c"), ("7", "other words"), ("300", None), ("8", "")]
+    made = fingerprints.document_fingerprints(spark.createDataFrame(rows, "doc_id string, text string").withColumn("fingerprint", F.lit("c")))
+    got = Counter((r.doc_id, r.near_queries) for r in fingerprints.search_counts(made).collect())
+    assert got == Counter([("100", 2), ("100", 2), ("200", 2), (None, 3), ("x", 3), ("7", 0), ("300", 0), ("8", 1)])
+    assert fingerprints.search_counts(fingerprints.document_fingerprints(empty)).count() == 0
+    assert fingerprints.within(made.limit(0), made).count() == 0
+
+
+def test_lookups_with_hot_keys_against_plain_joins(spark):
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(rng.choice((1, 1, 1, rng.randrange(50))), i) for i in range(3000)], "k long, i long").cache()
+    side, many = spark.createDataFrame([(k, -k) for k in range(0, 50, 2)] + [(1, 7)], "k long, s long"), spark.createDataFrame([(k % 9, k) for k in range(40)], "k long, s long")
+    hot = spark.createDataFrame([(1,), (4,)], "k long")
+    for how in ("inner", "left"):
+        assert Counter(map(tuple, common.lookup(rows, side, ["k"], hot, how).select("k", "i", "s").collect())) == Counter(map(tuple, rows.join(side, "k", how).select("k", "i", "s").collect()))
+    assert Counter(map(tuple, common.meet(rows, many, ["k"], hot).select("k", "i", "s").collect())) == Counter(map(tuple, rows.join(many, "k").select("k", "i", "s").collect()))
+
+
 def test_query_columns(spark):
     made = queries.op10_document_fingerprints(spark, TINY).collect()
     assert len(made) == len({r.doc_id for r in made}) and all(r.near_queries >= 0 for r in made)
