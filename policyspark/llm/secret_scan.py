@@ -44,8 +44,8 @@ def _features(x: str) -> str:
     return "array(" + ", ".join(f"cast({p} as double)" for p in parts) + ")"
 
 
-def labelled_findings(spark: SparkSession, rows: int = 2400) -> DataFrame:
-    """Findings (candidate, before, after, path, label) in twelve forms, six of them secrets, made by rule from hashes."""
+def labelled_findings(spark: SparkSession, rows: int = 3800) -> DataFrame:
+    """Findings (candidate, before, after, path, label) in nineteen forms, nine of them secrets, made by rule from hashes."""
     h = "sha2(cast(id as string), 512)"
     b64 = f"regexp_replace(base64(unhex({h})), '[^A-Za-z0-9]', '')"
     pick = lambda words, salt: f"element_at(array({', '.join(repr(w) for w in words)}), cast(pmod(xxhash64(id, {salt}), {len(words)}) as int) + 1)"
@@ -67,9 +67,16 @@ def labelled_findings(spark: SparkSession, rows: int = 2400) -> DataFrame:
         (f"concat({word(7)}, '-', {word(8)}, '_', {word(9)}, cast(pmod(id, 1000) as string))", f"concat({prose}, ' ')", "' '", 0),
         (f"concat('your_', {word(10)}, '_', {word(11)}, '_here_', cast(pmod(id, 100) as string))", f"concat({name}, ' = \"')", "'\"'", 0),
         (f"concat('/', {word(12)}, '/', {word(13)}, '/', {word(14)}, cast(pmod(id, 90) as string), '/', {word(15)})", f"concat({prose}, ' ')", "' '", 0),
+        (f"concat('sk_live_', substring({b64}, 1, 24))", f"concat({name}, '=')", "' '", 1),
+        (f"concat('AIza', substring({b64}, 1, 35))", pick(["key=", "api_key: \"", "apikey = \""], 17), "'\"'", 1),
+        (f"concat('xoxb-', lpad(cast(pmod(abs(xxhash64(id)), 1000000000000) as string), 12, '1'), '-', substring({b64}, 1, 24))", f"concat({name}, ': \"')", "'\"'", 1),
+        (f"substring({b64}, 1, {n})", "'src=\"data:image/png;base64,'", "'/'", 0),
+        (f"concat('sha256-', substring({b64}, 1, 43), '=')", "'integrity=\"'", "'\"'", 0),
+        (f"concat({word(18)}, '_', {word(19)}, '_', {word(20)}, '_v', cast(pmod(id, 20) as string))", f"concat({word(21)}, ' = ')", "';'", 0),
+        (f"concat(initcap({word(22)}), initcap({word(23)}), initcap({word(24)}), cast(pmod(id, 50) as string), initcap({word(25)}))", f"concat({word(26)}, ' ')", "' '", 0),
     ]
-    case = lambda i: "case " + " ".join(f"when pmod(id, 12) = {k} then {f[i]}" for k, f in enumerate(forms)) + " end"
-    path = "case when pmod(xxhash64(id, 16), 5) = 0 then 'src/app/main.py' when pmod(xxhash64(id, 16), 5) = 1 and pmod(id, 12) >= 6 then 'tests/fixtures/data.json' else '' end"
+    case = lambda i: "case " + " ".join(f"when pmod(id, {len(forms)}) = {k} then {f[i]}" for k, f in enumerate(forms)) + " end"
+    path = f"case when pmod(xxhash64(id, 16), 5) = 0 then 'src/app/main.py' when pmod(xxhash64(id, 16), 5) = 1 and pmod(id, {len(forms)}) between 6 and 11 then 'tests/fixtures/data.json' else '' end"
     return spark.range(rows).selectExpr(f"{case(0)} as candidate", f"{case(1)} as before", f"{case(2)} as after", f"{path} as path", f"cast({case(3)} as int) as label")
 
 
@@ -110,22 +117,22 @@ def learn(findings: DataFrame, most: int = 20_000, **options: int) -> list:
     """A forest from labelled findings (candidate, before, after, path, label); at most `most` rows, the same at every run."""
     rows = findings.where(F.col("candidate").isNotNull() & (F.length("candidate") > 0) & F.col("label").isin(0, 1))
     rows = rows.select("candidate", F.lower(F.coalesce("before", F.lit(""))).alias("before"), F.coalesce("after", F.lit("")).alias("after"), F.coalesce("path", F.lit("")).alias("path"), "label")
-    if "label" not in rows.columns:
-        raise ValueError("findings need a label")
     made = rows.select(F.struct("candidate", "before", "after", "path").alias("x"), "label").orderBy(F.xxhash64("x"), "label").limit(most).selectExpr(f"{_features('x')} as f", "label").collect()
     if not made:
         return [0.0]
     return grow(np.array([r[0] for r in made]), np.array([r[1] for r in made], float), **options)
 
 
-def scored(text: str, path: str, forest: list, least: float) -> Column:
-    """Array of the distinct candidates of a text column that the forest takes for secrets at one of their places at least.
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    struct(candidate, start: code point from 0 of the first place with its best probability,
-    probability: the best of its places). Null text: null.
+
+def _judged(text: str, path: str, forest: list, least: float, body: str) -> Column:
+    """body, an expression of `s` (found: a text's candidates in order, between: what stands around them) and `best`, the distinct secrets among them.
+
+    A text is cut once; every candidate is judged at every place it has. Null text: null.
     """
-    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
-    # what stands between matches; three candidates of 16 characters fill the 48 before, one the 8 after
+    # three candidates of 16 characters fill the 48 before, one the 8 after
     cut = f"named_struct('found', regexp_extract_all({text}, r'{CANDIDATE}', 0), 'between', split({text}, r'{CANDIDATE}'))"
     part = lambda name, i: f"coalesce(get(s.{name}, {i}), '')"
     before = ", ".join(["''", *(part(name, f"i - {back}") for back, name in ((3, "found"), (2, "between"), (2, "found"), (1, "between"), (1, "found"), (0, "between")))])
@@ -133,26 +140,41 @@ def scored(text: str, path: str, forest: list, least: float) -> Column:
     made = f"transform({near}, x -> named_struct('candidate', x.candidate, 'i', x.i, 'f', {_features('x')}))"
     vote = " + ".join(_tree(t, "x.f") for t in forest)
     rated = f"transform({made}, x -> named_struct('candidate', x.candidate, 'less', -({vote}) / {len(forest)}, 'i', x.i))"
-    best = let(f"array_sort(filter({rated}, x -> -x.less >= {least}))", "r", "filter(r, (x, j) -> j = 0 or x.candidate <> get(r, j - 1).candidate)")
+    best = _let(f"array_sort(filter({rated}, x -> -x.less >= {least}))", "r", "filter(r, (x, j) -> j = 0 or x.candidate <> get(r, j - 1).candidate)")
+    return F.expr(_let(cut, "s", _let(best, "best", body)))
+
+
+def scored(text: str, path: str, forest: list, least: float) -> Column:
+    """Array of the distinct candidates of a text column that the forest takes for secrets at one of their places at least.
+
+    struct(candidate, start: code point from 0 of the first place with its best probability,
+    probability: the best of its places, occurrences: its places). Null text: null.
+    """
     chars = lambda name, n: f"aggregate(slice(s.{name}, 1, {n}), 0, (n, t) -> n + length(t))"
-    placed = f"transform({best}, x -> named_struct('candidate', x.candidate, 'start', {chars('found', 'x.i')} + {chars('between', 'x.i + 1')}, 'probability', -x.less))"
-    return F.expr(let(cut, "s", placed))
+    placed = f"transform(best, x -> named_struct('candidate', x.candidate, 'start', {chars('found', 'x.i')} + {chars('between', 'x.i + 1')}, 'probability', -x.less, 'occurrences', size(filter(s.found, c -> c = x.candidate))))"
+    return _judged(text, path, forest, least, placed)
 
 
 def scan(docs: DataFrame, forest: list, least: float = 0.5, path: str | None = None) -> DataFrame:
     """A row per document and distinct secret: doc_id, start, secret, occurrences, probability.
 
-    Null and empty texts give none; repeated rows give theirs each. path: a column of docs, or none.
+    Null, empty and blank texts give none; repeated rows give theirs each; an empty table gives
+    none; other columns are not read. path: a column of docs, or none.
     """
     kept = docs.select("doc_id", "text", *([F.coalesce(F.col(path), F.lit("")).alias("_path")] if path else []))
-    rows = kept.select("doc_id", "text", F.explode(scored("text", "_path" if path else "''", forest, least)).alias("x"))
-    times = (F.length("text") - F.length(F.replace("text", F.col("x.candidate"), F.lit("")))) / F.length("x.candidate")
-    return rows.select("doc_id", F.col("x.start").alias("start"), F.col("x.candidate").alias("secret"), times.cast("int").alias("occurrences"), F.round("x.probability", 6).alias("probability"))
+    rows = kept.select("doc_id", F.explode(scored("text", "_path" if path else "''", forest, least)).alias("x"))
+    return rows.select("doc_id", F.col("x.start").alias("start"), F.col("x.candidate").alias("secret"), F.col("x.occurrences").alias("occurrences"), F.round("x.probability", 6).alias("probability"))
 
 
 def redact(docs: DataFrame, forest: list, least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every occurrence of a secret in text replaced and n_chars counted anew; all rows stay."""
-    sound = docs.withColumn("_found", scored("text", "''", forest, least))
-    text = F.expr(f"aggregate(array_sort(_found, (a, b) -> length(b.candidate) - length(a.candidate)), text, (t, x) -> replace(t, x.candidate, '{mark}'))")
-    out = sound.withColumn("text", F.coalesce(text, "text")).drop("_found")
+    """docs with every place of a secret in text, inside longer strings too, replaced and n_chars counted anew; all rows and columns stay.
+
+    A text is put together again from its parts in one pass. Null, empty and blank texts stay as
+    they are; repeated rows are redacted alike.
+    """
+    shown = mark.replace("\\", "\\\\").replace("'", "\\'")
+    inside = f"aggregate(array_sort(best, (a, b) -> length(b.candidate) - length(a.candidate)), c, (t, x) -> replace(t, x.candidate, '{shown}'))"
+    one = f"case when exists(best, x -> x.candidate = c) then '{shown}' when exists(best, x -> length(c) > length(x.candidate) and contains(c, x.candidate)) then {inside} else c end"
+    joined = f"array_join(transform(s.between, (b, i) -> concat(b, coalesce({_let('get(s.found, i)', 'c', one)}, ''))), '')"
+    out = docs.withColumn("text", F.coalesce(_judged("text", "''", forest, least, f"if(size(best) = 0, cast(null as string), {joined})"), "text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

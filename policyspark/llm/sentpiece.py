@@ -27,7 +27,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from policyspark.llm.common import typed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNITS = re.compile(r"\n| *[^ \n]+| +")
@@ -204,7 +207,7 @@ class Lattices:
         counts = np.zeros(len(starts), np.int64)
         live, p, seen, step = np.flatnonzero(starts < ends), starts[starts < ends], [], 0
         while len(live):
-            u = uniform(key[live], place[live] * 4096 + step, try_no)
+            u = uniform(key[live], (place[live] << 32) + step, try_no)
             below = np.bitwise_count((self.cdf.take(p, axis=0) < u[:, None].astype(np.float32)).view(np.uint64))  # eight comparisons a word
             n = below[:, 0].astype(np.int64)
             for c in range(1, below.shape[1]):
@@ -344,12 +347,21 @@ def spelled(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def key_of(doc_id: object, text: str) -> int:
+    if isinstance(doc_id, int):
+        return doc_id
+    return zlib.crc32((text if doc_id is None else str(doc_id)).encode("utf-8", "surrogatepass"))
+
+
 def sampled(docs: DataFrame, pieces: tuple[str, ...], k: int = 2, alpha: float = 1.0) -> DataFrame:
     """Up to k rows a document: doc_id, sample (from 1), ids, n_pieces, log_prob, inclusion, round_trip.
 
     A null or empty text has one segmentation, without pieces. Fewer rows than k: the text has no
-    more segmentations. The row key is doc_id; rows without one use their text's checksum.
+    more segmentations. The row key is doc_id, the checksum of an id that is no integer; rows
+    without one use their text's checksum. Repeated rows repeat, an empty table gives no rows,
+    other columns are not read.
     """
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, alpha))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,15 +372,16 @@ def sampled(docs: DataFrame, pieces: tuple[str, ...], k: int = 2, alpha: float =
                 block.append((doc, text or ""))
                 size += len(text or "")
                 if size >= BLOCK or i + 1 == len(rows):
-                    found = sample(v, [t for _, t in block], [d if d is not None else zlib.crc32(t.encode("utf-8", "surrogatepass")) for d, t in block], k)
+                    found = sample(v, [t for _, t in block], [key_of(d, t) for d, t in block], k)
                     flat = [(d, n, *s, v.decode(s[0].tolist()) == t) for (d, t), samples in zip(block, found, strict=True) for n, s in enumerate(samples, 1)]
                     docs_, n_, ids, logs, inc, ok = zip(*flat, strict=True)
                     lengths = np.fromiter(map(len, ids), np.int32, len(ids))
                     lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), pa.array(np.concatenate(ids).astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(n_, pa.int32()), lists, pa.array(lengths), pa.array(logs, pa.float64()), pa.array(inc, pa.float64()), pa.array(ok, pa.bool_())], ["doc_id", "sample", "ids", "n_pieces", "log_prob", "inclusion", "round_trip"])
+                    yield pa.RecordBatch.from_arrays([pa.array(docs_, kind), pa.array(n_, pa.int32()), lists, pa.array(lengths), pa.array(logs, pa.float64()), pa.array(inc, pa.float64()), pa.array(ok, pa.bool_())], ["doc_id", "sample", "ids", "n_pieces", "log_prob", "inclusion", "round_trip"])
                     block, size = [], 0
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, inclusion double, round_trip boolean")
+    schema = typed(docs, "doc_id", sample=T.IntegerType(), ids=T.ArrayType(T.IntegerType()), n_pieces=T.IntegerType(), log_prob=T.DoubleType(), inclusion=T.DoubleType(), round_trip=T.BooleanType())
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, pieces: tuple[str, ...]) -> DataFrame:
@@ -380,4 +393,4 @@ def decoded(rows: DataFrame, pieces: tuple[str, ...]) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.decode(x or []) for x in batch.column(2).to_pylist()], pa.string())], ["doc_id", "sample", "text"])
 
-    return rows.select("doc_id", "sample", "ids").mapInArrow(run, "doc_id long, sample int, text string")
+    return rows.select("doc_id", "sample", "ids").mapInArrow(run, typed(rows, "doc_id", sample=T.IntegerType(), text=T.StringType()))

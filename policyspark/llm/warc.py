@@ -5,15 +5,17 @@ ends that close a WARC record, so the output committer makes every file whole an
 Spark writes will do. Records of equal payload are stored once: the largest page id keeps it,
 the others are revisits. Reading parses records by their Content-Length.
 
-Each archive gives a run of captures sorted by URL key, time and page. Runs are dealt by ranges
-of that order and each range's slices merge through a loser tree, so the result is ordered from
-one partition to the next.
+Each archive gives a run of captures sorted by URL key, time and page, which is written to the
+shared folder. Runs are dealt by ranges of that order, as many as keep a range's captures to a
+bound, and each range's slices, in the order of their run, merge through a loser tree: the result
+is ordered from one partition to the next.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policyspark.llm.common import checkpoint, scratch
+from policyspark.llm.common import checkpoint, hot_keys, lookup, remove, scratch
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 EPOCH, YEAR = 1_704_067_200, 31_536_000  # captures are dated from 2024, a second a page
@@ -41,13 +43,6 @@ def captured_at(page_id: Column) -> Column:
     return F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(YEAR))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def url_key(url: Column) -> Column:
-    """Host labels reversed, then path and query in lower case; no scheme, port, fragment or leading www."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:www\.)?([^/:?#]*)", 1))
-    rest = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^#]*)", 1))
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
-
-
 def _uuid(value: Column) -> Column:
     h = F.md5(value)
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
@@ -56,15 +51,17 @@ def _uuid(value: Column) -> Column:
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """One WARC record per row of pages, as a string without its closing line ends.
 
-    Null html is an empty payload. Rows without a page id, and repeated rows of the largest id,
-    are responses. Payloads under min_bytes are never revisited.
+    Null html is an empty payload, a null url a record without a target. Rows without a page id
+    (or with one that is no number), and repeated rows of the largest id, are responses. Payloads
+    under min_bytes are never revisited. An empty table gives no records, other columns are not read.
     """
-    kept = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    kept = pages.select(F.col("page_id").try_cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     kept = kept.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    keys = kept.select("page_id", "sha", F.octet_length("html").alias("n")).where(F.col("n") >= min_bytes)
-    largest = keys.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("uses")).where("uses > 1").drop("uses")
-    revisits = keys.select("page_id", "sha").join(largest, "sha").where("page_id <> refers_to").distinct()
-    rows = kept.join(revisits, ["page_id", "sha"], "left")
+    # ids and digests alone find the revisits; a payload that very many pages share is looked up where they are
+    keys = checkpoint(kept.where(F.octet_length("html") >= min_bytes).select("page_id", "sha"))
+    sizes = keys.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    revisits = lookup(keys, sizes.drop("n"), ["sha"], hot_keys(sizes.select("sha", "n"), keys.count())).where("page_id <> refers_to").distinct()
+    rows = kept.join(revisits.select("page_id", "sha", "refers_to"), ["page_id", "sha"], "left")
     digest = base32(F.col("sha"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.octet_length("html").cast("string"), F.lit(END + END))
     body = F.when(F.col("refers_to").isNull(), F.concat(http, "html")).otherwise(http)
@@ -88,8 +85,10 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return rows.select(F.concat(head, body).alias("value"))
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, per_file: int = 4000) -> None:
-    """gzip archives of at most per_file records under path."""
+def write(pages: DataFrame, path: str, min_bytes: int = 0, per_file: int = 4000, file_bytes: int = 1 << 28) -> None:
+    """gzip archives under path, of at most per_file records and, unpacked, about file_bytes at most."""
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    per_file = max(1, min(per_file, file_bytes // (largest + 1024)))
     records(pages, min_bytes).write.option("lineSep", END + END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
@@ -118,15 +117,30 @@ def unpack(content: bytes) -> bytes:
     return b"".join(out)
 
 
-RUNS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, captured_at string, run string, offset long"
+CAPTURE = ["url_key", "captured_at", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "run", "place", "offset"]
+RUNS = "url_key string, captured_at string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, run string, place int, offset long"
+KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+
+
+def key_of(url: str | None) -> str:
+    """url_key in Python; no url or no host: an empty key."""
+    found = re.match(r"[A-Za-z]+://(?:www\.)?([^/:?#]*)", url or "")
+    rest = re.match(r"[A-Za-z]+://[^/?#]*([^#]*)", url or "")
+    return ",".join(reversed((found[1] if found else "").lower().split("."))) + ")" + (rest[1] if rest else "").lower() if url is not None else ""
+
+
+def _order(row: tuple) -> tuple:
+    """Sorting place of a capture: key, time, page (null first), offset."""
+    return row[0], row[1], row[2] is not None, row[2] or 0, row[-1]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the archives under path. A response's digest and length are taken from its payload."""
+    """The archives under path as sorted runs: a row per record, `run` its archive, `place` its rank there, `offset` its place in the unpacked bytes.
+
+    A response's digest and length are taken from its payload. Archives without records give none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RUNS.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows, where = [], name.as_py().rpartition("/")[2]
@@ -139,9 +153,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                             raise ValueError(f"{where} at {at}: the payload is not the one its digest was made of")
                     else:
                         size, digest = int(http.rpartition(b"Content-Length: ")[2]), h["warc-payload-digest"].removeprefix("sha1:")
-                    rows.append((number("x-page-id"), size, digest, h["warc-type"], number("x-refers-to-page"), h.get("warc-target-uri"), h["warc-date"], where, at))
+                    url = h.get("warc-target-uri")
+                    rows.append((key_of(url), h["warc-date"], number("x-page-id"), size, digest, h["warc-type"], number("x-refers-to-page"), url, where, 0, at))
+                rows.sort(key=_order)
+                rows = [(*r[:9], i, r[10]) for i, r in enumerate(rows)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], CAPTURE)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RUNS)
 
@@ -179,41 +196,42 @@ class LoserTree:
             self._play(winner)
 
 
-def history(captures: DataFrame) -> DataFrame:
-    """captures in order of url_key, captured_at, page_id, nulls first."""
-    columns = ["url_key", "captured_at", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "run", "offset"]
-    keyed = captures.withColumn("url_key", F.coalesce(url_key(F.col("url")), F.lit(""))).select(columns)
-    runs = checkpoint(keyed)
+def history(runs: DataFrame, per_range: int = 50_000) -> DataFrame:
+    """Captures of sorted runs in order of url_key, captured_at, page_id (nulls first), offset, over all partitions.
+
+    A range is about per_range captures, which is what a task holds. Repeated captures stay, an
+    empty table gives none.
+    """
     order = ["url_key", "captured_at", F.col("page_id").asc_nulls_first(), "offset"]
-    n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = runs.schema
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    n = max(1, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // per_range))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: list[list[tuple]] = []
         last = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[7] != last:
+                if row[8] != last:
                     slices.append([])
-                    last = row[7]
-                u, t, p = row[:3]
-                slices[-1].append(((u, t, p is not None, p or 0, row[8]), row))
+                    last = row[8]
+                slices[-1].append((_order(row), row))
         block = []
         for _, row in LoserTree(slices):
             block.append(row)
             if len(block) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*block, strict=True), kinds, strict=True)], columns)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*block, strict=True), KINDS, strict=True)], CAPTURE)
                 block = []
         if block:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*block, strict=True), kinds, strict=True)], columns)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*block, strict=True), KINDS, strict=True)], CAPTURE)
 
-    return runs.repartitionByRange(n, *order).sortWithinPartitions("run", *order).mapInArrow(merge, schema)
+    # a slice comes back in its run's order by the places the run gave, however its rows were shuffled
+    return runs.select(CAPTURE).repartitionByRange(n, *order).sortWithinPartitions("run", "place").mapInArrow(merge, RUNS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Archives of pages in the shared folder, read back and merged into capture histories."""
+    """Archives of pages in the shared folder, read back and merged into capture histories; the archives are removed once read."""
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write(pages, path, min_bytes)
-    return history(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+    runs = checkpoint(read(spark, path))
+    remove(spark, path)
+    return history(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")

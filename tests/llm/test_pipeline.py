@@ -34,7 +34,7 @@ def test_awkward_documents_pass(spark):
     kept = docs
     for _, stage in corpus_pipeline.STAGES:
         kept = stage(spark, kept, TINY)
-    assert {r.doc_id for r in kept.collect()} == {3}
+    assert {3} <= {r.doc_id for r in kept.collect()} <= {3, None}  # a row without an id goes by its quality alone
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), TINY).count() == 0
 
@@ -82,3 +82,19 @@ def test_rows_go_by_likeness_and_not_by_id(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, TINY).collect()]
     ids = {(i, t[0]) for i, t in got}
     assert len(got) == 5 and ids == {(3, "a"), (7, "b"), (5, "c"), (None, "d"), (8, "e")}
+
+
+def test_clashing_and_odd_columns_go_along(spark):
+    """A docs table that has every name the stages use themselves, and names that need quoting."""
+    import pyspark.sql.functions as F
+
+    names = ["held_out", "score", "predicted", "_quality", "_node", "_row", "node", "row", "root", "_found", "best", "s", "item_id", "cosine", "ids", "sample", "_text", "label", "a b", "x.y", "select", "é`z"]
+    docs = spark.read.parquet(f"{TINY}/documents.parquet").limit(60)
+    wide = docs.select("*", *[F.lit(n).alias(n) for n in names], F.struct(*[F.lit(i).alias(f"f{i}") for i in range(40)]).alias("deep"))
+    kept = wide
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, kept, TINY)
+        assert kept.schema == wide.schema or [(f.name, f.dataType) for f in kept.schema] == [(f.name, f.dataType) for f in wide.schema]
+    rows = kept.collect()
+    assert rows and all(r["x.y"] == "x.y" and r["é`z"] == "é`z" and r["predicted"] == "predicted" for r in rows)
+    assert corpus_pipeline.encode(spark, kept, TINY).count() >= len(rows)
