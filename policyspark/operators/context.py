@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from policyspark.functions import text as tx
+from policyspark.functions.shared import settled
 
 PRIORITY = {"parent": 0, "definition": 1, "other": 2, "reference": 3, "retrieved": 4}
 
@@ -29,89 +30,198 @@ def unique_numbers(scoped_rows: DataFrame) -> DataFrame:
     return scoped_rows.where("clause_id is not null").withColumn("_n", n).where("_n = 1").select("contract_id", "scope", F.col("clause_id").alias("target_clause"), F.col("ord").alias("target_ord"))
 
 
+def ancestry(scoped_rows: DataFrame) -> DataFrame:
+    """(contract_id, scope, ord, clause_id, level, target_clause, target_ord): every number above a clause that exists once in its scope, level 1 the nearest in the numbering."""
+    up = scoped_rows.where("clause_id is not null").select("contract_id", "scope", "ord", "clause_id", F.posexplode(tx.ancestors(F.col("clause_id"))).alias("level", "target_clause"))
+    return up.join(unique_numbers(scoped_rows), ["contract_id", "scope", "target_clause"]).select("contract_id", "scope", "ord", "clause_id", (F.col("level") + 1).alias("level"), "target_clause", "target_ord")
+
+
 def parents(scoped_rows: DataFrame) -> DataFrame:
     """The nearest clause above in the numbering that exists once in the scope."""
-    up = scoped_rows.where("clause_id is not null").select("contract_id", "scope", "ord", "clause_id", F.posexplode(tx.ancestors(F.col("clause_id"))).alias("level", "target_clause")).where("target_clause is not null")
-    found = up.join(unique_numbers(scoped_rows), ["contract_id", "scope", "target_clause"])
-    return found.groupBy("contract_id", "scope", "ord", "clause_id").agg(F.min_by("target_clause", "level").alias("parent_clause"), F.min_by("target_ord", "level").alias("parent_ord"))
+    return ancestry(scoped_rows).groupBy("contract_id", "scope", "ord", "clause_id").agg(F.min_by("target_clause", "level").alias("parent_clause"), F.min_by("target_ord", "level").alias("parent_ord"))
 
 
 def descendants(scoped_rows: DataFrame) -> DataFrame:
-    """(ancestor, descendant) pairs over all levels, the transitive closure of unique parents."""
-    up = scoped_rows.where("clause_id is not null").select("contract_id", "scope", "ord", "clause_id", F.explode(tx.ancestors(F.col("clause_id"))).alias("target_clause")).where("target_clause is not null")
-    return up.join(unique_numbers(scoped_rows), ["contract_id", "scope", "target_clause"]).select("contract_id", "scope", F.col("target_clause").alias("ancestor"), F.col("clause_id").alias("descendant"), "ord")
-
-
-def conversation_closure(turns: DataFrame, rounds: int = 40) -> DataFrame:
-    """Pairs of a turn and every earlier turn of its conversation, by doubling the parent relation until nothing is new."""
-    have = turns.select("conv_id", "turn")
-    edges = have.join(have.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("up")), ["conv_id", "turn"])
-    closed, size = edges, -1
-    for _ in range(rounds):
-        more = closed.join(closed.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2")), ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"))
-        closed = closed.unionByName(more).distinct().persist()
-        now = closed.count()
-        if now == size:
-            break
-        size = now
-    return closed
+    """(ancestor, descendant) pairs over all levels: a clause's unique parent, that one's, and so on."""
+    return ancestry(scoped_rows).select("contract_id", "scope", F.col("target_clause").alias("ancestor"), F.col("target_ord").alias("ancestor_ord"), F.col("clause_id").alias("descendant"), "ord")
+
+
+def conversation_closure(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, above, root): how many turns are reached from each by going one turn back at a time, and the first of them.
+
+    A run of consecutive turns is an island of its conversation: no pair of turns is ever made, so
+    a long conversation costs a row a turn.
+    """
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    island = F.col("turn") - F.row_number().over(by)
+    rows = turns.select("conv_id", "turn").where(F.col("turn").isNotNull()).distinct().withColumn("island", island)
+    rows = rows.withColumn("root", F.min("turn").over(Window.partitionBy("conv_id", "island")))
+    return rows.where("turn > root").select("conv_id", "turn", (F.col("turn") - F.col("root")).cast("long").alias("above"), "root")
+
+
+def sections(scoped_rows: DataFrame) -> DataFrame:
+    """(contract_id, annex, annex_scope, annexes): each annex name with its scope and how many headings have it."""
+    heads = scoped_rows.select("contract_id", "scope", tx.scope_heading(F.col("heading")).alias("annex")).where("annex is not null")
+    return heads.groupBy("contract_id", "annex").agg(F.min("scope").alias("annex_scope"), F.count("*").alias("annexes"))
+
+
+def _inherited(cites: DataFrame, up: DataFrame) -> DataFrame:
+    """cites(contract_id, src_ord, ...) of each clause and of the clauses above it."""
+    own = cites.withColumn("ord", F.col("src_ord"))
+    above = cites.join(up.select("contract_id", "ord", F.col("target_ord").alias("src_ord")), ["contract_id", "src_ord"])
+    return own.unionByName(above)
+
+
+def citations(scoped_rows: DataFrame) -> DataFrame:
+    """Each citation of a clause's own text: src_ord, seq, found, numbers, kind (external, main, annex or plain), annex, broken range.
+
+    What stands 70 characters before and 100 after decides what law or section is meant.
+    """
+    rows = scoped_rows.where(F.col("text").rlike(tx.REFERENCE)).select("contract_id", "scope", F.col("ord").alias("src_ord"), F.posexplode(tx.matches(F.col("text"), tx.REFERENCE, 1)).alias("seq", "m"))
+    after, before = F.col("m.after100"), F.col("m.before70")
+    annex = F.upper(F.regexp_extract(after, tx.ANNEX_AFTER, 1))
+    kind = F.when(after.rlike(tx.LAW_AFTER) | before.rlike(tx.LAW_BEFORE), "external").when(annex != "", "annex").when(after.rlike(tx.MAIN_AFTER), "main").otherwise("plain")
+    numbers = tx.spread(F.col("m.part"))
+    broken = tx.ranged(F.col("m.part")) & (F.size(numbers) == 2) & ~F.coalesce(_next(F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))), F.lit(False))
+    return rows.select("contract_id", "scope", "src_ord", "seq", F.col("m.found").alias("found"), numbers.alias("numbers"), kind.alias("kind"), F.when(annex != "", annex).alias("annex"), broken.alias("broken"))
+
+
+def _next(a: Column, b: Column) -> Column:
+    """Whether b follows a by one under the same stem, so that the two are their own range."""
+    last = lambda x: F.regexp_extract(x, r"(\d+)$", 1).try_cast("int")
+    return (F.regexp_extract(a, r"^(.*?)\d+$", 1) == F.regexp_extract(b, r"^(.*?)\d+$", 1)) & (last(b) == last(a) + 1)
 
 
 def references(scoped_rows: DataFrame) -> DataFrame:
-    """Numbers each clause cites with what they lead to: resolved (own scope, else the main one), external, missing or ambiguous."""
-    cited = scoped_rows.select("contract_id", "scope", "ord", "text", F.posexplode(tx.reference_numbers(F.col("text"))).alias("seq", "number"))
-    external = F.col("text").rlike(tx.EXTERNAL)
+    """Numbers each clause and the clauses above it cite, with what they lead to.
+
+    outcome: resolved, missing, ambiguous, external (a law), section (an annex that is missing or
+    not the only one of its name), range (two numbers that are none; both are still looked up).
+    A number is looked up in the citing clause's scope, else in the main one of that scope; `of the
+    agreement` means the main scope alone, `of Annex A` that annex alone.
+    """
+    main = main_scopes(scoped_rows)
+    cited = _inherited(citations(scoped_rows), ancestry(scoped_rows)).join(main, ["contract_id", "scope"]).join(sections(scoped_rows), ["contract_id", "annex"], "left")
+    lost = (F.col("kind") == "annex") & (F.coalesce("annexes", F.lit(0)) != 1)
+    none = F.lit(None).cast("int")
+    first = F.when(F.col("kind") == "main", F.col("main_scope")).when(F.col("kind") == "annex", F.col("annex_scope")).otherwise(F.col("scope"))
+    second = F.when((F.col("kind") == "plain") & (F.col("main_scope") != F.col("scope")), F.col("main_scope")).otherwise(none)
+    base = ["contract_id", "scope", "ord", "src_ord", "seq"]
+    told = F.array_compact(F.array(F.when(F.col("kind") == "external", F.struct(F.col("found").alias("number"), F.lit("external").alias("outcome"))), F.when(lost & (F.col("kind") != "external"), F.struct(F.col("annex").alias("number"), F.lit("section").alias("outcome"))), F.when(F.col("broken") & (F.col("kind") != "external") & ~lost, F.struct(F.col("found").alias("number"), F.lit("range").alias("outcome")))))
+    notes = cited.select(*base, F.explode(told).alias("t")).select(*base, "t.number", "t.outcome", none.alias("target_ord"))
+    live = cited.where((F.col("kind") != "external") & ~lost).select(*base, F.posexplode("numbers").alias("place", "number"), first.alias("first"), second.alias("second"))
     n = scoped_rows.where("clause_id is not null").groupBy("contract_id", "scope", "clause_id").agg(F.count("*").alias("n"), F.min("ord").alias("target_ord"))
-    own = n.select("contract_id", "scope", F.col("clause_id").alias("number"), F.col("n").alias("own_n"), F.col("target_ord").alias("own_ord"))
-    main = n.where("scope = 0").select("contract_id", F.col("clause_id").alias("number"), F.col("n").alias("main_n"), F.col("target_ord").alias("main_ord"))
-    rows = cited.join(own, ["contract_id", "scope", "number"], "left").join(main, ["contract_id", "number"], "left")
-    count, target = F.coalesce("own_n", "main_n"), F.coalesce("own_ord", "main_ord")
-    outcome = F.when(external, "external").when(count.isNull(), "missing").when(count > 1, "ambiguous").otherwise("resolved")
-    return rows.select("contract_id", "scope", "ord", "seq", "number", outcome.alias("outcome"), F.when(outcome == "resolved", target).alias("target_ord"))
+    side = lambda name: n.select("contract_id", F.col("scope").alias(name), F.col("clause_id").alias("number"), F.col("n").alias(f"{name}_n"), F.col("target_ord").alias(f"{name}_ord"))
+    found = live.join(side("first"), ["contract_id", "first", "number"], "left").join(side("second"), ["contract_id", "second", "number"], "left")
+    count, target = F.coalesce("first_n", "second_n"), F.coalesce("first_ord", "second_ord")
+    outcome = F.when(count.isNull(), "missing").when(count > 1, "ambiguous").otherwise("resolved")
+    return found.select(*base, "number", outcome.alias("outcome"), F.when(outcome == "resolved", target).alias("target_ord")).unionByName(notes)
+
+
+def annex_mentions(scoped_rows: DataFrame) -> DataFrame:
+    """Annexes that a clause or one above it names otherwise than as the place of a cited number: annex, annex_scope, outcome (resolved, own, section)."""
+    text = F.col("text")
+    places = F.transform(F.filter(tx.matches(text, tx.REFERENCE, 1), lambda m: m["after100"].rlike(tx.ANNEX_AFTER) & ~(m["after100"].rlike(tx.LAW_AFTER) | m["before70"].rlike(tx.LAW_BEFORE))), lambda m: m["start"] + F.length(m["found"]) + F.length(F.regexp_extract(m["after100"], tx.ANNEX_AFTER, 0)) - F.length(F.regexp_extract(m["after100"], tx.ANNEX_AFTER, 1)))
+    named = F.filter(tx.matches(text, rf"(?i)\b{tx.ANNEX}\b"), lambda m: ~F.array_contains(places, m["start"]))
+    rows = scoped_rows.where(text.rlike(rf"(?i)\b{tx.ANNEX}\b")).select("contract_id", "scope", F.col("ord").alias("src_ord"), F.explode(F.array_distinct(F.transform(named, lambda m: F.upper(m["found"])))).alias("annex"))
+    cited = _inherited(rows, ancestry(scoped_rows)).select("contract_id", "scope", "ord", "annex").distinct().join(sections(scoped_rows), ["contract_id", "annex"], "left")
+    outcome = F.when(F.coalesce("annexes", F.lit(0)) != 1, "section").when(F.col("annex_scope") == F.col("scope"), "own").otherwise("resolved")
+    return cited.select("contract_id", "scope", "ord", "annex", F.when(outcome == "resolved", F.col("annex_scope")).alias("annex_scope"), outcome.alias("outcome"))
 
 
 def annex_references(scoped_rows: DataFrame) -> DataFrame:
     """Clauses that name an annex, with all clauses of its scope; never of their own."""
-    cite = scoped_rows.select("contract_id", F.col("scope").alias("from_scope"), "ord", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(r"\b((?:ANNEX|APPENDIX|EXHIBIT)\s+(?:[IVXLCDM]+|[A-Z]|\d+))\b"), F.lit(1)))).alias("annex"))
-    heads = scoped_rows.select("contract_id", "scope", tx.scope_heading(F.col("heading")).alias("annex")).where("annex is not null")
-    once = heads.groupBy("contract_id", "annex").agg(F.min("scope").alias("scope"), F.count("*").alias("n")).where("n = 1").drop("n")
-    return cite.join(once, ["contract_id", "annex"]).where("scope <> from_scope").join(scoped_rows.select("contract_id", "scope", F.col("ord").alias("target_ord")), ["contract_id", "scope"]).select("contract_id", "ord", "annex", "target_ord")
+    cite = annex_mentions(scoped_rows).where("outcome = 'resolved'").select("contract_id", "ord", "annex", F.col("annex_scope").alias("scope"))
+    return cite.join(scoped_rows.select("contract_id", "scope", F.col("ord").alias("target_ord")), ["contract_id", "scope"]).select("contract_id", "ord", "annex", "target_ord")
 
 
 def definitions(scoped_rows: DataFrame) -> DataFrame:
-    """Defined terms: no digits, no annex heading, one row per clause."""
-    term = tx.defined_term(F.col("text"))
-    rows = scoped_rows.withColumn("term", term).where(F.col("term").isNotNull() & ~F.col("term").rlike(r"\d") & tx.scope_heading(F.col("term")).isNull())
-    return rows.select("contract_id", "scope", F.col("ord").alias("def_ord"), "term", F.col("text").alias("def_text"), F.col("text").contains(" means ").alias("by_means"))
+    """Every defined term: contract_id, scope, def_ord, n (its place in the clause), term, name (folded), def_text, by_means.
+
+    A definition goes to where the next one of its clause begins. Terms with digits, annex headings
+    and empty form fields are none.
+    """
+    body = tx.after_number(F.col("text"))
+    rows = scoped_rows.where(body.rlike(tx.DEFINITION)).select("contract_id", "scope", F.col("ord").alias("def_ord"), F.posexplode(tx.matches(body, tx.DEFINITION, 1)).alias("n", "m"))
+    after = F.col("m.after")
+    blank = ~F.regexp_replace(after, r"[_\[\].\-]", "").rlike(r"\w") | after.rlike(r"^\s*[_.]{3,}")
+    kept = rows.where(~F.col("m.part").rlike(r"\d") & tx.scope_heading(F.col("m.found")).isNull() & ~blank)
+    text = tx.stripped(F.concat("m.found", "m.after"))
+    return kept.select("contract_id", "scope", "def_ord", "n", F.col("m.part").alias("term"), name_of(F.col("m.part")).alias("name"), text.alias("def_text"), F.regexp_extract(text, r"^([^\n]*)", 1).rlike(tx.PRECISE).alias("by_means"))
+
+
+def name_of(text: Column) -> Column:
+    """Text as terms are looked up: lower case, white space single."""
+    return F.lower(F.regexp_replace(tx.stripped(text), r"\s+", " "))
+
+
+def _marked(name: Column) -> Column:
+    """Every run of word characters closed on both sides, so that what contains a name has it as whole words."""
+    return F.regexp_replace(name, r"(?U)(\w+)", "\u0001$1\u0001")
+
+
+def mentions(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """rows' other columns with each `name` of names(contract_id, name) that the text column holds as whole words.
+
+    A contract's distinct names are one array that meets its texts by equality of the contract;
+    each text is folded once and the array filtered in place, so rows are only made for hits.
+    """
+    known = names.groupBy("contract_id").agg(F.collect_set(F.struct(_marked(F.col("name")).alias("m"), "name")).alias("_names"))
+    kept = [c for c in rows.columns if c != column]
+    found = rows.join(known, "contract_id").withColumn("_text", _marked(name_of(F.col(column))))
+    return found.select(*kept, F.explode(F.filter("_names", lambda x: F.contains(F.col("_text"), x["m"]))["name"]).alias("name"))
+
+
+def chosen(scoped_rows: DataFrame) -> DataFrame:
+    """For each scope and name the one definition that counts there: contract_id, scope, name, def_ord, n, def_text; or how it is ambiguous.
+
+    Those of the scope come before those of its main scope, and none from elsewhere; among them
+    those that say `means` come first. More than one left is ambiguous: candidates > 1.
+    """
+    defs, main = definitions(scoped_rows), main_scopes(scoped_rows)
+    where = main.select("contract_id", F.col("scope").alias("use_scope"), "scope", F.lit(0).alias("far")).unionByName(main.where("main_scope <> scope").select("contract_id", F.col("scope").alias("use_scope"), F.col("main_scope").alias("scope"), F.lit(2).alias("far")))
+    rows = defs.join(where, ["contract_id", "scope"]).withColumn("rank", F.col("far") + F.when(F.col("by_means"), 0).otherwise(1))
+    best = rows.groupBy("contract_id", "use_scope", "name").agg(F.min("rank").alias("best"), F.min_by(F.struct("def_ord", "n", "def_text", "term"), F.struct("rank", "def_ord", "n")).alias("d"), F.collect_list("rank").alias("ranks"))
+    return best.select("contract_id", F.col("use_scope").alias("scope"), "name", "d.def_ord", "d.n", "d.def_text", "d.term", F.size(F.filter("ranks", lambda r: r == F.col("best"))).alias("candidates"))
 
 
 def definition_uses(scoped_rows: DataFrame) -> DataFrame:
-    """Clauses and the definition of each one-word term they use.
+    """Clauses with each defined term their text holds, as whole words in any case, and its definition. Ambiguous ones attach nothing."""
+    picked = settled(chosen(scoped_rows))
+    found = mentions(scoped_rows.select("contract_id", "scope", "ord", "text"), "text", picked)
+    return found.join(picked.where("candidates = 1"), ["contract_id", "scope", "name"]).where("ord <> def_ord").select("contract_id", "scope", "ord", "term", "name", "def_ord", "n", "def_text")
 
-    Words are an equi-join, not a text search in pairs. The clause's own scope comes first, then
-    `means` definitions; more than one left of the best rank is ambiguous and attaches nothing.
+
+def name_closure(picked: DataFrame) -> DataFrame:
+    """(contract_id, scope, name, reached): the names that a name's definition, the definitions of its names and so on hold, itself included.
+
+    Paths double in length each round, so a chain of n definitions takes about log2(n) rounds; each
+    ends in the shared folder and joins only what the last one found with what is known.
+    """
+    held = mentions(picked.where("candidates = 1").select("contract_id", "scope", F.col("name").alias("from"), "def_text"), "def_text", picked)
+    step = held.select("contract_id", "scope", F.col("from").alias("name"), F.col("name").alias("reached")).where("name <> reached")
+    known = settled(step.join(picked.where("candidates = 1").select("contract_id", "scope", F.col("name").alias("reached")), ["contract_id", "scope", "reached"]).select("contract_id", "scope", "name", "reached").distinct())
+    new = known
+    while not new.isEmpty():
+        far = new.select("contract_id", "scope", F.col("name").alias("reached"), F.col("reached").alias("further"))
+        near = known.select("contract_id", "scope", "name", "reached")
+        more = near.join(far, ["contract_id", "scope", "reached"]).select("contract_id", "scope", "name", F.col("further").alias("reached")).where("name <> reached")
+        new = settled(more.distinct().join(known, ["contract_id", "scope", "name", "reached"], "left_anti"))
+        known = settled(known.unionByName(new))
+    itself = picked.where("candidates = 1").select("contract_id", "scope", "name", F.col("name").alias("reached"))
+    return known.unionByName(itself)
+
+
+def definition_closure(scoped_rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Definitions a clause needs, those its definitions need included: contract_id, ord, def_ord, n, def_text.
+
+    texts(contract_id, scope, ord, text): what each clause is read with; its own text if not given.
     """
-    words = scoped_rows.select("contract_id", F.col("scope").alias("use_scope"), "ord", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z]\w*)\b"), F.lit(1)))).alias("term"))
-    hits = words.join(definitions(scoped_rows), ["contract_id", "term"]).where("ord <> def_ord")
-    rank = F.when(F.col("scope") == F.col("use_scope"), 0).otherwise(2) + F.when(F.col("by_means"), 0).otherwise(1)
-    hits = hits.withColumn("rank", rank)
-    best = hits.groupBy("contract_id", "ord", "term").agg(F.min_by("def_ord", F.struct("rank", "def_ord")).alias("def_ord"), F.min("rank").alias("best"), F.sort_array(F.collect_list("rank")).alias("ranks"))
-    return best.where(F.size(F.filter("ranks", lambda r: r == F.col("best"))) == 1).select("contract_id", "ord", "term", "def_ord")
-
-
-def definition_closure(scoped_rows: DataFrame, rounds: int = 8) -> DataFrame:
-    """definition_uses followed through the definitions' own text until nothing is new."""
-    first = definition_uses(scoped_rows).select("contract_id", "ord", "def_ord").distinct()
-    step = first.select("contract_id", F.col("ord").alias("def_ord"), F.col("def_ord").alias("next"))
-    closed, size = first.persist(), -1
-    for _ in range(rounds):
-        now = closed.count()
-        if now == size:
-            break
-        size = now
-        more = closed.join(step, ["contract_id", "def_ord"]).where("next <> ord").select("contract_id", "ord", F.col("next").alias("def_ord"))
-        closed = closed.unionByName(more).distinct().persist()
-    return closed
+    picked = settled(chosen(scoped_rows))
+    rows = scoped_rows.select("contract_id", "scope", "ord", "text") if texts is None else texts
+    used = mentions(rows, "text", picked).select("contract_id", "scope", "ord", "name").distinct()
+    reach = used.join(name_closure(picked), ["contract_id", "scope", "name"]).select("contract_id", "scope", "ord", F.col("reached").alias("name")).distinct()
+    return reach.join(picked.where("candidates = 1"), ["contract_id", "scope", "name"]).where("ord <> def_ord").select("contract_id", "ord", "name", "def_ord", "n", "def_text")
 
 
 def page_notes(rows: DataFrame, pattern: str) -> DataFrame:
@@ -141,14 +251,50 @@ def main_scopes(scoped_rows: DataFrame) -> DataFrame:
     return scopes.withColumn("main_scope", F.last(F.when(F.col("annexed") == 0, F.col("scope")), ignorenulls=True).over(w)).select("contract_id", "scope", "main_scope")
 
 
-def edges(scoped_rows: DataFrame) -> DataFrame:
-    """Evidence of each clause by kind, the first kind by priority for each target."""
-    parent = parents(scoped_rows).select("contract_id", "ord", F.col("parent_ord").alias("target_ord"), F.lit("parent").alias("relationship"))
-    defs = definition_uses(scoped_rows).select("contract_id", "ord", F.col("def_ord").alias("target_ord"), F.lit("definition").alias("relationship"))
-    refs = references(scoped_rows).where("outcome = 'resolved' and target_ord <> ord").select("contract_id", "ord", "target_ord", F.lit("reference").alias("relationship"))
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("relationship"))
-    all_ = parent.unionByName(defs).unionByName(refs).withColumn("priority", rank)
-    return all_.groupBy("contract_id", "ord", "target_ord").agg(F.min("priority").alias("priority"), F.min_by("relationship", "priority").alias("relationship"))
+def edges(scoped_rows: DataFrame, attached: DataFrame | None = None) -> DataFrame:
+    """All evidence of each clause: contract_id, ord, target_ord, relationship, priority, n and def_text for a definition.
+
+    In this order, the first to reach a target counts: attached(contract_id, ord, target_ord), that
+    is table rows, headers, introductions and page notes, as `other`; all parents; descendants of
+    clauses that are no mere headings, as `other`; what the clause and its parents cite, each with
+    its descendants, and the clauses of annexes they name, as `reference`. Definitions are those of
+    the terms of all these texts, followed through to the end; one that is a whole clause counts once.
+    """
+    up = settled(ancestry(scoped_rows))
+    ord_of = lambda df, kind, seq: df.select("contract_id", "ord", "target_ord", F.lit(kind).alias("relationship"), F.lit(seq).alias("seq"))
+    kinds = [ord_of(up, "parent", 1)]
+    if attached is not None:
+        kinds.append(ord_of(attached, "other", 0))
+    once = unique_numbers(scoped_rows).select("contract_id", F.col("target_ord").alias("ord"))
+    nearest = up.groupBy("contract_id", "ord").agg(F.min("level").alias("nearest"))
+    twice = up.join(nearest, ["contract_id", "ord"]).where("level = nearest").join(once, ["contract_id", "ord"], "left_anti").select("contract_id", "ord", "target_ord")
+    heads = scoped_rows.where(tx.standalone_heading(F.col("heading"), F.col("text")) & ~F.rtrim("text").endswith(":")).select("contract_id", F.col("ord").alias("target_ord"))
+    below = up.join(twice, ["contract_id", "ord", "target_ord"], "left_anti").join(heads, ["contract_id", "target_ord"], "left_anti")
+    kinds.append(ord_of(below.select("contract_id", F.col("target_ord").alias("ord"), F.col("ord").alias("target_ord")), "other", 2))
+    cited = settled(references(scoped_rows).where("outcome = 'resolved'").select("contract_id", "ord", "target_ord").distinct())
+    under = cited.join(up.select("contract_id", "target_ord", F.col("ord").alias("deep")), ["contract_id", "target_ord"]).select("contract_id", "ord", F.col("deep").alias("target_ord"))
+    kinds += [ord_of(cited, "reference", 3), ord_of(under, "reference", 3), ord_of(annex_references(scoped_rows), "reference", 4)]
+    every = kinds[0]
+    for k in kinds[1:]:
+        every = every.unionByName(k)
+    texts = scoped_rows.select("contract_id", "scope", "ord", "text")
+    plain = settled(every.where("ord <> target_ord").groupBy("contract_id", "ord", "target_ord").agg(F.min_by("relationship", "seq").alias("relationship")))
+    read = plain.join(texts.select("contract_id", F.col("ord").alias("target_ord"), "text"), ["contract_id", "target_ord"]).join(texts.drop("text"), ["contract_id", "ord"]).select("contract_id", "scope", "ord", "text")
+    defs = definition_closure(scoped_rows, texts.unionByName(read))
+    whole = texts.select("contract_id", F.col("ord").alias("def_ord"), F.col("text").alias("def_text"))
+    again = defs.join(whole, ["contract_id", "def_ord", "def_text"], "left_semi").join(plain.select("contract_id", "ord", F.col("target_ord").alias("def_ord")), ["contract_id", "ord", "def_ord"], "left_semi").select("contract_id", "ord", "def_ord", "n")
+    new = defs.join(again, ["contract_id", "ord", "def_ord", "n"], "left_anti").select("contract_id", "ord", F.col("def_ord").alias("target_ord"), F.lit("definition").alias("relationship"), "n", "def_text")
+    out = plain.select("*", F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("def_text")).unionByName(new)
+    return out.withColumn("priority", F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("relationship")))
+
+
+def unresolved(scoped_rows: DataFrame) -> DataFrame:
+    """(contract_id, ord, note): citations and sections of a clause that lead nowhere, and its terms whose definition is ambiguous."""
+    refs = references(scoped_rows).where("outcome <> 'resolved'").select("contract_id", "ord", F.concat_ws(" ", "outcome", "number").alias("note"))
+    named = annex_mentions(scoped_rows).where("outcome = 'section'").select("contract_id", "ord", F.concat_ws(" ", "outcome", "annex").alias("note"))
+    picked = settled(chosen(scoped_rows))
+    unclear = mentions(scoped_rows.select("contract_id", "scope", "ord", "text"), "text", picked).join(picked.where("candidates > 1"), ["contract_id", "scope", "name"]).where("ord <> def_ord")
+    return refs.unionByName(named).unionByName(unclear.select("contract_id", "ord", F.concat_ws(" ", F.lit("definition"), "name").alias("note"))).distinct()
 
 
 def fit_budget(evidence: DataFrame, budget: int) -> DataFrame:

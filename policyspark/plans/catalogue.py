@@ -85,11 +85,26 @@ CATALOGUE = [
     _rule("10.7", "provider_delivery", "obligation", "share", "Provider must share Documentation with Recipient within {notice} days after signing.", ("recipient", "eq", '"Recipient"'), ("elapsedTime", "lteq", '"P{notice}D"'), ("event", "eq", '"signature"'), asset="Documentation", actor="Provider"),
     _head("11", "Odds and ends"),
     Clause("11.1", "Each side retains ownership of what it brings; this paper transfers no ownership of Data.", relevant=True),
-    Clause("11.2", "Meetings are agreed by telephone, see clause 12.9."),
+    Clause("11.2", "Meetings are agreed by telephone, see clause 12.99."),
     Clause("11.3", "Article 5 of Regulation (EU) 2023/2854 stays untouched."),
     Clause("11.4", "Neither side promises success."),
+    _head("12", "Further terms"),
+    Clause("12.1", "Recipient sees to it that:", relevant=True),
+    Clause("12.1(a)", "Personal Data is masked before any use of Data, as clauses 4.1–4.3 and clause 3.1 of this agreement say;", ("deletion", "encryption"), relevant=True),
+    Clause("12.1(b)", "authorized users follow Articles 2.1, 2.2 and Article 28 of the GDPR; and", relevant=True),
+    Clause("12.1(b)(i)", "records of the Platform are kept.", relevant=True),
+    Clause("12.2", "Personal Data means all Data about a person.\nAuthorized Users means listed staff of Recipient and its Service Providers.\nDate: ______", relevant=True),
+    Clause("12.3", "Service Providers: firms that act for Recipient under clause 2.1.", relevant=True),
+    Clause("12.4", "See clause 2.1, clause 1.1 of Annex A, Exhibit Z, clause 1.2 of the main agreement and Article 5 of the Data Act.", ("read", "attribution"), relevant=True),
+    Clause("12.5", "Errors are told without undue delay. For the duration of the work, Records are kept. During the term, and for a subsequent period of two years, Data stays secret.", ("notification", "storage_limit"), relevant=True),
+    Clause("12.6", "☐ Standard delivery", ("platform_access",), relevant=True),
+    Clause("12.7", "About this paper:\nHow to read it?\nSee https://example.org/help for more.", ("publication",), relevant=True),
+    Clause("12.8", "Provider retains ownership of Data; this paper transfers no ownership of it.", relevant=True),
+    Clause("12.9", "Clauses 3.1-3.4, clauses 9.1 to 10.2 and clause 12.77 are cited for order only, and for information only."),
     Clause("", "ANNEX A", heading=True, scope=1),
     _head("1", "Delivery", scope=1),
     Clause("1.1", "Bundle means the files that Provider hands over.", scope=1, relevant=True),
     Clause("1.2", "Provider shall supply the necessary documentation with each Bundle described in clause 1.1.", scope=1, relevant=True),
+    Clause("1.3", "Delivery Window means two days. Bundle checks follow clause 2.2 and clause 3.1 of the main agreement.", scope=1, relevant=True),
+    Clause("1.4", "Data means the annexed files only.", ("sharing_limit",), scope=1, relevant=True),
 ]

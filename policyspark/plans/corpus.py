@@ -50,12 +50,12 @@ def mask(names: tuple[str, ...]) -> int:
     return sum(1 << FLAGS.index(n) for n in names)
 
 
-def filled(column: str) -> Column:
+def filled(template: Column) -> Column:
     """A template with its placeholders replaced by the agreement's terms."""
-    out = F.col(column)
+    out = template
     for name in PLACEHOLDERS:
         out = F.replace(out, F.lit("{" + name + "}"), F.col(name))
-    return F.when(F.contains(F.col(column), F.lit("{")), out).otherwise(F.col(column))
+    return F.when(F.contains(template, F.lit("{")), out).otherwise(template)
 
 
 def expanded(terms: DataFrame, templates: DataFrame, n: int) -> DataFrame:
@@ -72,7 +72,7 @@ def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(i, c.number or None, c.text if c.heading else None, c.text, c.kind or None, c.action or None, c.asset if c.kind else None, c.actor if c.kind else None, "RELEVANT" if c.relevant else "NOT_RELEVANT", c.scope, mask(c.flags), 0) for i, c in enumerate(CATALOGUE)]
     templates = spark.createDataFrame(rows, "place int, clause_id string, heading string, template string, kind string, action string, asset string, actor string, label string, true_scope int, mask long, extra long")
     out = expanded(agreements(spark, sf_dir), templates, len(rows))
-    return out.select("contract_id", "o_orderkey", F.col("place").alias("ord"), "clause_id", "heading", filled("template").alias("text"), "kind", "action", "asset", "actor", "label", "true_scope")
+    return out.select("contract_id", "o_orderkey", F.col("place").alias("ord"), "clause_id", "heading", filled(F.col("template")).alias("text"), "kind", "action", "asset", "actor", "label", "true_scope")
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +86,4 @@ def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
         for n, (extra, (f, op, v)) in enumerate([((), leaf) for leaf in c.when] + [((name,), leaf) for name, leaf in c.extra.items()]):
             rows.append((len(rows), c.number, c.kind, n, f, op, v, mask(c.flags), mask(extra)))
     templates = spark.createDataFrame(rows, "place int, clause_id string, kind string, n int, field string, op string, template string, mask long, extra long")
-    return expanded(agreements(spark, sf_dir), templates, len(rows)).select("contract_id", "o_orderkey", "o_custkey", "clause_id", "kind", "n", "field", "op", filled("template").alias("value"))
+    return expanded(agreements(spark, sf_dir), templates, len(rows)).select("contract_id", "o_orderkey", "o_custkey", "clause_id", "kind", "n", "field", "op", filled(F.col("template")).alias("value"))

@@ -12,7 +12,7 @@ from policyspark.functions import truth as tr
 from policyspark.operators import metrics, policy
 from policyspark.plans import oracle as o
 from policyspark.plans.catalogue import CATALOGUE
-from policyspark.plans.corpus import agreements, clauses, conditions, rules, table
+from policyspark.plans.corpus import agreements, bits, clauses, conditions, filled, mask, rules, table
 from policyspark.plans.structure import _SCOPED
 
 Q, S = {}, {}
@@ -221,10 +221,17 @@ def exchange_round_trip(spark, sf_dir):
 
 # ---- decisions over events
 
+ORDERED = ("lt", "lteq", "gt", "gteq")
+LEAVES = [(c, n, extra, f, op, v) for c in CATALOGUE for n, (extra, (f, op, v)) in enumerate([((), leaf) for leaf in c.when] + [((name,), leaf) for name, leaf in c.extra.items()])]
+RULES = {c.number: [leaf for leaf in LEAVES if leaf[0] is c] for c in CATALOGUE if c.when}
+
+
 def decided(spark, sf_dir):
-    """Truth of every condition leaf of an agreement for every event of its customer; what an event doesn't say is unknown.
+    """A row for each agreement and event of its customer: contract_id, flag bits, what the event says, the terms that conditions compare with.
 
-    Says: recipient by event type, approval where value is over 100, elapsedTime from k, purpose for views, payAmount.
+    Says: recipient by event type, approval where value is over 100, elapsedTime from k, purpose for
+    views, payAmount, spatial. Amounts are made before the join, so its rows only compare. Rules
+    are code: none of them is a row.
     """
     k, kind = F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
     said = {
@@ -235,16 +242,59 @@ def decided(spark, sf_dir):
         "payAmount": F.round("value", 0).cast("long").cast("string"),
         "spatial": F.when(kind == "signup", '"Norway"').when(kind == "purchase", '"France"'),
     }
-    # amounts are made once for each event and condition, so the join's many rows only compare
-    state = F.create_map(*[x for f, v in said.items() for x in (F.lit(f), F.struct(v.alias("v"), tr.amount(F.lit(f), v).alias("a")))])
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", state.alias("state"))
-    rows = conditions(spark, sf_dir).withColumn("b", tr.amount(F.col("field"), F.col("value"))).withColumn("listing", F.when(F.col("op").isin("isAnyOf", "isNoneOf", "isAllOf"), tr.members(F.col("value"))))
-    leaves = rows.join(events, F.col("o_custkey") == F.col("user_id")).withColumn("left", F.try_element_at("state", F.col("field"))).drop("state")
-    return leaves.withColumn("truth", judged(F.col("op")))
-
-
-def judged(op):
-    return tr.leaf(F.col("field"), op, F.col("left.v"), F.col("value"), F.col("left.a"), F.col("b"), F.col("listing"))
+    events = table(spark, sf_dir, "events").select("user_id", *[v.alias(f"says_{f}") for f, v in said.items()], *[tr.amount(F.lit(f), v).alias(f"amount_{f}") for f, v in said.items()])
+    terms = agreements(spark, sf_dir).withColumn("bits", bits())
+    held = {v for *_, v in LEAVES if "{" in v}
+    sides = [filled(F.lit(v)).alias(f"term_{i}") for i, v in enumerate(sorted(held))]
+    terms = terms.select("contract_id", "o_custkey", "bits", *sides)
+    sizes = sorted({(f, v) for *_, f, op, v in LEAVES if op in ORDERED and "{" in v})
+    names = {v: f"term_{i}" for i, v in enumerate(sorted(held))}
+    terms = terms.select("*", *[tr.amount(F.lit(f), F.col(names[v])).alias(f"bound_{i}") for i, (f, v) in enumerate(sizes)])
+    return terms.join(events, F.col("o_custkey") == F.col("user_id")).drop("o_custkey", "user_id")
+
+
+def truth_of(leaf, op=None):
+    """A leaf over a row of decided(); null where the event doesn't say."""
+    _, _, _, field, own, value = leaf
+    op = op or own
+    if field not in ("recipient", "approval", "elapsedTime", "purpose", "payAmount", "spatial"):
+        return F.lit(None).cast("boolean")
+    held, sizes = sorted({v for *_, v in LEAVES if "{" in v}), sorted({(f, v) for *_, f, o_, v in LEAVES if o_ in ORDERED and "{" in v})
+    right = F.col(f"term_{held.index(value)}") if "{" in value else F.lit(value)
+    bound = F.col(f"bound_{sizes.index((field, value))}") if (field, value) in sizes else None
+    return tr.leaf(F.lit(field), F.lit(op), F.col(f"says_{field}"), right, F.col(f"amount_{field}"), bound)
+
+
+def live(names):
+    """Whether an agreement has one of those flags; none asked: always."""
+    return F.col("bits").bitwiseAND(F.lit(mask(names))) != 0 if names else F.lit(True)
+
+
+def rule_truth(number, turned=False):
+    """Truth of a whole rule where it is in force; of its complement if turned."""
+    parts = []
+    for leaf in RULES[number]:
+        t = truth_of(leaf, tr.REVERSED[leaf[4]] if turned else None)
+        parts.append(F.when(live(leaf[2]), t).otherwise(F.lit(not turned)) if leaf[2] else t)
+    out = parts[0]
+    for p in parts[1:]:
+        out = (out | p) if turned else (out & p)
+    return out
+
+
+def tally(rows, truths, *by):
+    """Per `by`: yes, no and unknown over truths, (name, in force, truth) triples evaluated in place on every row."""
+    made = rows.select(*by, *[F.when(on, F.when(t.isNull(), 2).when(t, 1).otherwise(0)).alias(f"t{i}") for i, (_, on, t) in enumerate(truths)])
+    n = lambda code: sum((F.coalesce((F.col(f"t{i}") == code).cast("int"), F.lit(0)) for i in range(len(truths))), F.lit(0))
+    out = made.groupBy(*by).agg(F.sum(n(1)).alias("yes"), F.sum(n(0)).alias("no"), F.sum(n(2)).alias("unknown"))
+    return out.where("yes + no + unknown > 0")
+
+
+def tally_each(rows, truths):
+    """(name, yes, no, unknown) of each truth over all rows: one row of partial sums a task, turned into rows at the end."""
+    made = rows.select(*[F.when(on, F.when(t.isNull(), 2).when(t, 1).otherwise(0)).alias(f"t{i}") for i, (_, on, t) in enumerate(truths)])
+    sums = [F.struct(F.lit(name).alias("name"), *[F.sum((F.col(f"t{i}") == code).cast("int")).alias(c) for code, c in ((1, "yes"), (0, "no"), (2, "unknown"))]) for i, (name, _, _) in enumerate(truths)]
+    return made.agg(F.array(*sums).alias("s")).select(F.explode("s").alias("s")).select("s.*").where("yes + no + unknown > 0")
 
 
 _STATE = """st AS (SELECT event_id, user_id, f.name AS field, f.v AS left FROM (SELECT event_id, user_id, unnest([{'name': 'recipient', 'v': CASE event_type WHEN 'error' THEN '"third party"' WHEN 'click' THEN '"Provider"' ELSE '"Recipient"' END},
@@ -258,48 +308,42 @@ _TRUTH = f"""WITH {o.CONDITIONS}, {_STATE}, leaves AS (SELECT c.contract_id, c.c
 _COUNTS = "count(*) FILTER (truth) AS yes, count(*) FILTER (NOT truth) AS no, count(*) FILTER (truth IS NULL) AS unknown"
 
 
-def counts(rows, *by):
-    t = F.col("truth")
-    n = lambda c, name: F.sum(F.coalesce(c, F.lit(False)).cast("int")).alias(name)
-    return rows.groupBy(*by).agg(n(t, "yes"), n(~t, "no"), n(t.isNull(), "unknown"))
-
-
-def ruled(spark, sf_dir):
-    return decided(spark, sf_dir).groupBy("contract_id", "clause_id", "kind", "event_id").agg(tr.conjunction(F.col("truth")).alias("truth"))
-
-
 @query(_TRUTH + f" SELECT contract_id, {_COUNTS} FROM ruled GROUP BY ALL")
 def agreement_decisions(spark, sf_dir):
     """The flagship: every rule of every agreement decided for every event of its recipient."""
-    return counts(ruled(spark, sf_dir), "contract_id")
+    return tally(decided(spark, sf_dir), [(k, live(ls[0][0].flags), rule_truth(k)) for k, ls in RULES.items()], "contract_id")
 
 
 @query(_TRUTH + f", b AS (SELECT contract_id, event_id, CASE WHEN bool_or(truth) THEN TRUE WHEN count(*) > count(truth) THEN NULL ELSE FALSE END AS truth FROM ruled WHERE kind = 'prohibition' GROUP BY ALL) SELECT contract_id, {_COUNTS} FROM b GROUP BY ALL")
 def truth_prohibitions(spark, sf_dir):
-    rows = ruled(spark, sf_dir).where("kind = 'prohibition'").groupBy("contract_id", "event_id").agg(tr.disjunction(F.col("truth")).alias("truth"))
-    return counts(rows, "contract_id")
+    bans = [(live(ls[0][0].flags), rule_truth(k)) for k, ls in RULES.items() if ls[0][0].kind == "prohibition"]
+    some, any_ = F.lit(False), F.lit(False)
+    for on, t in bans:
+        some, any_ = some | on, any_ | F.when(on, t).otherwise(False)
+    return tally(decided(spark, sf_dir), [("ban", some, any_)], "contract_id")
 
 
 @query(_TRUTH + f" SELECT clause_id, n, {_COUNTS} FROM leaves WHERE kind = 'obligation' GROUP BY ALL")
 def truth_obligation_deadlines(spark, sf_dir):
-    return counts(decided(spark, sf_dir).where("kind = 'obligation'"), "clause_id", "n")
+    truths = [(f"{c.number} {leaf[1]}", live(c.flags) & live(leaf[2]), truth_of(leaf)) for leaf in LEAVES if (c := leaf[0]).kind == "obligation"]
+    name = F.split("name", " ")
+    return tally_each(decided(spark, sf_dir), truths).select(name[0].alias("clause_id"), name[1].cast("int").alias("n"), "yes", "no", "unknown")
 
 
 @query(_TRUTH + f", x AS (SELECT contract_id, event_id, CASE WHEN count(*) FILTER (truth) > 1 THEN FALSE WHEN count(*) > count(truth) THEN NULL ELSE count(*) FILTER (truth) = 1 END AS truth FROM leaves WHERE kind = 'permission' GROUP BY ALL) SELECT contract_id, {_COUNTS} FROM x GROUP BY ALL")
 def truth_xone(spark, sf_dir):
-    rows = decided(spark, sf_dir).where("kind = 'permission'").groupBy("contract_id", "event_id").agg(tr.exactly_one(F.col("truth")).alias("truth"))
-    return counts(rows, "contract_id")
+    parts = [(live(leaf[0].flags) & live(leaf[2]), truth_of(leaf)) for leaf in LEAVES if leaf[0].kind == "permission"]
+    made = decided(spark, sf_dir).select("contract_id", *[F.when(on, F.when(t.isNull(), 2).when(t, 1).otherwise(0)).alias(f"l{i}") for i, (on, t) in enumerate(parts)])
+    n = lambda code: sum((F.coalesce((F.col(f"l{i}") == code).cast("int"), F.lit(0)) for i in range(len(parts))), F.lit(0))
+    made = made.select("contract_id", n(0).alias("no"), n(1).alias("yes"), n(2).alias("unknown"))
+    one = F.when(F.col("yes") > 1, False).when(F.col("unknown") > 0, F.lit(None).cast("boolean")).otherwise(F.col("yes") == 1)
+    return tally(made.where("no + yes + unknown > 0"), [("one", F.lit(True), one)], "contract_id")
 
 
 @query(_TRUTH + f", a AS (SELECT contract_id, clause_id, event_id, CASE WHEN bool_or(truth = FALSE) THEN TRUE WHEN count(*) > count(truth) THEN NULL ELSE FALSE END AS truth FROM leaves GROUP BY ALL) SELECT clause_id, {_COUNTS} FROM a GROUP BY ALL")
 def complement_equivalence(spark, sf_dir):
-    """Complements of all rules: reversed comparisons joined by `or`, folded as a node table."""
-    turned = F.element_at(F.create_map(*[F.lit(x) for kv in tr.REVERSED.items() for x in kv]), F.col("op"))
-    rows = decided(spark, sf_dir).withColumn("truth", judged(turned))
-    keys = ["contract_id", "clause_id", "event_id"]
-    low = rows.select(*keys, (F.col("n") + 1).alias("node_id"), F.lit(0).alias("parent_node_id"), F.lit(1).alias("depth"), F.lit(None).cast("string").alias("group_op"), "truth")
-    top = low.select(*keys).distinct().select(*keys, F.lit(0).alias("node_id"), F.lit(None).cast("int").alias("parent_node_id"), F.lit(0).alias("depth"), F.lit("or").alias("group_op"), F.lit(None).cast("boolean").alias("truth"))
-    return counts(tr.fold_nodes(low.unionByName(top), keys, 1), "clause_id")
+    """Complements of all rules, reversed comparisons joined by `or`, decided in place."""
+    return tally_each(decided(spark, sf_dir), [(k, live(ls[0][0].flags), rule_truth(k, True)) for k, ls in RULES.items()]).withColumnRenamed("name", "clause_id")
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from policyspark.functions import text as tx
 from policyspark.plans.catalogue import CATALOGUE, FLAGS
 
 
@@ -53,20 +54,26 @@ CONDITIONS = AGREEMENTS + """,
     for n, ((f, op, v), live) in enumerate([(leaf, any_flag(c.flags)) for leaf in c.when] + [(leaf, any_flag(c.flags) + " AND " + flag(name)) for name, leaf in c.extra.items()])
 ) + """]) AS c FROM agreements) WHERE c.live)"""
 
-NUMBER = r"\d{1,3}(?:\.\d{1,3})*(?:\([a-z0-9]+\))*"
+def stripped(t: str) -> str:
+    return rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
 
 
 def clause_number(t: str) -> str:
-    pattern = rf"(?i)^\s*(?:(?:article|section|clause)\s+)?({NUMBER})[.):]?(\s[\s\S]*)?$"
-    value, rest = f"regexp_extract({t}, '{pattern}', 1)", f"regexp_extract({t}, '{pattern}', 2)"
-    month = r"(?i)^\s*\d+\s+(?:january|february|march|april|may|june|july|august|september|october|november|december)\b"
-    return rf"""CASE WHEN {value} <> '' AND NOT regexp_matches({t}, '{month}') AND regexp_extract({value}, '^(\d+)', 1)::INTEGER <= 199
-        AND NOT regexp_matches({rest}, '^\s*[a-z]') AND NOT regexp_matches({rest}, '^\s*[%/,–\d-]') THEN {value} END"""
+    value, rest = f"regexp_extract({t}, '{tx.CLAUSE}', 1)", f"regexp_extract({t}, '{tx.CLAUSE}', 2)"
+    return rf"""CASE WHEN {value} <> '' AND NOT regexp_matches({t}, '{tx.MONTH}') AND regexp_extract({value}, '^(\d+)', 1)::INTEGER <= 199
+        AND NOT regexp_matches({rest}, '^\s*[\p{{Ll}}%/,–\d-]') THEN {value} END"""
 
 
-DEFINITION = r"(?m)^\s*[\"“‘]?([A-Z][\w &/\-]{1,70}?)[\"”’]?\s*(?::|\bmeans\b|\bshall mean\b|\bhas the meaning\b)"
-OPERATIVE = r"(?i)\b(?:shall|must|may|can|will|cannot|permitted|prohibited|required|undertakes|obligation|only|entitled)\b|\b(?:has|have)\s+(?:the\s+)?right\b"
-TITLE_STOP = r"(?i)\b(?:shall|must|may|means|is|are|will|can|only|not|no|without|delete|retain|notify|disclose|provide|return|process)\b|[;:]\s*\S"
+def after_number(t: str) -> str:
+    return f"CASE WHEN regexp_matches({t}, '{tx.CLAUSE}') THEN regexp_extract({t}, '{tx.CLAUSE}', 2) ELSE {t} END"
+
+
+def found(rows: str, column: str, pattern: str, name: str) -> str:
+    """CTE `name`: rows times the matches of pattern in column, with i, found, part, start and after (up to the next match)."""
+    return f"""{name}_lists AS (SELECT *, regexp_extract_all({column}, '{pattern}', 0) AS w, regexp_extract_all({column}, '{pattern}', 1) AS g, regexp_split_to_array({column}, '{pattern}') AS b FROM {rows} WHERE regexp_matches({column}, '{pattern}')),
+    {name}_each AS (SELECT *, unnest(generate_series(1, len(w))) AS i FROM {name}_lists),
+    {name} AS (SELECT * EXCLUDE (w, g, b), w[i] AS found, g[i] AS part, b[i + 1] AS after, (coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) + list_sum(list_transform(b[1:i], lambda x: length(x))))::BIGINT AS start FROM {name}_each)"""
+
 
 # Lines of documents as laid-out spans; all places are made from the line's number.
 SPANS = r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from policyspark.functions import text as tx
+from policyspark.functions.shared import settled
 from policyspark.operators import context, layout
 from policyspark.plans import oracle as o
 from policyspark.plans.corpus import clauses, table
@@ -104,6 +105,11 @@ def folded_texts(spark, sf_dir):
 
 # ---- clauses
 
+
+def scoped(spark, sf_dir):
+    """Clauses with their scopes, made once: evidence is many joins of this one table with itself."""
+    return settled(context.scoped(clauses(spark, sf_dir).select("contract_id", "ord", "clause_id", "heading", "text", "label", "true_scope")))
+
 _NUMBERED = f"""WITH {o.CLAUSES}, lines AS (SELECT contract_id, ord, coalesce(clause_id || ' ', '') || text AS line FROM clauses)"""
 
 
@@ -129,100 +135,129 @@ _SCOPED = r"""WITH """ + o.CLAUSES + r""",
 
 @query(_SCOPED + " SELECT scope, true_scope, ord, count(*) AS n, min(contract_id) AS first FROM scoped GROUP BY ALL")
 def clause_scopes(spark, sf_dir):
-    return context.scoped(clauses(spark, sf_dir)).groupBy("scope", "true_scope", "ord").agg(F.count("*").alias("n"), F.min("contract_id").alias("first"))
+    return scoped(spark, sf_dir).groupBy("scope", "true_scope", "ord").agg(F.count("*").alias("n"), F.min("contract_id").alias("first"))
 
 
 _PARENTS = _SCOPED + r""",
-    up AS (SELECT contract_id, scope, ord, clause_id, unnest(generate_series(1, len(string_split(clause_id, '.')) - 1)) AS level FROM scoped WHERE clause_id LIKE '%.%'),
-    anc AS (SELECT *, array_to_string(list_slice(string_split(clause_id, '.'), 1, len(string_split(clause_id, '.')) - level), '.') AS target FROM up),
-    par AS (SELECT a.contract_id, a.scope, a.ord, a.clause_id, arg_min(target, level) AS parent_clause, arg_min(u.ord, level) AS parent_ord FROM anc a JOIN uniq u ON u.contract_id = a.contract_id AND u.scope = a.scope AND u.clause_id = target GROUP BY ALL)"""
+    numbered AS (SELECT contract_id, scope, ord, clause_id, regexp_extract_all(clause_id, '(\.?\d+|\([a-z0-9]+\))', 1) AS p FROM scoped WHERE clause_id IS NOT NULL),
+    up AS (SELECT *, unnest(generate_series(1, len(p) - 1)) AS level FROM numbered WHERE len(p) > 1),
+    anc AS (SELECT a.contract_id, a.scope, a.ord, a.clause_id, level, u.clause_id AS target, u.ord AS target_ord FROM up a JOIN uniq u ON u.contract_id = a.contract_id AND u.scope = a.scope AND u.clause_id = array_to_string(list_slice(p, 1, len(p) - level), '')),
+    par AS (SELECT contract_id, scope, ord, clause_id, arg_min(target, level) AS parent_clause, arg_min(target_ord, level) AS parent_ord FROM anc GROUP BY ALL)"""
 
 
 @query(_PARENTS + " SELECT scope, clause_id, parent_clause, count(*) AS n, sum(parent_ord)::BIGINT AS parents FROM par GROUP BY ALL")
 def clause_hierarchy(spark, sf_dir):
-    return context.parents(context.scoped(clauses(spark, sf_dir))).groupBy("scope", "clause_id", "parent_clause").agg(F.count("*").alias("n"), F.sum("parent_ord").alias("parents"))
+    return context.parents(scoped(spark, sf_dir)).groupBy("scope", "clause_id", "parent_clause").agg(F.count("*").alias("n"), F.sum("parent_ord").alias("parents"))
 
 
-@query(_PARENTS + " SELECT a.scope, a.target AS ancestor, count(*) AS n, count(DISTINCT a.clause_id) AS kinds FROM anc a JOIN uniq u ON u.contract_id = a.contract_id AND u.scope = a.scope AND u.clause_id = target GROUP BY ALL")
+@query(_PARENTS + " SELECT scope, target AS ancestor, count(*) AS n, count(DISTINCT clause_id) AS kinds FROM anc GROUP BY ALL")
 def descendants_closure(spark, sf_dir):
-    return context.descendants(context.scoped(clauses(spark, sf_dir))).groupBy("scope", "ancestor").agg(F.count("*").alias("n"), F.countDistinct("descendant").alias("kinds"))
+    return context.descendants(scoped(spark, sf_dir)).groupBy("scope", "ancestor").agg(F.count("*").alias("n"), F.countDistinct("descendant").alias("kinds"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT a.conv_id, a.turn, b.turn AS up FROM (SELECT DISTINCT conv_id, turn FROM conversations) a JOIN (SELECT DISTINCT conv_id, turn FROM conversations) b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1),
     c AS (SELECT * FROM e UNION SELECT c.conv_id, c.turn, e.up FROM c JOIN e ON e.conv_id = c.conv_id AND e.turn = c.up) SELECT conv_id, turn, count(*) AS above, min(up) AS root FROM c GROUP BY ALL""")
 def conversation_closure(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
-    return context.conversation_closure(turns).groupBy("conv_id", "turn").agg(F.count("*").alias("above"), F.min("up").alias("root"))
+    return context.conversation_closure(table(spark, sf_dir, "conversations"))
+
 
+_START = tx.DEFINITION.replace("(?m)", "")
 
-@query(rf"""WITH {o.CLAUSES} SELECT ord,
-      sum((heading IS NOT NULL AND trim(heading) = trim(text) AND len(regexp_split_to_array(trim(text), '\s+')) <= 14 AND NOT regexp_matches(trim(text), '{o.TITLE_STOP}'))::INTEGER)::BIGINT AS headings,
-      sum((regexp_matches(trim(text), '{o.DEFINITION.replace("(?m)", "")}') AND NOT regexp_matches(regexp_replace(trim(text), '{o.DEFINITION.replace("(?m)", "")}', ''), '{o.OPERATIVE}'))::INTEGER)::BIGINT AS definitions,
-      sum((regexp_matches(text, '(?i)\b(?:shall|must)\s+(?:provide|supply|deliver|submit)\s+(?:(?:the|all|any|relevant|necessary|complete|detailed)\s+){{0,3}}(?:information|documentation|records|reports|data)\b') AND NOT regexp_matches(text, '(?i)\b(?:non[- ]binding|illustrative|example)\b'))::INTEGER)::BIGINT AS duties,
-      sum((regexp_matches(text, '(?i)\bretains?\b[^.]*\bownership\b') AND regexp_matches(text, '(?i)\btransfers? no ownership\b') AND NOT regexp_matches(text, '{o.OPERATIVE}'))::INTEGER)::BIGINT AS declarations,
-      0::BIGINT AS options, 0::BIGINT AS questions FROM clauses GROUP BY ord""")
+
+@query(rf"""WITH {o.CLAUSES}, c AS (SELECT *, {o.stripped('text')} AS t, ltrim({o.after_number(o.stripped('text'))}, E' \n\t') AS rest FROM clauses) SELECT ord,
+      sum((heading IS NOT NULL AND {o.stripped('heading')} = t AND len(regexp_split_to_array(t, '\s+')) <= 14 AND NOT regexp_matches(t, '{tx.TITLE_STOP}'))::INTEGER)::BIGINT AS headings,
+      sum((regexp_matches(rest, '{_START}') AND NOT regexp_matches(regexp_replace(rest, '{_START}', ''), '{tx.OPERATIVE}'))::INTEGER)::BIGINT AS definitions,
+      sum((regexp_matches(text, '{tx.DUTY}') AND NOT regexp_matches(text, '{tx.ILLUSTRATIVE}'))::INTEGER)::BIGINT AS duties,
+      sum((regexp_matches(text, '{tx.OWNS[0]}') AND regexp_matches(text, '{tx.OWNS[1]}') AND NOT regexp_matches(text, '{tx.OWNS_STOP}'))::INTEGER)::BIGINT AS declarations,
+      sum((coalesce(heading, '') = '' AND regexp_matches(text, '{tx.CHECKBOX}') AND len(regexp_split_to_array(t, '\s+')) <= 14 AND NOT regexp_matches(text, '{tx.CHECKBOX_STOP}'))::INTEGER)::BIGINT AS options,
+      sum((regexp_matches(text, '{tx.FAQ[0]}') AND regexp_matches(text, '{tx.FAQ[1]}') AND regexp_matches(text, '{tx.FAQ[2]}') AND NOT regexp_matches(text, '{tx.FAQ_STOP}'))::INTEGER)::BIGINT AS questions FROM c GROUP BY ord""")
 def gates(spark, sf_dir):
     """How many clauses each deterministic gate decides before a model is asked."""
     t, n = F.col("text"), lambda c, name: F.sum(c.cast("int")).alias(name)
-    return clauses(spark, sf_dir).groupBy("ord").agg(n(tx.standalone_heading(F.col("heading"), t), "headings"), n(tx.definition_only(t), "definitions"), n(tx.information_duty(t), "duties"), n(tx.ownership_declaration(t), "declarations"), n(tx.checkbox_option(t), "options"), n(tx.explanatory_faq(t), "questions"))
+    return clauses(spark, sf_dir).groupBy("ord").agg(n(tx.standalone_heading(F.col("heading"), t), "headings"), n(tx.definition_only(t), "definitions"), n(tx.information_duty(t), "duties"), n(tx.ownership_declaration(t), "declarations"), n(tx.checkbox_option(t, F.col("heading")), "options"), n(tx.explanatory_faq(t), "questions"))
 
 
-_DEFS = _SCOPED + rf""",
-    defs AS (SELECT contract_id, scope, ord AS def_ord, regexp_extract(text, '{o.DEFINITION}', 1) AS term, contains(text, ' means ') AS by_means FROM scoped WHERE regexp_extract(text, '{o.DEFINITION}', 1) <> '' AND NOT regexp_matches(regexp_extract(text, '{o.DEFINITION}', 1), '\d')),
-    words AS (SELECT DISTINCT contract_id, scope AS use_scope, ord, unnest(regexp_extract_all(text, '\b([A-Za-z]\w*)\b', 1)) AS term FROM scoped),
-    hits AS (SELECT w.contract_id, w.ord, w.term, d.def_ord, CASE WHEN d.scope = use_scope THEN 0 ELSE 2 END + CASE WHEN by_means THEN 0 ELSE 1 END AS rank FROM words w JOIN defs d ON d.contract_id = w.contract_id AND d.term = w.term AND w.ord <> d.def_ord),
-    uses AS (SELECT contract_id, ord, term, min(def_ord) AS def_ord FROM (SELECT *, min(rank) OVER (PARTITION BY contract_id, ord, term) AS best FROM hits) WHERE rank = best GROUP BY ALL HAVING count(*) = 1)"""
+_MAIN = """,
+    sc AS (SELECT contract_id, scope, max((heading IS NOT NULL AND regexp_matches(heading, '^(?:ANNEX|APPENDIX|EXHIBIT) '))::INTEGER) AS annexed FROM scoped GROUP BY ALL),
+    mains AS (SELECT contract_id, scope, last_value(CASE WHEN annexed = 0 THEN scope END IGNORE NULLS) OVER (PARTITION BY contract_id ORDER BY scope) AS main_scope FROM sc)"""
+_PLAIN = lambda t: rf"(' ' || regexp_replace(lower({t}), '\W+', ' ', 'g') || ' ')"
+_DEFS = _SCOPED + _MAIN + rf""",
+    bodies AS (SELECT contract_id, scope, ord AS def_ord, {o.after_number('text')} AS body FROM scoped), {o.found('bodies', 'body', tx.DEFINITION, 'terms')},
+    defs AS (SELECT contract_id, scope, def_ord, i - 1 AS n, part AS term, lower(regexp_replace({o.stripped('part')}, '\s+', ' ', 'g')) AS name, {o.stripped('found || after')} AS def_text, regexp_matches(string_split({o.stripped('found || after')}, chr(10))[1], '{tx.PRECISE}') AS by_means
+      FROM terms WHERE NOT regexp_matches(part, '\d') AND regexp_matches(regexp_replace(after, '[_\[\].\-]', '', 'g'), '\w') AND NOT regexp_matches(after, '^\s*[_.]{{3,}}') AND NOT regexp_matches(part, '^(?:ANNEX|APPENDIX|EXHIBIT) ')),
+    cand AS (SELECT m.contract_id, m.scope AS use_scope, d.* EXCLUDE (contract_id, scope), CASE WHEN d.scope = m.scope THEN 0 ELSE 2 END + CASE WHEN by_means THEN 0 ELSE 1 END AS rank FROM mains m JOIN defs d ON d.contract_id = m.contract_id AND (d.scope = m.scope OR d.scope = m.main_scope)),
+    top AS (SELECT *, min(rank) OVER (PARTITION BY contract_id, use_scope, name) AS best FROM cand),
+    picked AS (SELECT contract_id, use_scope AS scope, name, count(*) AS candidates, min(def_ord) AS def_ord, arg_min(n, (def_ord, n)) AS n, arg_min(def_text, (def_ord, n)) AS def_text, arg_min(term, (def_ord, n)) AS term FROM top WHERE rank = best GROUP BY ALL),
+    held AS (SELECT s.contract_id, s.scope, s.ord, p.name, p.candidates, p.def_ord, p.n, p.def_text, p.term FROM scoped s JOIN picked p ON p.contract_id = s.contract_id AND p.scope = s.scope AND contains({_PLAIN('s.text')}, {_PLAIN('p.name')})),
+    uses AS (SELECT * FROM held WHERE candidates = 1 AND ord <> def_ord)"""
 
 
-@query(_DEFS + " SELECT scope, term, by_means, count(*) AS n, sum(def_ord)::BIGINT AS places FROM defs GROUP BY ALL")
+@query(_DEFS + " SELECT scope, term, by_means, n::INTEGER AS place, count(*) AS n, sum(def_ord)::BIGINT AS places, sum(length(def_text))::BIGINT AS characters FROM defs GROUP BY ALL")
 def definitions_index(spark, sf_dir):
-    return context.definitions(context.scoped(clauses(spark, sf_dir))).groupBy("scope", "term", "by_means").agg(F.count("*").alias("n"), F.sum("def_ord").alias("places"))
+    """Every definition of a clause with its own span of the text; form fields and headings are none."""
+    return context.definitions(scoped(spark, sf_dir)).groupBy("scope", "term", "by_means", F.col("n").alias("place")).agg(F.count("*").alias("n"), F.sum("def_ord").alias("places"), F.sum(F.length("def_text")).alias("characters"))
 
 
-@query(_DEFS + " SELECT ord, term, def_ord, count(*) AS n FROM uses GROUP BY ALL")
+@query(_DEFS + " SELECT scope, ord, term, def_ord, count(*) AS n FROM uses GROUP BY ALL")
 def definition_uses(spark, sf_dir):
-    return context.definition_uses(context.scoped(clauses(spark, sf_dir))).groupBy("ord", "term", "def_ord").agg(F.count("*").alias("n"))
+    return context.definition_uses(scoped(spark, sf_dir)).groupBy("scope", "ord", "term", "def_ord").agg(F.count("*").alias("n"))
 
 
-@query(_DEFS.replace("WITH ", "WITH RECURSIVE ", 1) + """, u AS (SELECT DISTINCT contract_id, ord, def_ord FROM uses),
-    c AS (SELECT * FROM u UNION SELECT c.contract_id, c.ord, u.def_ord FROM c JOIN u ON u.contract_id = c.contract_id AND u.ord = c.def_ord WHERE u.def_ord <> c.ord)
-    SELECT ord, count(*) AS n, count(DISTINCT contract_id) AS contracts, sum(def_ord)::BIGINT AS places FROM c GROUP BY ALL""")
-def definition_closure(spark, sf_dir):
-    return context.definition_closure(context.scoped(clauses(spark, sf_dir))).groupBy("ord").agg(F.count("*").alias("n"), F.countDistinct("contract_id").alias("contracts"), F.sum("def_ord").alias("places"))
+_CLOSED = """,
+    steps AS (SELECT a.contract_id, a.scope, a.name, b.name AS reached FROM picked a JOIN picked b ON a.contract_id = b.contract_id AND a.scope = b.scope AND a.name <> b.name AND a.candidates = 1 AND b.candidates = 1 AND contains(""" + _PLAIN("a.def_text") + ", " + _PLAIN("b.name") + """)),
+    reach AS (SELECT contract_id, scope, name, name AS reached FROM picked WHERE candidates = 1 UNION SELECT r.contract_id, r.scope, r.name, s.reached FROM reach r JOIN steps s ON s.contract_id = r.contract_id AND s.scope = r.scope AND s.name = r.reached)"""
 
 
-_REFS = _SCOPED + rf""",
-    lists AS (SELECT contract_id, scope, ord, text, unnest(regexp_extract_all(text, '(?i)\b(?:articles?|clauses?|sections?|paragraphs?|provisions?)\s+({o.NUMBER}(?:\s*(?:,|and|or|to|-)\s*{o.NUMBER})*)', 1)) AS l FROM scoped),
-    items AS (SELECT * EXCLUDE (l), unnest(regexp_split_to_array(l, '\s*(?:,|\band\b|\bor\b)\s*')) AS item FROM lists),
-    parts AS (SELECT *, regexp_extract(item, '^(\S+) to (\S+)$', 1) AS a, regexp_extract(item, '^(\S+) to (\S+)$', 2) AS b FROM items),
-    cited AS (SELECT contract_id, scope, ord, text, unnest(CASE WHEN a <> '' AND regexp_extract(a, '^(.*?)\d+$', 1) = regexp_extract(b, '^(.*?)\d+$', 1) THEN list_transform(generate_series(regexp_extract(a, '(\d+)$', 1)::INTEGER, regexp_extract(b, '(\d+)$', 1)::INTEGER), lambda n: regexp_extract(a, '^(.*?)\d+$', 1) || n) ELSE [item] END) AS number FROM parts),
+@query(_DEFS.replace("WITH ", "WITH RECURSIVE ", 1) + _CLOSED + """, c AS (SELECT DISTINCT h.contract_id, h.ord, p.name, p.def_ord FROM held h JOIN reach r ON r.contract_id = h.contract_id AND r.scope = h.scope AND r.name = h.name JOIN picked p ON p.contract_id = r.contract_id AND p.scope = r.scope AND p.name = r.reached WHERE p.def_ord <> h.ord)
+    SELECT ord, name, count(*) AS n, count(DISTINCT contract_id) AS contracts, sum(def_ord)::BIGINT AS places FROM c GROUP BY ALL""")
+def definition_closure(spark, sf_dir):
+    return context.definition_closure(scoped(spark, sf_dir)).groupBy("ord", "name").agg(F.count("*").alias("n"), F.countDistinct("contract_id").alias("contracts"), F.sum("def_ord").alias("places"))
+
+
+_CITES = _PARENTS + _MAIN + rf""",
+    heads AS (SELECT contract_id, upper(heading) AS annex, min(scope) AS annex_scope, count(*) AS annexes FROM scoped WHERE regexp_matches(heading, '^(?:ANNEX|APPENDIX|EXHIBIT) ') GROUP BY ALL),
+    {o.found('scoped', 'text', tx.REFERENCE, 'cites')},
+    around AS (SELECT *, right(left(text, start), 70) AS before70, substr(text, start + length(found) + 1, 100) AS after100 FROM cites),
+    kinds AS (SELECT contract_id, scope, ord AS src_ord, i - 1 AS seq, found, regexp_extract_all(part, '{tx.NUMBER}', 0) AS ns, part, nullif(upper(regexp_extract(after100, '{tx.ANNEX_AFTER}', 1)), '') AS annex,
+      CASE WHEN regexp_matches(after100, '{tx.LAW_AFTER}') OR regexp_matches(before70, '{tx.LAW_BEFORE}') THEN 'external' WHEN regexp_extract(after100, '{tx.ANNEX_AFTER}', 1) <> '' THEN 'annex' WHEN regexp_matches(after100, '{tx.MAIN_AFTER}') THEN 'main' ELSE 'plain' END AS kind FROM around),
+    whose AS (SELECT src_ord AS ord, * FROM kinds UNION ALL SELECT a.ord, k.* FROM kinds k JOIN anc a ON a.contract_id = k.contract_id AND a.target_ord = k.src_ord),
+    placed AS (SELECT w.*, m.main_scope, h.annex_scope, (kind = 'annex' AND coalesce(annexes, 0) <> 1) AS lost, len(ns) = 2 AND regexp_matches(part, '(?i)\bto\b|[-–]') AS ranged, regexp_extract(ns[1], '^(.*?)\d+$', 1) AS stem_a, regexp_extract(ns[2], '^(.*?)\d+$', 1) AS stem_b, TRY_CAST(regexp_extract(ns[1], '(\d+)$', 1) AS INTEGER) AS low, TRY_CAST(regexp_extract(ns[2], '(\d+)$', 1) AS INTEGER) AS high
+      FROM whose w JOIN mains m ON m.contract_id = w.contract_id AND m.scope = w.scope LEFT JOIN heads h ON h.contract_id = w.contract_id AND h.annex = w.annex),
+    fits AS (SELECT *, coalesce(ranged AND stem_a = stem_b AND high >= low AND high - low <= 100, FALSE) AS ok FROM placed),
+    each AS (SELECT contract_id, scope, ord, src_ord, seq, kind, main_scope, annex_scope, unnest(CASE WHEN ok THEN list_transform(generate_series(low, high), lambda n: stem_a || n) ELSE ns END) AS number FROM fits WHERE kind <> 'external' AND NOT lost),
     tally AS (SELECT contract_id, scope, clause_id, count(*) AS n, min(ord) AS target FROM scoped WHERE clause_id IS NOT NULL GROUP BY ALL),
-    refs AS (SELECT c.contract_id, c.scope, c.ord, c.number, CASE WHEN regexp_matches(c.text, '(?i)\b(?:Regulation|Directive|Data Act|GDPR)\b') THEN 'external' WHEN coalesce(own.n, main.n) IS NULL THEN 'missing' WHEN coalesce(own.n, main.n) > 1 THEN 'ambiguous' ELSE 'resolved' END AS outcome, coalesce(own.target, main.target) AS target
-      FROM cited c LEFT JOIN tally own ON own.contract_id = c.contract_id AND own.scope = c.scope AND own.clause_id = c.number LEFT JOIN tally main ON main.contract_id = c.contract_id AND main.scope = 0 AND main.clause_id = c.number)"""
-
-
-@query(_REFS + " SELECT scope, ord, number, outcome, count(*) AS n, sum(CASE WHEN outcome = 'resolved' THEN target END)::BIGINT AS targets FROM refs GROUP BY ALL")
+    looked AS (SELECT e.*, coalesce(f.n, s.n) AS n, coalesce(f.target, s.target) AS target FROM each e
+      LEFT JOIN tally f ON f.contract_id = e.contract_id AND f.clause_id = e.number AND f.scope = CASE kind WHEN 'main' THEN main_scope WHEN 'annex' THEN annex_scope ELSE e.scope END
+      LEFT JOIN tally s ON s.contract_id = e.contract_id AND s.clause_id = e.number AND kind = 'plain' AND s.scope = main_scope AND main_scope <> e.scope),
+    refs AS (SELECT contract_id, scope, ord, src_ord, seq, number, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS outcome, CASE WHEN n = 1 THEN target END AS target FROM looked
+      UNION ALL SELECT contract_id, scope, ord, src_ord, seq, found, 'external', NULL FROM fits WHERE kind = 'external' UNION ALL SELECT contract_id, scope, ord, src_ord, seq, annex, 'section', NULL FROM fits WHERE lost AND kind <> 'external'
+      UNION ALL SELECT contract_id, scope, ord, src_ord, seq, found, 'range', NULL FROM fits WHERE kind <> 'external' AND NOT lost AND ranged AND NOT ok),
+    unplaced AS (SELECT contract_id, scope, ord AS src_ord, unnest(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '{tx.REFERENCE}\s+(?:of|in)\s+(?:the\s+)?{tx.ANNEX}\b', '', 'g'), '(?i)\b{tx.ANNEX}\b', 0), lambda x: upper(x)))) AS annex FROM scoped),
+    named AS (SELECT DISTINCT contract_id, scope, ord, annex FROM (SELECT src_ord AS ord, * FROM unplaced UNION ALL SELECT a.ord, u.* FROM unplaced u JOIN anc a ON a.contract_id = u.contract_id AND a.target_ord = u.src_ord)),
+    sought AS (SELECT n.*, h.annex_scope, CASE WHEN coalesce(annexes, 0) <> 1 THEN 'section' WHEN annex_scope = scope THEN 'own' ELSE 'resolved' END AS outcome FROM named n LEFT JOIN heads h USING (contract_id, annex)),
+    annexed AS (SELECT n.contract_id, n.ord, n.annex, s.ord AS target FROM sought n JOIN scoped s ON s.contract_id = n.contract_id AND s.scope = n.annex_scope WHERE n.outcome = 'resolved')"""
+
+
+@query(_CITES + " SELECT scope, ord, number, outcome, count(*) AS n, sum(target)::BIGINT AS targets FROM refs GROUP BY ALL")
 def reference_resolution(spark, sf_dir):
-    return context.references(context.scoped(clauses(spark, sf_dir))).groupBy("scope", "ord", "number", "outcome").agg(F.count("*").alias("n"), F.sum("target_ord").alias("targets"))
+    return context.references(scoped(spark, sf_dir)).groupBy("scope", "ord", "number", "outcome").agg(F.count("*").alias("n"), F.sum("target_ord").alias("targets"))
 
 
-@query(_REFS + " SELECT contract_id, string_agg(DISTINCT outcome || ' ' || number, '; ' ORDER BY outcome || ' ' || number) AS unresolved FROM refs WHERE outcome <> 'resolved' GROUP BY contract_id")
+@query(_DEFS + _CITES.removeprefix(_SCOPED).replace(_MAIN, "") + """, notes AS (SELECT contract_id, outcome || ' ' || number AS note FROM refs WHERE outcome <> 'resolved' UNION SELECT contract_id, 'section ' || annex FROM sought WHERE outcome = 'section' UNION SELECT contract_id, 'definition ' || name FROM held WHERE candidates > 1 AND ord <> def_ord)
+    SELECT contract_id, string_agg(note, '; ' ORDER BY note) AS unresolved FROM notes GROUP BY contract_id""")
 def unresolved_references(spark, sf_dir):
-    rows = context.references(context.scoped(clauses(spark, sf_dir))).where("outcome <> 'resolved'")
-    return rows.groupBy("contract_id").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(" ", "outcome", "number"))), "; ").alias("unresolved"))
+    rows = context.unresolved(scoped(spark, sf_dir))
+    return rows.groupBy("contract_id").agg(F.array_join(F.sort_array(F.collect_set("note")), "; ").alias("unresolved"))
 
 
-@query(_SCOPED + r""", cite AS (SELECT DISTINCT contract_id, scope AS from_scope, ord, unnest(regexp_extract_all(upper(text), '\b((?:ANNEX|APPENDIX|EXHIBIT)\s+(?:[IVXLCDM]+|[A-Z]|\d+))\b', 1)) AS annex FROM scoped),
-    heads AS (SELECT contract_id, heading AS annex, min(scope) AS scope FROM scoped WHERE regexp_matches(heading, '^ANNEX [A-Z]$') GROUP BY ALL HAVING count(*) = 1)
-    SELECT c.ord, c.annex, s.ord AS target_ord, count(*) AS n FROM cite c JOIN heads h USING (contract_id, annex) JOIN scoped s ON s.contract_id = c.contract_id AND s.scope = h.scope WHERE h.scope <> from_scope GROUP BY ALL""")
+@query(_CITES + " SELECT ord, annex, target AS target_ord, count(*) AS n FROM annexed GROUP BY ALL")
 def annex_references(spark, sf_dir):
-    return context.annex_references(context.scoped(clauses(spark, sf_dir))).groupBy("ord", "annex", "target_ord").agg(F.count("*").alias("n"))
+    return context.annex_references(scoped(spark, sf_dir)).groupBy("ord", "annex", "target_ord").agg(F.count("*").alias("n"))
 
 
-@query(_SCOPED + r""", sc AS (SELECT contract_id, scope, max((heading IS NOT NULL AND regexp_matches(heading, '^ANNEX '))::INTEGER) AS annexed FROM scoped GROUP BY ALL),
-    m AS (SELECT contract_id, scope, last_value(CASE WHEN annexed = 0 THEN scope END IGNORE NULLS) OVER (PARTITION BY contract_id ORDER BY scope) AS main_scope FROM sc) SELECT scope, main_scope, count(*) AS n FROM m GROUP BY ALL""")
+@query(_SCOPED + _MAIN + " SELECT scope, main_scope, count(*) AS n FROM mains GROUP BY ALL")
 def main_scopes(spark, sf_dir):
-    return context.main_scopes(context.scoped(clauses(spark, sf_dir))).groupBy("scope", "main_scope").agg(F.count("*").alias("n"))
+    return context.main_scopes(scoped(spark, sf_dir)).groupBy("scope", "main_scope").agg(F.count("*").alias("n"))
 
 
 _NOTE = r"(?i)\blicen[sc]e"
@@ -251,34 +286,47 @@ def table_groups(spark, sf_dir):
     return context.table_groups(_blocks(spark, sf_dir))
 
 
-_EDGES = _PARENTS + _DEFS.removeprefix(_SCOPED) + _REFS.removeprefix(_SCOPED) + """,
-    every AS (SELECT contract_id, ord, parent_ord AS target_ord, 'parent' AS relationship, 0 AS priority FROM par UNION ALL SELECT contract_id, ord, def_ord, 'definition', 1 FROM uses UNION ALL SELECT contract_id, ord, target, 'reference', 3 FROM refs WHERE outcome = 'resolved' AND target <> ord),
-    edges AS (SELECT contract_id, ord, target_ord, min(priority) AS priority, arg_min(relationship, priority) AS relationship FROM every GROUP BY ALL)"""
+_EDGES = _DEFS.replace("WITH ", "WITH RECURSIVE ", 1) + _CITES.removeprefix(_SCOPED).replace(_MAIN, "") + _CLOSED + f""",
+    heading_rows AS (SELECT contract_id, ord FROM scoped WHERE heading IS NOT NULL AND {o.stripped('heading')} = {o.stripped('text')} AND len(regexp_split_to_array({o.stripped('text')}, '\\s+')) <= 14 AND NOT regexp_matches({o.stripped('text')}, '{tx.TITLE_STOP}') AND NOT regexp_matches(text, ':\\s*$')),
+    near_up AS (SELECT contract_id, ord, target_ord, level = min(level) OVER (PARTITION BY contract_id, ord) AS near FROM anc),
+    cited AS (SELECT DISTINCT contract_id, ord, target FROM refs WHERE outcome = 'resolved'),
+    every AS (SELECT contract_id, ord, target_ord, 'parent' AS relationship, 1 AS seq FROM anc
+      UNION ALL SELECT n.contract_id, n.target_ord, n.ord, 'other', 2 FROM near_up n WHERE NOT EXISTS (SELECT 1 FROM heading_rows h WHERE h.contract_id = n.contract_id AND h.ord = n.target_ord) AND (NOT near OR EXISTS (SELECT 1 FROM uniq u WHERE u.contract_id = n.contract_id AND u.ord = n.ord))
+      UNION ALL SELECT contract_id, ord, target, 'reference', 3 FROM cited UNION ALL SELECT c.contract_id, c.ord, a.ord, 'reference', 3 FROM cited c JOIN anc a ON a.contract_id = c.contract_id AND a.target_ord = c.target
+      UNION ALL SELECT contract_id, ord, target, 'reference', 4 FROM annexed),
+    plain AS (SELECT contract_id, ord, target_ord, arg_min(relationship, seq) AS relationship FROM every WHERE ord <> target_ord GROUP BY ALL),
+    heldby AS (SELECT contract_id, scope, ord, name FROM held UNION SELECT p.contract_id, s.scope, p.ord, h.name FROM plain p JOIN scoped s ON s.contract_id = p.contract_id AND s.ord = p.ord JOIN scoped t ON t.contract_id = p.contract_id AND t.ord = p.target_ord JOIN picked h ON h.contract_id = p.contract_id AND h.scope = s.scope AND contains({_PLAIN('t.text')}, {_PLAIN('h.name')})),
+    wanted AS (SELECT DISTINCT h.contract_id, h.ord, p.def_ord, p.n, p.def_text FROM heldby h JOIN reach r ON r.contract_id = h.contract_id AND r.scope = h.scope AND r.name = h.name JOIN picked p ON p.contract_id = r.contract_id AND p.scope = r.scope AND p.name = r.reached WHERE p.def_ord <> h.ord),
+    edges AS (SELECT contract_id, ord, target_ord, relationship, NULL::VARCHAR AS def_text FROM plain UNION ALL SELECT w.contract_id, w.ord, w.def_ord, 'definition', w.def_text FROM wanted w JOIN scoped s ON s.contract_id = w.contract_id AND s.ord = w.def_ord
+      WHERE NOT (s.text = w.def_text AND EXISTS (SELECT 1 FROM plain p WHERE p.contract_id = w.contract_id AND p.ord = w.ord AND p.target_ord = w.def_ord)))"""
 
 
-@query(_EDGES + " SELECT ord, target_ord, relationship, priority, count(*) AS n FROM edges GROUP BY ALL")
+@query(_EDGES + " SELECT ord, target_ord, relationship, CASE relationship WHEN 'parent' THEN 0 WHEN 'definition' THEN 1 WHEN 'other' THEN 2 ELSE 3 END AS priority, count(*) AS n, sum(length(def_text))::BIGINT AS characters FROM edges GROUP BY ALL")
 def context_priority(spark, sf_dir):
-    return context.edges(context.scoped(clauses(spark, sf_dir))).groupBy("ord", "target_ord", "relationship", "priority").agg(F.count("*").alias("n"))
+    return context.edges(scoped(spark, sf_dir)).groupBy("ord", "target_ord", "relationship", "priority").agg(F.count("*").alias("n"), F.sum(F.length("def_text")).alias("characters"))
 
 
 @query(_EDGES + """, k AS (SELECT * FROM scoped WHERE label <> 'NOT_RELEVANT')
     SELECT k.ord, count(DISTINCT k.contract_id) AS items, count(e.target_ord) AS evidence FROM k LEFT JOIN edges e USING (contract_id, ord) GROUP BY ALL""")
 def enrich_items(spark, sf_dir):
-    rows = context.scoped(clauses(spark, sf_dir))
-    kept = rows.where("label <> 'NOT_RELEVANT'").select("contract_id", "ord")
-    return kept.join(context.edges(rows).select("contract_id", "ord", "target_ord"), ["contract_id", "ord"], "left").groupBy("ord").agg(F.countDistinct("contract_id").alias("items"), F.count("target_ord").alias("evidence"))
+    rows = scoped(spark, sf_dir)
+    found = context.edges(rows).groupBy("contract_id", "ord").agg(F.count("*").alias("n"))
+    return rows.where("label <> 'NOT_RELEVANT'").select("contract_id", "ord").join(found, ["contract_id", "ord"], "left").groupBy("ord").agg(F.count("*").alias("items"), F.sum(F.coalesce("n", F.lit(0))).alias("evidence"))
 
 
 @query()
 def greedy_budget(spark, sf_dir):
-    rows = context.scoped(clauses(spark, sf_dir))
+    rows = scoped(spark, sf_dir)
     sizes = rows.select("contract_id", F.col("ord").alias("target_ord"), F.octet_length("text").alias("bytes"))
     return context.fit_budget(context.edges(rows).join(sizes, ["contract_id", "target_ord"]), 160)
 
 
-@query(rf"""WITH {o.CLAUSES}, t AS (SELECT ord, unnest(regexp_extract_all(text, '(?i)\bwithin \d+ (?:days?|hours?)\b|\bonce \d+ (?:days?|hours?) have elapsed\b|\bbefore (?:they appear|publication)\b|\bwhen publishing\b')) AS term FROM clauses) SELECT ord, lower(term) AS term, count(*) AS n FROM t GROUP BY ALL""")
+_TIMES = " UNION ".join(rf"SELECT contract_id, ord, unnest(regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '{p}', 1)) AS term FROM clauses" for p in tx.TIMING)
+
+
+@query(f"WITH {o.CLAUSES}, t AS ({_TIMES}) SELECT ord, term, count(*) AS n FROM t GROUP BY ALL")
 def time_terms(spark, sf_dir):
-    return clauses(spark, sf_dir).select("ord", F.explode(tx.time_terms(F.col("text"))).alias("term")).groupBy("ord", F.lower("term").alias("term")).agg(F.count("*").alias("n"))
+    return clauses(spark, sf_dir).select("ord", F.explode(tx.time_terms(F.col("text"))).alias("term")).groupBy("ord", "term").agg(F.count("*").alias("n"))
 
 
 @query(rf"""WITH {o.CLAUSES}, m AS (SELECT ord, len(regexp_extract_all(text, '(?i)\b(?:shall|must|may)\b')) AS modals, strlen(text) AS bytes FROM clauses) SELECT ord, greatest(2, least(12, 2 + max(modals)))::BIGINT AS rule_cap, sum(bytes)::BIGINT AS bytes, greatest(0, floor((32768 - 12288 - 1024) * 2.5)::BIGINT - max(bytes))::BIGINT AS byte_budget FROM m GROUP BY ord""")
