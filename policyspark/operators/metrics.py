@@ -34,7 +34,8 @@ def by_class(rows: DataFrame, *groups: str) -> DataFrame:
     sums = rows.select(*groups, flags.alias("f")).groupBy(*groups, "f.class").agg(F.sum(F.col("f.g") * F.col("f.p")).alias("tp"), F.sum("f.g").alias("support"), F.sum("f.p").alias("called"))
     p, r = ratio(F.col("tp"), F.col("called")), ratio(F.col("tp"), F.col("support"))
     f1 = ratio(2 * F.col("tp"), F.col("support") + F.col("called"))
-    return sums.select(*groups, F.col("class").alias("label"), "support", p.alias("precision"), r.alias("recall"), F.when(F.col("support") + F.col("called") > 0, f1).alias("f1"))
+    bounds = dict(zip(("precision_low", "precision_high", "recall_low", "recall_high"), (*wilson(F.col("tp"), F.col("called")), *wilson(F.col("tp"), F.col("support"))), strict=True))
+    return sums.select(*groups, F.col("class").alias("label"), "support", p.alias("precision"), r.alias("recall"), F.when(F.col("support") + F.col("called") > 0, f1).alias("f1"), *[F.when(F.col("called" if n.startswith("p") else "support") > 0, c).alias(n) for n, c in bounds.items()])
 
 
 def wilson(correct: Column, total: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -55,17 +56,24 @@ def summary(rows: DataFrame, *groups: str) -> DataFrame:
         F.sum((F.col("gold") == "RELEVANT").cast("int")).alias("_relevant"), F.sum(((F.col("gold") == "RELEVANT") & on).cast("int")).alias("_kept"),
     )
     low, high = wilson(F.col("correct"), F.col("n"))
-    return agg.select(*groups, "n", "correct", "errors", ratio(F.col("correct"), F.col("n")).alias("accuracy"), low.alias("low"), high.alias("high"), ratio(F.col("_most"), F.col("n")).alias("majority"), "forwarded", ratio(F.col("_kept"), F.col("_relevant")).alias("relevant_recall"), (F.col("_relevant") - F.col("_kept")).alias("missed_relevant"))
+    return agg.select(*groups, "n", "correct", "errors", ratio(F.col("correct"), F.col("n")).alias("accuracy"), low.alias("low"), high.alias("high"), ratio(F.col("_most"), F.col("n")).alias("majority"), "forwarded", ratio(F.col("forwarded"), F.col("n")).alias("coverage"), ratio(F.col("_kept"), F.col("_relevant")).alias("relevant_recall"), (F.col("_relevant") - F.col("_kept")).alias("missed_relevant"))
 
 
 def macro(classes: DataFrame, *groups: str) -> DataFrame:
-    """Means over the labels with support, support-weighted F1, balanced accuracy and labels of low support."""
-    live = classes.where("support > 0")
-    weight = F.sum(F.coalesce("f1", F.lit(0.0)) * F.col("support")) / F.sum("support")
-    return live.groupBy(*groups).agg(
-        F.avg(F.coalesce("precision", F.lit(0.0))).alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg(F.coalesce("f1", F.lit(0.0))).alias("macro_f1"),
-        weight.alias("weighted_f1"), F.avg("recall").alias("balanced_accuracy"), F.sum((F.col("support") < LOW_SUPPORT).cast("int")).alias("low_support"),
-    )
+    """Means over the labels with support, support-weighted F1, balanced accuracy and the labels of low support, absent ones included."""
+    live = F.col("support") > 0
+    mean = lambda c: F.avg(F.when(live, F.coalesce(c, F.lit(0.0))))
+    weight = F.sum(F.when(live, F.coalesce("f1", F.lit(0.0)) * F.col("support"))) / F.nullif(F.sum("support"), F.lit(0))
+    low = F.array_join(F.sort_array(F.collect_list(F.when(F.col("support") < LOW_SUPPORT, F.col("label")))), ",")
+    return classes.groupBy(*groups).agg(mean("precision").alias("macro_precision"), mean("recall").alias("macro_recall"), mean("f1").alias("macro_f1"), weight.alias("weighted_f1"), mean("recall").alias("balanced_accuracy"), low.alias("low_support"))
+
+
+def contract_macro(rows: DataFrame, groups: list[str], contract: str) -> DataFrame:
+    """Mean over contracts of their macro F1, each over the labels its whole group has; an undefined score counts 0."""
+    each = by_class(rows, *groups, contract)
+    known = by_class(rows, *groups).where("support > 0").select(*groups, "label")
+    one = each.join(known, [*groups, "label"]).groupBy(*groups, contract).agg(F.avg(F.coalesce("f1", F.lit(0.0))).alias("m"))
+    return one.groupBy(*groups).agg(F.avg("m").alias("contract_macro_f1"), F.count("*").alias("contracts"))
 
 
 def bootstrap(rows: DataFrame, contract: str, cluster: str, reps: int = 500) -> DataFrame:
@@ -86,6 +94,34 @@ def bootstrap(rows: DataFrame, contract: str, cluster: str, reps: int = 500) ->
     return each.agg(at(0.025).alias("low"), at(0.5).alias("middle"), at(0.975).alias("high"), F.count("*").alias("reps"))
 
 
+def bootstrap_macro(rows: DataFrame, groups: list[str], contract: str, cluster: str, reps: int = 500) -> DataFrame:
+    """Interval of the macro F1 of each group by resampling its clusters within contracts.
+
+    Clusters are summed up to nine counts each before they are drawn. A group of fewer than two
+    rows or clusters has no interval, nor has one where under 95 % of the rounds are defined.
+    """
+    cells = [F.sum(((F.col("gold") == g) & (F.col("predicted") == p)).cast("long")).alias(f"c{i}{j}") for i, g in enumerate(LABELS) for j, p in enumerate(LABELS)]
+    support = [F.sum((F.col("gold") == g).cast("long")).alias(f"s{i}") for i, g in enumerate(LABELS)]
+    sums = rows.groupBy(*groups, contract, cluster).agg(*cells, *support, F.count("*").alias("n"))
+    by = Window.partitionBy(*groups, contract)
+    sums = sums.withColumn("i", F.row_number().over(by.orderBy(cluster)) - 1).withColumn("k", F.count("*").over(by))
+    draws = sums.select(*groups, contract, "k", F.col("i").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(contract).cast("string"), F.col("slot").cast("string"), F.col("rep").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("k")
+    names = [f"c{i}{j}" for i in range(3) for j in range(3)] + ["s0", "s1", "s2"]
+    took = draws.withColumn("i", pick).join(sums.select(*groups, contract, "i", *names), [*groups, contract, "i"])
+    each = took.groupBy(*groups, "rep").agg(*[F.sum(n).alias(n) for n in names])
+    labels = sums.groupBy(*groups).agg(*[(F.sum(f"s{i}") > 0).alias(f"h{i}") for i in range(3)], F.count("*").alias("clusters"), F.sum("n").alias("total"))
+    each = each.join(labels, groups)
+    f1 = lambda i: F.coalesce(ratio(2 * F.col(f"c{i}{i}"), F.col(f"s{i}") + sum((F.col(f"c{j}{i}") for j in range(3)), F.lit(0))), F.lit(0.0))
+    held = sum((F.col(f"h{i}").cast("int") for i in range(3)), F.lit(0))
+    value = sum((F.when(F.col(f"h{i}"), f1(i)).otherwise(0.0) for i in range(3)), F.lit(0.0)) / F.nullif(held, F.lit(0))
+    values = F.sort_array(F.collect_list(value))
+    at = lambda q: F.element_at("v", F.floor((F.size("v") - 1) * q).cast("int") + 1)
+    out = each.groupBy(*groups).agg(values.alias("v"), F.max("clusters").alias("clusters"), F.max("total").alias("total"))
+    sound = (F.col("clusters") >= 2) & (F.col("total") >= 2) & (F.size("v") >= 0.95 * reps)
+    return out.select(*groups, F.when(sound, at(0.025)).alias("macro_low"), F.when(sound, at(0.975)).alias("macro_high"), "clusters")
+
+
 def multiset_match(expected: DataFrame, found: DataFrame, keys: list[str], signature: str = "signature") -> DataFrame:
     """For each case how many signatures agree, as multisets, with precision, recall and F1 (0 where undefined)."""
     a = expected.groupBy(*keys, signature).agg(F.count("*").alias("e"))

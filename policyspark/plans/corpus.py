@@ -58,6 +58,15 @@ def filled(template: Column) -> Column:
     return F.when(F.contains(template, F.lit("{")), out).otherwise(template)
 
 
+def written(template: str) -> Column:
+    """A template known in advance, with only the terms it names filled in."""
+    out = F.lit(template)
+    for name in PLACEHOLDERS:
+        if "{" + name + "}" in template:
+            out = F.replace(out, F.lit("{" + name + "}"), F.col(name))
+    return out
+
+
 def expanded(terms: DataFrame, templates: DataFrame, n: int) -> DataFrame:
     """Each agreement with its live templates: places are spelled out and meet the catalogue by an equi-join.
 

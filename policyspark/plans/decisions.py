@@ -12,7 +12,7 @@ from policyspark.functions import truth as tr
 from policyspark.operators import metrics, policy
 from policyspark.plans import oracle as o
 from policyspark.plans.catalogue import CATALOGUE
-from policyspark.plans.corpus import agreements, bits, clauses, conditions, filled, mask, rules, table
+from policyspark.plans.corpus import agreements, bits, clauses, conditions, mask, rules, table, written
 from policyspark.plans.structure import _SCOPED
 
 Q, S = {}, {}
@@ -50,15 +50,23 @@ def relevance_confusion(spark, sf_dir):
 
 
 _BY = """c AS (SELECT l.l AS label, count(*) FILTER (gold = l.l AND predicted = l.l) AS tp, count(*) FILTER (gold = l.l) AS support, count(*) FILTER (predicted = l.l) AS called FROM lab, (VALUES ('RELEVANT'), ('NOT_RELEVANT'), ('NEEDS_CONTEXT')) l(l) GROUP BY ALL),
-    classes AS (SELECT label, support, tp / nullif(called, 0) AS precision, tp / nullif(support, 0) AS recall, 2 * tp / nullif(support + called, 0) AS f1 FROM c)"""
+    classes AS (SELECT label, support, tp, called, tp / nullif(called, 0) AS precision, tp / nullif(support, 0) AS recall, 2 * tp / nullif(support + called, 0) AS f1 FROM c)"""
 
 
-@query(f"WITH {_LABELLED}, {_BY} SELECT * FROM classes")
+def _bounds(correct: str, total: str, name: str) -> str:
+    z, p = "1.959963984540054", f"({correct} / {total})"
+    half = f"{z} * sqrt({p} * (1 - {p}) / {total} + {z} * {z} / (4.0 * {total} * {total})) / (1 + {z} * {z} / {total})"
+    middle = f"({p} + {z} * {z} / (2 * {total})) / (1 + {z} * {z} / {total})"
+    return f"CASE WHEN {total} > 0 THEN greatest(0, {middle} - {half}) END AS {name}_low, CASE WHEN {total} > 0 THEN least(1, {middle} + {half}) END AS {name}_high"
+
+
+
+@query(f"WITH {_LABELLED}, {_BY} SELECT label, support, precision, recall, f1, {_bounds('tp', 'called', 'precision')}, {_bounds('tp', 'support', 'recall')} FROM classes")
 def relevance_prf(spark, sf_dir):
     return metrics.by_class(labelled(spark, sf_dir))
 
 
-@query(f"WITH {_LABELLED}, {_BY} SELECT avg(coalesce(precision, 0)) AS macro_precision, avg(recall) AS macro_recall, avg(coalesce(f1, 0)) AS macro_f1, sum(coalesce(f1, 0) * support) / sum(support) AS weighted_f1, avg(recall) AS balanced_accuracy, count(*) FILTER (support < 30) AS low_support FROM classes WHERE support > 0")
+@query(f"WITH {_LABELLED}, {_BY} SELECT avg(coalesce(precision, 0)) FILTER (support > 0) AS macro_precision, avg(recall) AS macro_recall, avg(coalesce(f1, 0)) FILTER (support > 0) AS macro_f1, sum(coalesce(f1, 0) * support) / sum(support) AS weighted_f1, avg(recall) AS balanced_accuracy, coalesce(string_agg(label, ',' ORDER BY label) FILTER (support < 30), '') AS low_support FROM classes")
 def relevance_macro(spark, sf_dir):
     return metrics.macro(metrics.by_class(labelled(spark, sf_dir)))
 
@@ -67,7 +75,7 @@ _SUMMARY = """count(*) AS n, count(*) FILTER (gold = predicted) AS correct, coun
 _Z = "1.959963984540054"
 _WILSON = f"""greatest(0, (correct / n + {_Z} * {_Z} / (2 * n)) / (1 + {_Z} * {_Z} / n) - {_Z} * sqrt(correct / n * (1 - correct / n) / n + {_Z} * {_Z} / (4.0 * n * n)) / (1 + {_Z} * {_Z} / n)) AS low,
       least(1, (correct / n + {_Z} * {_Z} / (2 * n)) / (1 + {_Z} * {_Z} / n) + {_Z} * sqrt(correct / n * (1 - correct / n) / n + {_Z} * {_Z} / (4.0 * n * n)) / (1 + {_Z} * {_Z} / n)) AS high"""
-_COLUMNS = f"n, correct, errors, correct / n AS accuracy, {_WILSON}, most / n AS majority, forwarded, kept / nullif(rel, 0) AS relevant_recall, rel - kept AS missed_relevant"
+_COLUMNS = f"n, correct, errors, correct / n AS accuracy, {_WILSON}, most / n AS majority, forwarded, forwarded / n AS coverage, kept / nullif(rel, 0) AS relevant_recall, rel - kept AS missed_relevant"
 
 
 @query(f"WITH {_LABELLED}, s AS (SELECT {_SUMMARY} FROM lab) SELECT {_COLUMNS} FROM s")
@@ -245,7 +253,7 @@ def decided(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", *[v.alias(f"says_{f}") for f, v in said.items()], *[tr.amount(F.lit(f), v).alias(f"amount_{f}") for f, v in said.items()])
     terms = agreements(spark, sf_dir).withColumn("bits", bits())
     held = {v for *_, v in LEAVES if "{" in v}
-    sides = [filled(F.lit(v)).alias(f"term_{i}") for i, v in enumerate(sorted(held))]
+    sides = [written(v).alias(f"term_{i}") for i, v in enumerate(sorted(held))]
     terms = terms.select("contract_id", "o_custkey", "bits", *sides)
     sizes = sorted({(f, v) for *_, f, op, v in LEAVES if op in ORDERED and "{" in v})
     names = {v: f"term_{i}" for i, v in enumerate(sorted(held))}
@@ -260,9 +268,9 @@ def truth_of(leaf, op=None):
     if field not in ("recipient", "approval", "elapsedTime", "purpose", "payAmount", "spatial"):
         return F.lit(None).cast("boolean")
     held, sizes = sorted({v for *_, v in LEAVES if "{" in v}), sorted({(f, v) for *_, f, o_, v in LEAVES if o_ in ORDERED and "{" in v})
-    right = F.col(f"term_{held.index(value)}") if "{" in value else F.lit(value)
-    bound = F.col(f"bound_{sizes.index((field, value))}") if (field, value) in sizes else None
-    return tr.leaf(F.lit(field), F.lit(op), F.col(f"says_{field}"), right, F.col(f"amount_{field}"), bound)
+    term = F.col(f"term_{held.index(value)}") if "{" in value else None
+    bound = F.col(f"bound_{sizes.index((field, value))}") if (field, value) in sizes else tr.amount(F.lit(field), F.lit(value)) if op in ORDERED else None
+    return tr.literal_leaf(op, F.col(f"says_{field}"), value, F.col(f"amount_{field}"), bound, term)
 
 
 def live(names):
@@ -369,29 +377,6 @@ def template_rules(spark, sf_dir):
     return agreements(spark, sf_dir).select("contract_id", F.col("D").alias("data"), "days").join(made, "contract_id", "left").select("contract_id", F.coalesce("rules", F.lit(0)).cast("long").alias("rules"), "data", "days")
 
 
-@query(f"""WITH {o.CONDITIONS}, p AS (SELECT contract_id, clause_id, n, d.shift, value, op, (CASE WHEN value LIKE '"PT%' THEN 1 ELSE 24 END) * regexp_extract(value, '(\\d+)', 1)::INTEGER + d.shift AS hours FROM conditions, (VALUES (-1), (0), (1)) d(shift) WHERE field = 'elapsedTime')
-    SELECT clause_id, shift, count(*) AS probes, count(*) FILTER (CASE WHEN op = 'lteq' THEN shift <= 0 ELSE shift >= 0 END) AS passed FROM p GROUP BY ALL""")
-def behaviour_probes(spark, sf_dir):
-    """Each deadline probed an hour before, at and an hour after its bound."""
-    same = conditions(spark, sf_dir).where("field = 'elapsedTime'").groupBy("clause_id", "field", "op", "value").agg(F.count("*").alias("many"))
-    rows = same.withColumn("hours", (tx.duration_seconds(tr.bare(F.col("value"))) / 3600).cast("int")).withColumn("bound", tr.amount(F.col("field"), F.col("value"))).withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    rows = rows.withColumn("probe", F.concat(F.lit('"PT'), (F.col("hours") + F.col("shift")).cast("string"), F.lit('H"')))
-    rows = rows.withColumn("truth", tr.leaf(F.col("field"), F.col("op"), F.col("probe"), F.col("value"), b=F.col("bound")))
-    return rows.groupBy("clause_id", "shift").agg(F.sum("many").alias("probes"), F.sum(F.col("truth").cast("int") * F.col("many")).alias("passed"))
-
-
-@query(f"""WITH {o.AGREEMENTS}, t AS (SELECT contract_id, CASE WHEN o_orderkey % 10 = 0 THEN P ELSE R END AS R, P, CASE WHEN o_orderkey % 8 = 1 THEN D || chr(10) || 'x' ELSE D END AS D, days::INTEGER * CASE WHEN o_orderkey % 9 = 2 THEN 100 ELSE 1 END AS days, start, CASE WHEN o_orderkey % 6 = 5 THEN '2001-1-1' ELSE stop END AS stop FROM agreements)
-    SELECT contract_id, unnest(list_filter([CASE WHEN P = R THEN 'parties are one' END, CASE WHEN D LIKE '%' || chr(10) || '%' THEN 'data is not one line' END, CASE WHEN days NOT BETWEEN 1 AND 3650 THEN 'days out of bounds' END, CASE WHEN NOT regexp_matches(stop, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN 'stop is not a date' WHEN stop < start THEN 'stop before start' END], lambda x: x IS NOT NULL)) AS problem FROM t""")
-def terms_violations(spark, sf_dir):
-    k = F.col("o_orderkey")
-    t = agreements(spark, sf_dir).select("contract_id", "P", F.when(k % 10 == 0, F.col("P")).otherwise(F.col("R")).alias("R"), F.when(k % 8 == 1, F.concat("D", F.lit("\nx"))).otherwise(F.col("D")).alias("D"), (F.col("days").cast("int") * F.when(k % 9 == 2, 100).otherwise(1)).alias("days"), "start", F.when(k % 6 == 5, "2001-1-1").otherwise(F.col("stop")).alias("stop"))
-    faults = F.array(
-        F.when(F.col("P") == F.col("R"), "parties are one"), F.when(F.col("D").rlike(r"[\x00-\x1f]"), "data is not one line"), F.when(~F.col("days").between(1, 3650), "days out of bounds"),
-        F.when(tx.date_ordinal(F.col("stop")).isNull(), "stop is not a date").when(tx.date_ordinal(F.col("stop")) < tx.date_ordinal(F.col("start")), "stop before start"),
-    )
-    return t.select("contract_id", F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("problem"))
-
-
 _ALIASES = {"third party": "outsider", "Provider": "provider", "Recipient": "recipient", "written consent": "consent", "sole discretion": "discretion"}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from policyspark.plans import decisions, structure
+from policyspark.plans import authored, decisions, structure
 
-QUERIES = {**structure.Q, **decisions.Q}
-ORACLES = {**structure.S, **decisions.S}
+QUERIES = {**structure.Q, **decisions.Q, **authored.Q}
+ORACLES = {**structure.S, **decisions.S, **authored.S}
