@@ -251,6 +251,20 @@ def test_licences(spark, docs, awkward, empty):
     assert licenses.scan(empty, model).count() == 0 and licenses.learn(empty).families
 
 
+def test_licences_against_a_scan_without_shortcuts(spark, docs):
+    """Every stretch through the model, none passed over; wrapped notices are one."""
+    model = licenses.learn(docs)
+    wrapped = "Some words.\n\n" + "\n".join(["Permission is hereby granted, free of", "charge, to any person obtaining a copy", "of this software and associated documentation files"]) + "\n\nOther words."
+    texts = [wrapped, *[n for ns in licenses.NOTICES.values() for n in ns], *licenses.OTHERS, *[r.text for r in docs.limit(120).collect()]]
+    slow = licenses.Model(model.families, model.index, model.weights, model.bias, model.temperature)
+    slow.prepare()
+    slow.need = -1.0
+    for t in texts:
+        assert licenses.notices_of(t, model, 0.5) == licenses.notices_of(t, slow, 0.5)
+    assert [(k, f) for k, f, _, s in licenses.notices_of(wrapped, model, 0.5) if s >= 0.6] == [(2, "mit")]
+    assert licenses.notices_of(None, model, 0.5) == licenses.notices_of(" \n ", model, 0.5) == []
+
+
 # ---- 5 archives
 
 
