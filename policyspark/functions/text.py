@@ -91,6 +91,11 @@ def standalone_heading(heading: Column, text: Column, has_children: Column | Non
     return F.coalesce((t != "") & (h != "") & ((h == t) | numbered) & (word_count(t) <= 14) & ~t.rlike(TITLE_STOP), F.lit(False))
 
 
+def defined_term(text: Column) -> Column:
+    """The first term a text defines."""
+    return F.nullif(F.regexp_extract(text, DEFINITION, 1), F.lit(""))
+
+
 def definition_only(text: Column) -> Column:
     """A definition, after its clause number, whose body obliges nobody."""
     t = F.ltrim(after_number(stripped(text)))

@@ -16,10 +16,17 @@ PAGE_NUMBER = r"(?i)^\s*(?:page\s+)?\d+(?:\s*(?:/|of)\s*\d+)?\s*$"
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as spans: doc_id, pos, page, x0, y0, size, bold, text; all places follow from the line's number."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where(F.trim("text") != "")
-    pos = F.col("pos")
-    return docs.select("doc_id", "pos", (1 + F.floor(pos / 40)).cast("int").alias("page"), (72.0 + (pos % 3) * 10).alias("x0"), (10.0 + (pos % 40) * 20.5).alias("y0"), (8 + F.length("text") % 5).alias("size"), (pos % 7 == 0).alias("bold"), "text")
+    """Lines of documents as spans: doc_id, pos, page, x0, y0, size, bold_chars, min_size, text; all places follow from the line's number.
+
+    The first lines of every fourth document end in dot leaders, as a table of contents does.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    pos, size = F.col("pos"), 8 + F.length("line") % 5
+    text = F.when((F.col("doc_id") % 4 == 0) & (pos < 5), F.concat("line", F.lit(" ..... "), pos.cast("string"))).otherwise(F.col("line"))
+    n = F.length("text")
+    bold = F.when(pos % 7 == 0, n).when(pos % 7 == 1, F.floor(n / 2)).when(pos % 7 == 2, F.floor(n * 7 / 10) + 1).otherwise(0).cast("int")
+    rows = docs.select("doc_id", "pos", (1 + F.floor(pos / 40)).cast("int").alias("page"), (72.0 + (pos % 3) * 10).alias("x0"), (10.0 + (pos % 40) * 20.5).alias("y0"), size.alias("size"), F.when(pos % 5 == 3, size - 2).otherwise(size).alias("min_size"), text.alias("text"))
+    return rows.withColumn("bold_chars", bold)
 
 
 def body_sizes(rows: DataFrame, default: float = 12) -> DataFrame:
@@ -37,7 +44,7 @@ def typed(rows: DataFrame) -> DataFrame:
     """block_type heading, paragraph or other, by size, weight, margins, page numbers and footnotes."""
     body = body_sizes(rows)
     t = rows.join(body, ["doc_id", "page"])
-    heading = (F.length("text") < 250) & (F.col("bold") | (F.col("size") > 1.15 * F.col("body_size")))
+    heading = (F.length("text") < 250) & ((F.col("bold_chars") > 0.65 * F.length("text")) | (F.col("min_size") > 1.15 * F.col("body_size")))
     margin = (F.col("y0") < TOP * HEIGHT) | (F.col("y0") > BOTTOM * HEIGHT)
     other = (margin & F.col("text").rlike(PAGE_NUMBER)) | ((F.col("y0") > BOTTOM * HEIGHT) & (F.col("size") < FOOTNOTE * F.col("body_size")))
     return t.withColumn("marginal", margin).withColumn("block_type", F.when(other, "other").when(heading, "heading").otherwise("paragraph"))
@@ -87,16 +94,14 @@ def table_rows(members: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def visual_rows(members: DataFrame) -> DataFrame:
-    """Rows by base line: a span more than three points below the first of its row opens the next. One table page at a time."""
-    import pandas as pd
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "pos"])
-        row, start, out = -1, None, []
-        for y in pdf["y0"]:
-            if start is None or y - start > 3:
-                row, start = row + 1, y
-            out.append(row)
-        return pdf.assign(visual_row=out)[["doc_id", "pos", "table_no", "visual_row"]]
-
-    return members.select("doc_id", "page", "pos", "table_no", "y0").groupBy("doc_id", "page", "table_no").applyInPandas(walk, "doc_id long, pos int, table_no int, visual_row int")
+    """Rows by base line: a span more than three points below the first of its row opens the next. A table's spans are one sorted array, folded once."""
+    spans_ = members.groupBy("doc_id", "page", "table_no").agg(F.sort_array(F.collect_list(F.struct("y0", "pos"))).alias("spans"))
+    zero = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("start"), F.array().cast("array<struct<pos:int,visual_row:int>>").alias("out"))
+
+    def step(acc, x):
+        new = acc["start"].isNull() | (x["y0"] - acc["start"] > 3)
+        row = F.when(new, acc["row"] + 1).otherwise(acc["row"])
+        return F.struct(row.alias("row"), F.when(new, x["y0"]).otherwise(acc["start"]).alias("start"), F.concat(acc["out"], F.array(F.struct(x["pos"].cast("int").alias("pos"), row.alias("visual_row")))).alias("out"))
+
+    folded = F.aggregate("spans", zero, step, lambda acc: acc["out"])
+    return spans_.select("doc_id", "table_no", F.explode(folded).alias("s")).select("doc_id", "s.pos", "table_no", "s.visual_row")

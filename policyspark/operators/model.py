@@ -58,7 +58,7 @@ def rule_model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def gated(clauses: DataFrame) -> DataFrame:
     """clauses with gate and label where a predicate decides: titles, delivery duties, bare options. Else both are null."""
-    heading, duty, option = tx.standalone_heading(F.col("heading"), F.col("text")), tx.information_duty(F.col("text")), tx.checkbox_option(F.col("text"))
+    heading, duty, option = tx.standalone_heading(F.col("heading"), F.col("text")), tx.information_duty(F.col("text")), tx.checkbox_option(F.col("text"), F.col("heading"), F.col("context").isNotNull() if "context" in clauses.columns else None)
     gate = F.when(heading, "heading").when(duty, "delivery duty").when(option, "option")
     return clauses.withColumn("gate", gate).withColumn("label", F.when(heading, "NOT_RELEVANT").when(duty, "RELEVANT").when(option, "NEEDS_CONTEXT"))
 

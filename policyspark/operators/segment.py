@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from policyspark.functions.grouped import map_groups
 
 CLAUSE, SCOPE, DEFINITION = re.compile(tx.CLAUSE), re.compile(tx.SCOPE), re.compile(tx.DEFINITION)
 MONTH = re.compile(tx.MONTH)
-LETTER = re.compile(r"^\s*\(([a-z]+|[ivx]+)\)\s")
+LETTER = re.compile(r"^\s*(?:\(([a-z]|[ivx]{2,4})\)|([a-z]|[ivx]{2,4})[.)])(?=\s|$)")
 ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
 
 
@@ -24,15 +25,22 @@ def number_of(line: str) -> str | None:
     return None if re.match(r"[a-z%/,–\d-]", rest) else m[1]
 
 
-def item_of(line: str, last: str | None) -> str | None:
-    """A list letter; i, v and x are roman unless they follow the letter before them."""
+def item_of(line: str, current: str | None) -> str | None:
+    """The number of a list item, `(a)`, `a)` or `a.`, under the number that is current; i, v and x under a letter open a roman list.
+
+    After (h) an i is the next letter; inside a roman list its numbers go on in the same list.
+    """
     m = LETTER.match(line)
-    if not m:
+    if not m or not current:
         return None
-    letter = m[1]
-    if len(letter) == 1 and last and ord(letter) == ord(last[-1]) + 1:
-        return letter
-    return letter if len(letter) == 1 or letter in ROMAN else None
+    mark, levels = m[1] or m[2], re.findall(r"\(([^)]+)\)", current)
+    base = current.split("(")[0]
+    if levels and mark in ROMAN:
+        if len(levels) > 1:
+            base = current[: current.rfind("(")]
+        elif mark == "i" and levels[-1] != "h":
+            base = current
+    return f"{base}({mark})"
 
 
 def segment(blocks: list[dict]) -> list[dict]:
@@ -40,7 +48,7 @@ def segment(blocks: list[dict]) -> list[dict]:
     numbers = [n for b in blocks if b["block_type"] not in ("other", "table") for line in b["text"].split("\n") if (n := number_of(line))]
     numbered = len(numbers) >= 2 or any("." in n for n in numbers)
     out: list[dict] = []
-    active, section, letter = None, None, None
+    active, section, current = None, None, None
 
     def open_(b: dict, text: str, clause: str | None = None, parent: str | None = None, heading: str | None = None) -> dict:
         out.append({"clause_id": clause, "parent_clause_id": parent, "heading": heading, "text": text, "pages": [b["page"]], "block_ids": [b["block_id"]]})
@@ -52,7 +60,7 @@ def segment(blocks: list[dict]) -> list[dict]:
             open_(b, b["text"])
         elif SCOPE.match(first) and (b["block_type"] == "heading" or first.isupper()):
             open_(b, b["text"], heading=first)
-            active = section = letter = None
+            active = section = current = None
         elif not numbered:
             open_(b, b["text"])
         elif b["block_type"] != "table" and not number_of(b["text"]) and DEFINITION.match(b["text"]):
@@ -65,13 +73,13 @@ def segment(blocks: list[dict]) -> list[dict]:
                 number = None if dotted or b["block_type"] == "table" or re.search(r"\.{4,}", line) else number_of(line)
                 if number and i and re.search(r"(?i)\b(?:article|section|clause)\s*$", lines[i - 1]):
                     number = None
-                item = None if number else item_of(line, letter)
+                item = None if number or b["block_type"] == "table" else item_of(line, current)
                 if number:
-                    section, letter = number, None
+                    section = current = number
                     active = open_(b, line, number, None, line if b["block_type"] == "heading" else None)
-                elif item and section:
-                    letter = item
-                    active = open_(b, line, f"{section}({item})")
+                elif item:
+                    current = item
+                    active = open_(b, line, item)
                 elif active is None:
                     active = open_(b, line)
                 else:
@@ -81,7 +89,7 @@ def segment(blocks: list[dict]) -> list[dict]:
                             active[k].append(v)
     for i, c in enumerate(out, 1):
         c["chunk_id"], c["ord"] = f"c{i:06d}", i
-    once = {n for n in (c["clause_id"] for c in out) if n and [c["clause_id"] for c in out].count(n) == 1} if len(out) < 2000 else {n for n, k in pd.Series([c["clause_id"] for c in out if c["clause_id"]]).value_counts().items() if k == 1}
+    once = {n for n, k in Counter(c["clause_id"] for c in out if c["clause_id"]).items() if k == 1}
     for c in out:
         up = c["clause_id"]
         if up:

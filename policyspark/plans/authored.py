@@ -6,7 +6,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from policyspark.operators import authoring, evaluation, metrics
+from policyspark.functions import text as tx
+from policyspark.operators import authoring, evaluation, generation, metrics
 from policyspark.plans import oracle as o
 from policyspark.plans.catalogue import CATALOGUE, FLAGS
 from policyspark.plans.corpus import agreements, bits, clauses, mask, table, written
@@ -119,6 +120,43 @@ def classes_by_contract(spark, sf_dir):
     return rows.select("cohort", "contract_id", "label", "support", "precision", "recall", F.col("precision_low").isNotNull().cast("int").alias("has_precision_interval"))
 
 
+# ---- policies from clauses
+
+_SENTENCE = r"(Provider|Recipient) (must not|must only|must|may) ([a-z]+) (?:the )?([A-Z][a-z]+)"
+_START = tx.DEFINITION.replace("(?m)", "")
+_POLICY = rf"""WITH {o.CLAUSES}, c AS (SELECT *, {o.stripped('text')} AS t, regexp_extract(text, '\b{_SENTENCE}', 2) AS modal, regexp_extract(text, '\b{_SENTENCE}', 4) AS thing, ltrim({o.after_number(o.stripped('text'))}, E' \n\t') AS rest FROM clauses WHERE label <> 'NOT_RELEVANT'),
+    g AS (SELECT *, (heading IS NOT NULL AND {o.stripped('heading')} = t AND len(regexp_split_to_array(t, '\s+')) <= 14 AND NOT regexp_matches(t, '{tx.TITLE_STOP}')) OR (regexp_matches(text, '{tx.FAQ[0]}') AND regexp_matches(text, '{tx.FAQ[1]}') AND regexp_matches(text, '{tx.FAQ[2]}') AND NOT regexp_matches(text, '{tx.FAQ_STOP}'))
+      OR (regexp_matches(rest, '{_START}') AND NOT regexp_matches(regexp_replace(rest, '{_START}', ''), '{tx.OPERATIVE}')) OR (regexp_matches(text, '{tx.OWNS[0]}') AND regexp_matches(text, '{tx.OWNS[1]}') AND NOT regexp_matches(text, '{tx.OWNS_STOP}')) AS gated FROM c),
+    out AS (SELECT contract_id, ord, clause_id, CASE WHEN gated OR modal = '' THEN 'abstained_needs_review' WHEN text LIKE '%as it sees fit%' THEN 'rejected' ELSE 'generated' END AS outcome, CASE modal WHEN 'may' THEN 'permission' WHEN 'must' THEN 'obligation' ELSE 'prohibition' END AS kind, thing FROM g)"""
+
+
+def outcomes(spark, sf_dir):
+    """Every relevant clause through gates, planner, compiler and reviewer."""
+    return generation.generate(clauses(spark, sf_dir).where("label <> 'NOT_RELEVANT'"))
+
+
+@query(_POLICY + ", n AS (SELECT contract_id, ord, clause_id, kind, thing AS asset, row_number() OVER (PARTITION BY contract_id ORDER BY ord) AS n FROM out WHERE outcome = 'generated') SELECT 'urn:' || contract_id || ':r' || n AS rule_id, ord::INTEGER AS ord, clause_id, kind, asset FROM n")
+def policy_from_clauses(spark, sf_dir):
+    """The rules that come of all clauses, numbered within their agreement in source order."""
+    return generation.policy_rules(outcomes(spark, sf_dir)).select("rule_id", "ord", "clause_id", "kind", "asset")
+
+
+@query(_POLICY + """, s AS (SELECT contract_id, count(*) AS submitted, count(*) FILTER (outcome = 'generated') AS rules, count(*) FILTER (outcome = 'abstained_needs_review') AS abstained, bool_or(outcome = 'rejected') AS rej, bool_or(outcome = 'abstained_needs_review') AS abst FROM out GROUP BY ALL), t AS (SELECT contract_id, count(*) AS total FROM clauses GROUP BY ALL)
+    SELECT contract_id, submitted, rules, abstained AS abstained_needs_review, CASE WHEN rules = 0 AND rej THEN 'generation_rejected' WHEN rules = 0 THEN 'no_supported_rules' WHEN rej THEN 'draft_with_rejections' WHEN abst THEN 'draft_with_abstentions' ELSE 'draft' END AS status, (abstained >= 5 AND rules = 0) AS zero_yield, total, total - submitted AS left_out FROM s JOIN t USING (contract_id)""")
+def policy_status(spark, sf_dir):
+    """Outcome, status and source coverage of each agreement."""
+    made = generation.policies(outcomes(spark, sf_dir), clauses(spark, sf_dir).select("contract_id", F.col("ord").cast("int").alias("ord")))
+    return made.select("contract_id", "submitted", "rules", "abstained_needs_review", "status", "zero_yield", "total", F.size("not_submitted").cast("long").alias("left_out"))
+
+
+@query("WITH m AS (SELECT user_id % 5 AS worker, CASE WHEN event_type = 'error' THEN 'timeout' END AS error, length(props) AS tokens_in, (event_id % 97) AS tokens_out, (event_id % 7) / 10.0 AS seconds FROM events) SELECT worker, count(*) AS requests, count(error) AS failed, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, sum(seconds)::DOUBLE AS seconds, sum(tokens_out) / sum(seconds)::DOUBLE AS tokens_per_second FROM m GROUP BY ALL")
+def worker_counters(spark, sf_dir):
+    """Requests, failures, tokens and pace of each worker, events standing for requests."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select((F.col("user_id") % 5).alias("worker"), F.when(F.col("event_type") == "error", "timeout").alias("error"), F.length("props").cast("long").alias("tokens_in"), (F.col("event_id") % 97).alias("tokens_out"), ((F.col("event_id") % 7) / 10.0).cast("double").alias("seconds"))
+    return generation.counters(rows)
+
+
 # ---- terms and frozen agreements
 
 

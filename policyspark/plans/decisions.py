@@ -105,7 +105,8 @@ def gold_prediction_left_join(spark, sf_dir):
 # ---- rules against changed rules
 
 _RULES = f"WITH {o.CLAUSES}, {o.CONDITIONS.replace(o.AGREEMENTS + ',', '')}, rules AS (SELECT *, 'urn:' || contract_id || ':' || clause_id AS rule_id FROM clauses WHERE kind IS NOT NULL)"
-_CONDS = "conds AS (SELECT contract_id, clause_id, string_agg(field || ' ' || op || ' ' || lower(value), ';' ORDER BY field || ' ' || op || ' ' || lower(value)) AS conditions FROM conditions GROUP BY ALL)"
+_VALUE = """CASE WHEN field = 'elapsedTime' AND value LIKE '"PT%' THEN (regexp_extract(value, '(\\d+)', 1)::BIGINT * 3600) || ' s' WHEN field = 'elapsedTime' THEN (regexp_extract(value, '(\\d+)', 1)::BIGINT * 86400) || ' s' ELSE lower(value) END"""
+_CONDS = f"conds AS (SELECT contract_id, clause_id, string_agg(field || ' ' || op || ' ' || {_VALUE}, ';' ORDER BY field || ' ' || op || ' ' || {_VALUE}) AS conditions FROM conditions GROUP BY ALL)"
 _SIGNED = _RULES + ", " + _CONDS + r""", signed AS (SELECT r.*, coalesce(conditions, '') AS conditions, r.kind || '|' || regexp_replace(lower(actor), '^the ', '') || '|' || lower(action) || '|' || regexp_replace(lower(asset), '^the ', '') || '|' || coalesce(conditions, '') AS signature FROM rules r LEFT JOIN conds USING (contract_id, clause_id)),
     changed AS (SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 AND ord % 4 = 1 THEN replace(signature, 'recipient', 'provider') WHEN o_orderkey % 3 = 1 AND ord % 5 = 2 THEN replace(signature, 'lteq', 'gteq') ELSE signature END AS signature) FROM signed WHERE (o_orderkey + ord) % 11 <> 0)"""
 
@@ -213,11 +214,13 @@ def grounding_violations(spark, sf_dir):
     return policy.grounding(rules(spark, sf_dir), conditions(spark, sf_dir)).groupBy("clause_id", "fault").agg(F.count("*").alias("n"))
 
 
-_PHRASE = r"""regexp_replace(lower(regexp_replace(field, '([a-z])([A-Z])', '\1 \2', 'g')), '', '') || ' ' || op || ' ' || CASE WHEN regexp_matches(value, '^"PT?\d+[DH]"$') THEN regexp_extract(value, '(\d+)', 1) || ' ' || CASE WHEN value LIKE '"PT%' THEN 'hour' ELSE 'day' END || CASE WHEN regexp_extract(value, '(\d+)', 1) = '1' THEN '' ELSE 's' END WHEN value LIKE '"%' THEN regexp_extract(value, '^"(.*)"$', 1) ELSE value END"""
+_WORDS = lambda words, key: "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items()) + f" ELSE {key} END"
+_PHRASE = _WORDS(policy.FIELDS, "field") + " || ' ' || " + _WORDS(policy.COMPARED, "op") + r""" || ' ' || CASE WHEN regexp_matches(value, '^"PT?\d+[DH]"$') THEN regexp_extract(value, '(\d+)', 1) || ' ' || CASE WHEN value LIKE '"PT%' THEN 'hour' ELSE 'day' END || CASE WHEN regexp_extract(value, '(\d+)', 1) = '1' THEN '' ELSE 's' END WHEN value LIKE '"%' THEN regexp_extract(value, '^"(.*)"$', 1) ELSE value END"""
+_DOING = r"CASE action WHEN 'keepConfidential' THEN 'keep ' || asset || ' confidential' WHEN 'provideAccess' THEN 'provide access to ' || asset WHEN 'requestDelay' THEN 'request a publication delay for ' || asset ELSE lower(regexp_replace(action, '([a-z])([A-Z])', '\1 \2', 'g')) || ' ' || asset END"
 
 
-@query(_RULES + rf""", p AS (SELECT contract_id, clause_id, string_agg({_PHRASE}, ' and ' ORDER BY n) AS conds FROM conditions GROUP BY ALL)
-    SELECT contract_id, clause_id, row_number() OVER (PARTITION BY contract_id ORDER BY list_transform(string_split(clause_id, '.'), lambda x: x::INTEGER))::INTEGER AS place, actor || ' ' || CASE kind WHEN 'permission' THEN 'may' WHEN 'prohibition' THEN 'must not' ELSE 'must' END || ' ' || lower(regexp_replace(action, '([a-z])([A-Z])', '\1 \2', 'g')) || ' ' || asset || coalesce(' if ' || conds, '') AS summary FROM rules LEFT JOIN p USING (contract_id, clause_id)""")
+@query(_RULES + rf""", p AS (SELECT contract_id, clause_id, string_agg({_PHRASE}, '; ' ORDER BY n) AS conds FROM conditions GROUP BY ALL)
+    SELECT contract_id, clause_id, row_number() OVER (PARTITION BY contract_id ORDER BY list_transform(string_split(clause_id, '.'), lambda x: x::INTEGER))::INTEGER AS place, actor || ' ' || CASE kind WHEN 'permission' THEN 'may' WHEN 'prohibition' THEN 'must not' ELSE 'must' END || ' ' || {_DOING} || '.' || coalesce(' Where: ' || conds || '.', '') AS summary FROM rules LEFT JOIN p USING (contract_id, clause_id)""")
 def readable_rules(spark, sf_dir):
     return policy.readable(rules(spark, sf_dir), conditions(spark, sf_dir))
 
@@ -292,7 +295,7 @@ def rule_truth(number, turned=False):
 
 def tally(rows, truths, *by):
     """Per `by`: yes, no and unknown over truths, (name, in force, truth) triples evaluated in place on every row."""
-    made = rows.select(*by, *[F.when(on, F.when(t.isNull(), 2).when(t, 1).otherwise(0)).alias(f"t{i}") for i, (_, on, t) in enumerate(truths)])
+    made = rows.select(*by, *[F.when(on, F.coalesce(t.cast("int"), F.lit(2))).alias(f"t{i}") for i, (_, on, t) in enumerate(truths)])
     n = lambda code: sum((F.coalesce((F.col(f"t{i}") == code).cast("int"), F.lit(0)) for i in range(len(truths))), F.lit(0))
     out = made.groupBy(*by).agg(F.sum(n(1)).alias("yes"), F.sum(n(0)).alias("no"), F.sum(n(2)).alias("unknown"))
     return out.where("yes + no + unknown > 0")
@@ -300,7 +303,7 @@ def tally(rows, truths, *by):
 
 def tally_each(rows, truths):
     """(name, yes, no, unknown) of each truth over all rows: one row of partial sums a task, turned into rows at the end."""
-    made = rows.select(*[F.when(on, F.when(t.isNull(), 2).when(t, 1).otherwise(0)).alias(f"t{i}") for i, (_, on, t) in enumerate(truths)])
+    made = rows.select(*[F.when(on, F.coalesce(t.cast("int"), F.lit(2))).alias(f"t{i}") for i, (_, on, t) in enumerate(truths)])
     sums = [F.struct(F.lit(name).alias("name"), *[F.sum((F.col(f"t{i}") == code).cast("int")).alias(c) for code, c in ((1, "yes"), (0, "no"), (2, "unknown"))]) for i, (name, _, _) in enumerate(truths)]
     return made.agg(F.array(*sums).alias("s")).select(F.explode("s").alias("s")).select("s.*").where("yes + no + unknown > 0")
 
@@ -341,7 +344,7 @@ def truth_obligation_deadlines(spark, sf_dir):
 @query(_TRUTH + f", x AS (SELECT contract_id, event_id, CASE WHEN count(*) FILTER (truth) > 1 THEN FALSE WHEN count(*) > count(truth) THEN NULL ELSE count(*) FILTER (truth) = 1 END AS truth FROM leaves WHERE kind = 'permission' GROUP BY ALL) SELECT contract_id, {_COUNTS} FROM x GROUP BY ALL")
 def truth_xone(spark, sf_dir):
     parts = [(live(leaf[0].flags) & live(leaf[2]), truth_of(leaf)) for leaf in LEAVES if leaf[0].kind == "permission"]
-    made = decided(spark, sf_dir).select("contract_id", *[F.when(on, F.when(t.isNull(), 2).when(t, 1).otherwise(0)).alias(f"l{i}") for i, (on, t) in enumerate(parts)])
+    made = decided(spark, sf_dir).select("contract_id", *[F.when(on, F.coalesce(t.cast("int"), F.lit(2))).alias(f"l{i}") for i, (on, t) in enumerate(parts)])
     n = lambda code: sum((F.coalesce((F.col(f"l{i}") == code).cast("int"), F.lit(0)) for i in range(len(parts))), F.lit(0))
     made = made.select("contract_id", n(0).alias("no"), n(1).alias("yes"), n(2).alias("unknown"))
     one = F.when(F.col("yes") > 1, False).when(F.col("unknown") > 0, F.lit(None).cast("boolean")).otherwise(F.col("yes") == 1)
@@ -464,7 +467,11 @@ def segment_full(spark, sf_dir):
     return segmented(blocks).groupBy("clause_id", "parent_clause_id").agg(F.count("*").alias("n"), F.min("text").alias("first_text"))
 
 
-@query()
+_LABEL = rf"""WITH {o.CLAUSES}, t AS (SELECT *, {o.stripped('text')} AS t FROM clauses), g AS (SELECT *, CASE WHEN heading IS NOT NULL AND {o.stripped('heading')} = t AND len(regexp_split_to_array(t, '\s+')) <= 14 AND NOT regexp_matches(t, '{tx.TITLE_STOP}') THEN 'heading'
+      WHEN regexp_matches(text, '{tx.DUTY}') AND NOT regexp_matches(text, '{tx.ILLUSTRATIVE}') THEN 'delivery duty' WHEN coalesce(heading, '') = '' AND regexp_matches(text, '{tx.CHECKBOX}') AND len(regexp_split_to_array(t, '\s+')) <= 14 AND NOT regexp_matches(text, '{tx.CHECKBOX_STOP}') THEN 'option' END AS gate FROM t)"""
+
+
+@query(_LABEL + r""" SELECT ord::INTEGER AS ord, gate, CASE gate WHEN 'heading' THEN 'NOT_RELEVANT' WHEN 'delivery duty' THEN 'RELEVANT' WHEN 'option' THEN 'NEEDS_CONTEXT' ELSE CASE WHEN regexp_matches(text, '(?i)\b(?:above|aforesaid)\b') THEN 'NEEDS_CONTEXT' WHEN regexp_matches(text, '(?i)\b(?:must|may|shall|means)\b') THEN 'RELEVANT' ELSE 'NOT_RELEVANT' END END AS label, CASE WHEN gate IS NULL THEN 1 ELSE 0 END AS pass, count(*) AS n FROM g GROUP BY ALL""")
 def classify_clauses(spark, sf_dir):
     """Gates, packed requests and the rule model over all clauses."""
     from policyspark.operators import model
@@ -480,7 +487,8 @@ def compile_plan(spark, sf_dir):
     return compiler.compiled(plans).groupBy("group_id", "refused", "stands").agg(F.count("*").alias("plans"), F.sum("made").alias("made"))
 
 
-@query()
+@query(f"""WITH {o.CLAUSES}, s AS (SELECT contract_id, strlen('{{"chunk_id": "') + strlen(ord::VARCHAR) + strlen('", "text": ') + strlen(to_json(text)::VARCHAR) + 1 AS bytes FROM clauses)
+    SELECT contract_id, ceil(count(*) / 16)::BIGINT AS requests, (sum(bytes) + 2 * (count(*) - ceil(count(*) / 16)) + 2 * ceil(count(*) / 16))::BIGINT AS bytes FROM s GROUP BY contract_id""")
 def greedy_packing(spark, sf_dir):
     from policyspark.operators import model
 
@@ -488,7 +496,7 @@ def greedy_packing(spark, sf_dir):
     return model.packed(rows, model.Options()).groupBy("contract_id").agg(F.count("*").alias("requests"), F.sum(F.octet_length("value_json")).alias("bytes"))
 
 
-@query()
+@query(f"WITH {o.CONDITIONS}, n AS (SELECT contract_id, clause_id, count(*) AS n FROM conditions GROUP BY ALL) SELECT n::INTEGER AS branches, count(*) AS rules FROM n GROUP BY n")
 def dnf_branches(spark, sf_dir):
     """How many alternatives the complement of each rule's conditions has."""
     n = conditions(spark, sf_dir).groupBy("contract_id", "clause_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("n", "field", "op")))).alias("c"))

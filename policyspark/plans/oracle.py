@@ -78,6 +78,7 @@ def found(rows: str, column: str, pattern: str, name: str) -> str:
 # Lines of documents as laid-out spans; all places are made from the line's number.
 SPANS = r"""
     spans AS (
-      SELECT doc_id, pos, 1 + pos // 40 AS page, 72.0 + (pos % 3) * 10 AS x0, 10.0 + (pos % 40) * 20.5 AS y0, 8 + length(line) % 5 AS size, (pos % 7 = 0) AS bold, line AS text
-      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
-      WHERE trim(line) <> '')"""
+      SELECT *, CASE pos % 7 WHEN 0 THEN length(text) WHEN 1 THEN length(text) // 2 WHEN 2 THEN length(text) * 7 // 10 + 1 ELSE 0 END AS bold_chars FROM (
+        SELECT doc_id, pos, 1 + pos // 40 AS page, 72.0 + (pos % 3) * 10 AS x0, 10.0 + (pos % 40) * 20.5 AS y0, 8 + length(line) % 5 AS size, 8 + length(line) % 5 - CASE WHEN pos % 5 = 3 THEN 2 ELSE 0 END AS min_size, CASE WHEN doc_id % 4 = 0 AND pos < 5 THEN line || ' ..... ' || pos ELSE line END AS text
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
+        WHERE trim(line) <> ''))"""

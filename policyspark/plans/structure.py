@@ -28,7 +28,7 @@ _BODY = o.SPANS + """,
     body AS (SELECT doc_id, page, arg_max(size, (n, -first)) AS body_size FROM sizes GROUP BY ALL),
     typed AS (SELECT *, (y0 < 0.075 * 842 OR y0 > 0.87 * 842) AS marginal,
       CASE WHEN ((y0 < 0.075 * 842 OR y0 > 0.87 * 842) AND regexp_matches(text, '(?i)^\\s*(?:page\\s+)?\\d+(?:\\s*(?:/|of)\\s*\\d+)?\\s*$')) OR (y0 > 0.87 * 842 AND size < 0.72 * body_size) THEN 'other'
-           WHEN length(text) < 250 AND (bold OR size > 1.15 * body_size) THEN 'heading' ELSE 'paragraph' END AS block_type
+           WHEN length(text) < 250 AND (bold_chars > 0.65 * length(text) OR min_size > 1.15 * body_size) THEN 'heading' ELSE 'paragraph' END AS block_type
       FROM spans JOIN body USING (doc_id, page))"""
 
 
@@ -47,12 +47,9 @@ def heading_blocks(spark, sf_dir):
     return layout.typed(layout.spans(spark, sf_dir)).groupBy("block_type", "marginal").agg(F.count("*").alias("n"), F.sum("pos").cast("long").alias("places"))
 
 
-_LEADERS = r"[a-z]\.\s*$"
-
-
-@query(rf"WITH {o.SPANS} SELECT doc_id, page::INTEGER AS page, count(*) FILTER (regexp_matches(text, '{_LEADERS}')) AS leaders FROM spans GROUP BY ALL HAVING leaders >= 3")
+@query(rf"WITH {o.SPANS} SELECT doc_id, page::INTEGER AS page, count(*) FILTER (regexp_matches(text, '{layout.LEADERS}')) AS leaders FROM spans GROUP BY ALL HAVING leaders >= 3")
 def toc_pages(spark, sf_dir):
-    return layout.contents_pages(layout.spans(spark, sf_dir), leaders=_LEADERS)
+    return layout.contents_pages(layout.spans(spark, sf_dir))
 
 
 @query(rf"WITH {o.SPANS} SELECT doc_id, regexp_replace(trim(text), '\d', '#', 'g') AS line_key, count(DISTINCT page) AS pages FROM spans GROUP BY ALL HAVING pages >= 3")
@@ -93,7 +90,9 @@ def table_row_assignment(spark, sf_dir):
     return layout.table_rows(layout.table_members(layout.spans(spark, sf_dir), tables), bands)
 
 
-@query()
+@query(f"""WITH RECURSIVE {o.SPANS} {_TABLES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, table_no ORDER BY y0, pos) AS i FROM members),
+    w AS (SELECT doc_id, page, table_no, i, pos, y0 AS start, 0 AS visual_row FROM r WHERE i = 1 UNION ALL SELECT r.doc_id, r.page, r.table_no, r.i, r.pos, CASE WHEN r.y0 - w.start > 3 THEN r.y0 ELSE w.start END, w.visual_row + (r.y0 - w.start > 3)::INTEGER FROM w JOIN r ON r.doc_id = w.doc_id AND r.page = w.page AND r.table_no = w.table_no AND r.i = w.i + 1)
+    SELECT doc_id, pos::INTEGER AS pos, table_no, visual_row FROM w""")
 def table_visual_rows(spark, sf_dir):
     return layout.visual_rows(layout.table_members(layout.spans(spark, sf_dir), _tables(spark, sf_dir)))
 
@@ -314,11 +313,17 @@ def enrich_items(spark, sf_dir):
     return rows.where("label <> 'NOT_RELEVANT'").select("contract_id", "ord").join(found, ["contract_id", "ord"], "left").groupBy("ord").agg(F.count("*").alias("items"), F.sum(F.coalesce("n", F.lit(0))).alias("evidence"))
 
 
-@query()
+@query(_EDGES + """, sized AS (SELECT e.contract_id, e.ord, CASE relationship WHEN 'parent' THEN 0 WHEN 'definition' THEN 1 WHEN 'other' THEN 2 ELSE 3 END AS priority, e.target_ord, strlen(coalesce(e.def_text, s.text)) AS bytes FROM edges e JOIN scoped s ON s.contract_id = e.contract_id AND s.ord = e.target_ord),
+    line AS (SELECT *, row_number() OVER (PARTITION BY contract_id, ord ORDER BY priority, target_ord, bytes) AS i, count(*) OVER (PARTITION BY contract_id, ord) AS offered FROM sized),
+    fit AS (SELECT contract_id, ord, i, offered, CASE WHEN bytes <= 160 THEN bytes ELSE 0 END AS used, (bytes <= 160)::INTEGER AS kept FROM line WHERE i = 1
+      UNION ALL SELECT l.contract_id, l.ord, l.i, l.offered, f.used + CASE WHEN f.used + l.bytes <= 160 THEN l.bytes ELSE 0 END, f.kept + (f.used + l.bytes <= 160)::INTEGER FROM fit f JOIN line l ON l.contract_id = f.contract_id AND l.ord = f.ord AND l.i = f.i + 1)
+    SELECT ord, kept::BIGINT AS kept, offered, count(*) AS n, sum(used)::BIGINT AS used FROM fit WHERE i = offered GROUP BY ALL""")
 def greedy_budget(spark, sf_dir):
+    """How much evidence fits 160 bytes a clause, in order of priority, skipping what does not."""
     rows = scoped(spark, sf_dir)
-    sizes = rows.select("contract_id", F.col("ord").alias("target_ord"), F.octet_length("text").alias("bytes"))
-    return context.fit_budget(context.edges(rows).join(sizes, ["contract_id", "target_ord"]), 160)
+    sizes = rows.select("contract_id", F.col("ord").alias("target_ord"), F.octet_length("text").alias("own"))
+    found = context.edges(rows).join(sizes, ["contract_id", "target_ord"]).withColumn("bytes", F.coalesce(F.octet_length("def_text"), "own"))
+    return context.fit_budget(found, 160).groupBy("ord", "kept", "offered").agg(F.count("*").alias("n"), F.sum("used").alias("used"))
 
 
 _TIMES = " UNION ".join(rf"SELECT contract_id, ord, unnest(regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), '{p}', 1)) AS term FROM clauses" for p in tx.TIMING)

@@ -39,7 +39,7 @@ def test_scores_of_edge_cases(spark):
     s = metrics.summary(rows).first()
     assert (s.n, s.correct, s.errors, s.forwarded, s.missed_relevant) == (4, 1, 1, 3, 1) and 0 < s.low < 0.25 < s.high < 1
     assert {(r.gold, r.predicted): r.n for r in metrics.confusion(rows).collect()}[("NEEDS_CONTEXT", "ERROR")] == 0
-    assert metrics.macro(metrics.by_class(rows)).first().low_support == 2
+    assert metrics.macro(metrics.by_class(rows)).first().low_support == "NEEDS_CONTEXT,NOT_RELEVANT,RELEVANT"
     gold = spark.createDataFrame([(1, "RELEVANT"), (2, "RELEVANT"), (3, "RELEVANT")], "id int, gold string")
     said = spark.createDataFrame([(1, "RELEVANT"), (2, "MAYBE")], "id int, label string")
     assert sorted(r.predicted for r in metrics.outcome(gold, said, ["id"]).collect()) == ["ERROR", "ERROR", "RELEVANT"]
@@ -138,19 +138,42 @@ def test_sources(spark, tmp_path):
     (tmp_path / "c1/input/contract.pdf").write_bytes(b"%PDF page one")
     assert [r.contract_id for r in tables.contracts(spark, str(tmp_path)).collect()] == ["c1"]
     assert tables.pdf_blocks(spark, str(tmp_path), lambda b: [(1, "paragraph", b.decode())]).first().text == "%PDF page one"
-    with pytest.raises(ImportError):
-        tables.pdf_blocks(spark, str(tmp_path))
+    with pytest.raises(Exception, match="c1: no text"):
+        tables.pdf_blocks(spark, str(tmp_path)).collect()
+    tables.drop_contracts(spark, out, spark.createDataFrame([("a",)], "contract_id string"))
+    assert {r.contract_id for r in spark.read.parquet(out).collect()} == {"b"}
+    bad = spark.createDataFrame([("b000001", 0, "odd", "x"), ("b000002", 1, "heading", "x")], "block_id string, page int, block_type string, text string")
+    assert {(r.key, r.problem) for r in tables.faults(bad, tables.RULES["blocks"], "block_id").collect()} == {("b000001", "page"), ("b000001", "block_type")}
+    with pytest.raises(ValueError):
+        tables.checked(bad, "blocks", "block_id")
+
+
+PLAIN = [("heading", "1 Terms"), ("paragraph", "1.1 Data means files."), ("heading", "2 Use"), ("paragraph", "2.1 Recipient may read Data."), ("paragraph", "2.2 Recipient must not share Data."), ("paragraph", "2.3 Provider may close Data as it sees fit.")]
 
 
 def test_engine(spark, tmp_path):
-    rows = spark.createDataFrame([("k1", b["block_id"], i, b["block_type"], b["text"], 1) for i, b in enumerate(blocks())], tables.BLOCKS)
+    def rows(*keys):
+        return spark.createDataFrame([(k, b["block_id"], i, b["block_type"], b["text"], 1) for k in keys for i, b in enumerate(blocks(PLAIN))], tables.BLOCKS)
+
     engine = Engine(spark, str(tmp_path / "e"))
     with pytest.raises(RuntimeError):
         engine.run(step="labels")
-    assert engine.run(rows).first().status == "draft"
-    assert all(s["ready"] for s in engine.status())
-    engine.run(step="clauses")
-    assert [s["ready"] for s in engine.status()] == [True, True, False, False, False]
+    assert {(r.contract_id, r.reviewed, r.status) for r in engine.run(rows("k1", "k2")).collect()} == {("k1", 2, "reviewed_no_issues_found"), ("k2", 2, "reviewed_no_issues_found")}
+    made = {(r.contract_id, r.rule_id, r.kind, r.clause_id) for r in engine.table("policy").collect()}
+    assert made == {(k, f"urn:{k}:r{i}", kind, c) for k in ("k1", "k2") for i, kind, c in ((1, "permission", "2.1"), (2, "prohibition", "2.2"))}
+    assert {(r.status, r.rules, r.rejected) for r in engine.policies().collect()} == {("draft_with_rejections", 2, 1)}
+    assert all(s["ready"] and s["run"]["status"] == "completed" for s in engine.status())
+    one = spark.createDataFrame([("k1",)], "contract_id string")
+    engine.run(step="clauses", contracts=one)  # k1's later stages go, k2's stay
+    assert {r.contract_id for r in engine.table("policy").collect()} == {"k2"} and engine.table("clauses").select("contract_id").distinct().count() == 2
+
+    def broken(batches):
+        raise ValueError("no model")
+
+    engine.model = broken
+    with pytest.raises(Exception, match="no model"):
+        engine.run(step="labels", contracts=one)
+    assert engine.runs[-1]["status"] == "failed" and {r.contract_id for r in engine.table("labels").collect()} == {"k2"}
     engine.reset("blocks")
     assert not any(s["ready"] for s in engine.status())
 

@@ -18,7 +18,7 @@ def test_clause_numbers(spark):
 
 def test_parents_and_ancestors(spark):
     assert values(spark, tx.parent_number, ["1.2.3", "4(a)", "4(a)(i)", "7"]) == ["1.2", "4", "4(a)", None]
-    assert values(spark, tx.ancestors, ["1.2.3"]) == [["1.2", "1"]]
+    assert values(spark, tx.ancestors, ["1.2.3", "2.1(a)(i)", "4(a)", "7"]) == [["1.2", "1"], ["2.1(a)", "2.1", "2"], ["4"], []]
 
 
 def test_scope_headings(spark):
@@ -28,16 +28,28 @@ def test_scope_headings(spark):
 
 def test_definitions_and_gates(spark):
     assert values(spark, tx.defined_term, ["“Data” means all files", "Data: the files", "the data means"]) == ["Data", "Data", None]
-    assert values(spark, tx.definition_only, ["Data means all files", "Data means files that R must keep", "R keeps files"]) == [True, False, False]
+    assert values(spark, tx.definition_only, ["Data means all files", "2.1 Data means all files", "Data means files that R must keep", "R keeps files"]) == [True, True, False, False]
+    assert values(spark, tx.word_count, ["\none two", " ", "a"]) == [2, 0, 1] and values(spark, lambda t: tx.standalone_heading(t, t), ["Use of Data\n"]) == [True]
+    assert values(spark, lambda t: tx.standalone_heading(F.lit(None), t, F.lit(True)), ["2.1\nUse of Data", "2.1\nR must read"]) == [True, False]
     assert values(spark, tx.information_duty, ["P shall provide the relevant information", "P must supply goods", "As an example P must provide data"]) == [True, False, False]
     assert values(spark, lambda t: tx.standalone_heading(F.lit("Use of Data"), t), ["Use of Data", "Use of Data now", ""]) == [True, False, False]
     assert values(spark, tx.checkbox_option, ["☐ daily", "☐ R must pay"]) == [True, False]
-    assert values(spark, tx.explanatory_faq, ["About us: x\nHow to join?\nhttp://a", "About us: must\nHow to?\nhttp://a"]) == [True, False]
+    assert values(spark, tx.explanatory_faq, ["About us: x\nHow to join?\nhttp://a", "About us: must\nHow to join?\nhttp://a"]) == [True, False]
 
 
 def test_references(spark):
-    given = ["see clauses 3.1, 3.2 and 4.1 to 4.3", "Article 5", "section 1 to 400", "nothing"]
-    assert values(spark, tx.reference_numbers, given) == [["3.1", "3.2", "4.1", "4.2", "4.3"], ["5"], ["1 to 400"], []]
+    given = ["see clauses 3.1, 3.2 and 4.1", "clauses 4.1 to 4.3", "clauses 4.1–4.3", "sections 3.1-3.4", "Article 5", "section 1 to 400", "nothing"]
+    assert values(spark, tx.reference_numbers, given) == [["3.1", "3.2", "4.1"], ["4.1", "4.2", "4.3"], ["4.1", "4.2", "4.3"], ["3.1", "3.2", "3.3", "3.4"], ["5"], ["1", "400"], []]
+
+
+def test_time_terms(spark):
+    given = ["Told without undue  delay, and without undue delay.", "For the duration of the work, it stays. During the term and for a subsequent period of two years, too.", "within 3 days"]
+    assert values(spark, tx.time_terms, given) == [["without undue delay"], ["For the duration of the work", "During the term and for a subsequent period of two years"], []]
+
+
+def test_matches_know_their_surroundings(spark):
+    got = values(spark, lambda t: tx.matches(t, r"(\d)\d", 1), ["ab12cd34", "none"])
+    assert [(m.found, m.part, m.start, m.after, m.before70, m.after100) for m in got[0]] == [("12", "1", 2, "cd", "ab", "cd34"), ("34", "3", 6, "", "ab12cd", "")] and got[1] == []
 
 
 @pytest.mark.parametrize("value,seconds", [("P1D", 86400), ("PT2H", 7200), ("P1DT1M", 86460), ("pt1.5s", 1.5), ("P1Y", None), ("P2M", None), ("P", None), ("PT", None), ("x", None), (None, None)])
