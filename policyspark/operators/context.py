@@ -92,7 +92,7 @@ def _next(a: Column, b: Column) -> Column:
     return (F.regexp_extract(a, r"^(.*?)\d+$", 1) == F.regexp_extract(b, r"^(.*?)\d+$", 1)) & (last(b) == last(a) + 1)
 
 
-def references(scoped_rows: DataFrame) -> DataFrame:
+def references(scoped_rows: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """Numbers each clause and the clauses above it cite, with what they lead to.
 
     outcome: resolved, missing, ambiguous, external (a law), section (an annex that is missing or
@@ -101,7 +101,7 @@ def references(scoped_rows: DataFrame) -> DataFrame:
     agreement` means the main scope alone, `of Annex A` that annex alone.
     """
     main = main_scopes(scoped_rows)
-    cited = _inherited(citations(scoped_rows), ancestry(scoped_rows)).join(main, ["contract_id", "scope"]).join(sections(scoped_rows), ["contract_id", "annex"], "left")
+    cited = _inherited(citations(scoped_rows), ancestry(scoped_rows) if up is None else up).join(main, ["contract_id", "scope"]).join(sections(scoped_rows), ["contract_id", "annex"], "left")
     lost = (F.col("kind") == "annex") & (F.coalesce("annexes", F.lit(0)) != 1)
     none = F.lit(None).cast("int")
     first = F.when(F.col("kind") == "main", F.col("main_scope")).when(F.col("kind") == "annex", F.col("annex_scope")).otherwise(F.col("scope"))
@@ -118,20 +118,20 @@ def references(scoped_rows: DataFrame) -> DataFrame:
     return found.select(*base, "number", outcome.alias("outcome"), F.when(outcome == "resolved", target).alias("target_ord")).unionByName(notes)
 
 
-def annex_mentions(scoped_rows: DataFrame) -> DataFrame:
+def annex_mentions(scoped_rows: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """Annexes that a clause or one above it names otherwise than as the place of a cited number: annex, annex_scope, outcome (resolved, own, section)."""
     text = F.col("text")
     places = F.transform(F.filter(tx.matches(text, tx.REFERENCE, 1), lambda m: m["after100"].rlike(tx.ANNEX_AFTER) & ~(m["after100"].rlike(tx.LAW_AFTER) | m["before70"].rlike(tx.LAW_BEFORE))), lambda m: m["start"] + F.length(m["found"]) + F.length(F.regexp_extract(m["after100"], tx.ANNEX_AFTER, 0)) - F.length(F.regexp_extract(m["after100"], tx.ANNEX_AFTER, 1)))
     named = F.filter(tx.matches(text, rf"(?i)\b{tx.ANNEX}\b"), lambda m: ~F.array_contains(places, m["start"]))
     rows = scoped_rows.where(text.rlike(rf"(?i)\b{tx.ANNEX}\b")).select("contract_id", "scope", F.col("ord").alias("src_ord"), F.explode(F.array_distinct(F.transform(named, lambda m: F.upper(m["found"])))).alias("annex"))
-    cited = _inherited(rows, ancestry(scoped_rows)).select("contract_id", "scope", "ord", "annex").distinct().join(sections(scoped_rows), ["contract_id", "annex"], "left")
+    cited = _inherited(rows, ancestry(scoped_rows) if up is None else up).select("contract_id", "scope", "ord", "annex").distinct().join(sections(scoped_rows), ["contract_id", "annex"], "left")
     outcome = F.when(F.coalesce("annexes", F.lit(0)) != 1, "section").when(F.col("annex_scope") == F.col("scope"), "own").otherwise("resolved")
     return cited.select("contract_id", "scope", "ord", "annex", F.when(outcome == "resolved", F.col("annex_scope")).alias("annex_scope"), outcome.alias("outcome"))
 
 
-def annex_references(scoped_rows: DataFrame) -> DataFrame:
+def annex_references(scoped_rows: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """Clauses that name an annex, with all clauses of its scope; never of their own."""
-    cite = annex_mentions(scoped_rows).where("outcome = 'resolved'").select("contract_id", "ord", "annex", F.col("annex_scope").alias("scope"))
+    cite = annex_mentions(scoped_rows, up).where("outcome = 'resolved'").select("contract_id", "ord", "annex", F.col("annex_scope").alias("scope"))
     return cite.join(scoped_rows.select("contract_id", "scope", F.col("ord").alias("target_ord")), ["contract_id", "scope"]).select("contract_id", "ord", "annex", "target_ord")
 
 
@@ -195,8 +195,8 @@ def definition_uses(scoped_rows: DataFrame) -> DataFrame:
 def name_closure(picked: DataFrame) -> DataFrame:
     """(contract_id, scope, name, reached): the names that a name's definition, the definitions of its names and so on hold, itself included.
 
-    Paths double in length each round, so a chain of n definitions takes about log2(n) rounds; each
-    ends in the shared folder and joins only what the last one found with what is known.
+    Paths double in length each round, so a chain of n definitions takes about log2(n) rounds; what
+    each finds goes to the shared folder, and only that is joined with what is known.
     """
     held = mentions(picked.where("candidates = 1").select("contract_id", "scope", F.col("name").alias("from"), "def_text"), "def_text", picked)
     step = held.select("contract_id", "scope", F.col("from").alias("name"), F.col("name").alias("reached")).where("name <> reached")
@@ -207,7 +207,7 @@ def name_closure(picked: DataFrame) -> DataFrame:
         near = known.select("contract_id", "scope", "name", "reached")
         more = near.join(far, ["contract_id", "scope", "reached"]).select("contract_id", "scope", "name", F.col("further").alias("reached")).where("name <> reached")
         new = settled(more.distinct().join(known, ["contract_id", "scope", "name", "reached"], "left_anti"))
-        known = settled(known.unionByName(new))
+        known = known.unionByName(new)  # a union of a few tables that are settled already
     itself = picked.where("candidates = 1").select("contract_id", "scope", "name", F.col("name").alias("reached"))
     return known.unionByName(itself)
 
@@ -251,6 +251,60 @@ def main_scopes(scoped_rows: DataFrame) -> DataFrame:
     return scopes.withColumn("main_scope", F.last(F.when(F.col("annexed") == 0, F.col("scope")), ignorenulls=True).over(w)).select("contract_id", "scope", "main_scope")
 
 
+def block_owners(clauses: DataFrame) -> DataFrame:
+    """(contract_id, block_id, ord): the clauses that each block went into."""
+    return clauses.select("contract_id", F.explode("block_ids").alias("block_id"), "ord").distinct()
+
+
+def disclaimers(clauses: DataFrame) -> DataFrame:
+    """(contract_id, ord, target_ord): for every clause those that say of its page that it is no agreement."""
+    pages = clauses.select("contract_id", "ord", F.explode("pages").alias("page")).distinct()
+    notes = clauses.where(F.col("text").rlike(tx.DISCLAIMER)).select("contract_id", F.col("ord").alias("target_ord"), F.explode("pages").alias("page")).distinct()
+    return pages.join(notes, ["contract_id", "page"]).where("ord <> target_ord").select("contract_id", "ord", "target_ord").distinct()
+
+
+def table_context(blocks: DataFrame, clauses: DataFrame) -> DataFrame:
+    """(contract_id, ord, target_ord): for clauses out of a table the clauses of their row, of the table's headers and of the text that introduces it.
+
+    blocks: contract_id, ord, block_id, page, block_type, text, y0 and, where extraction knows them,
+    table_id, table_row, table_header. A run of table blocks of one page and table is a table. Of a
+    known table only blocks of a known row, and headers, count; else rows are told by base lines
+    that lie over three points apart, and the first is the header unless it obliges someone.
+    """
+    extra = {"table_id": "string", "table_row": "int", "table_header": "boolean"}
+    rows = blocks.withColumns({c: F.lit(None).cast(t) for c, t in extra.items() if c not in blocks.columns})
+    by = Window.partitionBy("contract_id").orderBy("ord")
+    table = F.col("block_type") == "table"
+    moved = ~F.lag("page").over(by).eqNullSafe(F.col("page")) | ~F.lag("table_id").over(by).eqNullSafe(F.col("table_id"))
+    new = table & (F.coalesce(F.lag("block_type").over(by) != "table", F.lit(True)) | moved)
+    plain = F.when(~F.col("block_type").isin("table", "other"), F.col("block_id"))
+    rows = rows.withColumn("table_group", F.sum(new.cast("int")).over(by)).withColumn("intro", F.last(plain, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))).where(table)
+    header = F.coalesce("table_header", F.lit(False))
+    held = rows.where(F.col("table_id").isNull() | F.col("table_row").isNotNull() | header)
+    one = F.struct("ord", "block_id", "table_row", "y0", header.alias("header"), "text")
+    groups = held.groupBy("contract_id", "table_group").agg(F.sort_array(F.collect_list(one)).alias("bs"), F.first("table_id").alias("table_id"), F.min_by("intro", "ord").alias("intro"))
+    zero = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("y"), F.lit(None).cast("int").alias("t"), F.array().cast("array<struct<block_id:string,row:int,header:boolean,text:string>>").alias("out"))
+
+    def step(acc, x):
+        next_ = (acc["row"] < 0) | ~acc["t"].eqNullSafe(x["table_row"]) | F.coalesce(F.abs(x["y0"] - acc["y"]) > 3, F.lit(False))
+        row = F.when(next_, acc["row"] + 1).otherwise(acc["row"])
+        made = F.struct(x["block_id"].alias("block_id"), row.alias("row"), x["header"].alias("header"), x["text"].alias("text"))
+        return F.struct(row.alias("row"), F.when(next_, x["y0"].cast("double")).otherwise(acc["y"]).alias("y"), F.when(next_, x["table_row"]).otherwise(acc["t"]).alias("t"), F.concat(acc["out"], F.array(made)).alias("out"))
+
+    groups = groups.withColumn("rs", F.aggregate("bs", zero, step, lambda acc: acc["out"]))
+    first = F.filter("rs", lambda x: x["row"] == 0)
+    bare = F.col("table_id").isNull() & ~F.exists("rs", lambda x: x["header"]) & ~F.array_join(F.transform(first, lambda x: x["text"]), " ").rlike(tx.HEADER_STOP)
+    heads = F.when(bare, first).otherwise(F.filter("rs", lambda x: x["header"]))
+    ids = lambda xs: F.transform(xs, lambda x: x["block_id"])
+    groups = groups.withColumn("always", F.array_distinct(F.concat(ids(heads), F.array_compact(F.array("intro")))))
+    members = groups.select("contract_id", "always", "rs", F.explode("rs").alias("r"))
+    near = ids(F.filter("rs", lambda x: x["row"] == F.col("r.row")))
+    pairs = members.select("contract_id", F.col("r.block_id").alias("block_id"), F.explode(F.array_distinct(F.concat("always", near))).alias("other"))
+    owners = block_owners(clauses)
+    found = pairs.join(owners, ["contract_id", "block_id"]).join(owners.select("contract_id", F.col("block_id").alias("other"), F.col("ord").alias("target_ord")), ["contract_id", "other"])
+    return found.where("ord <> target_ord").select("contract_id", "ord", "target_ord").distinct()
+
+
 def edges(scoped_rows: DataFrame, attached: DataFrame | None = None) -> DataFrame:
     """All evidence of each clause: contract_id, ord, target_ord, relationship, priority, n and def_text for a definition.
 
@@ -271,9 +325,9 @@ def edges(scoped_rows: DataFrame, attached: DataFrame | None = None) -> DataFram
     heads = scoped_rows.where(tx.standalone_heading(F.col("heading"), F.col("text")) & ~F.rtrim("text").endswith(":")).select("contract_id", F.col("ord").alias("target_ord"))
     below = up.join(twice, ["contract_id", "ord", "target_ord"], "left_anti").join(heads, ["contract_id", "target_ord"], "left_anti")
     kinds.append(ord_of(below.select("contract_id", F.col("target_ord").alias("ord"), F.col("ord").alias("target_ord")), "other", 2))
-    cited = settled(references(scoped_rows).where("outcome = 'resolved'").select("contract_id", "ord", "target_ord").distinct())
+    cited = settled(references(scoped_rows, up).where("outcome = 'resolved'").select("contract_id", "ord", "target_ord").distinct())
     under = cited.join(up.select("contract_id", "target_ord", F.col("ord").alias("deep")), ["contract_id", "target_ord"]).select("contract_id", "ord", F.col("deep").alias("target_ord"))
-    kinds += [ord_of(cited, "reference", 3), ord_of(under, "reference", 3), ord_of(annex_references(scoped_rows), "reference", 4)]
+    kinds += [ord_of(cited, "reference", 3), ord_of(under, "reference", 3), ord_of(annex_references(scoped_rows, up), "reference", 4)]
     every = kinds[0]
     for k in kinds[1:]:
         every = every.unionByName(k)
@@ -290,8 +344,9 @@ def edges(scoped_rows: DataFrame, attached: DataFrame | None = None) -> DataFram
 
 def unresolved(scoped_rows: DataFrame) -> DataFrame:
     """(contract_id, ord, note): citations and sections of a clause that lead nowhere, and its terms whose definition is ambiguous."""
-    refs = references(scoped_rows).where("outcome <> 'resolved'").select("contract_id", "ord", F.concat_ws(" ", "outcome", "number").alias("note"))
-    named = annex_mentions(scoped_rows).where("outcome = 'section'").select("contract_id", "ord", F.concat_ws(" ", "outcome", "annex").alias("note"))
+    up = settled(ancestry(scoped_rows))
+    refs = references(scoped_rows, up).where("outcome <> 'resolved'").select("contract_id", "ord", F.concat_ws(" ", "outcome", "number").alias("note"))
+    named = annex_mentions(scoped_rows, up).where("outcome = 'section'").select("contract_id", "ord", F.concat_ws(" ", "outcome", "annex").alias("note"))
     picked = settled(chosen(scoped_rows))
     unclear = mentions(scoped_rows.select("contract_id", "scope", "ord", "text"), "text", picked).join(picked.where("candidates > 1"), ["contract_id", "scope", "name"]).where("ord <> def_ord")
     return refs.unionByName(named).unionByName(unclear.select("contract_id", "ord", F.concat_ws(" ", F.lit("definition"), "name").alias("note"))).distinct()

@@ -76,13 +76,19 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 
 def table_members(rows: DataFrame, tables: DataFrame) -> DataFrame:
-    """Spans whose middle lies in a table of at least two rows and columns of their page; the first table wins.
+    """Spans whose middle lies in a table of at least two rows and columns of their page, or in its header's box; the first table wins.
 
-    An equi-join on the page with the range as its residue, so no product of pages and tables.
+    Spans may have x1 and y1, else they are taken for 100 by 10 points; tables may have a header box
+    hx0, hx1, hy0, hy1. An equi-join on the page with the range as its residue, so no product of
+    pages and tables.
     """
     big = tables.where("table_rows >= 2 and table_columns >= 2")
-    x, y = F.col("x0") + 50, F.col("y0") + 5
-    hits = rows.join(big, ["doc_id", "page"]).where(x.between(F.col("tx0"), F.col("tx1")) & y.between(F.col("ty0"), F.col("ty1")))
+    x = (F.col("x0") + F.col("x1")) / 2 if "x1" in rows.columns else F.col("x0") + 50
+    y = (F.col("y0") + F.col("y1")) / 2 if "y1" in rows.columns else F.col("y0") + 5
+    inside = x.between(F.col("tx0"), F.col("tx1")) & y.between(F.col("ty0"), F.col("ty1"))
+    if "hx0" in tables.columns:
+        inside = inside | F.coalesce(x.between(F.col("hx0"), F.col("hx1")) & y.between(F.col("hy0"), F.col("hy1")), F.lit(False))
+    hits = rows.join(big, ["doc_id", "page"]).where(inside)
     return hits.groupBy("doc_id", "pos", "page", "y0").agg(F.min("table_no").alias("table_no"))
 
 

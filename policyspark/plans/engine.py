@@ -69,7 +69,10 @@ class Engine:
         if stage == "evidence":
             rows = settled(context.scoped(clauses))
             kept = held("labels").where("label <> 'NOT_RELEVANT'").select("contract_id", "ord")
-            return kept.join(context.edges(rows), ["contract_id", "ord"], "left")
+            blocks_ = held("blocks")
+            placed = blocks_ if "y0" in blocks_.columns else blocks_.withColumn("y0", F.lit(None).cast("double"))
+            attached = context.disclaimers(clauses).unionByName(context.table_context(placed, clauses))
+            return kept.join(context.edges(rows, attached), ["contract_id", "ord"], "left")
         if stage == "outcomes":
             kept = held("labels").where("label <> 'NOT_RELEVANT'").select("contract_id", "ord")
             texts = clauses.select("contract_id", F.col("ord").alias("target_ord"), "text")

@@ -67,3 +67,18 @@ def test_turns_without_pairs(spark):
     turns = spark.createDataFrame([(1, t) for t in range(500)] + [(2, 0), (2, 1), (2, 3), (2, 3), (3, None)], "conv_id int, turn int")
     got = {(r.conv_id, r.turn, r.above, r.root) for r in context.conversation_closure(turns).collect()}
     assert len(got) == 500 and (1, 499, 499, 0) in got and (2, 1, 1, 0) in got and not [x for x in got if x[:2] == (2, 3)]
+
+
+BLOCK = "contract_id string, ord int, block_id string, page int, block_type string, text string, y0 double"
+
+
+def test_table_rows_headers_and_notes(spark):
+    given = [("paragraph", "Rates are:", 10.0), ("table", "Item", 30.0), ("table", "Price", 31.0), ("table", "Data", 50.0), ("table", "5", 51.0), ("table", "Logs", 70.0), ("other", "Page 1", 90.0), ("paragraph", "This is for information only.", 95.0)]
+    blocks = spark.createDataFrame([("k", i, f"b{i}", 1, t, x, y) for i, (t, x, y) in enumerate(given)], BLOCK)
+    clauses = spark.createDataFrame([("k", i, t, [1], [f"b{i}"]) for i, (_, t, _) in enumerate(given)], "contract_id string, ord int, text string, pages array<int>, block_ids array<string>")
+    got = {(r.ord, r.target_ord) for r in context.table_context(blocks, clauses).collect()}
+    assert {t for o, t in got if o == 3} == {0, 1, 2, 4} and {t for o, t in got if o == 5} == {0, 1, 2} and not [x for x in got if x[0] in (0, 6, 7)]
+    known = blocks.selectExpr("*", "'t1' as table_id", "case when ord in (3, 4) then 1 end as table_row", "ord = 1 as table_header")
+    got = {(r.ord, r.target_ord) for r in context.table_context(known, clauses).collect()}
+    assert {t for o, t in got if o == 3} == {0, 1, 4} and not [x for x in got if 2 in x or 5 in x]  # rows nobody knows are left out
+    assert {(r.ord, r.target_ord) for r in context.disclaimers(clauses).collect()} == {(i, 7) for i in range(7)}
