@@ -61,6 +61,11 @@ def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1 and so on: functions over batches take columns by name, and dots and quotes are no part of one there."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def typed(df: DataFrame, *columns: str, **more: T.DataType) -> T.StructType:
     """The schema of some columns of df, as they are, with more columns after them."""
     return T.StructType([df.schema[c] for c in columns] + [T.StructField(n, t) for n, t in more.items()])
