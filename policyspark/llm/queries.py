@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from policyspark.llm import decontam, fingerprints, langid, licenses, quality, runs, secret_scan, sentpiece, simhash, toxicity, warc
+from policyspark.llm import alignment, decontam, fingerprints, langid, licenses, quality, runs, secret_scan, sentpiece, simhash, toxicity, warc
 from policyspark.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.search_counts(fingerprints.document_fingerprints(table(spark, sf_dir, "documents")))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), alignment.load())
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
