@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from policyspark.llm import alignment, decontam, fingerprints, langid, licenses, quality, runs, secret_scan, sentpiece, simhash, toxicity, warc
+from policyspark.llm import alignment, decontam, fingerprints, langid, licenses, ngrams, quality, runs, secret_scan, sentpiece, simhash, toxicity, warc
 from policyspark.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_language_id": op2_language_id,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_document_fingerprints": op10_document_fingerprints,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
