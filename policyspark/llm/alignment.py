@@ -64,44 +64,71 @@ class Encoders:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         level = kind.get("pre_tokenizer") or {}
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
+        for i, x in self.a_bytes.items():
+            self.a_sizes[i] = len(x)
+        self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
         self.by_word = level.get("type") == "ByteLevel" and level.get("use_regex", True) and not kind.get("normalizer") and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.forget()
 
     def forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.sizes: list[tuple[int, int, int, int, bool]] = []  # of a word: A tokens, B tokens, groups, links, whether the bytes are right
-        self.texts: list[str] = []  # its groups, written out
-        self.of: list[list[int]] = []  # its groups' numbers
+        self.sizes: list[np.ndarray] = []  # of words: A tokens, B tokens, groups, links, whether the bytes are right
+        self.texts: list[str] = []  # a word's groups, written out
+        self.of: list[np.ndarray] = []  # the numbers of words' groups, one word after the other
         self.groups: dict[str, int] = {}
+        self.names: list[str] = []  # groups by number
         self.pairs: dict[tuple[int, int], int] = {}
         self.linked: list[list[int]] = []  # of a group: its distinct pairs' numbers
 
+    def group(self, key: str) -> int:
+        """The number of a group, its links made when it is new."""
+        if key not in self.groups:
+            self.groups[key] = len(self.names)
+            self.names.append(key)
+            self.linked.append([self.pairs.setdefault(p, len(self.pairs)) for p in dict.fromkeys(self.links(key))])
+        return self.groups[key]
+
     def split(self, text: str) -> list[str]:
         first, *rest = CUT.split(" " + text) if self.by_word else [" " + text]
         return [first, *(" " + r for r in rest)]
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words that aren't known, each with the space it begins with."""
+        """Encodes words that aren't known, each with the space it begins with, and cuts them into groups, all at once."""
         new = [w for w in dict.fromkeys(words) if w not in self.words]
         if not new:
             return
-        for word, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode([w[1:] for w in new], num_threads=1), strict=True):
-            a, here = a.ids, []
-            found = groups([len(self.a_bytes[x]) for x in a], [len(self.b_bytes[x]) for x in b])
-            raw = word.encode("utf-8", "surrogatepass")
-            right = b"".join(self.a_bytes[x] for x in a) == raw == b"".join(self.b_bytes[x] for x in b)
-            links = 0
-            for a0, a1, b0, b1 in found if right else ():
-                key = f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}"
-                here.append(key)
-                if key not in self.groups:
-                    self.groups[key] = len(self.linked)
-                    self.linked.append([self.pairs.setdefault(p, len(self.pairs)) for p in dict.fromkeys(self.links(key))])
-                links += len(self.links(key)) if a1 - a0 > 1 and b1 - b0 > 1 else a1 - a0 + b1 - b0 - 1  # a single token meets all of the other side
-            self.words[word] = len(self.texts)
-            self.texts.append(";".join(here))
-            self.of.append([self.groups[k] for k in here])
-            self.sizes.append((len(a), len(b), len(here), links, right))
+        a_lists = [x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        b_lists = self.b.encode([w[1:] for w in new], num_threads=1)
+        (a, a_at), (b, b_at) = _flat(a_lists), _flat(b_lists)
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        long = np.fromiter(map(len, raw), np.int64, len(raw))
+        right = np.ones(len(new), bool)
+        for ids, at, names, sizes in ((a, a_at, self.a_bytes, self.a_sizes), (b, b_at, self.b_bytes, self.b_sizes)):
+            right &= np.diff(np.concatenate(([0], np.cumsum(sizes[ids])))[at]) == long
+            if not right.all() or b"".join(map(names.__getitem__, ids.tolist())) != b"".join(raw):
+                right &= [b"".join(map(names.__getitem__, ids[i:j].tolist())) == x for i, j, x in zip(at[:-1], at[1:], raw, strict=True)]
+        n_a, n_b = np.diff(a_at), np.diff(b_at)
+        a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
+        group_of_a, group_of_b, ends = groups(self.a_sizes[a], self.b_sizes[b])
+        of_word = np.bincount(np.searchsorted(np.cumsum(long[right]), ends), minlength=int(right.sum()))
+        in_a, in_b = np.bincount(group_of_a, minlength=len(ends)), np.bincount(group_of_b, minlength=len(ends))
+        first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        numbers = np.zeros(len(ends), np.int64)
+        single = (in_a == 1) & (in_b == 1)
+        codes, place = np.unique(a[first_a[single]] << 32 | b[first_b[single]], return_inverse=True)
+        numbers[single] = np.array([self.group(f"{c >> 32}|{c & 0xFFFFFFFF}") for c in codes.tolist()], np.int64)[place]
+        others = np.flatnonzero(~single)
+        spelled = lambda ids, first, n: map(",".join, _cut(list(map(str, ids.tolist())), first[others], n[others]))
+        numbers[others] = [self.group(f"{x}|{y}") for x, y in zip(spelled(a, first_a, in_a), spelled(b, first_b, in_b), strict=True)]
+        n_groups = np.zeros(len(new), np.int64)
+        n_groups[right] = of_word
+        written = list(map(self.names.__getitem__, numbers.tolist()))
+        self.texts += map(";".join, _cut(written, np.cumsum(n_groups) - n_groups, n_groups))
+        self.words |= zip(new, range(len(self.words), len(self.words) + len(new)), strict=True)
+        self.of.append(numbers)
+        # no two inner ends of a group meet, so its tokens overlap one time less than there are of them
+        self.sizes.append(np.stack([n_a, n_b, n_groups, np.where(right, n_a + n_b - n_groups, 0), right], axis=1))
 
     def links(self, key: str) -> list[tuple[int, int]]:
         """The pairs of a group whose byte ranges overlap, at each of their places."""
@@ -122,20 +149,16 @@ class Encoders:
                 right = len(self.b_bytes[b[j]])
 
 
-def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first A token, end, first B token, end) of each group, for tokens of so many bytes: cut where both end."""
-    out, i, j, at_a, at_b, i0, j0 = [], 0, 0, 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if j == len(b) or (i < len(a) and at_a <= at_b):
-            at_a += a[i]
-            i += 1
-        else:
-            at_b += b[j]
-            j += 1
-        if at_a == at_b and i > i0 and j > j0:
-            out.append((i0, i, j0, j))
-            i0, j0 = i, j
-    return out
+def groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The group of each A token and each B token, and where the groups end, for tokens of so many bytes: cut where both end."""
+    a, b = np.cumsum(a), np.cumsum(b)
+    ends = np.intersect1d(a, b, assume_unique=True)
+    return np.searchsorted(ends, a), np.searchsorted(ends, b), ends
+
+
+def _cut(values: list[str], first: np.ndarray, sizes: np.ndarray) -> Iterator[list[str]]:
+    """Stretches of a list."""
+    return (values[i : i + n] for i, n in zip(first.tolist(), sizes.tolist(), strict=True))
 
 
 @lru_cache(maxsize=1)
@@ -177,8 +200,8 @@ def blocks(docs: DataFrame, files: tuple[str, bytes]) -> DataFrame:
         def flush() -> pa.RecordBatch:
             e.learn([w for words in rows for w in words])
             words_of = [np.fromiter(map(e.words.__getitem__, words), np.int64, len(words)) for words in rows]
-            sizes = np.array(e.sizes, np.int64).reshape(-1, 5)
-            of, of_starts = _flat(e.of)
+            sizes = np.concatenate(e.sizes) if e.sizes else np.zeros((0, 5), np.int64)
+            of, of_starts = np.concatenate([*e.of, np.zeros(0, np.int64)]), np.concatenate(([0], np.cumsum(sizes[:, 2])))
             linked, linked_starts = _flat(e.linked)
             holders = np.zeros(len(e.pairs), np.int64)
             held, times, made, digests = [], [], [], []
@@ -193,7 +216,7 @@ def blocks(docs: DataFrame, files: tuple[str, bytes]) -> DataFrame:
                 made.append(whole[:4])
                 digests.append(hashlib.sha256(";".join(map(e.texts.__getitem__, words.tolist())).encode()).hexdigest() if len(words) else "")
             used = np.unique(np.concatenate(held))
-            names, pairs, some = list(e.groups), np.array(list(e.pairs), np.int32).reshape(-1, 2), np.flatnonzero(holders)
+            pairs, some = np.array(list(e.pairs), np.int32).reshape(-1, 2), np.flatnonzero(holders)
             n, code = len(rows), part << 32 | count
             made = np.array(made, np.int64).reshape(-1, 4)
             lists = lambda x, t: pa.array([*x, None], pa.list_(t))
@@ -201,7 +224,7 @@ def blocks(docs: DataFrame, files: tuple[str, bytes]) -> DataFrame:
             columns = [
                 pa.concat_arrays([*ids, pa.nulls(1, kind)]), pa.array([code] * (n + 1), pa.int64()), *(pa.array([*made[:, k].tolist(), None], pa.int64()) for k in range(4)), pa.array([*digests, None], pa.string()),
                 lists([np.searchsorted(used, h).astype(np.int32) for h in held], pa.int32()), lists([t.astype(np.int32) for t in times], pa.int32()),
-                last([names[g] for g in used.tolist()], pa.string()), last(pairs[some, 0], pa.int32()), last(pairs[some, 1], pa.int32()), last(holders[some], pa.int64()),
+                last([e.names[g] for g in used.tolist()], pa.string()), last(pairs[some, 0], pa.int32()), last(pairs[some, 1], pa.int32()), last(holders[some], pa.int64()),
             ]
             if len(e.words) > KNOWN:
                 e.forget()

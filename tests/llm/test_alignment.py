@@ -84,8 +84,8 @@ def test_words_encode_as_whole_texts_do(files):
 
 
 def test_groups_end_where_both_end():
-    assert alignment.groups([2, 3, 1], [2, 4]) == [(0, 1, 0, 1), (1, 3, 1, 2)]
-    assert alignment.groups([5], [1, 4]) == [(0, 1, 0, 2)] and alignment.groups([], []) == []
+    a, b, ends = alignment.groups(alignment.np.array([2, 3, 1]), alignment.np.array([2, 4]))
+    assert (a.tolist(), b.tolist(), ends.tolist()) == ([0, 1, 1], [0, 1], [2, 6])
 
 
 @pytest.mark.parametrize("block", [8_000_000, 3_000])
