@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT, FEW, SALTS = 10_000, 1_000_000, 64  # shares that make a key hot; rows of ids a broadcast may have; parts of a hot key
 
+GAP, SLICE = re.compile(rb"[ \t-\r]"), 1 << 20  # white space; bytes split at once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -151,3 +156,29 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components: no end after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+class Words(dict[bytes, int]):
+    """Numbers of words, given at their first lookup; `names` has the words by number."""
+
+    def __init__(self, first: Iterable[bytes] = ()) -> None:
+        self.names: list[bytes] = []
+        for word in first:
+            self[word]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.names)
+        self.names.append(word)
+        return n
+
+    def numbers(self, text: bytes) -> np.ndarray:
+        """The text's words as numbers. A long text is split in slices that end at a gap."""
+        parts, at = [], 0
+        while at < len(text):
+            end = len(text)
+            if end - at > SLICE and (gap := GAP.search(text, at + SLICE)):
+                end = gap.start()
+            words = text[at:end].split()
+            parts.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+            at = end + 1
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)

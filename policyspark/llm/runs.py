@@ -14,7 +14,6 @@ loses nothing: a run lies in one stretch whole, and where its stretch ends it ca
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -24,40 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from policyspark.llm.common import typed
+from policyspark.llm.common import SLICE, Words, typed
 
 LEAST, TIMES = 24, 3  # a run has so many words at least, and so many periods
-GAP = re.compile(rb"[ \t-\r]")
-SLICE, KNOWN = 1 << 20, 500_000  # bytes split at once; words numbered at once
+KNOWN = 500_000  # words numbered at once
 DIRECT, NEAR = 8, 64  # words compared before hashes are; the longest period compared by its words alone
 PRIME, BASE = (1 << 61) - 1, 1_000_003_000_037
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Words(dict[bytes, int]):
-    """Numbers of words, given at their first lookup; `names` has the words by number."""
-
-    def __init__(self) -> None:
-        self.names: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.names)
-        self.names.append(word)
-        return n
-
-    def numbers(self, text: bytes) -> np.ndarray:
-        """The text's words as numbers. A long text is split in slices that end at a gap."""
-        parts, at = [], 0
-        while at < len(text):
-            end = len(text)
-            if end - at > SLICE and (gap := GAP.search(text, at + SLICE)):
-                end = gap.start()
-            words = text[at:end].split()
-            parts.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-            at = end + 1
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
 def windows(ids: np.ndarray, k: int) -> np.ndarray:
     """A hash of each window of k numbers: equal windows have equal hashes."""
     h = (ids.astype(np.uint64) + np.uint64(1)) * FACTOR

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from policyspark.llm import queries, runs
+from policyspark.llm import common, queries, runs
 
 TINY = "/root/testdata/sf0.001"
 
@@ -77,9 +77,9 @@ def test_a_hash_of_two_meanings_is_noticed(monkeypatch):
 
 
 def test_numbers_of_sliced_texts(monkeypatch):
-    monkeypatch.setattr(runs, "SLICE", 7)
+    monkeypatch.setattr(common, "SLICE", 7)
     text = "  one two\t\tthree one\x0b two threeandmuchmore one ".encode()
-    words = runs.Words()
+    words = common.Words()
     assert [words.names[i] for i in words.numbers(text)] == text.split()
 
 
