@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from policyspark.llm.common import checkpoint, known_few, scratch, typed
 
 BYTES_A, PIECES_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK, KNOWN = 8_000_000, 400_000  # characters of a block; words held encoded
+BLOCK, KNOWN, AT_ONCE = 4_000_000, 200_000, 20_000  # characters of a block; words held encoded; words encoded at once
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
 
@@ -94,10 +94,12 @@ class Encoders:
         return [first, *(" " + r for r in rest)]
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words that aren't known, each with the space it begins with, and cuts them into groups, all at once."""
+        """Encodes words that aren't known, each with the space it begins with, and cuts them into groups."""
         new = [w for w in dict.fromkeys(words) if w not in self.words]
-        if not new:
-            return
+        for at in range(0, len(new), AT_ONCE):
+            self._learn(new[at : at + AT_ONCE])
+
+    def _learn(self, new: list[str]) -> None:
         a_lists = [x.ids for x in self.a.encode_batch_fast(new, add_special_tokens=False)]
         b_lists = self.b.encode([w[1:] for w in new], num_threads=1)
         (a, a_at), (b, b_at) = _flat(a_lists), _flat(b_lists)
