@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from policyspark.functions import text as tx
@@ -149,6 +150,80 @@ def policy_status(spark, sf_dir):
     return made.select("contract_id", "submitted", "rules", "abstained_needs_review", "status", "zero_yield", "total", F.size("not_submitted").cast("long").alias("left_out"))
 
 
+# what two models answer to one clause of each agreement, attempt by attempt, and what becomes of it: (plans, reviews, outcome, attempts, rules)
+_GOOD = {"kind": "obligation", "actor": "Recipient", "action": "hold", "asset": "Data", "evidence": "Recipient must hold Data in confidence"}
+_BAD = _GOOD | {"asset": "Gold"}
+_WAITS = _GOOD | {"conditions": [{"field": "scope", "op": "eq", "parameter": "p"}]}
+_ALSO = _GOOD | {"action": "keepConfidential"}
+_SCENES: list[tuple[list, list, str, int, int]] = [
+    ([[_GOOD]], ["E"], "generated", 1, 1),
+    ([[]], ["none"], "abstained_needs_review", 1, 0),
+    (["{"], [], "rejected", 1, 0),
+    (["context limit reached"], [], "rejected", 1, 0),
+    ([5, [_GOOD]], ["E"], "generated", 2, 1),
+    ([5, 5], [], "rejected", 2, 0),
+    ([[_BAD], [_GOOD]], ["E"], "generated", 2, 1),
+    ([[_BAD], [_BAD]], [], "rejected", 2, 0),
+    ([[_GOOD, _BAD], [_GOOD]], ["E", "E"], "generated", 2, 1),
+    ([[_GOOD, _BAD], [_GOOD, _BAD]], ["E", "E"], "partial_needs_review", 2, 1),
+    ([[_GOOD, _BAD], "{"], ["E"], "partial_needs_review", 2, 1),
+    ([[_GOOD, _BAD], 5], ["E"], "partial_needs_review", 2, 1),
+    ([[_GOOD, _BAD], []], ["E", "none"], "abstained_needs_review", 2, 0),
+    ([[_GOOD, _ALSO], [_BAD]], ["EU"], "partial_needs_review", 2, 1),
+    ([[_GOOD, _ALSO], [_GOOD, _ALSO]], ["EU", "UE"], "partial_needs_review", 2, 1),
+    ([[_GOOD], [_GOOD]], ["U", "U"], "rejected", 2, 0),
+    ([[_GOOD], [_GOOD]], ["C", "E"], "generated", 2, 1),
+    ([[_GOOD], [_GOOD]], ["missing", "missing"], "partial_needs_review", 2, 1),
+    ([[_GOOD], [_GOOD]], ["context", "E"], "generated", 2, 1),
+    ([[], []], ["wants", "wants"], "abstained_needs_review", 2, 0),
+    ([[], [_GOOD]], ["omitted", "E"], "generated", 2, 1),
+    ([[_GOOD], [_GOOD]], ["junk", "junk"], "rejected", 2, 0),
+    ([[_WAITS]], ["E"], "partial_needs_review", 1, 1),
+]
+_REVIEWS = {
+    "E": ("RELEVANT", "COMPLETE", "E", []), "U": ("RELEVANT", "COMPLETE", "U", []), "C": ("RELEVANT", "COMPLETE", "C", []), "EU": ("RELEVANT", "COMPLETE", "EU", []), "UE": ("RELEVANT", "COMPLETE", "UE", []), "none": ("NOT_RELEVANT", "NO_RULES_NEEDED", "", []),
+    "missing": ("RELEVANT", "MISSING_RULES", "E", [{"requirement": "more", "quote": "in confidence"}]), "context": ("NEEDS_CONTEXT", "COMPLETE", "E", []), "wants": ("RELEVANT", "NEEDS_CONTEXT", "", []), "omitted": ("RELEVANT", "MISSING_RULES", "", [{"requirement": "all", "quote": "Recipient must hold Data"}]), "junk": ("RELEVANT", "NO_RULES_NEEDED", "E", []),
+}
+
+
+def scripted(part: int):
+    """A model that answers by script: the scene is the agreement's number, the turn how often it was asked before (feedback is empty at first)."""
+
+    def run(batches):
+        for batch in batches:
+            answers, errors = [], []
+            for request, value in zip(batch["request_id"], batch["value_json"], strict=True):
+                scene = _SCENES[int(request.split("/")[0][1:]) % len(_SCENES)]
+                given = json.loads(value)
+                if part == 0:
+                    told = scene[0][min(1 if given.get("feedback") else 0, len(scene[0]) - 1)]
+                    errors.append(told if isinstance(told, str) and told != "{" else None)
+                    answers.append(told if isinstance(told, str) else json.dumps({"rules": told, "parameters": [{"key": "p", "label": "a scope", "type": "string"}] if told == [_WAITS] else []}))
+                else:
+                    n = [p for p in scene[0] if isinstance(p, list)]
+                    shown = [{"asset": r["asset"], "action": r["action"]} for r in given["rules"]]
+                    second = len(scene[1]) > 1 and given.get("attempt") == 2
+                    relevance, cover, verdicts, missing = _REVIEWS[scene[1][1 if second else 0]]
+                    names = {"E": "ENTAILED", "U": "UNSUPPORTED", "C": "CONTRADICTED"}
+                    answers.append(json.dumps({"relevance": relevance, "coverage": cover, "reason": f"{len(n)} plans, {len(shown)} rules", "verdicts": [names[v] for v in verdicts], "missing": missing}))
+                    errors.append(None)
+            yield pd.DataFrame({"request_id": batch["request_id"], "answer_json": answers, "error": errors})
+
+    return run
+
+
+_EXPECTED = ", ".join(f"({i}, '{outcome}', {attempts}, {rules})" for i, (_, _, outcome, attempts, rules) in enumerate(_SCENES))
+
+
+@query(f"WITH {o.CLAUSES}, c AS (SELECT o_orderkey % {len(_SCENES)} AS scene, count(*) AS clauses FROM clauses WHERE clause_id = '4.1' GROUP BY 1) SELECT scene::BIGINT AS scene, outcome, attempts::INTEGER AS attempts, (rules * clauses)::BIGINT AS rules, clauses FROM c JOIN (VALUES {_EXPECTED}) e(scene, outcome, attempts, rules) USING (scene)")
+def generation_states(spark, sf_dir):
+    """One clause of each agreement through two attempts, with models that fail in every way there is."""
+    rows = clauses(spark, sf_dir).where("clause_id = '4.1'")
+    made = generation.generate(rows, None, scripted(0), scripted(1))
+    scene = (F.substring("contract_id", 2, 20).cast("long") % len(_SCENES)).alias("scene")
+    return made.groupBy(scene, "outcome", "attempts").agg(F.sum(F.size("rules")).cast("long").alias("rules"), F.count("*").alias("clauses"))
+
+
 @query("WITH m AS (SELECT user_id % 5 AS worker, CASE WHEN event_type = 'error' THEN 'timeout' END AS error, length(props) AS tokens_in, (event_id % 97) AS tokens_out, (event_id % 7) / 10.0 AS seconds FROM events) SELECT worker, count(*) AS requests, count(error) AS failed, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, sum(seconds)::DOUBLE AS seconds, sum(tokens_out) / sum(seconds)::DOUBLE AS tokens_per_second FROM m GROUP BY ALL")
 def worker_counters(spark, sf_dir):
     """Requests, failures, tokens and pace of each worker, events standing for requests."""

@@ -479,12 +479,62 @@ def classify_clauses(spark, sf_dir):
     return model.classify(clauses(spark, sf_dir)).groupBy("ord", "label", "gate", "pass").agg(F.count("*").alias("n"))
 
 
-@query()
+# what is planted into the plans of every sixteenth agreement, and the fault that has to be found
+PLANTED = {
+    1: ("actor", "Nobody", "actor isn't in the clause"), 2: ("asset", "such Data", "asset points elsewhere"), 3: ("evidence", "nothing of the kind", "evidence isn't in the clause"), 4: ("action", "sing", "action isn't in the clause"),
+    5: ("+", '{"field":"scope","op":"eq","value":"see https://evil.example"}', "invented address"), 6: ("+", '{"field":"postponementDuration","op":"lteq","value":"3 days"}', "duration isn't ISO"), 7: ("+", '{"field":"scope","op":"eq","parameter":"p"}', "a parameter isn't declared"),
+    8: ("+", '{"any":[{"field":"dateTime","op":"lt","value":"1066-10-14"},{"field":"scope","op":"eq","value":"all"}]}', "invented date"), 9: ("duties", "the rule's own", "duties belong to permissions, remedies to prohibitions"),
+    10: ("allowed_when", '[{"field":"purpose","op":"eq","value":"x"}]', "only a restriction has what is allowed"), 11: ("+", '{"all":[{"field":"clause_id","op":"eq","value":1},{"field":"scope","op":"eq","value":"x"}]}', "a citation is no condition"),
+    12: ("kind", "wish", "a rule of such a kind can't come from this clause"), 13: ("conditions", "5", "a rule's fields are texts, its conditions, duties and remedies lists"), 14: ("cut", "", "answer is not JSON"), 15: ("+", '{"any":[{"field":"scope","op":"eq","value":1}]}', "a group has 2 to 8 conditions and stands alone"),
+}
+
+
+def planted_plan():
+    """A gold rule as the answer of a model that makes one mistake."""
+    rule, m = F.col("rule_json"), F.col("o_orderkey") % 16
+    out = rule
+    for key, (where, what, _) in PLANTED.items():
+        if where == "+":
+            made = F.regexp_replace(F.regexp_replace(rule, r"\]\}$", F.lit("," + what.replace("$", r"\$") + "]}")), r'"conditions":\[,', '"conditions":[')
+        elif where == "duties":
+            made = F.concat(F.substring(rule, F.lit(1), F.length(rule) - 1), F.lit(',"duties":['), F.to_json(F.struct(F.col("gold_actor").alias("actor"), F.lit("read").alias("action"), F.col("gold_asset").alias("asset"))), F.lit("]}"))
+        elif where == "allowed_when":
+            made = F.concat(F.substring(rule, F.lit(1), F.length(rule) - 1), F.lit(f',"{where}":{what}}}'))
+        elif where == "conditions":
+            made = F.regexp_replace(rule, r'"conditions":\[.*\]\}$', '"conditions":5}')
+        elif where == "cut":
+            made = F.substring(rule, F.lit(1), F.length(rule) - 2)
+        else:
+            made = F.regexp_replace(rule, f'"{where}":"(?:[^"\\\\]|\\\\.)*"', f'"{where}":"{what}"')
+        out = F.when(m == key, made).otherwise(out)
+    return F.when(m == 14, out).otherwise(F.concat(F.lit('{"rules":['), out, F.lit("]}")))
+
+
+_PLANTED = ", ".join(f"({k}, {o.quoted(fault)})" for k, (_, _, fault) in PLANTED.items())
+
+
+@query(_RULES + f""", p AS (SELECT *, o_orderkey % 16 AS m FROM rules), f AS (SELECT m, CASE WHEN m = 0 OR (m = 9 AND kind = 'permission') THEN 'stands' ELSE fault END AS fault FROM p LEFT JOIN (VALUES {_PLANTED}) x(k, fault) ON m = k)
+    SELECT m::BIGINT AS m, fault, count(*) AS rules FROM f GROUP BY ALL""")
+def plan_violations(spark, sf_dir):
+    """Every rule of the catalogue as a plan, one mistake planted by agreement: how many stand, and how many are refused for which fault."""
+    from policyspark.operators import compiler
+
+    plans = compiler.gold_answers(rules(spark, sf_dir), conditions(spark, sf_dir)).withColumn("answer_json", planted_plan())
+    made = compiler.compiled(plans).join(plans.select("contract_id", "ord", (F.col("o_orderkey") % 16).alias("m")), ["contract_id", "ord"])
+    whole = F.concat("form", "why")
+    fault = F.when((F.size(whole) == 0) & (F.size("rules") > 0), "stands")
+    for _, _, name in PLANTED.values():
+        fault = F.when(F.array_contains(whole, name), name).otherwise(fault)
+    return made.groupBy("m", fault.alias("fault")).agg(F.count("*").alias("rules"))
+
+
+@query(_RULES + " SELECT ord::INTEGER AS ord, count(*) AS plans, count(*) AS made, 0::BIGINT AS refused FROM rules GROUP BY ord")
 def compile_plan(spark, sf_dir):
+    """Plans that are right compile whole: one rule each, none refused."""
     from policyspark.operators import compiler
 
-    plans = compiler.gold_plans(rules(spark, sf_dir), conditions(spark, sf_dir))
-    return compiler.compiled(plans).groupBy("group_id", "refused", "stands").agg(F.count("*").alias("plans"), F.sum("made").alias("made"))
+    plans = compiler.gold_answers(rules(spark, sf_dir), conditions(spark, sf_dir)).withColumn("answer_json", F.concat(F.lit('{"rules":['), "rule_json", F.lit("]}")))
+    return compiler.compiled(plans).groupBy("ord").agg(F.count("*").alias("plans"), F.sum(F.size("rules")).alias("made"), F.sum(F.size("refused")).alias("refused"))
 
 
 @query(f"""WITH {o.CLAUSES}, s AS (SELECT contract_id, strlen('{{"chunk_id": "') + strlen(ord::VARCHAR) + strlen('", "text": ') + strlen(to_json(text)::VARCHAR) + 1 AS bytes FROM clauses)

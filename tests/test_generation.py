@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from policyspark.functions import truth as tr
-from policyspark.operators import authoring, client, evaluation, generation, metrics, model
+from policyspark.operators import authoring, client, compiler, evaluation, generation, metrics, model
 from policyspark.plans import authored
 from policyspark.sources import config, pdf
 
@@ -21,49 +21,116 @@ def clauses(spark, texts):
     return spark.createDataFrame([("k", i, str(i), None, t) for i, t in enumerate(texts)], "contract_id string, ord int, clause_id string, heading string, text string")
 
 
-def replay(answers):
-    """A model whose answers to a request come one after the other."""
-    seen = {}
+RULE = {"kind": "obligation", "actor": "R", "action": "keep", "asset": "Data", "evidence": "R must keep Data"}
+LEAF = {"field": "a", "op": "eq", "value": 1}
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for request in b["request_id"]:
-                told = answers[request]
-                n = seen[request] = seen.get(request, -1) + 1
-                rows.append((request, *(told[min(n, len(told) - 1)])))
-            yield pd.DataFrame(rows, columns=["request_id", "answer_json", "error"])
 
-    return run
+def compiled(spark, text, plans, kind=None, texts=()):
+    """What the compiler makes of answers (plans, or texts as they are) to one clause, or to a clause each."""
+    rows = [("k", i, text if isinstance(text, str) else text[i], list(texts), ["1"], 4, kind, p if isinstance(p, str) or p is None else json.dumps(p)) for i, p in enumerate(plans)]
+    return compiler.compiled(spark.createDataFrame(rows, "contract_id string, ord int, text string, texts array<string>, ids array<string>, cap int, kind string, answer_json string")).orderBy("ord").collect()
 
 
-RULE = {"kind": "obligation", "actor": "R", "action": "keep", "asset": "Data", "evidence": "R must keep Data"}
+def test_scenes_of_generation(spark):
+    """Every way two attempts can go, with models that fail in every way there is."""
+    got = {r.scene: (r.outcome, r.attempts, r.rules // r.clauses) for r in authored.generation_states(spark, TINY).collect()}
+    assert got == {i: tuple(s[2:]) for i, s in enumerate(authored._SCENES)}
+
+
+def test_rejected_clauses_give_no_rules_and_duties_stay(spark):
+    rows = [("k", 1, "1", "rejected", [0]), ("k", 2, "2", "partial_needs_review", [0, 1])]
+    one = lambda seat: (0, 0, seat, "duty" if seat else "rule", "0", "duty" if seat else "permission", "R", None, None, "keep", "Data", "e", ['{"field":"a","op":"eq","value":1}'], False)
+    outcomes = spark.createDataFrame([(*r[:4], "", 2, 0, [one(s) for s in r[4]]) for r in rows], f"contract_id string, ord int, clause_id string, outcome string, reason string, attempts int, withheld int, rules {compiler.RULE}")
+    made = generation.policy_rules(outcomes).collect()
+    assert [(r.rule_id, r.kind, json.loads(r.conditions), json.loads(r.requires)) for r in made] == [("urn:k:r1", "permission", [LEAF], [{"actor": "R", "action": "keep", "asset": "Data", "conditions": [LEAF]}])]
+    assert [(r.rules, r.status) for r in generation.policies(outcomes).collect()] == [(1, "draft_with_rejections")]
 
 
-def test_second_attempts_and_groups():
-    item = {"text": "R must keep Data and R must keep Logs.", "evidence": ["1"], "evidence_texts": [], "cap": 4, "kind": None, "gate": None}
-    logs = RULE | {"asset": "Logs", "evidence": "R must keep Logs"}
-    plan = lambda *rules, **more: (json.dumps({"rules": list(rules), **more}), None)
-    items = [item | {"request_id": str(i)} for i in range(7)] + [item | {"request_id": "g", "gate": "heading"}]
-    planner = replay({"0": [plan(RULE)], "1": [("{", None), plan(RULE)], "2": [(None, "context limit: x")], "3": [plan(RULE | {"actor": "X"})], "4": [plan(RULE, logs)], "5": [plan(RULE | {"group": "a"}, logs | {"group": "a"})], "6": [plan()]})
-    verdict = lambda *v, missing=(): (json.dumps({"verdicts": list(v), "missing": list(missing)}), None)
-    reviewer = replay({"0": [verdict("ENTAILED", missing=["not there"])], "1": [verdict("ENTAILED")], "4": [verdict("ENTAILED", "UNSUPPORTED")], "5": [verdict("ENTAILED", "CONTRADICTED")]})
-    got = generation.generate_items(items, planner, reviewer)
-    assert [(g["outcome"], g["attempts"], len(g["rules"]), g["withheld"]) for g in got] == [("generated", 1, 1, 0), ("generated", 2, 1, 0), ("abstained_needs_review", 1, 0, 0), ("rejected", 2, 0, 1), ("partial_needs_review", 2, 1, 1), ("rejected", 2, 0, 1), ("abstained_needs_review", 1, 0, 0), ("abstained_needs_review", 0, 0, 0)]
-    assert generation.reviewed(replay({"a": [("no", None)]}), ["a"], ["t"], [[RULE]]) == [(["AMBIGUOUS"], [])]
-
-
-def test_plan_faults():
-    leaf = {"field": "a", "op": "eq", "value": 1}
-    ok = {"rules": [RULE | {"conditions": [{"all": [leaf, {"any": [leaf, leaf]}]}], "source": "1"}]}
-    assert generation.plan_faults(ok, 2, ["1"]) == []
-    for bad in ({}, {"rules": [RULE] * 3}, {"rules": [{}]}, {"rules": [RULE | {"kind": "wish"}]}, {"rules": [RULE | {"source": "9"}]}, {"rules": [RULE | {"conditions": [leaf] * 17}]}, {"rules": [RULE | {"conditions": [{"all": [leaf]}]}]}, {"rules": [RULE | {"conditions": [{"all": [leaf, {"all": [leaf, {"all": [leaf, leaf]}]}]}]}]}, {"rules": [RULE | {"conditions": [leaf | {"parameter": "p"}]}]}):
-        assert generation.plan_faults(bad, 2, ["1"])
-    assert generation.plan_faults(ok, 2, ["1"], "permission") and generation.error_summary(["a", "b", "a"]) == "a; b"
+def test_no_answer_can_end_a_job(spark):
+    forms = [None, "", "{", "[]", "5", "null", {}, {"rules": 1}, {"rules": [1]}, {"rules": [None]}, {"rules": [RULE | {"asset": {"a": 1}}]}, {"rules": [RULE | {"asset": []}]}, {"rules": [RULE | {"evidence": 5}]}, {"rules": [RULE | {"conditions": 5}]}, {"rules": [RULE | {"conditions": [5]}]}, {"rules": [RULE | {"conditions": [{"all": 5}]}]}, {"rules": [RULE | {"conditions": [{}]}]}, {"rules": [RULE], "parameters": 7}, {"rules": [RULE | {"duties": [{}], "kind": "permission"}]}, {"rules": [RULE | {"kind": ["x"]}]}]
+    for r in compiled(spark, "R must keep Data.", forms):
+        assert r.form and not r.rules, (r.ord, forms[r.ord])
+    kept = compiled(spark, "R must keep Data.", [{"rules": [RULE | {"conditions": None}]}, {"rules": [RULE | {"conditions": [LEAF | {"value": {"b": [None]}}]}], "unrepresented": None, "reason": 3}])
+    assert all(not r.form and len(r.rules) == 1 for r in kept)
+
+
+def test_forms_of_plans(spark):
+    ok = {"rules": [RULE | {"conditions": [{"all": [LEAF, {"any": [LEAF, LEAF]}]}], "source": "1"}]}
+    bad = [{"rules": [RULE] * 5}, {"rules": [RULE | {"kind": "wish"}]}, {"rules": [RULE | {"source": "9"}]}, {"rules": [RULE | {"conditions": [LEAF] * 17}]}, {"rules": [RULE | {"conditions": [{"all": [LEAF]}]}]}, {"rules": [RULE | {"conditions": [{"all": [LEAF, {"all": [LEAF, {"all": [LEAF, LEAF]}]}]}]}]}, {"rules": [RULE | {"conditions": [LEAF | {"parameter": "p"}]}]}, {"rules": [RULE | {"conditions": [LEAF | {"op": "like"}]}]}, {"rules": [RULE], "parameters": [{"key": "p", "label": "x", "type": "y"}] * 2}]
+    got = compiled(spark, "R must keep Data.", [ok, *bad])
+    assert not got[0].form and all(r.form for r in got[1:])
+    assert compiled(spark, "R must keep Data.", [ok], kind="permission")[0].form
     schema = generation.plan_schema(3, ["1"], "permission")
     assert schema["properties"]["rules"]["maxItems"] == 3 and schema["properties"]["rules"]["items"]["properties"]["kind"] == {"enum": ["permission"]}
 
 
+def test_alternatives_against_their_numbers(spark):
+    """Alternatives as columns are those that mixed radix numbers."""
+    rng = random.Random(6)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.4:
+            return {"field": rng.choice("abc"), "op": "eq", "value": rng.randrange(9)}
+        return {rng.choice(["all", "any", "exactly_one"]): [tree(depth - 1) for _ in range(rng.randrange(2, 4))]}
+
+    trees = [t for t in ([tree(2) for _ in range(rng.randrange(1, 4))] for _ in range(40)) if max(tr.branch_counts(t)) <= tr.BRANCHES]
+    rows = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)], "i int, j string").withColumn("nodes", F.from_json("j", compiler.NODES))
+    made = rows.select("i", compiler.crossed(F.transform("nodes", lambda c: compiler.alternatives(c))).alias("b"), F.flatten(F.transform("nodes", lambda c: compiler.leaves_of(c))).alias("l")).collect()
+    flat = lambda xs: [(x["field"], str(x["value"])) for x in xs]
+    for r in made:
+        assert sorted(map(flat, r.b)) == sorted(map(flat, tr.branches(trees[r.i]))) and flat(r.l) == flat(tr.leaves(trees[r.i]))
+
+
+CASES = [
+    ("evidence isn't in the clause", "R must keep Data.", {"evidence": "nothing"}), ("asset points elsewhere", "R must keep such Data.", {"asset": "such Data", "evidence": "keep"}), ("actor isn't in the clause", "R must keep Data.", {"actor": "Q"}),
+    ("asset isn't in the clause", "R must keep Data.", {"asset": "Gold"}), ("party and asset are one", "R must keep R.", {"asset": "R", "evidence": "R must keep R"}), ("a qualifier of the asset is ambiguous", "R must keep Data not necessary for work.", {"asset": "Data not necessary for work"}),
+    ("action is not one verb", "R must keep Data.", {"action": "keepAndHold"}), ("action isn't in the clause", "R must delete Data.", {"action": "publish", "evidence": "R must delete Data"}), ("a delivery is no grant of access", "R must share Data.", {"action": "provideAccess", "evidence": "R must share Data"}),
+    ("invented address", "R must keep Data.", {"conditions": [{"field": "purpose", "op": "eq", "value": "marketing https://evil.example"}]}), ("invented date", "R must keep Data.", {"conditions": [{"field": "dateTime", "op": "eq", "value": "2020-01-01"}]}), ("a restriction needs an `only`", "R must keep Data.", {"kind": "restriction", "allowed_when": [LEAF]}),
+    ("a restriction needs what is allowed", "R must only use Data.", {"kind": "restriction", "action": "use", "evidence": "R must only use Data"}), ("no complement", "R must only use Data.", {"kind": "restriction", "action": "use", "evidence": "R must only use Data", "allowed_when": [{"exactly_one": [LEAF, LEAF]}]}), ("no complement", "R must only use Data.", {"kind": "restriction", "action": "use", "evidence": "R must only use Data", "allowed_when": [LEAF | {"op": "isA"}]}),
+    ("only a restriction has what is allowed", "R must keep Data.", {"allowed_when": [LEAF]}), ("duties belong to permissions, remedies to prohibitions", "R must keep Data.", {"duties": [{"actor": "R", "action": "keep", "asset": "Data"}]}), ("an exception isn't in the clause", "R must not use Data.", {"kind": "prohibition", "action": "use", "evidence": "use Data", "conditions": [{"field": "purpose", "op": "neq", "value": "x"}]}),
+    ("a legal exception is missing", "R must delete Data unless retention is required by law.", {"action": "delete", "evidence": "R must delete Data", "conditions": [{"any": [{"field": "compliance", "op": "neq", "value": "retention required by law"}, LEAF]}]}), ("a period is missing", "For the duration of the work, R may keep Data.", {"kind": "permission", "evidence": "R may keep Data"}),
+    ("completeness is missing", "R must maintain complete Records.", {"action": "maintain", "asset": "Records", "evidence": "R must maintain"}), ("a grant lacks its recipient", "P may grant Staff access to Data.", {"kind": "permission", "actor": "P", "action": "grantAccess", "evidence": "P may grant Staff access"}), ("the price is missing", "R may read Data free of charge.", {"kind": "permission", "action": "read", "evidence": "R may read Data", "conditions": [{"any": [{"field": "payAmount", "op": "eq", "value": 0}, LEAF]}]}),
+    ("necessity is missing", "R may use Data necessary for work.", {"kind": "permission", "action": "use", "evidence": "R may use Data"}), ("a recipient is missing", "R must notify Provider of Data.", {"action": "notify", "evidence": "R must notify"}), ("another recipient is told", "R must notify Provider of Data.", {"action": "notify", "evidence": "R must notify", "conditions": [{"field": "recipient", "op": "eq", "value": "Staff"}]}),
+    ("another party tells", "Provider must notify Staff of Data of R.", {"action": "notify", "evidence": "must notify"}), ("undue delay is missing", "R must report Data without undue delay.", {"action": "report", "evidence": "R must report"}), ("a time limit is missing", "R must report Data within 5 days after discovery.", {"action": "report", "evidence": "R must report", "conditions": [{"field": "elapsedTime", "op": "lteq", "value": "P6D"}, {"field": "event", "op": "eq", "value": "discovery"}]}),
+    ("a time limit runs the wrong way", "R must keep Data within 5 days.", {"conditions": [{"field": "elapsedTime", "op": "gteq", "value": "P5D"}, {"field": "event", "op": "eq", "value": "x"}]}), ("a time limit lacks its event", "R must keep Data within 5 days.", {"conditions": [{"field": "elapsedTime", "op": "lteq", "value": "P5D"}]}), ("a waiting time is missing", "Once 5 days have elapsed R may keep Data.", {"kind": "permission", "evidence": "R may keep Data"}),
+    ("a shorter period is missing", "R must notify Staff of Data unless a shorter period applies.", {"action": "notify", "evidence": "R must notify", "conditions": [{"field": "recipient", "op": "eq", "value": "Staff"}]}), ("an alternative authorisation is no condition", "R may keep Data or as agreed.", {"kind": "permission", "evidence": "R may keep", "conditions": [LEAF, {"field": "exception", "op": "eq", "value": "agreed"}]}), ("a list joined by `and` is no choice", "R must keep Data for Staff and Agents.", {"conditions": [{"field": "recipient", "op": "isAnyOf", "value": ["Staff", "Agents"]}]}),
+    ("compliance is no purpose", "R may use Data for work.", {"kind": "permission", "action": "use", "evidence": "R may use", "conditions": [{"field": "purpose", "op": "isAnyOf", "value": ["work", "subject to law"]}]}), ("duration isn't ISO", "R must keep Data.", {"conditions": [{"field": "elapsedTime", "op": "lt", "value": "5 days"}]}), ("a parameter isn't declared", "R must keep Data.", {"conditions": [{"field": "scope", "op": "eq", "parameter": "p"}]}),
+    ("a role isn't in the clause", "R must keep Data.", {"actor": "requester", "role": "requester"}), ("a citation is no condition", "R must keep Data.", {"conditions": [{"field": "clause_id", "op": "eq", "value": "1"}]}),
+]
+
+
+def test_each_fault_is_found(spark):
+    for r, (fault, _, _) in zip(compiled(spark, [text for _, text, _ in CASES], [{"rules": [RULE | change]} for _, _, change in CASES]), CASES, strict=True):
+        assert fault in r.why and not r.rules, (fault, r.form, r.why)
+
+
+def test_right_plans_compile(spark):
+    lit = lambda f, v, op="eq": {"field": f, "op": op, "value": v}
+    good = [
+        ("R must keep Data within 5 days after the end.", RULE | {"conditions": [lit("elapsedTime", "PT5D", "lteq"), lit("event", "end")]}, ['{"field":"elapsedTime","op":"lteq","value":"P5D"}', '{"field":"event","op":"eq","value":"end"}']),
+        ("R must keep Data within 5 days after the notice was issued.", RULE | {"conditions": [lit("timing", "within 5 days after the notice was issued")]}, ['{"all":[{"field":"elapsedTime","op":"lteq","value":"P5D"},{"field":"event","op":"eq","value":"notice"}]}']),
+        ("R must keep Data within 5 days.", RULE | {"conditions": [{"any": [lit("elapsedTime", "P5D", "lteq"), LEAF]}, lit("event", "x")]}, ['{"any":[{"field":"elapsedTime","op":"lteq","value":"P5D"},{"field":"a","op":"eq","value":1}]}', '{"field":"event","op":"eq","value":"x"}']),
+        ("R must only use Data for work or with consent.", RULE | {"kind": "restriction", "action": "use", "evidence": "R must only use Data", "allowed_when": [lit("purpose", "work"), lit("approval", "consent")]}, ['{"field":"purpose","op":"neq","value":"work"}', '{"field":"approval","op":"neq","value":"consent"}']),
+        ("R must only use Data for work.", RULE | {"kind": "restriction", "action": "use", "evidence": "R must only use Data", "allowed_when": [{"all": [lit("purpose", "work"), lit("payAmount", 5, "lt")]}]}, ['{"any":[{"field":"purpose","op":"neq","value":"work"},{"field":"payAmount","op":"gteq","value":5}]}']),
+        ("R must keep Data in accordance with clause 5.", RULE | {"asset": "Data in accordance with clause 5"}, ['{"field":"compliance","op":"eq","value":"in accordance with clause 5"}']),
+    ]
+    grant = {"kind": "permission", "actor": "P", "action": "grantAccess", "asset": "Data", "evidence": "P may grant", "conditions": [lit("recipient", "R")]}
+    more = [
+        ("P may grant R access to Data if R keeps Logs.", [grant | {"asset": ["Data", "Logs"], "duties": [{"actor": "R", "action": "keep", "asset": "Logs"}]}]),
+        ("P may grant R access to Data.", [grant | {"duties": [{"actor": "Q", "action": "keep", "asset": "Logs"}]}]),
+        ("R may use Tools such as Hammers.", [RULE | {"kind": "permission", "action": "use", "asset": a, "evidence": "R may use Tools"} for a in ("Tools", "Hammers")]),
+    ]
+    made = compiled(spark, [x[0] for x in (*good, *more)], [*({"rules": [rule]} for _, rule, _ in good), *({"rules": rules} for _, rules in more)])
+    for r, (text, _, conditions) in zip(made, good, strict=False):
+        assert not r.form and not r.why and [x.conditions for x in r.rules] == [conditions], (text, r)
+    r, fallen, example = made[len(good) :]
+    assert [(x.spot, x.role, x.asset) for x in r.rules] == [(0, "rule", "Data"), (0, "duty", "Logs"), (1, "rule", "Logs"), (1, "duty", "Logs")]
+    assert not fallen.rules and fallen.refused == ["0"]  # a rule falls with its duty
+    assert [x.asset for x in example.rules] == ["Tools"] and example.why == ["an example repeats its general rule"]
+    (r,) = compiled(spark, "as clause 2 says", [{"rules": [RULE | {"evidence": "as clause 2 says"}]}], texts=["R must keep Data"])
+    assert len(r.rules) == 1  # named by the evidence given with it
+
+
 def test_columns_of_generation(spark):
     rows = clauses(spark, ["R may read Data.", "R must not read and shall not copy.", "R must only read.", "R shall not read."])
     got = [(r.cap, r.kind) for r in rows.select("ord", generation.rule_cap(F.col("text")).alias("cap"), generation.forced_kind(F.col("text")).alias("kind")).orderBy("ord").collect()]
@@ -75,14 +142,14 @@ def test_columns_of_generation(spark):
 
 
 def test_rules_are_described_and_illustrated(spark):
-    rule = {"kind": "prohibition", "actor": "R", "action": "use", "asset": "Data", "conditions": [{"field": "purpose", "op": "neq", "value": "research"}, {"field": "approval", "op": "neq", "value": "consent"}, {"field": "place", "op": "eq", "value": "here"}]}
-    told = generation.described(rule | {"conditions": [*rule["conditions"], {"field": "t", "op": "eq", "parameter": "p"}]}, {"p": "the term"})
-    assert told.startswith("PROHIBITION: R | use | Data | purpose DOES NOT EQUAL \"research\" AND") and "the term [UNRESOLVED]" in told and told.endswith("says nothing of recipient, price, time limit")
-    got = generation.examples(rule)
-    assert len(got) == 4 and all(e["applies"] == tr.truth(rule["conditions"], e["state"]) for e in got) and sum(e["applies"] for e in got) == 1
-    assert generation.examples(rule | {"kind": "permission"}) == []
-    nested = {"kind": "permission", "id": 1, "requires": [{"id": 2, "remedies": [{"id": 3}]}]}
-    assert [(k, r["id"]) for k, r in generation.all_rules([nested])] == [("permission", 1), ("duty", 2), ("remedy", 3)]
+    held = [{"field": "purpose", "op": "neq", "value": "research"}, {"field": "approval", "op": "neq", "value": "consent"}, {"field": "place", "op": "eq", "value": "here"}]
+    rows = spark.createDataFrame([("prohibition", "R", "use", "Data", [json.dumps(c) for c in held])], "kind string, actor string, action string, asset string, conditions array<string>")
+    more = F.concat("conditions", F.array(F.lit('{"field": "t", "op": "eq", "parameter": "p"}'), F.lit(json.dumps({"any": [LEAF, {"all": [LEAF, LEAF]}]}))))
+    told = rows.select(generation.meaning(F.col("kind"), F.col("actor"), F.col("action"), F.col("asset"), more, F.create_map(F.lit("p"), F.lit("the term")))).first()[0]
+    assert told == 'PROHIBITION: R | use | Data | purpose DOES NOT EQUAL "research" AND approval DOES NOT EQUAL "consent" AND place EQUALS "here" AND t EQUALS the term [UNRESOLVED] AND (a EQUALS 1 OR (a EQUALS 1 AND a EQUALS 1)) | says nothing of recipient, price, time limit'
+    got = [({k: json.loads(v) for k, v in r.state.items()}, r.applies) for r in generation.examples(rows).collect()]
+    assert len(got) == 4 and all(t == tr.truth(held, s) for s, t in got) and sum(t for _, t in got) == 1
+    assert generation.examples(rows.withColumn("kind", F.lit("permission"))).count() == 0
     rows = spark.createDataFrame([("k", "1", 1, "permission", "R", "use", a, "R may use Tools such as Hammers.") for a in ("Tools", "Hammers")], "contract_id string, clause_id string, ord int, kind string, actor string, action string, asset string, text string")
     assert [(r.asset, r.general) for r in generation.example_assets(rows).collect()] == [("Hammers", "Tools")]
 
