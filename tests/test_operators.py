@@ -19,12 +19,48 @@ def blocks(rows=PAPER):
     return [{"block_id": f"b{i:06d}", "page": 1, "block_type": k, "text": t} for i, (k, t) in enumerate(rows, 1)]
 
 
-def test_segmentation():
-    got = segment.segment(blocks())
-    assert [(c["clause_id"], c["parent_clause_id"]) for c in got if c["clause_id"]] == [("1", None), ("1.1", None), ("2", None), ("2.1", "2"), ("2.1(a)", "2.1"), ("2.1(b)", "2.1"), ("1", None), ("1.1", None)]
-    assert got[5]["text"].endswith("and at dusk\n12 March 2024 was a day") and got[5]["block_ids"] == ["b000003", "b000004"]
-    assert [c["chunk_id"] for c in got] == [f"c{i:06d}" for i in range(1, len(got) + 1)]
-    assert len(segment.segment(blocks([("paragraph", "plain"), ("paragraph", "text")]))) == 2 and segment.segment([]) == []
+def segmented(spark, *papers):
+    rows = [(f"k{k}", b["block_id"], i, b["block_type"], b["text"], 1) for k, paper in enumerate(papers) for i, b in enumerate(blocks(paper))]
+    got = {f"k{k}": [] for k in range(len(papers))}
+    for r in segment.segmented(spark.createDataFrame(rows, tables.BLOCKS)).orderBy("contract_id", "ord").collect():
+        got[r.contract_id].append(r)
+    return list(got.values())
+
+
+def lines(*texts):
+    return [("paragraph", "1 One\n2 Two"), *(("paragraph", t) for t in texts)]
+
+
+def test_segmentation(spark):
+    paper, plain, empty = segmented(spark, PAPER, [("paragraph", "plain"), ("paragraph", "text")], [("paragraph", "")])
+    assert [(c["clause_id"], c["parent_clause_id"]) for c in paper if c["clause_id"]] == [("1", None), ("1.1", "1"), ("2", None), ("2.1", "2"), ("2.1(a)", "2.1"), ("2.1(b)", "2.1"), ("1", None), ("1.1", "1")]
+    assert paper[5]["text"].endswith("and at dusk\n12 March 2024 was a day") and paper[5]["block_ids"] == ["b000003", "b000004"]
+    assert [c["chunk_id"] for c in paper] == [f"c{i:06d}" for i in range(1, len(paper) + 1)]
+    assert paper[3]["child_clause_ids"] == ["2.1(a)", "2.1(b)"] and paper[2]["child_clause_ids"] == ["2.1"]
+    assert [c["text"] for c in plain] == ["plain", "text"] and [c["text"] for c in empty] == [""]
+
+
+def test_parents_are_of_their_scope(spark):
+    (got,) = segmented(spark, [("heading", "1 Use"), ("paragraph", "1.1 R may read.\n(a) by day\n(b) by night"), ("heading", "ANNEX A"), ("heading", "1 Use"), ("paragraph", "1.1 R may copy.\n(a) once"), ("paragraph", "1.2 x\n1.2 Y"), ("paragraph", "(a) under neither")])
+    assert [(c["clause_id"], c["parent_clause_id"]) for c in got if c["clause_id"]] == [("1", None), ("1.1", "1"), ("1.1(a)", "1.1"), ("1.1(b)", "1.1"), ("1", None), ("1.1", "1"), ("1.1(a)", "1.1"), ("1.2", "1"), ("1.2(a)", "1.2")]
+    assert "x" in got[-2]["text"] or got[-2]["clause_id"] == "1.2"
+
+
+def test_lists_of_letters_and_roman_numbers(spark):
+    marks = ["a", "b", "i", "ii", "iii", "c", "d", "e", "f", "g", "h", "i", "j", "i", "v", "x", "k"]
+    (got, top, deep, after) = segmented(spark, lines("3.1 Things\n" + "\n".join(f"({m}) thing" for m in marks)), lines("4 Things\n" + "\n".join(f"{m}. thing" for m in ("i", "ii", "i", "ii"))), lines("5.1(b)(ii) Things", "(iii) more", "(c) others", "(i) under c"), lines("6 Things", "(a) one", "Data means files.", "(b) no list is open"))
+    want = ["3.1(a)", "3.1(b)", "3.1(b)(i)", "3.1(b)(ii)", "3.1(b)(iii)", "3.1(c)", "3.1(d)", "3.1(e)", "3.1(f)", "3.1(g)", "3.1(h)", "3.1(i)", "3.1(j)", "3.1(j)(i)", "3.1(j)(v)", "3.1(j)(x)", "3.1(k)"]
+    assert [c["clause_id"] for c in got][3:] == want
+    assert [c["clause_id"] for c in top][3:] == ["4(i)", "4(ii)", "4(ii)(i)", "4(ii)(ii)"]
+    assert [c["clause_id"] for c in deep][3:] == ["5.1(b)(iii)", "5.1(c)", "5.1(c)(i)"]
+    assert [(c["clause_id"], c["parent_clause_id"]) for c in after][3:] == [("6(a)", "6"), (None, "6")] and after[-1]["text"] == "Data means files.\n(b) no list is open"
+
+
+def test_what_starts_no_clause(spark):
+    (got,) = segmented(spark, [("heading", "1 Use"), ("paragraph", "1.1 See clause\n2.2 Things of it\n3.3"), ("other", "9 foot"), ("table", "7 Cell"), ("paragraph", "42"), ("paragraph", "8 Contents ..... 9"), ("paragraph", "Section 5 of it"), ("heading", "Section 2 Fees"), ("heading", "Notes"), ("paragraph", "Fee means money."), ("paragraph", "and more"), ("paragraph", "ANNEX B")])
+    assert [c["clause_id"] for c in got if c["clause_id"]] == ["1", "1.1", "2"]
+    assert got[1]["text"] == "1.1 See clause\n2.2 Things of it\n3.3\n7 Cell\n42\n8 Contents ..... 9\nSection 5 of it"
+    assert [(c["heading"], c["parent_clause_id"], c["text"]) for c in got[2:]] == [(None, None, "9 foot"), ("Section 2 Fees", None, "Section 2 Fees"), ("Notes", "2", "Notes"), (None, "2", "Fee means money.\nand more"), ("ANNEX B", None, "ANNEX B")]
 
 
 def test_scopes_restart(spark):
