@@ -9,11 +9,11 @@ from pyspark.sql.window import Window
 
 from policyspark.functions import text as tx
 from policyspark.functions import truth as tr
-from policyspark.operators import metrics, policy
+from policyspark.operators import metrics, policy, segment
 from policyspark.plans import oracle as o
 from policyspark.plans.catalogue import CATALOGUE
 from policyspark.plans.corpus import agreements, bits, clauses, conditions, mask, rules, table, written
-from policyspark.plans.structure import _SCOPED
+from policyspark.plans.structure import _PARENTS, _SCOPED
 
 Q, S = {}, {}
 
@@ -457,14 +457,13 @@ def usage_sessions(spark, sf_dir):
 # ---- sequential stages
 
 
-@query()
+@query(_PARENTS + r""", printed AS (SELECT s.*, parent_clause, CASE WHEN s.clause_id LIKE '%)' THEN regexp_extract(s.clause_id, '(\([^()]*\))$', 1) || ' ' || text ELSE coalesce(s.clause_id || ' ', '') || text END AS line FROM scoped s LEFT JOIN par USING (contract_id, scope, ord))
+    SELECT clause_id, parent_clause AS parent_clause_id, heading IS NOT NULL AS titled, count(*) AS n, min(line) AS first_text, sum(strlen(line))::BIGINT AS bytes FROM printed GROUP BY ALL""")
 def segment_full(spark, sf_dir):
-    """Printed agreements segmented again from their lines; the numbers found are those of the catalogue."""
-    from policyspark.operators.segment import segmented
-    from policyspark.plans.structure import numbered
-
-    blocks = numbered(spark, sf_dir).select("contract_id", "ord", F.concat(F.lit("b"), F.lpad(F.col("ord").cast("string"), 6, "0")).alias("block_id"), F.lit(1).alias("page"), F.when(F.col("heading").isNotNull(), "heading").otherwise("paragraph").alias("block_type"), F.col("line").alias("text"))
-    return segmented(blocks).groupBy("clause_id", "parent_clause_id").agg(F.count("*").alias("n"), F.min("text").alias("first_text"))
+    """Agreements printed line by line, list items with their own mark only, and segmented again: the numbers, parents and texts are those of the catalogue."""
+    marked = F.when(F.col("clause_id").endswith(")"), F.concat(F.regexp_extract("clause_id", r"(\([^()]*\))$", 1), F.lit(" "), "text")).otherwise(F.concat(F.coalesce(F.concat("clause_id", F.lit(" ")), F.lit("")), "text"))
+    blocks = clauses(spark, sf_dir).select("contract_id", "ord", F.concat(F.lit("b"), F.lpad(F.col("ord").cast("string"), 6, "0")).alias("block_id"), F.lit(1).alias("page"), F.when(F.col("heading").isNotNull(), "heading").otherwise("paragraph").alias("block_type"), marked.alias("text"))
+    return segment.segmented(blocks).groupBy("clause_id", "parent_clause_id", F.col("heading").isNotNull().alias("titled")).agg(F.count("*").alias("n"), F.min("text").alias("first_text"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
 
 _LABEL = rf"""WITH {o.CLAUSES}, t AS (SELECT *, {o.stripped('text')} AS t FROM clauses), g AS (SELECT *, CASE WHEN heading IS NOT NULL AND {o.stripped('heading')} = t AND len(regexp_split_to_array(t, '\s+')) <= 14 AND NOT regexp_matches(t, '{tx.TITLE_STOP}') THEN 'heading'
