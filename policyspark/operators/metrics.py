@@ -131,18 +131,41 @@ def multiset_match(expected: DataFrame, found: DataFrame, keys: list[str], signa
     return both.withColumns({"precision": z(F.col("matched"), F.col("found")), "recall": z(F.col("matched"), F.col("expected")), "f1": z(2 * F.col("matched"), F.col("found") + F.col("expected"))})
 
 
+def agreement(expected: DataFrame, found: DataFrame, keys: list[str], failed: DataFrame | None = None) -> DataFrame:
+    """multiset_match at each level (exact, core, logical): a row a case and level, with totals to add up.
+
+    expected and found have a column a level. failed(keys): cases whose answer was an error; their
+    found rules count, and match nothing.
+    """
+    bad = failed.select(*keys).distinct().withColumn("_failed", F.lit(True)) if failed is not None else None
+    if bad is not None:
+        found = found.join(bad, keys, "left")
+    spread = lambda df, mark: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.when(mark, F.lit(None).cast("string")).otherwise(F.col(level)).alias("signature")) for level in LEVELS])).alias("s")).select(*keys, "s.*")
+    mark = F.coalesce(F.col("_failed"), F.lit(False)) if bad is not None else F.lit(False)
+    return multiset_match(spread(expected, F.lit(False)), spread(found, mark), [*keys, "level"])
+
+
+LEVELS = ("exact", "core", "logical")
 WEIGHTS = {"kind": 4, "action": 4, "actor": 2, "asset": 2, "conditions": 1}
+OPTIONAL = {"issuer": 1, "requires": 1, "remedies": 1}  # compared where either side has one
 MOST_RULES = 16
 
 
+def components(a: dict, b: dict) -> dict[str, bool]:
+    """What of two rules agrees, part by part."""
+    parts = [*WEIGHTS, *(k for k in OPTIONAL if a.get(k) is not None or b.get(k) is not None)]
+    return {k: a.get(k) == b.get(k) for k in parts}
+
+
 def align(expected: list[dict], found: list[dict]) -> list[tuple[int, int | None]]:
     """One-to-one assignment of the greatest agreement: a thousand for equal rules, else the weight of equal parts."""
     if len(found) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules to align")
+    weight = WEIGHTS | OPTIONAL
 
     def worth(a: dict, b: dict) -> int:
-        equal = {k for k in WEIGHTS if a.get(k) == b.get(k)}
-        return sum(WEIGHTS[k] for k in equal) + 1000 * (len(equal) == len(WEIGHTS))
+        told = components(a, b)
+        return sum(weight[k] for k, equal in told.items() if equal) + 1000 * all(told.values())
 
     best: dict[int, tuple[int, tuple]] = {0: (0, ())}
     for i, a in enumerate(expected):
@@ -160,16 +183,45 @@ def align(expected: list[dict], found: list[dict]) -> list[tuple[int, int | None
 
 
 def aligned(rows: DataFrame) -> DataFrame:
-    """rows: contract_id, side (expected or found), kind, action, actor, asset, conditions. A row per expected rule with what agrees."""
+    """contract_id, expected_id, found_id (null: no partner), complete, and a boolean each for kind, action, actor, asset, conditions, issuer, requires, remedies (null where neither side has it).
+
+    rows: contract_id, rule_id, side (expected or found), kind, action, actor, asset, conditions, and
+    where there are any issuer, requires, remedies. Rules that agree as a whole are paired first, by a
+    join of their places among equals; no assignment is worth more without such a pair. Only what is
+    left is assigned, sixteen found rules an agreement at most; where more are left it has an error.
+    """
     import pandas as pd
 
+    parts = [*WEIGHTS, *OPTIONAL]
+    rows = rows.select("contract_id", "rule_id", "side", *[F.col(c).cast("string").alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in parts])
+    whole = F.sha2(F.to_json(F.struct(*parts)), 256)
+    place = F.row_number().over(Window.partitionBy("contract_id", "side", "whole").orderBy("rule_id"))
+    rows = rows.withColumn("whole", whole).withColumn("place", place)
+    sides = [rows.where(F.col("side") == s).select("contract_id", "whole", "place", F.col("rule_id").alias(f"{s}_id"), F.struct(*parts).alias(s)) for s in ("expected", "found")]
+    both = sides[0].join(sides[1], ["contract_id", "whole", "place"], "full")
+    equal = both.where("expected_id is not null and found_id is not null").select("contract_id", "expected_id", "found_id", F.lit(True).alias("complete"), *[(F.lit(True) if c in WEIGHTS else F.when(F.col(f"expected.{c}").isNotNull(), True)).alias(c) for c in parts], F.lit(None).cast("string").alias("error"))
+    left = both.where("expected_id is null or found_id is null").select("contract_id", F.coalesce("expected_id", "found_id").alias("rule_id"), F.when(F.col("expected_id").isNotNull(), "expected").otherwise("found").alias("side"), F.coalesce("expected", "found").alias("r")).select("contract_id", "rule_id", "side", "r.*")
+
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = {"expected": [], "found": []}
-        for record in pdf[["side", *WEIGHTS]].to_dict("records"):
-            sides[record["side"]].append(record)
-        e, f = sides["expected"], sides["found"]
-        out = [[pdf["contract_id"].iloc[0], i, *(bool(j is not None and e[i][k] == f[j][k]) for k in WEIGHTS)] for i, j in align(e, f)]
-        return pd.DataFrame(out, columns=["contract_id", "rule", *WEIGHTS])
-
-    schema = "contract_id string, rule int, " + ", ".join(f"{k} boolean" for k in WEIGHTS)
-    return map_groups(rows, "contract_id", ["side", *WEIGHTS], walk, schema)
+        held = {s: [{k: v if isinstance(v, str) else None for k, v in x.items()} for x in pdf[pdf["side"] == s].to_dict("records")] for s in ("expected", "found")}
+        e, f = held["expected"], held["found"]
+        error = f"more than {MOST_RULES} rules to align" if len(f) > MOST_RULES else None
+        pairs = [(i, None) for i in range(len(e))] if error else align(e, f)
+        pairs += [(None, j) for j in range(len(f)) if j not in {j for _, j in pairs}]
+        out = []
+        for i, j in pairs:
+            told = components(e[i], f[j]) if i is not None and j is not None else {}
+            out.append([pdf["contract_id"].iloc[0], None if i is None else e[i]["rule_id"], None if j is None else f[j]["rule_id"], bool(told) and all(told.values()), *(told.get(k, False if k in WEIGHTS else None) for k in parts), error])
+        return pd.DataFrame(out, columns=["contract_id", "expected_id", "found_id", "complete", *parts, "error"])
+
+    schema = "contract_id string, expected_id string, found_id string, complete boolean, " + ", ".join(f"{k} boolean" for k in parts) + ", error string"
+    return equal.unionByName(map_groups(left, "contract_id", ["side", "rule_id"], walk, schema))
+
+
+def component_agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of `aligned` rows: a row a part with matched, expected, found, precision, recall, F1."""
+    z = lambda x, y: F.when(y == 0, 0.0).otherwise(x / y)
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("equal"), (F.lit(True) if c in WEIGHTS else F.col(c).isNotNull()).alias("there")) for c in (*WEIGHTS, *OPTIONAL)]))
+    rows = pairs.select(*keys, "expected_id", "found_id", named.alias("s")).select(*keys, "expected_id", "found_id", "s.*").where("there")
+    each = rows.groupBy(*keys, "part").agg(F.sum(F.coalesce("equal", F.lit(False)).cast("long")).alias("matched"), F.count("expected_id").alias("expected"), F.count("found_id").alias("found"))
+    return each.withColumns({"precision": z(F.col("matched"), F.col("found")), "recall": z(F.col("matched"), F.col("expected")), "f1": z(2 * F.col("matched"), F.col("found") + F.col("expected"))})

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from policyspark.functions import text as tx
 from policyspark.functions import truth as tr
+from policyspark.functions.shared import settled
 from policyspark.operators import metrics, policy, segment
 from policyspark.plans import oracle as o
 from policyspark.plans.catalogue import CATALOGUE
@@ -135,14 +136,46 @@ def rules_missing(spark, sf_dir):
     return rows.exceptAll(changed(signed(spark, sf_dir)).select("contract_id", "signature")).groupBy("contract_id").agg(F.count("*").alias("missing"), F.min("signature").alias("first"))
 
 
+# conditions written another way with the same meaning: the other way round, none of a list as each on its own
+_LITERALS = f"""lits AS (SELECT DISTINCT contract_id, clause_id, unnest(CASE WHEN op = 'isNoneOf' THEN list_transform(json_extract(value, '$[*]')::VARCHAR[], lambda x: field || ' neq ' || lower(x)) ELSE [field || ' ' || op || ' ' || {_VALUE}] END) AS l FROM conditions),
+    canon AS (SELECT contract_id, clause_id, string_agg(l, ';' ORDER BY l) AS canon FROM lits GROUP BY ALL)"""
+_AGREE = _SIGNED + ", " + _LITERALS + """, e AS (SELECT s.*, kind || '|' || lower(actor) || '|' || lower(action) || '|' || lower(asset) AS core, coalesce(canon, '') AS canon FROM signed s LEFT JOIN canon USING (contract_id, clause_id)),
+    f AS (SELECT contract_id, o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND ord % 4 = 1 THEN replace(core, 'recipient', 'provider') ELSE core END AS core, CASE WHEN o_orderkey % 3 = 0 AND ord % 4 = 1 AND core LIKE '%recipient%' THEN 'x' ELSE '' END AS moved, CASE WHEN o_orderkey % 3 = 1 AND ord % 5 = 2 THEN replace(canon, 'lteq', 'gteq') ELSE canon END AS canon, CASE WHEN o_orderkey % 3 = 1 AND ord % 5 = 2 THEN replace(conditions, 'lteq', 'gteq') ELSE CASE WHEN o_orderkey % 3 = 2 AND contains(conditions, 'isNoneOf') THEN 'rewritten' ELSE conditions END END AS conditions FROM e WHERE (o_orderkey + ord) % 11 <> 0),
+    le AS (SELECT contract_id, unnest(['core', 'exact', 'logical']) AS level, unnest([core, core || '|' || conditions, core || '|' || canon]) AS s FROM e),
+    lf AS (SELECT contract_id, unnest(['core', 'exact', 'logical']) AS level, unnest([core, core || '|' || conditions, core || '|' || canon]) AS s FROM f WHERE o_orderkey % 13 <> 0),
+    bad AS (SELECT contract_id, level, 'failed' AS s FROM f, (VALUES ('core'), ('exact'), ('logical')) x(level) WHERE o_orderkey % 13 = 0),
+    a AS (SELECT contract_id, level, s, count(*) AS e FROM le GROUP BY ALL), b AS (SELECT contract_id, level, s, count(*) AS f FROM (SELECT * FROM lf UNION ALL SELECT * FROM bad) GROUP BY ALL),
+    m AS (SELECT level, sum(least(coalesce(e, 0), coalesce(f, 0)))::BIGINT AS matched, sum(coalesce(e, 0))::BIGINT AS expected, sum(coalesce(f, 0))::BIGINT AS found, contract_id FROM a FULL JOIN b USING (contract_id, level, s) GROUP BY ALL)"""
+
+
+def tampered(spark, sf_dir):
+    """Expected rules and what a run found, both with a text of each level: some actors and bounds wrong, some rules lost, some conditions written otherwise."""
+    held = conditions(spark, sf_dir)
+    one = lambda op, value: F.concat(F.lit('{"field":'), F.to_json(F.array("field")).substr(F.lit(2), F.length(F.to_json(F.array("field"))) - 2), F.lit(',"op":"'), op, F.lit('","value":'), value, F.lit("}"))
+    listed = lambda parts: F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
+    each = held.groupBy("contract_id", "clause_id").agg(F.sort_array(F.collect_list(F.struct("n", "field", "op", one(F.col("op"), F.col("value")).alias("j"), F.when(F.col("op") == "isNoneOf", F.concat_ws(",", F.transform(tr.members(F.col("value")), lambda v: one(F.lit("neq"), v)))).alias("single")))).alias("cs"))
+    rows = rules(spark, sf_dir).join(each, ["contract_id", "clause_id"], "left").withColumn("cs", F.coalesce("cs", F.array().cast(each.schema["cs"].dataType)))
+    k, n = F.col("o_orderkey"), F.col("ord")
+    found = rows.where((k + n) % 11 != 0).withColumn("actor", F.when((k % 3 == 0) & (n % 4 == 1) & (F.lower("actor") == "recipient"), "Provider").otherwise(F.col("actor")))
+    texts = F.transform("cs", lambda c: F.when(k % 3 == 2, F.coalesce(c["single"], c["j"])).when((k % 3 == 1) & (n % 5 == 2), F.replace(c["j"], F.lit('"lteq"'), F.lit('"gteq"'))).otherwise(c["j"]))
+    done = lambda df, js: policy.levels(df.withColumn("conditions", listed(js)))
+    return done(rows, F.transform("cs", lambda c: c["j"])), done(found, F.reverse(texts))
+
+
+@query(_AGREE + """ SELECT contract_id, level, matched, expected, found, CASE WHEN found = 0 THEN 0 ELSE matched / found END AS precision, CASE WHEN expected = 0 THEN 0 ELSE matched / expected END AS recall, CASE WHEN found + expected = 0 THEN 0 ELSE 2 * matched / (found + expected) END AS f1 FROM m""")
+def rule_agreement(spark, sf_dir):
+    """Agreement of each agreement's rules word for word, without conditions, and by what conditions mean; every thirteenth agreement's answer failed."""
+    expected, found = tampered(spark, sf_dir)
+    return metrics.agreement(expected, found, ["contract_id"], found.where("o_orderkey % 13 = 0"))
+
+
 @query()
 def rule_alignment(spark, sf_dir):
-    """Components that agree under the best one-to-one assignment, over whole policies of at most sixteen rules; larger ones clause group by clause group."""
-    rows = signed(spark, sf_dir).withColumn("contract_id", F.concat_ws("/", "contract_id", F.regexp_extract("clause_id", r"^(\d+)", 1)))
-    parts = ["contract_id", "kind", "action", "actor", "asset", "conditions"]
-    tampered = changed(rows).withColumn("actor", F.when(F.col("signature").contains("|provider|"), F.lit("Provider")).otherwise(F.col("actor")))
-    both = rows.select(F.lit("expected").alias("side"), *parts).unionByName(tampered.select(F.lit("found").alias("side"), *parts))
-    return metrics.aligned(both).groupBy("contract_id").agg(F.count("*").alias("rules"), *[F.sum(F.col(c).cast("int")).alias(c) for c in parts[1:]])
+    """Parts that agree under the best one-to-one assignment of whole policies."""
+    expected, found = tampered(spark, sf_dir)
+    parts = ["contract_id", "rule_id", "kind", "action", "actor", "asset", F.col("meaning").alias("conditions")]
+    both = expected.select(F.lit("expected").alias("side"), *parts).unionByName(found.select(F.lit("found").alias("side"), *parts))
+    return metrics.component_agreement(metrics.aligned(both), ["contract_id"])
 
 
 @query(_RULES + " SELECT a.contract_id, a.clause_id AS first, b.clause_id AS second, a.kind AS first_kind, b.kind AS second_kind FROM rules a JOIN rules b ON a.contract_id = b.contract_id AND lower(a.actor) = lower(b.actor) AND a.action = b.action AND lower(a.asset) = lower(b.asset) AND a.ord < b.ord AND a.kind <> b.kind")
@@ -225,9 +258,69 @@ def readable_rules(spark, sf_dir):
     return policy.readable(rules(spark, sf_dir), conditions(spark, sf_dir))
 
 
-@query()
+def nested(spark, sf_dir):
+    """Each agreement's whole policy: obligations of a permission's section are its duties, those of a prohibition's its remedies; discretion is a parameter, whoever opens the platform a role."""
+    held = conditions(spark, sf_dir)
+    j = lambda c: F.expr(f"substr(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    right = F.when(F.col("field") == "discretion", F.lit(',"parameter":"p1"')).otherwise(F.concat(F.lit(',"value":'), "value"))
+    one = F.concat(F.lit('{"field":'), j("field"), F.lit(',"op":'), j("op"), right, F.when(F.col("field") == "payAmount", F.lit(',"unit":"EUR"')).otherwise(""), F.lit("}"))
+    cs = held.groupBy("contract_id", "clause_id").agg(F.sort_array(F.collect_list(F.struct("n", one.alias("c")))).alias("cs"))
+    several = F.transform("cs", lambda x: x["c"])
+    listed = F.when(F.size("cs") > 2, F.concat(F.lit("["), several[0], F.lit(',{"any":['), F.array_join(F.slice(several, 2, 99), ","), F.lit("]}]"))).otherwise(F.concat(F.lit("["), F.array_join(several, ","), F.lit("]")))
+    rows = rules(spark, sf_dir).join(cs, ["contract_id", "clause_id"], "left").withColumns({"conditions": F.coalesce(listed, F.lit("[]")), "section": F.regexp_extract("clause_id", r"^(\d+)", 1), "actor": F.when(F.col("clause_id") == "6.1", "urn:party:1").otherwise(F.col("actor"))})
+    beside = F.concat(F.lit('{"actor":'), j("actor"), F.lit(',"action":'), j("action"), F.lit(',"asset":'), j("asset"), F.lit(',"conditions":'), "conditions", F.lit("}"))
+    duties = rows.where("kind = 'obligation'").groupBy("contract_id", "section").agg(F.sort_array(F.collect_list(F.struct("ord", beside.alias("d")))).alias("ds"))
+    rows = rows.join(duties, ["contract_id", "section"], "left").withColumn("ds", F.concat(F.lit("["), F.array_join(F.transform("ds", lambda x: x["d"]), ","), F.lit("]")))
+    mine = lambda kind: F.when(F.col("kind") == kind, F.coalesce("ds", F.lit("[]"))).otherwise("[]")
+    whole = rows.select("contract_id", "o_orderkey", "rule_id", F.col("ord").cast("int").alias("n"), "kind", "actor", "action", "asset", F.when(F.col("kind") == "permission", "Provider").alias("issuer"), F.concat(F.lit("c"), F.col("ord").cast("string")).alias("source"), "conditions", mine("permission").alias("requires"), mine("prohibition").alias("remedies"))
+    at = whole.where("action = 'provideAccess' and asset = 'Platform'").select("contract_id", "source")
+    parameters = at.select("contract_id", F.lit("p1").alias("key"), F.lit('sole "discretion"').alias("label"), F.lit("string").alias("type"), "source")
+    parties = at.select("contract_id", F.lit("urn:party:1").alias("key"), F.lit("access_provider").alias("role"), "source")
+    metadata = agreements(spark, sf_dir).select("contract_id", F.explode(F.create_map(F.lit("data"), "D", F.lit("purpose"), "U")).alias("key", "value"))
+    return whole, parameters, parties, metadata
+
+
+_NESTED = _RULES + """, r AS (SELECT *, regexp_extract(clause_id, '^(\\d+)', 1) AS section FROM rules), ob AS (SELECT contract_id, section, count(*) AS k FROM r WHERE kind = 'obligation' GROUP BY ALL),
+    one AS (SELECT r.*, coalesce(k, 0) AS k FROM r LEFT JOIN ob USING (contract_id, section))"""
+
+
+@query(_NESTED + """ SELECT contract_id, count(*) AS rules, sum(CASE WHEN kind = 'permission' THEN k ELSE 0 END)::BIGINT AS duties, sum(CASE WHEN kind = 'prohibition' THEN k ELSE 0 END)::BIGINT AS remedies, count(*) FILTER (clause_id = '6.1') AS bindings, count(*) AS exact FROM one GROUP BY ALL""")
 def exchange_round_trip(spark, sf_dir):
-    return policy.round_trip(rules(spark, sf_dir), conditions(spark, sf_dir))
+    """Whole policies to exchange documents and back: rules, duties, remedies and bindings counted on the far side, and how many rules came back as they were."""
+    from policyspark.operators import exchange
+
+    whole, parameters, parties, metadata = nested(spark, sf_dir)
+    back = exchange.tables(settled(exchange.documents(whole, parameters, parties, metadata)))
+    print_ = lambda df: df.select("contract_id", "rule_id", F.sha2(F.to_json(F.struct("n", "kind", "actor", "action", "asset", "issuer", "source", "conditions", "requires", "remedies")), 256).alias("h"))
+    rows = back["rules"].join(print_(whole).withColumnRenamed("h", "was"), ["contract_id", "rule_id"], "left").join(print_(back["rules"]).withColumnRenamed("h", "now"), ["contract_id", "rule_id"])
+    size = lambda c: F.sum(F.size(F.from_json(c, "array<struct<actor:string>>"))).cast("long")
+    each = rows.groupBy("contract_id").agg(F.count("*").alias("rules"), size("requires").alias("duties"), size("remedies").alias("remedies"), F.sum((F.col("was") == F.col("now")).cast("long")).alias("exact"))
+    bound = back["parameters"].join(back["parties"].select("contract_id", "source", "role"), ["contract_id", "source"]).join(parameters.select("contract_id", "key", "label", "type", "source"), ["contract_id", "key", "label", "type", "source"]).groupBy("contract_id").agg(F.count("*").alias("bindings"))
+    return each.join(bound, "contract_id", "left").select("contract_id", "rules", "duties", "remedies", F.coalesce("bindings", F.lit(0).cast("long")).alias("bindings"), "exact")
+
+
+@query(_NESTED + """, f AS (SELECT contract_id, fault FROM one, (VALUES ('only permissions have duties'), ('an obligation has a party')) x(fault) WHERE kind = 'obligation' AND ((fault = 'only permissions have duties' AND o_orderkey % 8 = 1) OR (fault = 'an obligation has a party' AND o_orderkey % 8 = 2))
+      UNION ALL SELECT contract_id, 'source is unknown' FROM one WHERE o_orderkey % 8 = 3 AND kind = 'permission'
+      UNION ALL SELECT contract_id, 'source is unused' FROM one WHERE o_orderkey % 8 = 3 AND kind = 'permission' AND clause_id <> '6.1'
+      UNION ALL SELECT contract_id, unnest(['parameter isn''t declared', 'party isn''t declared']) FROM one WHERE o_orderkey % 8 = 4 AND clause_id = '6.1'
+      UNION ALL SELECT contract_id, unnest(['parameter is unused', 'party is unused']) FROM one WHERE o_orderkey % 8 = 5 AND clause_id = '6.1'
+      UNION ALL SELECT contract_id, 'source is unused' FROM one WHERE o_orderkey % 8 = 6 AND kind = 'prohibition'
+      UNION ALL SELECT contract_id, 'rule id repeats' FROM one WHERE o_orderkey % 8 = 7 AND kind = 'prohibition')
+    SELECT contract_id, fault, count(*) AS n FROM f GROUP BY ALL""")
+def policy_violations(spark, sf_dir):
+    """Whole policies with a fault planted by agreement, and the faults found."""
+    from policyspark.operators import exchange
+
+    whole, parameters, parties, _ = nested(spark, sf_dir)
+    k = F.col("o_orderkey") % 8
+    sources = whole.select("contract_id", "source")
+    bad = whole.withColumns({
+        "requires": F.when((k == 1) & (F.col("kind") == "obligation"), '[{"actor":"R"}]').otherwise(F.col("requires")), "actor": F.when((k == 2) & (F.col("kind") == "obligation"), " ").otherwise(F.col("actor")),
+        "source": F.when((k == 3) & (F.col("kind") == "permission"), "nowhere").otherwise(F.col("source")),
+    }).where(~((k == 6) & (F.col("kind") == "prohibition")) & ~((k == 5) & (F.col("action") == "provideAccess") & (F.col("asset") == "Platform")))
+    bad = bad.unionByName(bad.where((k == 7) & (F.col("kind") == "prohibition")))
+    key = F.substring("contract_id", 2, 20).cast("long") % 8
+    return exchange.violations(bad, parameters.where(key != 4), parties.where(key != 4), sources).groupBy("contract_id", "fault").agg(F.count("*").alias("n"))
 
 
 # ---- decisions over events
@@ -357,16 +450,28 @@ def complement_equivalence(spark, sf_dir):
     return tally_each(decided(spark, sf_dir), [(k, live(ls[0][0].flags), rule_truth(k, True)) for k, ls in RULES.items()]).withColumnRenamed("name", "clause_id")
 
 
-@query()
+_ATOMS = r"""lits AS (SELECT contract_id, clause_id, n, op IN ('neq', 'isNoneOf') AS negative, unnest(CASE WHEN op IN ('isNoneOf', 'isAnyOf') THEN list_transform(json_extract(value, '$[*]')::VARCHAR[], lambda x: field || ' eq ' || lower(x)) ELSE [field || ' ' || CASE WHEN op = 'neq' THEN 'eq' ELSE op END || ' ' || lower(value)] END) AS atom FROM conditions),
+    named AS (SELECT contract_id, clause_id, list_sort(list_distinct(list(atom))) AS atoms FROM lits GROUP BY ALL),
+    conds AS (SELECT contract_id, clause_id, n, any_value(negative) AS negative, list(atom) AS own FROM lits GROUP BY contract_id, clause_id, n),
+    kinds AS (SELECT contract_id, clause_id, atoms, list({'negative': negative, 'own': list_transform(own, lambda x: list_position(atoms, x))} ORDER BY n) AS cs FROM conds JOIN named USING (contract_id, clause_id) GROUP BY ALL),
+    forms AS (SELECT cs, len(atoms) AS k, any_value(atoms) AS one, count(*) AS rules, min(clause_id) AS clause, atoms FROM kinds GROUP BY cs, atoms),
+    tables AS (SELECT *, unnest(generate_series(0, (1 << len(atoms)) - 1)) AS bits FROM forms),
+    told AS (SELECT atoms, cs, k, rules, clause, bits, list_bool_and(list_transform(cs, lambda c: c.negative <> list_bool_or(list_transform(c.own, lambda i: (bits >> (i - 1)) & 1 = 1)))) AS holds FROM tables),
+    truth AS (SELECT atoms, cs, k, rules, clause, string_agg(CASE WHEN holds THEN '1' ELSE '0' END, '' ORDER BY bits) AS column_, count(*) FILTER (holds) AS satisfied FROM told GROUP BY ALL)"""
+
+
+@query(_RULES + ", " + _ATOMS + " SELECT k::BIGINT AS atoms, satisfied, min(clause) AS clause, sum(rules)::BIGINT AS rules FROM truth GROUP BY atoms, column_, k, satisfied")
 def condition_canon(spark, sf_dir):
-    """Canonical Boolean form of every rule's conditions, with how many rules share it."""
+    """The rules of each meaning of their conditions, meanings told apart by decision diagrams: how many atoms matter, under how many assignments it holds."""
     conds = conditions(spark, sf_dir).groupBy("contract_id", "clause_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("n", "field", "op", "value")))).alias("c"))
-    return conds.groupBy("c").agg(F.count("*").alias("rules"), F.min("clause_id").alias("clause")).withColumn("canon", _canon("c")).groupBy("canon").agg(F.sum("rules").alias("rules"), F.min("clause").alias("clause"))
+    each = conds.groupBy("c").agg(F.count("*").alias("rules"), F.min("clause_id").alias("clause")).withColumn("m", _canon("c"))
+    return each.groupBy("m").agg(F.sum("rules").alias("rules"), F.min("clause").alias("clause")).select("m.atoms", "m.satisfied", "clause", "rules")
 
 
-@F.pandas_udf(T.StringType())
-def _canon(column: pd.Series) -> pd.Series:
-    return column.map(lambda text: policy.digest(policy.condition_canon([{"field": x["field"], "op": x["op"], "value": json.loads(x["value"])} for x in json.loads(text)])))
+@F.pandas_udf("canon string, atoms long, satisfied long")
+def _canon(column: pd.Series) -> pd.DataFrame:
+    held = [[{"field": x["field"], "op": x["op"], "value": json.loads(x["value"])} for x in json.loads(text)] for text in column]
+    return pd.DataFrame([(policy.digest(policy.condition_canon(c)), *policy.satisfied(c)) for c in held], columns=["canon", "atoms", "satisfied"])
 
 
 # ---- templates, probes, terms

@@ -1,13 +1,15 @@
 """Segmentation, scores, policies, plans, the model stage, sources, streams and the engine."""
 
+import itertools
 import json
+import random
 from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from policyspark.operators import context, metrics, model, policy, segment
+from policyspark.operators import context, exchange, metrics, model, policy, segment
 from policyspark.plans.engine import Engine
 from policyspark.sources import tables
 from policyspark.streaming import decisions as st
@@ -94,19 +96,110 @@ def test_multisets_and_alignment(spark):
         metrics.align([rule], [rule] * 17)
 
 
+def test_alignment_against_every_assignment(spark):
+    rng = random.Random(9)
+    parts = [*metrics.WEIGHTS, "issuer"]
+    rows, sides = [], {}
+    for k in range(25):
+        for side in ("expected", "found"):
+            for i in range(rng.randrange(0, 5)):
+                rule = {c: rng.choice("xy") for c in metrics.WEIGHTS} | {"issuer": rng.choice(["p", None])}
+                sides.setdefault((f"k{k}", side), []).append(rule)
+                rows.append((f"k{k}", f"{side}{i}", side, *(rule[c] for c in parts)))
+    weight = metrics.WEIGHTS | metrics.OPTIONAL
+
+    def worth(e, f):
+        told = metrics.components(e, f)
+        return sum(weight[c] for c, equal in told.items() if equal) + 1000 * all(told.values())
+
+    got = {}
+    for r in metrics.aligned(spark.createDataFrame(rows, "contract_id string, rule_id string, side string, " + ", ".join(f"{c} string" for c in parts))).collect():
+        assert r.error is None
+        one = got.setdefault(r.contract_id, [0, set(), set()])
+        one[1].add(r.expected_id), one[2].add(r.found_id)
+        if r.expected_id and r.found_id:
+            e, f = sides[r.contract_id, "expected"][int(r.expected_id[8:])], sides[r.contract_id, "found"][int(r.found_id[5:])]
+            assert {c: r[c] for c in metrics.components(e, f)} == metrics.components(e, f) and r.complete == all(metrics.components(e, f).values())
+            one[0] += worth(e, f)
+    for k in range(25):
+        e, f = sides.get((f"k{k}", "expected"), []), sides.get((f"k{k}", "found"), [])
+        short, long = (e, f) if len(e) <= len(f) else (f, e)
+        best = max(sum(worth(a, b) for a, b in zip(short, p, strict=True)) for p in itertools.permutations(long, len(short)))
+        assert got.get(f"k{k}", [0])[0] == best
+        assert len(got.get(f"k{k}", [0, set()])[1] - {None}) == len(e)
+
+
+def test_too_many_rules_are_an_error_of_their_agreement(spark):
+    rows = [("k", f"{s}{i}", s, "x", "y", str(i), s, "") for s in ("expected", "found") for i in range(18)] + [("m", s, s, *"aaaaa") for s in ("expected", "found")]
+    got = metrics.aligned(spark.createDataFrame(rows, "contract_id string, rule_id string, side string, kind string, action string, actor string, asset string, conditions string")).groupBy("contract_id").agg(F.count("*").alias("n"), F.max("error").alias("error")).collect()
+    assert {(r.contract_id, r.n, r.error) for r in got} == {("k", 36, "more than 16 rules to align"), ("m", 1, None)}
+
+
+def test_meanings_against_truth_tables():
+    rng = random.Random(4)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.4:
+            c = {"field": rng.choice("ab"), "op": rng.choice(["eq", "neq", "isAnyOf", "isNoneOf"]), "value": rng.randrange(2)}
+            return c | {"value": [0, 1][: rng.randrange(1, 3)]} if c["op"].startswith("is") else c
+        return {rng.choice(["all", "any", "exactly_one"]): [tree(depth - 1) for _ in range(rng.randrange(2, 4))]}
+
+    def holds(c, true):
+        for g, joint in policy.JOINTS.items():
+            if g in c:
+                told = [holds(x, true) for x in c[g]]
+                return all(told) if joint == "all" else any(told) if joint == "any" else sum(told) == 1
+        values = c["value"] if isinstance(c["value"], list) else [c["value"]]
+        return any((c["field"], v) in true for v in values) == (c["op"] in ("eq", "isAnyOf"))
+
+    atoms = [(f, v) for f in "ab" for v in (0, 1)]
+    tables, canons = {}, {}
+    for _ in range(400):
+        t = [tree(2) for _ in range(rng.randrange(0, 3))]
+        table = tuple(all(holds(c, {a for a, bit in zip(atoms, bits, strict=True) if bit}) for c in t) for bits in itertools.product([0, 1], repeat=4))
+        canon = policy.condition_canon(t)
+        assert tables.setdefault(canon, table) == table and canons.setdefault(table, canon) == canon, t
+        n, hits = policy.satisfied(t)
+        assert hits << 4 - n == sum(table)
+
+
 def test_policies():
-    rules = [{"id": "u:1", "kind": "prohibition", "actor": "R", "action": "use", "asset": "D", "source": "1", "conditions": [{"any": [{"field": "a", "op": "eq", "value": True}, {"field": "n", "op": "lt", "parameter": "p", "unit": "d"}]}]}, {"id": "u:2", "kind": "permission", "actor": "R", "action": "read", "asset": "D", "source": "2"}]
-    assert policy.from_exchange(json.loads(json.dumps(policy.to_exchange(rules)))) == rules
     a = {"field": "c", "op": "isAnyOf", "value": ["x", "y"]}
     b = {"any": [{"field": "c", "op": "eq", "value": "Y"}, {"field": "c", "op": "eq", "value": "x"}]}
     canon = policy.condition_canon
     assert canon([a]) == canon([b]) != canon([{"field": "c", "op": "isNoneOf", "value": ["x", "y"]}])
     assert canon([{"field": "c", "op": "eq", "value": 1}]) != canon([{"field": "c", "op": "eq", "value": True}])
-    assert canon([{"xone": [{"field": "c", "op": "eq", "value": i} for i in range(2)]}]) != canon([{"any": [{"field": "c", "op": "eq", "value": i} for i in range(2)]}])
     assert canon([{"any": [{"field": "c", "op": "eq", "value": i} for i in range(17)]}]).startswith("opaque:")
+    wide = [{"any": [{"all": [{"field": f"f{i}", "op": "eq", "value": 1}, {"field": f"g{i}", "op": "eq", "value": 1}]} for i in range(8)]}]
+    assert policy.satisfied(wide) == (16, 2**16 - 3**8)  # sixteen atoms, without a row for each of their assignments
+    same = policy.condition_signature
+    assert same([{"field": "elapsedTime", "op": "lteq", "value": "P1D"}, {"all": [a, b]}]) == same([b, {"and": [a | {"value": ["y", "X"]}, {"field": "elapsedTime", "op": "lteq", "value": "PT24H"}]}])
     assert policy.normalised("Straße ﬁt ‘x’") == "strasse fit 'x'" and policy.digest({"b": 1, "a": 2}) == policy.digest({"a": 2, "b": 1})
 
 
+RULES = "contract_id string, rule_id string, n int, kind string, actor string, action string, asset string, issuer string, source string, conditions string, requires string, remedies string"
+
+
+def test_documents_round_trip(spark):
+    deep = '[{"any":[{"field":"a","op":"eq","value":true},{"exactly_one":[{"field":"n \\"q\\"","op":"lt","parameter":"p","unit":"d"},{"field":"b","op":"isAnyOf","value":["x",{"y":[null,1.5]}]}]}]},{"field":"z","op":"eq","value":0}]'
+    duty = '[{"actor":"R","action":"keep","asset":"Logs","conditions":[{"field":"a","op":"eq","value":1}]},{"actor":"R","action":"show","asset":"Logs","conditions":[]}]'
+    rows = [("k", "u:1", 1, "prohibition", "R", "use", "D", None, "c1", deep, "[]", duty), ("k", "u:2", 2, "permission", "urn:q", "read", "D", "P", "c2", "[]", duty, "[]"), ("m", "u:1", 1, "obligation", "R", "keep", 'D "x"', None, "c1", "[]", "[]", "[]")]
+    rules = spark.createDataFrame(rows, RULES)
+    bind = spark.createDataFrame([("k", "p", 'a "b"', "duration", "c1")], "contract_id string, key string, label string, type string, source string")
+    party = spark.createDataFrame([("k", "urn:q", "requester", "c2")], "contract_id string, key string, role string, source string")
+    meta = spark.createDataFrame([("k", "tag", "v\n1"), ("k", "b", "")], "contract_id string, key string, value string")
+    docs = exchange.documents(rules, bind, party, meta)
+    whole = {r.contract_id: json.loads(r.document) for r in docs.collect()}
+    assert set(whole["m"]) == {"contract_id", "policy", "traceability"} and whole["k"]["policy"]["prohibition"][0]["constraint"][0]["or"][1]["xone"][0] == {"leftOperand": 'n "q"', "operator": "lt", "rightOperandReference": "p", "unit": "d"}
+    assert whole["k"]["policy"]["permission"][0]["duty"][1] == {"assignee": "R", "action": "show", "target": "Logs"}
+    back = exchange.tables(docs)
+    assert sorted(map(tuple, back["rules"].select(rules.columns).collect()), key=str) == sorted(rows, key=str)
+    for name, table in (("parameters", bind), ("parties", party), ("metadata", meta)):
+        assert sorted(map(tuple, back[name].select(table.columns).collect())) == sorted(map(tuple, table.collect()))
+    sources = spark.createDataFrame([("k", "c1"), ("k", "c2"), ("m", "c1")], "contract_id string, source string")
+    assert exchange.violations(rules, bind, party, sources).count() == 0
+
+
 def test_metadata_and_groups(spark):
     rows = spark.createDataFrame([("k", "a", "1"), ("k", "a", "1"), ("k", "b", "1"), ("k", "b", "2")], "contract_id string, key string, value string")
     assert [(r.key, r.value) for r in policy.merge_metadata(rows).collect()] == [("a", "1")]
