@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyspark.functions import text as tx
 from policyspark.functions.grouped import map_groups
+from policyspark.functions.shared import settled
 
 ModelFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 LABELS = ("RELEVANT", "NOT_RELEVANT", "NEEDS_CONTEXT")
@@ -84,39 +86,98 @@ def packed(rows: DataFrame, options: Options) -> DataFrame:
 
 
 def halving(model: ModelFn) -> ModelFn:
-    """model, with a failed request split in two until its parts succeed; a single clause that fails needs context. Output limits are not split."""
+    """model, with a request that failed or whose answer can't be read split in two until its parts succeed; a single clause that fails needs context.
 
-    def ask(items: list[dict], request: str) -> list[dict]:
-        answer = next(iter(model(iter([pd.DataFrame({"request_id": [request], "value_json": [json.dumps(items)]})]))))
-        error, text = answer["error"].iloc[0], answer["answer_json"].iloc[0]
-        if error is None or pd.isna(error):
+    All requests of a batch are asked together, then all their halves, and so on. Output limits are not split.
+    """
+
+    def readable(text: object, items: list[dict]) -> list[dict] | None:
+        try:
             got = json.loads(text)
-            if [g.get("chunk_id") for g in got] == [c["chunk_id"] for c in items] and all(g.get("label") in LABELS for g in got):
-                return got
-            error = "invalid answer"
-        if len(items) == 1 or "output limit" in str(error):
-            return [{"chunk_id": c["chunk_id"], "label": "NEEDS_CONTEXT", "reason": str(error)} for c in items]
-        return ask(items[: len(items) // 2], request) + ask(items[len(items) // 2 :], request)
+            fits = [g["chunk_id"] for g in got] == [c["chunk_id"] for c in items] and all(g["label"] in LABELS for g in got)
+        except (TypeError, ValueError, KeyError):
+            return None
+        return [{"chunk_id": g["chunk_id"], "label": g["label"], "reason": str(g.get("reason") or "")} for g in got] if fits else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = [json.dumps(ask(json.loads(v), r)) for r, v in zip(batch["request_id"], batch["value_json"], strict=True)]
+            told: list[dict[str, dict]] = [{} for _ in range(len(batch))]
+            open_ = [(i, json.loads(v)) for i, v in enumerate(batch["value_json"])]
+            while open_:
+                frame = pd.DataFrame({"request_id": [f"{batch['request_id'].iloc[i]}#{n}" for n, (i, _) in enumerate(open_)], "value_json": [json.dumps(items, ensure_ascii=False) for _, items in open_]})
+                got = {r: (a, e) for answers in model(iter([frame])) for r, a, e in zip(answers["request_id"], answers["answer_json"], answers["error"], strict=True)}
+                again = []
+                for request, (i, items) in zip(frame["request_id"], open_, strict=True):
+                    answer, error = got.get(request, (None, "no answer"))
+                    error = error if isinstance(error, str) else None
+                    read = readable(answer, items) if error is None else None
+                    if read is not None:
+                        told[i] |= {g["chunk_id"]: g for g in read}
+                    elif len(items) == 1 or "output limit" in (error or ""):
+                        told[i] |= {c["chunk_id"]: {"chunk_id": c["chunk_id"], "label": "NEEDS_CONTEXT", "reason": error or "invalid answer", "failed": True} for c in items}
+                    else:
+                        again += [(i, items[: len(items) // 2]), (i, items[len(items) // 2 :])]
+                open_ = again
+            answers = [json.dumps([told[i][c["chunk_id"]] for c in json.loads(v)]) for i, v in enumerate(batch["value_json"])]
             yield pd.DataFrame({"request_id": batch["request_id"], "answer_json": answers, "error": [None] * len(batch)})
 
     return run
 
 
-def answered(requests: DataFrame, model: ModelFn, responses: DataFrame | None = None, settings: str = "") -> DataFrame:
-    """requests with fingerprint, answer_json and whether it came from responses (fingerprint, answer_json, rejected). Only misses are asked."""
-    keyed = requests.withColumn("fingerprint", F.sha2(F.concat(F.lit(settings), F.lit("\n"), "value_json"), 256))
-    asked, known = keyed, None
-    if responses is not None:
-        good = responses.where("not rejected").groupBy("fingerprint").agg(F.max("answer_json").alias("answer_json"))
-        known = keyed.join(good, "fingerprint").withColumn("cached", F.lit(True))
-        asked = keyed.join(good, "fingerprint", "left_anti")
-    answers = asked.select("request_id", "value_json").mapInPandas(halving(model), ANSWERS).drop("error")
-    fresh = asked.join(answers, "request_id").withColumn("cached", F.lit(False))
-    return fresh if known is None else fresh.unionByName(known.select(fresh.columns))
+class Responses:
+    """Answers kept by fingerprint in an append-only table. What is appended last counts: an answer, or that it was rejected."""
+
+    SCHEMA = "fingerprint string, answer_json string, rejected boolean, at long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def latest(self) -> DataFrame:
+        """(fingerprint, answer_json, rejected): the last state of each."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path) if there else self.spark.createDataFrame([], self.SCHEMA)
+        return rows.groupBy("fingerprint").agg(F.max_by(F.struct("answer_json", "rejected"), "at").alias("s")).select("fingerprint", "s.*")
+
+    def append(self, answers: DataFrame, rejected: Column | bool = False) -> None:
+        """Adds answers (fingerprint, answer_json), good or rejected."""
+        told = rejected if isinstance(rejected, Column) else F.lit(rejected)
+        answers.select("fingerprint", "answer_json", told.alias("rejected"), F.lit(time.time_ns()).alias("at")).write.mode("append").parquet(self.path)
+
+    def reject(self, fingerprints: DataFrame) -> None:
+        """Answers that turned out wrong are asked for again."""
+        self.append(fingerprints.select("fingerprint", F.lit(None).cast("string").alias("answer_json")).distinct(), True)
+
+
+def fingerprinted(requests: DataFrame, settings: str = "") -> DataFrame:
+    """requests with the fingerprint of the settings and what is asked."""
+    return requests.withColumn("fingerprint", F.sha2(F.concat(F.lit(settings), F.lit("\n"), "value_json"), 256))
+
+
+def misses(keyed: DataFrame, responses: DataFrame) -> DataFrame:
+    """The requests that no answer is kept for, or a rejected one."""
+    return keyed.join(responses.where("not rejected").select("fingerprint"), "fingerprint", "left_anti")
+
+
+def answered(requests: DataFrame, model: ModelFn, responses: DataFrame | Responses | None = None, settings: str = "") -> DataFrame:
+    """requests with fingerprint, answer_json and whether it came from responses (fingerprint, answer_json, rejected: a row each).
+
+    Equal requests that are asked are asked once. A store keeps what is new; an answer that failed in
+    part is kept as rejected, and asked for again next time.
+    """
+    keyed = fingerprinted(requests, settings)
+    known = responses.latest() if isinstance(responses, Responses) else responses
+    keyed = settled(keyed) if known is not None else keyed
+    asked = misses(keyed, known) if known is not None else keyed
+    once = asked.groupBy("fingerprint").agg(F.min("request_id").alias("request_id"), F.first("value_json").alias("value_json"))
+    told = once.select(F.col("fingerprint").alias("request_id"), "value_json").mapInPandas(halving(model), ANSWERS).select(F.col("request_id").alias("fingerprint"), "answer_json")
+    if isinstance(responses, Responses):
+        told = settled(told)
+        responses.append(told, F.contains("answer_json", F.lit('"failed": true')))
+    fresh = asked.join(told, "fingerprint").withColumn("cached", F.lit(False))
+    if known is None:
+        return fresh
+    return fresh.unionByName(keyed.join(known.where("not rejected").select("fingerprint", "answer_json"), "fingerprint").withColumn("cached", F.lit(True)).select(fresh.columns))
 
 
 def labels(answers: DataFrame) -> DataFrame:
@@ -124,19 +185,20 @@ def labels(answers: DataFrame) -> DataFrame:
     return answers.select("contract_id", F.explode(parsed).alias("a")).select("contract_id", F.col("a.chunk_id").cast("int").alias("ord"), "a.label", "a.reason")
 
 
-def classify(clauses: DataFrame, model: ModelFn = rule_model, options: Options | None = None, context: DataFrame | None = None) -> DataFrame:
+def classify(clauses: DataFrame, model: ModelFn = rule_model, options: Options | None = None, context: DataFrame | None = None, responses: Responses | None = None, settings: str = "") -> DataFrame:
     """label, gate and pass of every clause.
 
     Gated clauses never reach the model. A second pass asks again about those that need context, if
-    `context` (contract_id, ord, context: text) has some for them.
+    `context` (contract_id, ord, context: text) has some for them. responses: a store of answers, so
+    that a second run asks nothing it was told; settings: what model and options they are of.
     """
     options = options or Options()
     rows = gated(clauses)
     open_ = rows.where("gate is null").withColumn("context", F.lit(None).cast("string"))
-    first = labels(answered(packed(open_, options), model)).withColumn("pass", F.lit(1))
+    first = labels(answered(packed(open_, options), model, responses, settings)).withColumn("pass", F.lit(1))
     if context is not None:
         again = open_.drop("context").join(first.where("label = 'NEEDS_CONTEXT'").select("contract_id", "ord"), ["contract_id", "ord"]).join(context, ["contract_id", "ord"])
-        second = labels(answered(packed(again, options), model)).withColumn("pass", F.lit(2))
+        second = labels(answered(packed(again, options), model, responses, settings)).withColumn("pass", F.lit(2))
         first = first.unionByName(second).groupBy("contract_id", "ord").agg(F.max_by("label", "pass").alias("label"), F.max_by("reason", "pass").alias("reason"), F.max("pass").alias("pass"))
     decided = rows.where("gate is not null").select("contract_id", "ord", "label", F.lit(None).cast("string").alias("reason"), "gate", F.lit(0).alias("pass"))
     return decided.unionByName(first.withColumn("gate", F.lit(None).cast("string")).select(decided.columns))

@@ -1,6 +1,7 @@
 """Queries on rules, conditions, decisions and scores, each with the SQL that checks it."""
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql.window import Window
 
 from policyspark.functions import text as tx
 from policyspark.functions import truth as tr
-from policyspark.functions.shared import settled
+from policyspark.functions.shared import settled, shared_dir
 from policyspark.operators import metrics, policy, segment
 from policyspark.plans import oracle as o
 from policyspark.plans.catalogue import CATALOGUE
@@ -504,10 +505,16 @@ def requests(spark, sf_dir):
     return clauses(spark, sf_dir).select("contract_id", "ord", F.md5("text").alias("fp"), F.octet_length("text").alias("bytes"))
 
 
-@query(_REQUESTS + ", have AS (SELECT DISTINCT fp FROM req WHERE fp < 'c') SELECT contract_id, count(*) AS misses, sum(bytes)::BIGINT AS bytes FROM req WHERE fp NOT IN (SELECT fp FROM have) GROUP BY ALL")
+@query(f"WITH {o.CLAUSES}, q AS (SELECT contract_id, sha256('m1' || chr(10) || text) AS fp, strlen(text) AS bytes FROM clauses), have AS (SELECT DISTINCT fp FROM q WHERE fp < 'c' AND fp NOT LIKE '%0') SELECT contract_id, count(*) AS misses, count(DISTINCT fp) AS questions, sum(bytes)::BIGINT AS bytes FROM q WHERE fp NOT IN (SELECT fp FROM have) GROUP BY ALL")
 def cache_misses(spark, sf_dir):
-    rows = requests(spark, sf_dir)
-    return rows.join(rows.where("fp < 'c'").select("fp").distinct(), "fp", "left_anti").groupBy("contract_id").agg(F.count("*").alias("misses"), F.sum("bytes").alias("bytes"))
+    """What a second run has to ask: the first one's answers are kept by fingerprint, some of them were rejected later."""
+    from policyspark.operators import model
+
+    keyed = settled(model.fingerprinted(clauses(spark, sf_dir).select("contract_id", F.col("text").alias("value_json")), "m1"))
+    store = model.Responses(spark, f"{shared_dir(spark)}/responses-{uuid.uuid4().hex}")
+    store.append(keyed.where("fingerprint < 'c'").select("fingerprint").distinct().withColumn("answer_json", F.lit("[]")))
+    store.reject(keyed.where("fingerprint < 'c' and fingerprint like '%0'"))
+    return model.misses(keyed, store.latest()).groupBy("contract_id").agg(F.count("*").alias("misses"), F.countDistinct("fingerprint").alias("questions"), F.sum(F.octet_length("value_json")).alias("bytes"))
 
 
 @query(_REQUESTS + """, r AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY bytes DESC, ord) AS big, row_number() OVER (PARTITION BY contract_id ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY contract_id) AS n FROM req)

@@ -65,7 +65,7 @@ class Engine:
             texts = clauses.select("contract_id", F.col("ord").alias("target_ord"), "text")
             pairs = context.ancestry(context.scoped(clauses)).select("contract_id", "ord", "target_ord").join(texts, ["contract_id", "target_ord"])
             above = pairs.groupBy("contract_id", "ord").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("target_ord", "text"))), lambda x: x["text"]), "\n").alias("context"))
-            return model.classify(clauses, self.model, self.options, above)
+            return model.classify(clauses, self.model, self.options, above, model.Responses(self.spark, self.path("responses")), f"{self.model.__module__}.{self.model.__qualname__} {self.options}")
         if stage == "evidence":
             rows = settled(context.scoped(clauses))
             kept = held("labels").where("label <> 'NOT_RELEVANT'").select("contract_id", "ord")
@@ -109,7 +109,7 @@ class Engine:
                     made = settled(self._rows(stage, blocks, only))
                     if only is None and self.exists(stage):
                         self.invalidate(stage)
-                    write_stage(made, self.path(stage))
+                    write_stage(made, self.path(stage), stage)
                     if i + 1 < len(STAGES) and only is not None:
                         self.invalidate(STAGES[i + 1], only)
                     entry |= {"status": "completed", "seconds": time.time() - began}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -50,9 +50,18 @@ def _merge(spark: SparkSession, path: str, rows: DataFrame | None, gone: DataFra
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def write_stage(rows: DataFrame, path: str) -> None:
-    """A stage's rows in BUCKETS folders by agreement; the agreements at hand are replaced, each as a whole, and no others."""
+def write_stage(rows: DataFrame, path: str, stage: str | None = None) -> None:
+    """A stage's rows in BUCKETS folders by agreement; the agreements at hand are replaced, each as a whole, and no others.
+
+    Rows that break the stage's rules are counted by the job that makes them. With any, the old table
+    stays as it is and ValueError names the rules.
+    """
+    rules, seen = RULES.get(stage or "", {}), Observation()
+    if rules:
+        rows = rows.observe(seen, *[F.sum((~F.coalesce(F.expr(ok), F.lit(False))).cast("long")).alias(name) for name, ok in rules.items()])
     rows = settled(rows)
+    if rules and (broken := {name: n for name, n in seen.get.items() if n}):
+        raise ValueError(f"{stage}: " + "; ".join(f"{n} rows break {name}" for name, n in sorted(broken.items())))
     _merge(rows.sparkSession, path, rows, settled(rows.select("contract_id").distinct()))
 
 

@@ -234,6 +234,45 @@ def test_cache_asks_misses_only(spark):
     assert model.packed(small, model.Options()).count() == 3 and model.packed(small, model.Options(context=2048, output=960)).count() == 20
 
 
+def test_answers_are_kept_and_bad_ones_asked_again(spark, tmp_path):
+    log = str(tmp_path / "log")
+    store = model.Responses(spark, str(tmp_path / "responses"))
+    rows = spark.createDataFrame([("k", i, str(i), None, t) for i, t in enumerate(["R may read.", "x y", "x y", "junk here"])], "contract_id string, ord int, clause_id string, heading string, text string")
+
+    def logged(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.writelines(v + "\n" for v in b["value_json"])
+            good = next(iter(model.rule_model(iter([b]))))
+            yield good.assign(answer_json=["{" if "junk" in v else a for a, v in zip(good["answer_json"], b["value_json"], strict=True)])
+
+    def run():
+        made = {r.ord: (r.label, r.reason) for r in model.classify(rows, logged, model.Options(batch=2), responses=store).collect()}
+        with open(log) as f:
+            asked = [json.loads(line) for line in f]
+        open(log, "w").close()
+        return made, asked
+
+    first, asked = run()
+    assert first[0][0] == "RELEVANT" and first[3] == ("NEEDS_CONTEXT", "invalid answer")
+    assert [[c["chunk_id"] for c in q] for q in sorted(asked, key=str) if len(q) == 2] == [["0", "1"], ["2", "3"]] and sum(len(q) == 1 for q in asked) == 2  # the half that could not be read, clause by clause
+    again, asked = run()
+    assert again == first and {c["chunk_id"] for q in asked for c in q} == {"2", "3"}  # only what failed
+    store.reject(store.latest().where("not rejected"))
+    assert store.latest().where("not rejected").count() == 0
+    _, asked = run()
+    assert {c["chunk_id"] for q in asked for c in q} == {"0", "1", "2", "3"}
+
+
+def test_a_stage_that_breaks_its_rules_is_not_written(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    rows = spark.createDataFrame([("k", 1, "RELEVANT"), ("m", 1, "NOT_RELEVANT")], "contract_id string, ord int, label string")
+    tables.write_stage(rows, path, "labels")
+    with pytest.raises(ValueError, match="labels: 1 rows break label"):
+        tables.write_stage(rows.withColumn("label", F.when(F.col("contract_id") == "k", "SO SO").otherwise(F.col("label"))), path, "labels")
+    assert {(r.contract_id, r.label) for r in spark.read.parquet(path).collect()} == {("k", "RELEVANT"), ("m", "NOT_RELEVANT")}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "k1.txt").write_text("TERMS\n\n1.1 R may read.\n\nmore")
     spark.dataSource.register(tables.ContractBlocks)
