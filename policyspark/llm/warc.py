@@ -49,7 +49,7 @@ def _uuid(value: Column) -> Column:
 
 
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One WARC record per row of pages, as a string without its closing line ends.
+    """One WARC record per row of pages, as a string without its closing line ends, and the size of its payload.
 
     Null html is an empty payload, a null url a record without a target. Rows without a page id
     (or with one that is no number), and repeated rows of the largest id, are responses. Payloads
@@ -58,7 +58,8 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     kept = pages.select(F.col("page_id").try_cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     kept = kept.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     # ids and digests alone find the revisits; a payload that very many pages share is looked up where they are
-    keys = checkpoint(kept.where(F.octet_length("html") >= min_bytes).select("page_id", "sha"))
+    own = [F.col(c).alias(c) for c in ("page_id", "sha")]  # columns of their own: they meet those they come from again
+    keys = checkpoint(kept.where(F.octet_length("html") >= min_bytes).select(own))
     sizes = keys.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     revisits = lookup(keys, sizes.drop("n"), ["sha"], hot_keys(sizes.select("sha", "n"), keys.count())).where("page_id <> refers_to").distinct()
     rows = kept.join(revisits.select("page_id", "sha", "refers_to"), ["page_id", "sha"], "left")
@@ -82,14 +83,22 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit(END),
     )
-    return rows.select(F.concat(head, body).alias("value"))
+    return rows.select(F.concat(head, body).alias("value"), F.octet_length("html").alias("size"))
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0, per_file: int = 4000, file_bytes: int = 1 << 28) -> None:
-    """gzip archives under path, of at most per_file records and, unpacked, about file_bytes at most."""
-    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    per_file = max(1, min(per_file, file_bytes // (largest + 1024)))
-    records(pages, min_bytes).write.option("lineSep", END + END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    """gzip archives under path, of at most per_file records and, unpacked, about file_bytes at most.
+
+    Pages longer than per_file of them allow lie in archives of their own, by powers of four, as many
+    in each as fit: one long page changes nothing for the others. Null pages are empty, repeated ones
+    repeat, an empty table gives no archive with records.
+    """
+    limit = max(1, file_bytes // per_file)
+    band = F.coalesce(*[F.when(F.col("size") <= limit << 2 * k, k) for k in range(16)], F.lit(16))
+    made = records(pages, min_bytes)
+    sizes = pages.select(F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
+    for k in sorted(r.band for r in sizes.select(band.alias("band")).distinct().collect()) or [0]:  # seventeen at most
+        made.where(band == k).select("value").write.mode("append").option("lineSep", END + END).option("maxRecordsPerFile", max(1, per_file >> 2 * k)).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:

@@ -283,6 +283,15 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_one_long_page_leaves_the_other_archives_alone(spark, tmp_path):
+    plain = spark.range(2000, numPartitions=4).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.example/"), "id").alias("url"), F.repeat(F.lit("x"), F.when(F.col("id") == 5, 3_000_000).otherwise(F.col("id") % 50).cast("int")).alias("html"), F.lit("clash").alias("size"), F.lit(1).alias("sha"))
+    pages = plain.where("page_id <> 7")  # a filter over computed columns
+    warc.write(pages, str(tmp_path / "w"), per_file=4000, file_bytes=1 << 22)
+    assert len(list((tmp_path / "w").glob("*.gz"))) <= 8
+    got = {r.page_id: r.payload_bytes for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: 3_000_000 if i == 5 else i % 50 for i in range(2000) if i != 7}
+
+
 def test_loser_tree_merges_any_runs():
     rng = random.Random(4)
     for k in (0, 1, 2, 3, 7, 16):
