@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from policyspark.functions import text as tx
 from policyspark.functions import truth as tr
 from policyspark.functions.shared import settled, shared_dir
-from policyspark.operators import metrics, policy, segment
+from policyspark.operators import benchmark, metrics, model, policy, segment
 from policyspark.plans import oracle as o
 from policyspark.plans.catalogue import CATALOGUE
 from policyspark.plans.corpus import agreements, bits, clauses, conditions, mask, rules, table, written
@@ -232,10 +232,7 @@ def status_summary(spark, sf_dir):
     k AS (SELECT DISTINCT a.contract_id FROM rules a JOIN rules b ON a.contract_id = b.contract_id AND lower(a.actor) = lower(b.actor) AND a.action = b.action AND lower(a.asset) = lower(b.asset) AND a.ord < b.ord AND a.kind <> b.kind)
     SELECT contract_id, n AS reviewed, entailed, CASE WHEN failed > 0 THEN 'incomplete' WHEN entailed < n OR k.contract_id IS NOT NULL THEN 'changes_requested' ELSE 'reviewed_no_issues_found' END AS status FROM r LEFT JOIN k USING (contract_id)""")
 def review_rollup(spark, sf_dir):
-    each = verdicts(spark, sf_dir).groupBy("contract_id").agg(F.count("*").alias("reviewed"), F.sum(F.coalesce((F.col("verdict") == "ENTAILED").cast("int"), F.lit(0))).alias("entailed"), F.sum(F.col("verdict").isNull().cast("int")).alias("failed"))
-    clash = policy.conflicts(rules(spark, sf_dir)).select("contract_id", F.lit(True).alias("clash")).distinct()
-    state = F.when(F.col("failed") > 0, "incomplete").when((F.col("entailed") < F.col("reviewed")) | F.col("clash"), "changes_requested").otherwise("reviewed_no_issues_found")
-    return each.join(clash, "contract_id", "left").select("contract_id", "reviewed", "entailed", state.alias("status"))
+    return policy.rollup(verdicts(spark, sf_dir), rules(spark, sf_dir)).select("contract_id", "reviewed", "entailed", "status")
 
 
 @query(_RULES + r""", own AS (SELECT clause_id, unnest(list_filter([CASE WHEN NOT contains(lower(text), lower(asset)) THEN 'asset not in the text' END, CASE WHEN NOT contains(lower(text), lower(actor)) THEN 'actor not in the text' END, CASE WHEN lower(actor) = lower(asset) THEN 'party and asset are one' END, CASE WHEN regexp_matches(action, '(?i)\s|and|or[A-Z]') THEN 'action is not one verb' END], lambda x: x IS NOT NULL)) AS fault FROM rules),
@@ -469,7 +466,7 @@ def condition_canon(spark, sf_dir):
     return each.groupBy("m").agg(F.sum("rules").alias("rules"), F.min("clause").alias("clause")).select("m.atoms", "m.satisfied", "clause", "rules")
 
 
-@F.pandas_udf("canon string, atoms long, satisfied long")
+@F.pandas_udf(T.StructType().add("canon", T.StringType()).add("atoms", T.LongType()).add("satisfied", T.LongType()))
 def _canon(column: pd.Series) -> pd.DataFrame:
     held = [[{"field": x["field"], "op": x["op"], "value": json.loads(x["value"])} for x in json.loads(text)] for text in column]
     return pd.DataFrame([(policy.digest(policy.condition_canon(c)), *policy.satisfied(c)) for c in held], columns=["canon", "atoms", "satisfied"])
@@ -508,8 +505,6 @@ def requests(spark, sf_dir):
 @query(f"WITH {o.CLAUSES}, q AS (SELECT contract_id, sha256('m1' || chr(10) || text) AS fp, strlen(text) AS bytes FROM clauses), have AS (SELECT DISTINCT fp FROM q WHERE fp < 'c' AND fp NOT LIKE '%0') SELECT contract_id, count(*) AS misses, count(DISTINCT fp) AS questions, sum(bytes)::BIGINT AS bytes FROM q WHERE fp NOT IN (SELECT fp FROM have) GROUP BY ALL")
 def cache_misses(spark, sf_dir):
     """What a second run has to ask: the first one's answers are kept by fingerprint, some of them were rejected later."""
-    from policyspark.operators import model
-
     keyed = settled(model.fingerprinted(clauses(spark, sf_dir).select("contract_id", F.col("text").alias("value_json")), "m1"))
     store = model.Responses(spark, f"{shared_dir(spark)}/responses-{uuid.uuid4().hex}")
     store.append(keyed.where("fingerprint < 'c'").select("fingerprint").distinct().withColumn("answer_json", F.lit("[]")))
@@ -521,10 +516,7 @@ def cache_misses(spark, sf_dir):
     SELECT ord, count(*) AS n FROM r WHERE big <= 2 OR list_contains([round_even(0 * (n - 1) / 7, 0), round_even(1 * (n - 1) / 7, 0), round_even(2 * (n - 1) / 7, 0), round_even(3 * (n - 1) / 7, 0), round_even(4 * (n - 1) / 7, 0), round_even(5 * (n - 1) / 7, 0), round_even(6 * (n - 1) / 7, 0), round_even(7 * (n - 1) / 7, 0)], i) GROUP BY ord""")
 def stratified_sample(spark, sf_dir):
     """The two longest requests of each agreement and eight evenly spread ones."""
-    by = Window.partitionBy("contract_id")
-    rows = requests(spark, sf_dir).withColumn("big", F.row_number().over(by.orderBy(F.desc("bytes"), "ord"))).withColumn("i", F.row_number().over(by.orderBy("ord")) - 1).withColumn("n", F.count("*").over(by))
-    spread = F.array(*[F.bround(F.lit(k) * (F.col("n") - 1) / 7) for k in range(8)])
-    return rows.where((F.col("big") <= 2) | F.array_contains(spread, F.col("i").cast("double"))).groupBy("ord").agg(F.count("*").alias("n"))
+    return benchmark.sampled(requests(spark, sf_dir)).groupBy("ord").agg(F.count("*").alias("n"))
 
 
 @query(_REQUESTS + ", p AS (SELECT contract_id, fp, count(*) AS n, min(bytes) AS bytes FROM req GROUP BY ALL) SELECT contract_id, count(*) AS pool, sum(bytes * (n - 1))::BIGINT AS saved FROM p GROUP BY ALL")
@@ -545,11 +537,25 @@ def id_remap(spark, sf_dir):
     return rules(spark, sf_dir).select("contract_id", F.concat(F.lit("urn:"), "contract_id", F.lit(":"), "clause_id", F.lit(":r"), F.row_number().over(w)).alias("new_id"))
 
 
-@query(f"WITH {_LABELLED}, v AS (SELECT doc_id, predicted AS base, CASE WHEN doc_id % 12 = 5 THEN 'NEEDS_CONTEXT' ELSE predicted END AS label FROM lab) SELECT 'batch' AS variant, count(*) AS n, avg((base = label)::INTEGER) AS label_agreement FROM v")
+def careless(batches):
+    """The rule model, which calls every twelfth clause unclear and can't answer about the seventh of a dozen."""
+    for batch in batches:
+        good = next(iter(model.rule_model(iter([batch]))))
+        made = [[x | {"label": "NEEDS_CONTEXT"} if int(x["chunk_id"]) % 12 == 5 else x | {"label": "?"} if int(x["chunk_id"]) % 12 == 7 else x for x in json.loads(a)] for a in good["answer_json"]]
+        yield good.assign(answer_json=[json.dumps(m) for m in made])
+
+
+@query(_REQUESTS.replace("strlen(text) AS bytes", "strlen(text) AS bytes, text") + r""", r AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY bytes DESC, ord) AS big, row_number() OVER (PARTITION BY contract_id ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY contract_id) AS n FROM req),
+    s AS (SELECT contract_id, ord, CASE WHEN regexp_matches(text, '(?i)\b(?:above|aforesaid)\b') THEN 'NEEDS_CONTEXT' WHEN regexp_matches(text, '(?i)\b(?:must|may|shall|means)\b') THEN 'RELEVANT' ELSE 'NOT_RELEVANT' END AS base FROM r WHERE big <= 2 OR list_contains(list_transform(range(8), lambda k: round_even(k * (n - 1) / 7, 0)), i)),
+    v AS (SELECT x.variant, x.batch, s.*, CASE WHEN variant = 'careless' AND ord % 12 IN (5, 7) THEN 'NEEDS_CONTEXT' ELSE base END AS label, variant = 'careless' AND ord % 12 = 7 AS failed FROM s, (VALUES ('alone', 1), ('four', 4), ('sixteen', 16), ('careless', 16)) x(variant, batch)),
+    q AS (SELECT variant, sum(ceil(n / batch))::BIGINT AS requests FROM (SELECT variant, batch, contract_id, count(*) AS n FROM v GROUP BY ALL) GROUP BY variant)
+    SELECT variant, count(*) AS clauses, requests, count(*) FILTER (failed) AS failed, avg((base = label)::INTEGER) FILTER (NOT failed) AS label_agreement FROM v JOIN q USING (variant) GROUP BY variant, requests""")
 def variant_agreement(spark, sf_dir):
-    rows = labelled(spark, sf_dir).select("doc_id", F.col("predicted").alias("base"))
-    other = rows.select("doc_id", F.when(F.col("doc_id") % 12 == 5, "NEEDS_CONTEXT").otherwise(F.col("base")).alias("label"))
-    return rows.join(other, "doc_id").agg(F.lit("batch").alias("variant"), F.count("*").alias("n"), F.avg((F.col("base") == F.col("label")).cast("int")).alias("label_agreement"))
+    """A sample of every agreement's clauses labelled in four ways, against one clause a request."""
+    rows = clauses(spark, sf_dir).select("contract_id", "ord", "text", F.octet_length("text").alias("bytes"))
+    variants = [benchmark.Variant(n, model.Options(batch=b), model=m) for n, b, m in (("alone", 1, model.rule_model), ("four", 4, model.rule_model), ("sixteen", 16, model.rule_model), ("careless", 16, careless))]
+    told, _ = benchmark.compare(benchmark.sampled(rows), variants)
+    return benchmark.summary(told, "alone").select("variant", "clauses", "requests", "failed", "label_agreement")
 
 
 # ---- windows over events (batch form of the streaming extensions)
@@ -585,8 +591,6 @@ _LABEL = rf"""WITH {o.CLAUSES}, t AS (SELECT *, {o.stripped('text')} AS t FROM c
 @query(_LABEL + r""" SELECT ord::INTEGER AS ord, gate, CASE gate WHEN 'heading' THEN 'NOT_RELEVANT' WHEN 'delivery duty' THEN 'RELEVANT' WHEN 'option' THEN 'NEEDS_CONTEXT' ELSE CASE WHEN regexp_matches(text, '(?i)\b(?:above|aforesaid)\b') THEN 'NEEDS_CONTEXT' WHEN regexp_matches(text, '(?i)\b(?:must|may|shall|means)\b') THEN 'RELEVANT' ELSE 'NOT_RELEVANT' END END AS label, CASE WHEN gate IS NULL THEN 1 ELSE 0 END AS pass, count(*) AS n FROM g GROUP BY ALL""")
 def classify_clauses(spark, sf_dir):
     """Gates, packed requests and the rule model over all clauses."""
-    from policyspark.operators import model
-
     return model.classify(clauses(spark, sf_dir)).groupBy("ord", "label", "gate", "pass").agg(F.count("*").alias("n"))
 
 
@@ -651,8 +655,6 @@ def compile_plan(spark, sf_dir):
 @query(f"""WITH {o.CLAUSES}, s AS (SELECT contract_id, strlen('{{"chunk_id": "') + strlen(ord::VARCHAR) + strlen('", "text": ') + strlen(to_json(text)::VARCHAR) + 1 AS bytes FROM clauses)
     SELECT contract_id, ceil(count(*) / 16)::BIGINT AS requests, (sum(bytes) + 2 * (count(*) - ceil(count(*) / 16)) + 2 * ceil(count(*) / 16))::BIGINT AS bytes FROM s GROUP BY contract_id""")
 def greedy_packing(spark, sf_dir):
-    from policyspark.operators import model
-
     rows = clauses(spark, sf_dir).withColumn("context", F.lit(None).cast("string"))
     return model.packed(rows, model.Options()).groupBy("contract_id").agg(F.count("*").alias("requests"), F.sum(F.octet_length("value_json")).alias("bytes"))
 

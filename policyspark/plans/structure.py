@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from policyspark.functions import text as tx
 from policyspark.functions.shared import settled
-from policyspark.operators import context, layout
+from policyspark.operators import context, generation, layout, model
 from policyspark.plans import oracle as o
 from policyspark.plans.corpus import clauses, table
 
@@ -337,7 +337,6 @@ def time_terms(spark, sf_dir):
 @query(rf"""WITH {o.CLAUSES}, m AS (SELECT ord, len(regexp_extract_all(text, '(?i)\b(?:shall|must|may)\b')) AS modals, strlen(text) AS bytes FROM clauses) SELECT ord, greatest(2, least(12, 2 + max(modals)))::BIGINT AS rule_cap, sum(bytes)::BIGINT AS bytes, greatest(0, floor((32768 - 12288 - 1024) * 2.5)::BIGINT - max(bytes))::BIGINT AS byte_budget FROM m GROUP BY ord""")
 def request_caps(spark, sf_dir):
     """Rule caps by modal verbs and byte budgets of a request with its own text taken off."""
-    modals = F.size(F.regexp_extract_all("text", F.lit(r"(?i)\b(shall|must|may)\b"), F.lit(1)))
-    rows = clauses(spark, sf_dir).select("ord", modals.alias("m"), F.octet_length("text").alias("b"))
-    budget = F.greatest(F.lit(0).cast("long"), F.floor(F.lit((32768 - 12288 - 1024) * 2.5)) - F.max("b"))
-    return rows.groupBy("ord").agg(F.greatest(F.lit(2), F.least(F.lit(12), 2 + F.max("m"))).cast("long").alias("rule_cap"), F.sum("b").alias("bytes"), budget.alias("byte_budget"))
+    rows = clauses(spark, sf_dir).select("ord", generation.rule_cap(F.col("text")).alias("cap"), F.octet_length("text").alias("b"))
+    budget = F.greatest(F.lit(0).cast("long"), F.lit(model.Options().bytes).cast("long") - F.max("b"))
+    return rows.groupBy("ord").agg(F.max("cap").cast("long").alias("rule_cap"), F.sum("b").alias("bytes"), budget.alias("byte_budget"))
