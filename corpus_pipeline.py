@@ -30,7 +30,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that with the least id, null ids last, then the least text hash.
 
-    Near: sets of five-word shingles with a Jaccard similarity of 0.8 or more, found exactly. Only
+    Near: sets of five-word shingles with a Jaccard similarity of 0.8 or more, found exactly: first
+    among texts whose SimHash fingerprints are near, then among all that these links leave apart. Only
     likeness makes a group: rows that share an id or have none stay unless their texts are near.
     Null, empty and blank texts are one group; rows that repeat in every column are one row. A
     table's own columns may have any names. Rows to be dropped, or that repeat, are broadcast where

@@ -4,9 +4,10 @@ The search is exact. Two sets of such a similarity share a member among the firs
 n - ceil(least * n) + 1 of each in any common order (prefix filter); the order is rarest first by
 counts over a bounded sample, which decides the speed only. A pair must also fit by its sizes, by
 sketches that differ in no more bits than the sets may in members, and by how many prefix members
-it shares; it is then checked on the whole sets. Equal texts are one node. Large groups are first
-linked to their centre, the text most of whose shingles many others have; after that only pairs
-that these links leave in different components are compared.
+it shares; it is then checked on the whole sets. Equal texts are one node. Texts whose SimHash
+fingerprints are near are linked first, by the same check; then large groups are linked to their
+centre, the text most of whose shingles many others have; after each, only pairs that the links so
+far leave in different components are compared.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from policyspark.llm.common import bounded_sample, checkpoint, components, known_few
+from policyspark.llm import simhash
+from policyspark.llm.common import bounded_sample, checkpoint, components, known_few, remove, scratch
 
-SLACK, PAIRS, WORDS = 1e-9, 200_000, 150_000
+SLACK, PAIRS, WORDS = 1e-9, 200_000, 100_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,11 +66,19 @@ def node(text: str = "text") -> Column:
     return F.when(F.col(text).rlike(r"\S"), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, whose sets are held at once; word hashes are forgotten after the last."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    HASHES.clear()
+
+
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(node, members) for each row of (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             made = [shingles(x.as_py(), shingle) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["node", "members"])
 
@@ -109,7 +119,7 @@ def _prefixes(texts: DataFrame, copied: DataFrame, shingle: int, least: float) -
     names = [f"s{i}" for i in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             made = [shingles(x.as_py(), shingle) for x in batch.column(1)]
             bits = np.array([sketch(m) for m in made], np.int64).reshape(-1, SKETCH)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, made), pa.int32()), pa.array([first(m) for m in made], pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(bits.T))], ["node", "n", "prefix", *names])
@@ -204,35 +214,65 @@ def _candidates(shared: DataFrame, least: float, star: bool) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, copied: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar. Texts travel, which pack better than their sets."""
+    """The pairs (u, v) whose whole sets are similar. Texts travel, which pack better than their sets.
+
+    The text of a pair that is in fewer pairs goes to where the other one's is, so a text that many
+    are compared with, as centres are, travels once. A text learns where to go by a broadcast of the
+    pairs where their count proves them few; then nothing else is moved or stored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, one = None, np.zeros(0, np.int64)
         for batch in batches:
-            keep, last, one = np.zeros(batch.num_rows, bool), None, None
-            for i, (v, a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)):
-                if v != last:  # pairs of one text follow each other
-                    last, one = v, shingles(b.as_py(), shingle)
-                other = shingles(a.as_py(), shingle)
-                shared = len(np.intersect1d(one, other, assume_unique=True))
-                keep[i] = shared >= least * (len(one) + len(other) - shared) - SLACK
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["u", "v"])
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (hub, node, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                other = shingles(text.as_py(), shingle)
+                if node is None:  # a hub's own row comes before those of the texts it is compared with
+                    last, one = hub, other
+                elif hub == last:
+                    shared = len(np.intersect1d(one, other, assume_unique=True))
+                    keep[i] = shared >= least * (len(one) + len(other) - shared) - SLACK
+                else:
+                    raise RuntimeError("a text of a pair is missing")
+            hubs, others = (batch.column(k).filter(pa.array(keep)).to_numpy() for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hubs, others)), pa.array(np.maximum(hubs, others))], ["u", "v"])
+        HASHES.clear()
 
     pairs = checkpoint(pairs)
-    named = known_few(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    chosen = checkpoint(texts.join(named, "node", "left_semi").transform(one_each, copied).select("node", "text"))
-    firsts = pairs.join(chosen.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    both = firsts.join(chosen.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
-    return checkpoint(both.mapInArrow(run, "u long, v long"))
+    degree = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    both = pairs.join(degree.select(F.col("node").alias("u"), F.col("n").alias("un")), "u").join(degree.select(F.col("node").alias("v"), F.col("n").alias("vn")), "v")
+    sent = known_few(both.select(F.when(F.col("vn") > F.col("un"), F.col("v")).otherwise(F.col("u")).alias("hub"), F.when(F.col("vn") > F.col("un"), F.col("u")).otherwise(F.col("v")).alias("node")))
+    chosen = lambda ids: texts.join(known_few(ids.distinct()), "node", "left_semi").transform(one_each, copied).select("node", "text")
+    others = chosen(sent.select("node")).join(sent, "node").select("hub", "node", "text")
+    hubs = chosen(sent.select(F.col("hub").alias("node"))).select(F.col("node").alias("hub"), F.lit(None).cast("long").alias("node"), "text")
+    rows = others.unionByName(hubs).repartition("hub").sortWithinPartitions("hub", F.col("node").asc_nulls_first())
+    return checkpoint(rows.mapInArrow(run, "u long, v long"))
+
+
+def _by_fingerprint(texts: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (u, v) of texts whose SimHash fingerprints are equal or within `radius` bits: of each fingerprint's texts the least with the others, and those of linked fingerprints."""
+    rows = texts.where("node <> 0").select(F.col("node").alias("doc_id"), "text")
+    fps = checkpoint(simhash.fingerprints(rows).select("fp", F.col("doc_id").alias("node")).distinct())
+    firsts = checkpoint(fps.groupBy("fp").agg(F.min("node").alias("u"), F.count("*").alias("n")))
+    equal = fps.join(firsts.where("n > 1").select("fp", "u"), "fp").where("node <> u").select("u", F.col("node").alias("v"))
+    at = lambda end: firsts.select(F.col("fp").alias(end), F.col("u").alias(f"{end}_node"))
+    near = simhash.links(firsts.select("fp"), radius).join(at("u"), "u").join(at("v"), "v")
+    return equal.unionByName(near.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")))
 
 
 def near_copies(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(node, root) for every node of texts(node, text) that has a near copy: root is the least node it is linked to."""
-    copied = known_few(texts.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
-    prefixes = checkpoint(_prefixes(texts, copied, shingle, least))
+    spark, copied = texts.sparkSession, known_few(texts.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
+    found = _similar(_by_fingerprint(texts), texts, copied, shingle, least)
+    path = scratch(spark, "prefixes")
+    _prefixes(texts, copied, shingle, least).write.parquet(path)
+    prefixes = spark.read.parquet(path)
     groups = checkpoint(_shared(prefixes))
     fame = groups.groupBy("node").agg(F.sum("size").alias("fame"))
-    shared = checkpoint(groups.select("member", "node").join(prefixes.drop("prefix").join(fame, "node"), "node"))
-    first = _similar(_candidates(shared.withColumn("root", F.col("node")), least, True), texts, copied, shingle, least)
-    rooted = shared.join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = _similar(_candidates(rooted, least, False), texts, copied, shingle, least)
-    return components(first.unionByName(rest))
+    about = checkpoint(prefixes.drop("prefix").join(fame, "node"))
+    remove(spark, path)
+    for star in (True, False):
+        rooted = about.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        shared = groups.select("member", "node").join(rooted, "node")
+        found = checkpoint(found.unionByName(_similar(_candidates(shared, least, star), texts, copied, shingle, least)))
+    return components(found)

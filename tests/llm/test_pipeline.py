@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from policyspark.llm import queries, simhash
+from policyspark.llm import queries, shingles, simhash
 
 TINY = "/root/testdata/sf0.001"
 
@@ -98,3 +98,25 @@ def test_clashing_and_odd_columns_go_along(spark):
     rows = kept.collect()
     assert rows and all(r["x.y"] == "x.y" and r["é`z"] == "é`z" and r["predicted"] == "predicted" for r in rows)
     assert corpus_pipeline.encode(spark, kept, TINY).count() >= len(rows)
+
+
+def test_fingerprints_are_searched_first_and_links_checked(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join(["new", *words[1:]]), " ".join(words).upper(), " ".join(f"x{i}" for i in range(300)), "", None]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string").withColumn("node", shingles.node()).cache()
+    nodes = {r.node: r.doc_id for r in docs.collect()}
+    pairs = {frozenset((nodes[r.u], nodes[r.v])) for r in shingles._by_fingerprint(docs.select("node", "text")).collect()}
+    near = {frozenset((a, b)) for a in range(4) for b in range(a) if (simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() <= 2}
+    assert frozenset((0, 2)) in pairs and pairs <= near
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs.select("doc_id", "text"), TINY).collect()} == {0, 3, 4}
+
+
+def test_a_text_of_many_pairs_travels_once(spark, monkeypatch):
+    """What is stored while pairs are checked are ids: texts go straight to where they are compared."""
+    stored, keep = [], shingles.checkpoint
+    monkeypatch.setattr(shingles, "checkpoint", lambda df: stored.append(df.schema.simpleString()) or keep(df))
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), *(" ".join([*words, f"more{i}"]) for i in range(12))]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, TINY).collect()] == [0]
+    assert stored and not any("string" in s or "array" in s for s in stored)
