@@ -11,7 +11,7 @@ from tests.test_classes import ODD, TABLES
 from tests.test_queries import TINY, plain
 
 NAMES = {
-    "behaviour_probes", "classify_clauses", "compile_plan", "frozen_drift", "greedy_packing", "policy_from_clauses", "policy_status", "policy_violations", "rule_agreement", "segment_full",
+    "behaviour_probes", "classify_clauses", "compile_plan", "exchange_round_trip", "frozen_drift", "greedy_packing", "policy_from_clauses", "policy_status", "policy_violations", "rule_agreement", "segment_full",
 }
 ODDER = ODD | {"part": "CASE p_partkey % 4 WHEN 0 THEN 'personal data' WHEN 1 THEN 'blue anvil' WHEN 2 THEN 'above ring' ELSE p_name END AS p_name"}
 
