@@ -11,7 +11,8 @@ from tests.test_classes import ODD, TABLES
 from tests.test_queries import TINY, plain
 
 NAMES = {
-    "behaviour_probes", "classify_clauses", "compile_plan", "context_pool", "exchange_round_trip", "frozen_drift", "greedy_packing", "policy_from_clauses", "policy_status", "policy_violations", "rule_agreement", "rule_multiset_match", "segment_full", "source_verification",
+    "behaviour_probes", "classify_clauses", "compile_plan", "context_pool", "exchange_round_trip", "frozen_drift", "greedy_packing", "grounding_violations",
+    "policy_from_clauses", "policy_status", "policy_violations", "rule_agreement", "rule_multiset_match", "segment_full", "source_verification",
 }
 ODDER = ODD | {"part": "CASE p_partkey % 4 WHEN 0 THEN 'personal data' WHEN 1 THEN 'blue anvil' WHEN 2 THEN 'above ring' ELSE p_name END AS p_name"}
 
