@@ -34,7 +34,7 @@ from policyspark.llm.common import typed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNITS = re.compile(r"\n| *[^ \n]+| +")
-SPACE, BLOCK = "▁", 60_000  # characters of a block of texts
+SPACE, BLOCK = "▁", 300_000  # characters of a block of texts
 
 
 class Vocabulary:
@@ -105,6 +105,20 @@ class Vocabulary:
         pad = len(letters) + 1
         self.base, self.check, self.piece = (np.concatenate([a, np.full(pad, v)]) for a, v in ((base, 0), (check, -1), (piece, -1)))
 
+        self.joined = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.sizes = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+
+    def spelt(self, ids: list[np.ndarray]) -> list[bytes]:
+        """What each of several sequences of pieces spells, the leading space that encoding adds included."""
+        flat = np.concatenate(ids)
+        sizes = self.sizes.take(flat)
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.offsets.take(flat) - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        text, cuts = self.joined.take(at).tobytes(), np.concatenate(([0], ends))[np.cumsum([0, *map(len, ids)])].tolist()
+        return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def decode(self, ids: list[int]) -> str:
         """The text: pieces joined, the leading space that encoding adds taken off."""
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -258,7 +272,7 @@ def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int) -> list[lis
     done: list[list[Path]] = [[] for _ in texts]
     heaps: list[list[tuple[float, int, int, tuple[int, ...], Path]]] = [[] for _ in texts]
     # what to follow next: text, first unit, first slot, pieces before, value
-    jobs = [(i, 0, None, None, float(-np.log(-np.log(uniform(seeds[i : i + 1], np.arange(1), 7)[0])))) for i in range(len(texts))]
+    jobs = [(i, 0, None, None, value) for i, value in enumerate((-np.log(-np.log(uniform(seeds, np.zeros(len(texts), np.int64), 7)))).tolist())]
     for try_no in range(1, k + 1):
         starts, ends, key, place, sizes = [], [], [], [], []
         for i, at, slot, _, _ in jobs:
@@ -283,11 +297,10 @@ def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int) -> list[lis
         lengths = stops - firsts
         # the sets left at each new piece: their masses and bounds, for all paths at once
         kept, share, base = np.zeros(len(jobs), np.int64), np.zeros(len(jobs)), np.zeros(len(jobs))
-        for j, (_, _, _, before, _) in enumerate(jobs):
-            if before is not None:
-                parent, cut, barred = before
-                share[j] = lat.log_share(parent.slots[cut : cut + 1], np.array([barred[-1]]))[0]
-                kept[j], base[j] = cut + 1, parent.logs[:cut].sum() + share[j]
+        if again := [(j, *before) for j, (_, _, _, before, _) in enumerate(jobs) if before is not None]:
+            shares = lat.log_share(np.array([parent.slots[cut] for _, parent, cut, _ in again]), np.array([barred[-1] for *_, barred in again]))
+            for (j, parent, cut, _), one in zip(again, shares.tolist(), strict=True):
+                share[j], kept[j], base[j] = one, cut + 1, parent.logs[:cut].sum() + one
         sums = np.cumsum(logs) - logs
         offset = base - (sums[np.minimum(firsts, max(len(sums) - 1, 0))] if len(sums) else 0)
         number = np.arange(len(logs)) - np.repeat(firsts - kept, lengths)
@@ -313,32 +326,40 @@ def sample(v: Vocabulary, texts: list[str], keys: list[int], k: int) -> list[lis
                         heapq.heappush(heaps[i], (-float(tops[at]), len(done[i]), held + at, (int(new.steps[held + at]),), new))
         jobs = []
         if try_no < k:
-            for i, heap in enumerate(heaps):
-                if heap:
-                    top, _, cut, barred, parent = heapq.heappop(heap)
-                    p = int(parent.slots[cut])
-                    share = np.exp(np.where(np.isfinite(lat.logs[p]), lat.logs[p] + lat.beta[p + 1 : p + 1 + lat.logs.shape[1]] - lat.beta[p], -np.inf))
-                    share[list(barred)] = 0
-                    if share.sum() <= 0:
-                        continue
-                    u = uniform(seeds[i : i + 1], np.array([cut]), 3000 + try_no)[0]
-                    took = int(min(np.searchsorted(share.cumsum(), u * share.sum()), np.flatnonzero(share)[-1]))
-                    jobs.append((i, int(parent.unit[cut]), p + took + 1, (parent, cut, (*barred, took)), -top))
-    out = []
+            best = [(i, *heapq.heappop(heap)) for i, heap in enumerate(heaps) if heap]
+            us = uniform(seeds[[b[0] for b in best]], np.array([b[3] for b in best], np.int64), 3000 + try_no).tolist()
+            for (i, top, _, cut, barred, parent), u in zip(best, us, strict=True):
+                p = int(parent.slots[cut])
+                share = np.exp(np.where(np.isfinite(lat.logs[p]), lat.logs[p] + lat.beta[p + 1 : p + 1 + lat.logs.shape[1]] - lat.beta[p], -np.inf))
+                share[list(barred)] = 0
+                if share.sum() <= 0:
+                    continue
+                took = int(min(np.searchsorted(share.cumsum(), u * share.sum()), np.flatnonzero(share)[-1]))
+                jobs.append((i, int(parent.unit[cut]), p + took + 1, (parent, cut, (*barred, took)), -top))
+    every = [path for paths in done for path in paths]
+    ids = lat.ids.reshape(-1).take(np.concatenate([p.slots for p in every]) * lat.ids.shape[1] + np.concatenate([p.steps for p in every])) if every else np.zeros(0, np.int32)
+    cuts = np.concatenate(([0], np.cumsum(lengths_of(ids))))[np.cumsum([0, *(len(p.slots) for p in every)])].tolist()
+    ids, n, out = spelled(v, ids), 0, []
     for paths, heap in zip(done, heaps, strict=True):
         limit = -heap[0][0] if heap else -np.inf
         rows = []
         for path in paths:
             log = float(path.logs.sum())
-            rows.append((spelled(v, lat.ids.reshape(-1).take(path.slots * lat.ids.shape[1] + path.steps)), log, 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(700.0, log - limit))))))
+            rows.append((ids[cuts[n] : cuts[n + 1]], log, 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(700.0, log - limit))))))
+            n += 1
         out.append(rows)
     return out
 
 
+def lengths_of(ids: np.ndarray) -> np.ndarray:
+    """How many pieces each of ids stands for: one, or the bytes of a character that falls back (-2 - code point)."""
+    chars = -2 - ids
+    return np.where(ids >= 0, 1, 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF))
+
+
 def spelled(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
     """ids with the characters that fall back (-2 - code point) replaced by their bytes' pieces."""
-    chars = -2 - ids
-    lengths = np.where(ids >= 0, 1, 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF))
+    chars, lengths = -2 - ids, lengths_of(ids)
     out, first = np.repeat(ids, lengths), np.cumsum(lengths) - lengths
     short = (ids < 0) & (lengths == 1)
     out[first[short]] = v.bytes[chars[short]]
@@ -373,8 +394,9 @@ def sampled(docs: DataFrame, pieces: tuple[str, ...], k: int = 2, alpha: float =
                 size += len(text or "")
                 if size >= BLOCK or i + 1 == len(rows):
                     found = sample(v, [t for _, t in block], [key_of(d, t) for d, t in block], k)
-                    flat = [(d, n, *s, v.decode(s[0].tolist()) == t) for (d, t), samples in zip(block, found, strict=True) for n, s in enumerate(samples, 1)]
-                    docs_, n_, ids, logs, inc, ok = zip(*flat, strict=True)
+                    flat = [(d, n, *s, (" " + t).encode() if t else b"") for (d, t), samples in zip(block, found, strict=True) for n, s in enumerate(samples, 1)]
+                    docs_, n_, ids, logs, inc, given = zip(*flat, strict=True)
+                    ok = [told == t for told, t in zip(v.spelt(ids), given, strict=True)]
                     lengths = np.fromiter(map(len, ids), np.int32, len(ids))
                     lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), pa.array(np.concatenate(ids).astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([pa.array(docs_, kind), pa.array(n_, pa.int32()), lists, pa.array(lengths), pa.array(logs, pa.float64()), pa.array(inc, pa.float64()), pa.array(ok, pa.bool_())], ["doc_id", "sample", "ids", "n_pieces", "log_prob", "inclusion", "round_trip"])

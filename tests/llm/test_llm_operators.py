@@ -447,6 +447,19 @@ def test_samples_follow_the_lattice_without_repeats():
     assert np.mean([sum(1 / q for *_, q in x) for x in three]) == pytest.approx(len(every), rel=0.2)
 
 
+def test_pieces_of_a_block_are_spelt_at_once_and_blocks_change_nothing(docs):
+    """Before, each sample was decoded and spelled on its own; the same pieces whatever texts share a block."""
+    v = sentpiece.vocabulary(sentpiece.load(), 1.0)
+    texts = ["", "a", "é漢 \n▁ x", *(r.text or "" for r in docs.limit(40).collect())]
+    whole = sentpiece.sample(v, texts, list(range(len(texts))), 2)
+    alone = [sentpiece.sample(v, [t], [i], 2)[0] for i, t in enumerate(texts)]
+    assert [[x[0].tolist() for x in a] for a in whole] == [[x[0].tolist() for x in a] for a in alone]
+    flat = [x[0] for a in whole for x in a]
+    given = [(" " + t).encode() if t else b"" for t, a in zip(texts, whole, strict=True) for _ in a]
+    assert v.spelt(flat) == given and [v.decode(x.tolist()) for x in flat] == [t for t, a in zip(texts, whole, strict=True) for _ in a]
+
+
+
 def test_pieces_round_trip(spark, docs, awkward, empty, pieces):
     for table in (docs, awkward):
         made = sentpiece.sampled(table, pieces, 3)
