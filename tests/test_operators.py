@@ -351,3 +351,19 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {m for *_, m in met} == {True, False}
     st.ingest(spark.readStream.schema(data.schema).parquet(source).withColumn("contract_id", F.concat(F.lit("k"), "user_id")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 120 and isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def test_rules_missing_signs_only_rules_that_may_be_missing(spark, monkeypatch):
+    """Before, all rules were signed twice and both sides shuffled whole."""
+    from policyspark.operators import policy
+    from policyspark.plans import decisions
+
+    seen, whole = [], policy.signature
+    monkeypatch.setattr(policy, "signature", lambda rules, conditions: seen.append((rules.count(), conditions.count())) or whole(rules, conditions))
+    tiny = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in decisions.rules_missing(spark, tiny).collect()}
+    every = decisions.signed(spark, tiny)
+    lost = every.select("contract_id", "signature").exceptAll(decisions.changed(every).select("contract_id", "signature")).collect()
+    want = {c: [r.signature for r in lost if r.contract_id == c] for c in {r.contract_id for r in lost}}
+    assert got == {(c, len(x), min(x)) for c, x in want.items()} and len(got) > 50
+    assert len(seen) == 2 and seen[0][0] < seen[1][0] / 3 and seen[0][1] < seen[1][1] / 2
