@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from policyspark.llm.common import checkpoint, plain_names
+from policyspark.llm.common import checkpoint, give_back, plain_names
 
 WORD = re.compile(r"\w+")
 BLOCK = 16_384
@@ -294,6 +294,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block: int = 4000, **options: f
                 for part in slices(batch):
                     kept = part.filter(pa.array([not hits for hits in shared.value.leaks(part.column(at).to_pylist())], pa.bool_()))
                     yield pa.RecordBatch.from_arrays(kept.columns, schema.names)
+            give_back()
 
         docs = plain_names(docs).mapInArrow(run, schema)
     return docs

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from policyspark.llm.common import typed
+from policyspark.llm.common import give_back, typed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNITS = re.compile(r"\n| *[^ \n]+| +")
@@ -197,7 +197,7 @@ class Lattices:
         logs[lost, 0] = bytes_of * v.byte_weight
         self.ids[lost, 0] = -2 - chars  # falls back to bytes
         self.beta = np.zeros(size + wide)
-        order = np.argsort(ahead, kind="stable")
+        order = np.argsort(ahead.astype(np.uint16) if ahead.max(initial=0) < 65_536 else ahead, kind="stable")  # short numbers are sorted by radix
         cuts = np.searchsorted(ahead[order], np.arange(1, int(ahead.max(initial=0)) + 2))
         self.cdf = np.ones((size, wide), np.float32)
         for d in range(len(cuts) - 1):
@@ -401,6 +401,9 @@ def sampled(docs: DataFrame, pieces: tuple[str, ...], k: int = 2, alpha: float =
                     lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), pa.array(np.concatenate(ids).astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([pa.array(docs_, kind), pa.array(n_, pa.int32()), lists, pa.array(lengths), pa.array(logs, pa.float64()), pa.array(inc, pa.float64()), pa.array(ok, pa.bool_())], ["doc_id", "sample", "ids", "n_pieces", "log_prob", "inclusion", "round_trip"])
                     block, size = [], 0
+                    del found, flat, docs_, n_, ids, logs, inc, given, ok, lengths, lists  # before the next block is taken up
+            rows = []
+        give_back()
 
     schema = typed(docs, "doc_id", sample=T.IntegerType(), ids=T.ArrayType(T.IntegerType()), n_pieces=T.IntegerType(), log_prob=T.DoubleType(), inclusion=T.DoubleType(), round_trip=T.BooleanType())
     return docs.select("doc_id", "text").mapInArrow(run, schema)

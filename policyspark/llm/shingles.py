@@ -3,8 +3,9 @@
 The search is exact. Two sets of such a similarity share a member among the first
 n - ceil(least * n) + 1 of each in any common order (prefix filter); the order is rarest first by
 counts over a bounded sample, which decides the speed only. A pair must also fit by its sizes, by
-sketches that differ in no more bits than the sets may in members, and by how many prefix members
-it shares; it is then checked on the whole sets. Equal texts are one node. Texts whose SimHash
+sketches that differ in no more bits than the sets may in members, by how many prefix members it
+shares, and by counts of members by class, which tell long texts apart where sketches can't; it is
+then checked on the whole sets. Equal texts are one node. Texts whose SimHash
 fingerprints are near are linked first, by the same check; then large groups are linked to their
 centre, the text most of whose shingles many others have; after each, only pairs that the links so
 far leave in different components are compared.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyspark.llm import simhash
-from policyspark.llm.common import bounded_sample, checkpoint, components, known_few, remove, scratch
+from policyspark.llm.common import bounded_sample, checkpoint, components, give_back, known_few, remove, scratch
 
 SLACK, PAIRS, WORDS = 1e-9, 200_000, 100_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -72,6 +73,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
     HASHES.clear()
+    give_back()
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -107,8 +109,16 @@ def sketch(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+CLASSES = 256  # of members that `class_counts` counts
+
+
+def class_counts(members: np.ndarray) -> bytes:
+    """How many members each class has, 255 at most. The counts of two sets never differ by more in sum than the sets do in members."""
+    return np.minimum(np.bincount((members >> 23) & (CLASSES - 1), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+
+
 def _prefixes(texts: DataFrame, copied: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(node, n, prefix, s0, ...: the sketch) of each distinct text with words."""
+    """(node, n, prefix, counts by class, s0, ...: the sketch) of each distinct text with words."""
     known, counts = common_members(texts, shingle)
 
     def first(members: np.ndarray) -> np.ndarray:
@@ -122,9 +132,9 @@ def _prefixes(texts: DataFrame, copied: DataFrame, shingle: int, least: float) -
         for batch in _slices(batches):
             made = [shingles(x.as_py(), shingle) for x in batch.column(1)]
             bits = np.array([sketch(m) for m in made], np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, made), pa.int32()), pa.array([first(m) for m in made], pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(bits.T))], ["node", "n", "prefix", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, made), pa.int32()), pa.array([first(m) for m in made], pa.list_(pa.int64())), pa.array(map(class_counts, made), pa.binary()), *map(pa.array, np.ascontiguousarray(bits.T))], ["node", "n", "prefix", "counts", *names])
 
-    return texts.where("node <> 0").select("node", "text").transform(one_each, copied).mapInArrow(run, "node long, n int, prefix array<long>, " + ", ".join(f"{x} long" for x in names))
+    return texts.where("node <> 0").select("node", "text").transform(one_each, copied).mapInArrow(run, "node long, n int, prefix array<long>, counts binary, " + ", ".join(f"{x} long" for x in names))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -143,6 +153,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
                 yield [c[:cut] for c in now]
     if held:
         yield [np.concatenate(p) for p in zip(*held, strict=True)]
+    give_back()
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
@@ -213,6 +224,25 @@ def _candidates(shared: DataFrame, least: float, star: bool) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("u", "v")
 
 
+def _alike(pairs: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose counts(node, n, counts) by class differ by no more than those of similar sets can: texts of others needn't travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                u, v, n, m, *held = batch.slice(at, 2000).columns
+                one, other = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16) for c in held)
+                keep = pa.array(np.abs(one - other).sum(axis=1) <= (n.to_numpy() + m.to_numpy()) * (1 - least) / (1 + least) + SLACK)
+                yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
+
+    pairs = checkpoint(pairs)
+    nodes = known_few(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    known = checkpoint(counts.join(nodes, "node", "left_semi"))
+    at = lambda end, n, c: known.select(F.col("node").alias(end), F.col("n").alias(n), F.col("counts").alias(c))
+    both = pairs.join(at("u", "n", "one"), "u").join(at("v", "m", "other"), "v")
+    return both.select("u", "v", "n", "m", "one", "other").mapInArrow(run, "u long, v long")
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, copied: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar. Texts travel, which pack better than their sets.
 
@@ -237,6 +267,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, copied: DataFrame, shingle: int
             hubs, others = (batch.column(k).filter(pa.array(keep)).to_numpy() for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hubs, others)), pa.array(np.maximum(hubs, others))], ["u", "v"])
         HASHES.clear()
+        give_back()
 
     pairs = checkpoint(pairs)
     degree = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
@@ -264,15 +295,18 @@ def near_copies(texts: DataFrame, shingle: int = 5, least: float = 0.8) -> DataF
     """(node, root) for every node of texts(node, text) that has a near copy: root is the least node it is linked to."""
     spark, copied = texts.sparkSession, known_few(texts.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
     found = _similar(_by_fingerprint(texts), texts, copied, shingle, least)
-    path = scratch(spark, "prefixes")
+    path, kept = scratch(spark, "prefixes"), scratch(spark, "counts")
     _prefixes(texts, copied, shingle, least).write.parquet(path)
     prefixes = spark.read.parquet(path)
+    prefixes.select("node", "n", "counts").write.option("compression", "zstd").parquet(kept)
+    counts = spark.read.parquet(kept)
     groups = checkpoint(_shared(prefixes))
     fame = groups.groupBy("node").agg(F.sum("size").alias("fame"))
-    about = checkpoint(prefixes.drop("prefix").join(fame, "node"))
+    about = checkpoint(prefixes.drop("prefix", "counts").join(fame, "node"))
     remove(spark, path)
     for star in (True, False):
         rooted = about.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
         shared = groups.select("member", "node").join(rooted, "node")
-        found = checkpoint(found.unionByName(_similar(_candidates(shared, least, star), texts, copied, shingle, least)))
+        found = checkpoint(found.unionByName(_similar(_alike(_candidates(shared, least, star), counts, least), texts, copied, shingle, least)))
+    remove(spark, kept)
     return components(found)

@@ -2,8 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from policyspark.llm import queries, shingles, simhash
+from policyspark.llm.common import give_back
 
 TINY = "/root/testdata/sf0.001"
 
@@ -120,3 +124,44 @@ def test_a_text_of_many_pairs_travels_once(spark, monkeypatch):
     docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, TINY).collect()] == [0]
     assert stored and not any("string" in s or "array" in s for s in stored)
+
+
+def test_counts_by_class_never_part_similar_sets():
+    rng = random.Random(3)
+    for size in (1, 40, 600, 5000, 90_000):
+        one = [rng.getrandbits(63) for _ in range(size)]
+        other = one[: size - size // 10] + [rng.getrandbits(63) for _ in range(size // 9)]
+        a, b = (np.unique(np.array(x, np.int64)) for x in (one, other))
+        x, y = (np.frombuffer(shingles.class_counts(m), np.uint8).astype(int) for m in (a, b))
+        assert len(x) == shingles.CLASSES and np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_texts_that_counts_tell_apart_do_not_travel(spark, monkeypatch):
+    """Long texts with a passage in common were sent and compared whole: sketches of 128 bits can't tell these apart."""
+    sent, similar = [], shingles._similar
+    monkeypatch.setattr(shingles, "_similar", lambda pairs, *rest: sent.append(pairs.count()) or similar(pairs, *rest))
+    rng = random.Random(5)
+    passage = " ".join(f"same{i}" for i in range(60))
+    texts = [" ".join([passage, *(f"{i}w{rng.randrange(10**6)}" for _ in range(900))]) for i in range(6)]
+    texts.append(texts[0] + " and a few more words")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, TINY).collect()) == list(range(6))
+    assert sum(sent) <= 2
+
+
+def test_workers_give_memory_back(spark):
+    """Python workers kept what the largest batch had taken, in every stage after it."""
+
+    def kept(batches):
+        for batch in batches:
+            held = [bytes(2000) + str(i).encode() for i in range(60_000)]
+            size = lambda: next(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith("Pss_Anon")) // 1024
+            most, table = size(), pa.array(held)
+            keep = held[::1000]
+            del held, table
+            give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([most] * batch.num_rows), pa.array([size()] * batch.num_rows)], ["most", "left"])
+            del keep
+
+    row = spark.range(1).repartition(1).mapInArrow(kept, "most long, left long").first()
+    assert row.left < row.most - 60
